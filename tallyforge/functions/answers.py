@@ -20,7 +20,8 @@ RAW_TASKS = ["MinMax", "Sorting"]
 # ---- cleaning ----
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Text without blanks at both ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def single_line(text: Column | str) -> Column:
@@ -47,7 +48,7 @@ def mark_token_limit(response: Column | str, tokens: Column | str) -> Column:
 
 def to_double(text: Column) -> Column:
     """Double of a text that is a number and nothing else."""
-    t = strip(text)
+    t = F.btrim(text, F.lit(" \t\r\n"))
     return F.when(t.rlike(r"^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?$"), t.try_cast("double")).when(
         F.lower(t).rlike(r"^[+-]?(?:inf|infinity|nan)$"), F.lower(t).try_cast("double")
     )
@@ -57,7 +58,6 @@ def float_text(x: Column) -> Column:
     """Text of a double: shortest digits, always with a point or an exponent."""
     def write(parts: Column) -> Column:
         digits, exponent = parts["digits"], parts["point"] - 1
-        sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
         plain = place_point(digits, parts["point"])
         plain = F.when(F.contains(plain, F.lit(".")), plain).otherwise(F.concat(plain, F.lit(".0")))
         mantissa = F.when(F.length(digits) > 1, F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))).otherwise(digits)
@@ -65,11 +65,27 @@ def float_text(x: Column) -> Column:
         size = F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size)
         power = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), size)
         fixed = (F.length(digits) == 0) | ((exponent >= -4) & (exponent < 16))
-        return F.concat(sign, F.when(fixed, plain).otherwise(power))
+        return F.when(fixed, plain).otherwise(power)
 
-    special = F.when(F.isnan(x), "nan").when(x > 0, "inf").otherwise("-inf")
-    finite = ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    return F.when(x.isNull(), F.lit(None).cast("string")).when(finite, let(shortest_digits(F.abs(x)), write)).otherwise(special)
+    def any_value(v: Column) -> Column:
+        special = F.when(F.isnan(v), "nan").when(v > 0, "inf").otherwise("-inf")
+        finite = ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+        sign = F.when(F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
+        return F.when(v.isNotNull(), F.when(finite, F.concat(sign, let(shortest_digits(F.abs(v)), write))).otherwise(special))
+
+    return let(x, any_value)
+
+
+def token_float_text(token: Column) -> Column:
+    """Text a double made from a number token would have; short plain decimals need no arithmetic."""
+    t = F.ltrim(token, F.lit("+"))
+    short = (F.length(t) <= 16) & ~F.contains(F.lower(t), F.lit("e")) & ~t.rlike("^-?0?[.]0000")
+    cut = F.rtrim(t, F.lit("0"))
+    cut = F.when(F.endswith(cut, F.lit(".")), F.concat(cut, F.lit("0"))).otherwise(cut)
+    cut = F.when(F.startswith(cut, F.lit(".")), F.concat(F.lit("0"), cut)).when(
+        F.startswith(cut, F.lit("-.")), F.concat(F.lit("-0"), F.substr(cut, F.lit(2)))).otherwise(cut)
+    plain = F.when(F.contains(t, F.lit(".")), cut).otherwise(F.concat(t, F.lit(".0")))
+    return F.when(short, plain).otherwise(float_text(token.cast("double")))
 
 
 def first_number(text: Column) -> Column:
@@ -97,11 +113,14 @@ def interval_label(text: Column) -> Column:
 def parse_list(text: Column) -> Column:
     """Numbers of a list-like text: its first bracketed list when that is a list of numbers, else every number."""
     item = rf'(?:{JSON_NUMBER}|"\s*[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?\s*")'
-    body = F.regexp_extract(text, r"(?s)\[(.*?)\]", 1)
-    bracketed = text.rlike(r"(?s)\[.*?\]")
-    listed = bracketed & body.rlike(rf"^\s*(?:{item}(?:\s*,\s*{item})*)?\s*$")
-    found = all_numbers(F.when(listed, body).otherwise(text))
-    return F.when(listed | (F.size(found) > 0), found)
+    pure = rf"^\[\s*(?:{item}(?:\s*,\s*{item})*)?\s*\]$"
+
+    def read(found: Column) -> Column:
+        listed = found["list"].rlike(pure)
+        numbers = all_numbers(F.when(listed, found["list"]).otherwise(found["text"]))
+        return let(numbers, lambda v: F.when(listed | (F.size(v) > 0), v))
+
+    return let(F.struct(F.regexp_extract(text, r"(?s)\[.*?\]", 0).alias("list"), text.alias("text")), read)
 
 
 # ---- parsing ----
@@ -153,52 +172,57 @@ def _json_answers(text: pd.Series, cleaned: pd.Series, raw: pd.Series) -> pd.Dat
     return pd.DataFrame(rows, columns=["whole", "clean", "inner"])
 
 
-def _plain_json(text: Column, raw: Column) -> Column:
-    """Answer of a text that is {"answer": number, plain string or list of numbers} and nothing else."""
-    number = F.regexp_extract(text, rf'^\s*\{{\s*"answer"\s*:\s*({JSON_NUMBER})\s*\}}\s*$', 1)
-    string = F.regexp_extract(text, r'^\s*\{\s*"answer"\s*:\s*"([^"\\\x00-\x1f]*)"\s*\}\s*$', 1)
-    whole = F.when(number == "-0", "0").otherwise(number)
-    value = F.when(raw | number.rlike("^-?[0-9]+$"), F.when(raw, number).otherwise(whole)).otherwise(float_text(number.cast("double")))
-    item = rf"{JSON_NUMBER}(?:\s*,\s*{JSON_NUMBER})*"
-    body = F.regexp_extract(text, rf'^\s*\{{\s*"answer"\s*:\s*\[\s*({item})\s*\]\s*\}}\s*$', 1)
-    items = F.regexp_extract_all(body, F.lit(JSON_NUMBER), F.lit(0))
+def _plain_value(text: Column) -> Column:
+    """What stands behind the answer key when a text is one object with that key first."""
+    found = F.regexp_extract(text, r'(?s)^\s*\{\s*"answer"\s*:\s*(\S.*?)\s*\}\s*$', 1)
+    return F.when(found != "", found)
+
+
+def _plain_answer(value: Column, raw: Column) -> Column:
+    """Answer text of a value that is a number, a plain string or a list of numbers."""
+    number = lambda t: F.when(t == "-0", "0").when(t.rlike("^-?[0-9]+$"), t).otherwise(token_float_text(t))
+    items = F.regexp_extract_all(value, F.lit(JSON_NUMBER), F.lit(0))
     quoted = F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))
-    plain_item = lambda t: F.when(t == "-0", "0").when(t.rlike("^-?[0-9]+$"), t).otherwise(float_text(t.cast("double")))
-    listed = F.concat(F.lit("["), F.array_join(F.transform(items, plain_item), ", "), F.lit("]"))
-    return F.when(number != "", value).when(string != "", string).when(body != "", F.when(raw, quoted).otherwise(listed))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(items, number), ", "), F.lit("]"))
+    inside = F.substr(value, F.lit(2), F.length(value) - 2)
+    return (
+        F.when(value.rlike(f"^{JSON_NUMBER}$"), F.when(raw, value).otherwise(number(value)))
+        .when(value.rlike(r'^"[^"\\\x00-\x1f]+"$'), inside)
+        .when(value.rlike(rf"^\[\s*{JSON_NUMBER}(?:\s*,\s*{JSON_NUMBER})*\s*\]$"), F.when(raw, quoted).otherwise(listed))
+    )
 
 
 def parse_answer(df: DataFrame, response: str = "raw_response", task: str = "task") -> DataFrame:
     """Adds `ok`, `parsed_answer` and `reason`.
 
     Order: JSON answer, else first number of the text; the same on the cleaned text; the first
-    balanced object with an answer; the letter or list the task asks for.
-    Only texts with braces that are no plain {"answer": ...} object go through Python.
+    balanced object with an answer; the letter or list the task asks for. Later steps only run on
+    rows the earlier ones left open, and only texts with braces that are no plain
+    {"answer": ...} object go through Python.
     """
-    t = df.withColumn("_text", cut_to_braces(F.col(response)))
-    t = t.withColumn("_raw", F.col(task).isin(RAW_TASKS)).withColumn("_plain", _plain_json(F.col("_text"), F.col("_raw")))
-    odd = F.col("_plain").isNull() & (
-        F.contains(F.col("_text"), F.lit("{")) | ((F.col(task) == "Sorting") & F.col("_text").rlike("NaN|Infinity"))
-    )
-    t = t.withColumn("_clean", clean_response(F.col("_text")))
-    t = t.withColumn("_json", _json_answers(F.when(odd, F.col("_text")), F.col("_clean"), F.col("_raw")))
-    number = lambda c: float_text(first_number(F.col(c)).cast("double"))
-    whole, clean, inner = (F.col(f"_json.{k}") for k in ("whole", "clean", "inner"))
-    listed = parse_list(F.col("_clean"))
-    list_text = F.concat(F.lit("["), F.array_join(F.transform(listed, float_text), ","), F.lit("]"))
-    full = lambda c: F.when(c != "", c)
-    first = full(F.coalesce(F.col("_plain"), whole, number("_text")))
-    second = full(F.coalesce(clean, number("_clean")))
-    by_task = F.when(F.col(task) == "Interval", interval_label(F.col("_clean"))).when(
-        (F.col(task) == "Sorting") & (F.size(listed) > 0), list_text
-    )
-    t = t.withColumn("_found", F.coalesce(first, second, inner, by_task))
-    reason = F.when(F.col(response).isNull(), "non_string_response").when(F.col("_found").isNull(), "unparseable").otherwise("")
+    c = F.col
+    full = lambda v: F.when(v != "", v)
+    t = df.withColumn("_text", cut_to_braces(c(response))).withColumn("_raw", c(task).isin(RAW_TASKS))
+    t = t.withColumn("_value", F.when(F.contains(c("_text"), F.lit("{")), _plain_value(c("_text"))))
+    t = t.withColumn("_plain", F.when(c("_value").isNotNull(), _plain_answer(c("_value"), c("_raw"))))
+    odd = F.contains(c("_text"), F.lit("{")) | ((c(task) == "Sorting") & c("_text").rlike("NaN|Infinity"))
+    t = t.withColumn("_odd", F.coalesce(c("_plain").isNull() & odd, F.lit(False)))
+    t = t.withColumn("_token", F.when(c("_plain").isNull(), first_number(c("_text"))))
+    t = t.withColumn("_open", c("_odd") | (c("_plain").isNull() & c("_token").isNull()))
+    t = t.withColumn("_clean", F.when(c("_open"), clean_response(c("_text"))))
+    t = t.withColumn("_json", _json_answers(F.when(c("_odd"), c("_text")), c("_clean"), c("_raw")))
+    first = full(F.coalesce(c("_plain"), c("_json.whole"), token_float_text(c("_token"))))
+    t = t.withColumn("_first", first).withColumn("_clean", F.when(c("_first").isNull(), c("_clean")))
+    t = t.withColumn("_list", F.when(c(task) == "Sorting", parse_list(c("_clean"))))
+    second = full(F.coalesce(c("_json.clean"), token_float_text(first_number(c("_clean")))))
+    list_text = F.concat(F.lit("["), F.array_join(F.transform("_list", float_text), ","), F.lit("]"))
+    by_task = F.when(c(task) == "Interval", interval_label(c("_clean"))).when(F.size("_list") > 0, list_text)
+    late = F.when(c("_first").isNull(), F.coalesce(second, c("_json.inner"), by_task))
+    t = t.withColumn("_found", F.coalesce(c("_first"), late))
+    reason = F.when(c(response).isNull(), "non_string_response").when(c("_found").isNull(), "unparseable").otherwise("")
     return (
-        t.withColumn("ok", F.col("_found").isNotNull() & F.col(response).isNotNull())
-        .withColumn("parsed_answer", F.coalesce(F.col("_found"), F.lit("")))
-        .withColumn("reason", reason)
-        .drop("_text", "_raw", "_plain", "_clean", "_json", "_found")
+        t.withColumn("ok", c("_found").isNotNull()).withColumn("parsed_answer", F.coalesce(c("_found"), F.lit(""))).withColumn("reason", reason)
+        .drop("_text", "_raw", "_value", "_plain", "_odd", "_token", "_open", "_clean", "_json", "_first", "_list", "_found")
     )
 
 
@@ -229,44 +253,45 @@ def normalize_truth(df: DataFrame, answer: str = "answer", task: str = "task") -
     )
 
 
-def _signature(text: Column) -> Column:
-    """Sign, first 15 digits and decimal exponent of a number text; null when it is none."""
-    mantissa = F.regexp_extract(text, r"^[+-]?([0-9.]+)", 1)
-    exponent = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+def _signature(token: Column) -> Column:
+    """Sign, first 15 digits and decimal exponent of a number token, as one text."""
+    t = F.upper(F.ltrim(token, F.lit("+-")))
+    mantissa = F.substring_index(t, "E", 1)
+    power = F.when(F.contains(t, F.lit("E")), F.substring_index(t, "E", -1).cast("int")).otherwise(0)
     raw = F.translate(mantissa, ".", "")
     body = F.ltrim(raw, F.lit("0"))
-    power = F.length(F.substring_index(mantissa, ".", 1)) - (F.length(raw) - F.length(body)) - 1 + exponent
+    power = F.length(F.substring_index(mantissa, ".", 1)) - (F.length(raw) - F.length(body)) - 1 + power
     power = F.when(F.length(body) > 0, power).otherwise(0)
-    sign = F.startswith(text, F.lit("-")).cast("int")
-    return F.when(text.isNotNull(), F.struct(sign.alias("s"), F.rpad(F.substr(body, F.lit(1), F.lit(15)), 15, "0").alias("d"), power.alias("e")))
+    sign = F.when(F.startswith(token, F.lit("-")), "-").otherwise("+")
+    return F.concat(sign, F.rpad(F.substr(body, F.lit(1), F.lit(15)), 15, "0"), F.lit("E"), power.cast("string"))
 
 
 def exact15(pred: Column | str, truth: Column | str) -> Column:
     """1 when the first numbers of both texts agree in sign, first 15 digits and exponent."""
-    a, b = _signature(first_numeric_token(_col(pred))), _signature(first_numeric_token(_col(truth)))
-    return F.coalesce((a == b).cast("int"), F.lit(0))
+    a, b = first_numeric_token(_col(pred)), first_numeric_token(_col(truth))
+    return F.coalesce((let(a, _signature) == let(b, _signature)).cast("int"), F.lit(0))
 
 
 def score_answers(df: DataFrame, parsed: str = "parsed_answer", answer: str = "answer", task: str = "task") -> DataFrame:
     """Adds `performance` in [0, 1] and `exact15` (regression tasks only)."""
+    c = F.col
     t = normalize_truth(df, answer, task)
-    found = F.col(parsed)
-    regression = F.coalesce(log_smape(to_double(found), F.col("truth_number")), F.lit(0.0))
-    letter = (F.upper(strip(found)) == F.col("truth_text")).cast("double")
-    listed = F.coalesce(parse_list(strip(found)), F.array().cast("array<double>"))
-    same_list = (listed == F.col("truth_list")).cast("double")
-    exact = (_unquote(found) == F.col("truth_text")).cast("double")
+    regression = c(task).isin(REGRESSION_TASKS)
+    t = t.withColumn("_number", F.when(regression, to_double(c(parsed))))
+    t = t.withColumn("_list", F.when(c(task) == "Sorting", parse_list(strip(c(parsed)))))
+    t = t.withColumn("_a", F.when(regression, first_numeric_token(c(parsed)))).withColumn("_b", F.when(regression, first_numeric_token(c(answer))))
+    listed = F.coalesce(c("_list"), F.array().cast("array<double>"))
     score = (
-        F.when(F.col(task).isin(REGRESSION_TASKS), regression)
-        .when(F.col(task) == "Interval", letter)
-        .when(F.col(task) == "Sorting", same_list)
-        .when(F.col(task) == "MinMax", exact)
+        F.when(regression, F.coalesce(log_smape(c("_number"), c("truth_number")), F.lit(0.0)))
+        .when(c(task) == "Interval", (F.upper(strip(c(parsed))) == c("truth_text")).cast("double"))
+        .when(c(task) == "Sorting", (listed == c("truth_list")).cast("double"))
+        .when(c(task) == "MinMax", (_unquote(c(parsed)) == c("truth_text")).cast("double"))
         .otherwise(0.0)
     )
     return (
         t.withColumn("performance", F.coalesce(score, F.lit(0.0)))
-        .withColumn("exact15", F.when(F.col(task).isin(REGRESSION_TASKS), exact15(found, answer)).otherwise(0))
-        .drop("truth_text", "truth_number", "truth_list")
+        .withColumn("exact15", F.when(regression, F.coalesce((_signature(c("_a")) == _signature(c("_b"))).cast("int"), F.lit(0))).otherwise(0))
+        .drop("truth_text", "truth_number", "truth_list", "_number", "_list", "_a", "_b")
     )
 
 

@@ -351,14 +351,13 @@ def metrics_log(df: DataFrame, interval: int, max_step: int | None = None) -> Da
 
 def flatten_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """Nested metric maps as long rows named key_subkey; plain columns keep their name."""
-    parts = []
-    for c, dtype in df.dtypes:
-        if c in keys:
-            continue
-        if dtype.startswith("map"):
-            parts.append(F.transform(F.map_entries(c), lambda e, c=c: F.struct(F.concat(F.lit(f"{c}_"), e["key"]).alias("name"), e["value"].cast("double").alias("value"))))
-        else:
-            parts.append(F.array(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))))
+    def rows(c: str, dtype: str) -> Column:
+        if not dtype.startswith("map"):
+            return F.array(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")))
+        name = lambda e: F.concat(F.lit(f"{c}_"), e["key"])
+        return F.transform(F.map_entries(c), lambda e: F.struct(name(e).alias("name"), e["value"].cast("double").alias("value")))
+
+    parts = [rows(c, dtype) for c, dtype in df.dtypes if c not in keys]
     return df.select(*keys, F.inline(F.concat(*parts)))
 
 

@@ -68,7 +68,9 @@ def canonical_prefix(
     shared = [k for k in keys if k in canonical.columns]
     order = canonical.select(*shared, trimmed(prompt).alias("_p"), F.col(pos).alias("pos"), *[F.col(c).alias(f"_c_{c}") for c in copy])
     # every file is held against the whole canonical list of its key; the list of files is small
-    wanted = order.join(files, shared) if shared else order.join(F.broadcast(files))
+    if not shared:
+        raise ValueError("results and canonical rows need a common key, such as the task")
+    wanted = order.join(files, shared)
     found = wanted.join(firsts, [*keys, "_p"], "left")
     cut = found.groupBy(*keys).agg(
         F.min(F.when(F.col("row").isNull(), F.col("pos"))).alias("cut"), F.count("*").alias("n_canonical"), F.first("n_results").alias("n_results")
