@@ -549,21 +549,21 @@ def generate_until(spark: SparkSession, task: str, n: int, split: str = "train",
     Every round is written to the shared folder, so later rounds and retries read files and never regenerate.
     """
     root = f"{shared_dir(spark)}/problems-{uuid.uuid4().hex}"
-    size, have, combined = first, 0, None
+    size, have, keys = first, 0, None
     for i in range(rounds):
         batch = dedupe_problems(generate(spark, task, size, split, settings, seed, i))
-        if combined is not None:
-            batch = dedupe_problems(combined.withColumn("_round", F.lit(0)).unionByName(batch.withColumn("_round", F.lit(i))), problem_keys(batch), F.col("_round")).drop("_round")
+        keys = problem_keys(batch)
+        if i:
+            batch = batch.join(spark.read.parquet(root).select(*keys), keys, "left_anti")
         batch.write.parquet(f"{root}/round={i}")
-        combined = spark.read.parquet(f"{root}/round={i}")
-        total = combined.count()
-        gained, have = total - have, total
+        gained = spark.read.parquet(f"{root}/round={i}").count()
+        have += gained
         if have >= n or gained == 0:
             break
         size = math.ceil((n - have) / (gained / size))
     if have < n:
         raise ValueError(f"only {have} of {n} problems could be generated")
-    return exact_sample(combined, n, problem_keys(combined), seed)
+    return exact_sample(spark.read.parquet(root).drop("round"), n, keys, seed)
 
 
 def stratified_subset(df: DataFrame, n: int, strata: list[str], seed: int = 42) -> DataFrame:
@@ -588,7 +588,7 @@ def stratified_subset(df: DataFrame, n: int, strata: list[str], seed: int = 42)
     q = q.withColumn("_quota", F.when(valid, F.col("_floor") + (F.col("_rank") <= F.col("_short")).cast("bigint")))
     match = [F.col(f"_k{i}").eqNullSafe(F.col(s)) for i, s in enumerate(strata)]
     quota = q.select(*[F.col(s).alias(f"_k{i}") for i, s in enumerate(strata)], "_quota", "_singles")
-    joined = df.join(quota, match)
+    joined = df.join(quota, match).drop(*[f"_k{i}" for i in range(len(strata))])
     hashed = F.xxhash64(F.lit(seed), *df.columns)
     picked = ranked_by_hash(joined.filter("_quota IS NOT NULL"), strata, hashed, df.columns, "_rn").filter("_rn <= _quota")
     single = ranked_by_hash(joined.filter("_quota IS NULL"), [], hashed, df.columns, "_rn").filter("_rn <= _singles")
