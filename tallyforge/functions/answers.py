@@ -217,12 +217,12 @@ def parse_answer(df: DataFrame, response: str = "raw_response", task: str = "tas
     second = full(F.coalesce(c("_json.clean"), token_float_text(first_number(c("_clean")))))
     list_text = F.concat(F.lit("["), F.array_join(F.transform("_list", float_text), ","), F.lit("]"))
     by_task = F.when(c(task) == "Interval", interval_label(c("_clean"))).when(F.size("_list") > 0, list_text)
-    late = F.when(c("_first").isNull(), F.coalesce(second, c("_json.inner"), by_task))
-    t = t.withColumn("_found", F.coalesce(c("_first"), late))
+    t = t.withColumn("_second", F.when(c("_first").isNull(), second)).withColumn("_by_task", F.when(c("_first").isNull(), by_task))
+    t = t.withColumn("_found", F.coalesce(c("_first"), c("_second"), c("_json.inner"), c("_by_task")))
     reason = F.when(c(response).isNull(), "non_string_response").when(c("_found").isNull(), "unparseable").otherwise("")
     return (
         t.withColumn("ok", c("_found").isNotNull()).withColumn("parsed_answer", F.coalesce(c("_found"), F.lit(""))).withColumn("reason", reason)
-        .drop("_text", "_raw", "_value", "_plain", "_odd", "_token", "_open", "_clean", "_json", "_first", "_list", "_found")
+        .drop("_text", "_raw", "_value", "_plain", "_odd", "_token", "_open", "_clean", "_json", "_first", "_list", "_second", "_by_task", "_found")
     )
 
 

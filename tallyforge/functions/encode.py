@@ -174,7 +174,8 @@ def roundtrip(x: Column | str, encoding: str, noise: float = 0.0, seed: int = 42
     x = _col(x).cast("double")
     key = F.xxhash64(x) if key is None else key
     if encoding == "bits":
-        noisy = lambda b: b if noise == 0 else _noisy_bits(b, noise, seed, key, 64)
+        # a bit stands for -1 or 1 and is read by its sign, so noise below 1 changes nothing
+        noisy = lambda b: b if noise < 1 else _noisy_bits(b, noise, seed, key, 64)
         return let(let(number_bits(x), noisy), lambda b: bits_value(b))
     if encoding == "digits10":
         return let(number_digits10(x), digits10_value)

@@ -133,15 +133,16 @@ def round_bits(x: Column | str, p: Column | int) -> Column:
 
 def base2_text(x: Column | str) -> Column:
     """Exact base-2 text of a double: trailing zeros of the fraction dropped, '0.0' for zero."""
-    x = _col(x).cast("double")
-    size = F.abs(x)
+    def write(v: Column) -> Column:
+        size = F.abs(v)
 
-    def at(e: Column) -> Column:
-        whole = (size * F.pow(F.lit(2.0), F.lit(52) - e)).cast("bigint")
-        digits = F.rtrim(F.bin(whole), F.lit("0"))
-        return F.concat(F.when(x < 0, "-").otherwise(""), place_point(digits, e + 1))
+        def at(e: Column) -> Column:
+            whole = (size * F.pow(F.lit(2.0), F.lit(52) - e)).cast("bigint")
+            return F.concat(F.when(v < 0, "-").otherwise(""), place_point(F.rtrim(F.bin(whole), F.lit("0")), e + 1))
+
+        return F.when(v == 0, F.lit("0.0")).otherwise(let(binary_exponent(size), at))
 
-    return F.when(x == 0, F.lit("0.0")).otherwise(let(binary_exponent(size), at))
+    return let(_col(x).cast("double"), write)
 
 
 def base_text(n: Column | str, base: int) -> Column:

@@ -318,6 +318,10 @@ def _batched(make: Callable[[pd.DataFrame, Settings], pd.DataFrame], st: Setting
     return run
 
 
+def _kept_bits(x: Column | str, bits: int) -> Column:
+    return round_bits(x, bits) if bits < 53 else (F.col(x) if isinstance(x, str) else x)
+
+
 def _with_digits(t: DataFrame, columns: list[str], base: int) -> DataFrame:
     suffix = "_base_2" if base == 2 else ""
     return t.select("*", *[sig_digits(f"{c}{suffix}").alias(f"{c}_significant_digits_base_{base}") for c in columns])
@@ -335,15 +339,15 @@ def _pair_problems(spark: SparkSession, task: str, n: int, split: str, st: Setti
     make = {"Addition": _addition_batch, "Multiplication": _multiplication_batch, "DivM": _multiplication_batch, "Division": _division_batch,
             "Exponentiation": _power_batch}[task]
     t = rows.mapInPandas(_batched(make, st), _PAIR_SCHEMA)
-    b2 = lambda c: base2_text(round_bits(c, bits))
+    b2 = lambda c: base2_text(_kept_bits(c, bits))
     t = t.withColumn("num1_base_2", b2("num1_value")).withColumn("num2_base_2", b2("num2_value")).withColumn(f"{result}_base_2", b2("result_value"))
     t = t.withColumnRenamed("result", result)
     num1, num2, out = F.col("num1"), F.col("num2"), F.col(result)
     at_most = lambda cap, c: F.least(F.lit(cap), c).cast("int")
     within = lambda lo, hi, c: F.greatest(F.lit(lo), F.least(F.lit(hi), c)).cast("int")
     if task == "Addition":
-        t = t.withColumn("difficulty", at_most(90 if double else 50, D.difficulty_add(F.array("num1_base_2", "num2_base_2"), f"{result}_base_2")))
-        t = t.withColumn("difficulty_sd", at_most(60 if double else 32, D.difficulty_add(F.array(num1, num2), out)))
+        t = t.withColumn("difficulty", at_most(90 if double else 50, D.difficulty_add(["num1_base_2", "num2_base_2"], f"{result}_base_2")))
+        t = t.withColumn("difficulty_sd", at_most(60 if double else 32, D.difficulty_add([num1, num2], out)))
     elif task in ("Multiplication", "DivM"):
         t = t.withColumn("difficulty_sd", at_most(32, D.difficulty_mul(num1, num2)))
         if task == "DivM":
@@ -487,11 +491,11 @@ def _list_problems(spark: SparkSession, task: str, n: int, split: str, st: Setti
     rows = rows.withColumn("row_key", F.xxhash64("row_key", "list_len", "spread"))
     t = rows.mapInPandas(_batched(_list_batch(task), st), _LIST_SCHEMA)
     bits = st.significant_bits
-    t = t.withColumn("list_base_2", F.transform("list1_value", lambda v: base2_text(round_bits(v, bits))))
+    t = t.withColumn("list_base_2", F.transform("list1_value", lambda v: base2_text(_kept_bits(v, bits))))
     double = bits == 53
     if task in ("Mean", "Std"):
         word = task.lower()
-        t = t.withColumn(f"{word}_base_2", base2_text(round_bits(f"{word}_value", bits)))
+        t = t.withColumn(f"{word}_base_2", base2_text(_kept_bits(f"{word}_value", bits)))
         t = t.withColumn("difficulty", F.least(F.lit(155 if double else 95), D.difficulty_mean(F.col("list_base_2"), 2)).cast("int"))
         t = t.withColumn("difficulty_sd", F.least(F.lit(80), D.difficulty_mean(F.col("list1"))).cast("int"))
         extra = [word, f"{word}_base_2", "difficulty", "difficulty_sd"]
@@ -503,7 +507,7 @@ def _list_problems(spark: SparkSession, task: str, n: int, split: str, st: Setti
             t = t.withColumn(f"{word}_difficulty_sd", D.difficulty_minmax(F.col("list1"), word))
         extra = ["minimum", "min_base_2", "maximum", "max_base_2", *[f"{w}_difficulty{s}" for w in ("minimum", "maximum") for s in ("", "_sd")]]
     elif task == "Interval":
-        t = t.withColumn("ref_base_2", base2_text(round_bits("ref_value", bits)))
+        t = t.withColumn("ref_base_2", base2_text(_kept_bits("ref_value", bits)))
         t = t.withColumn("difficulty", D.difficulty_minmax(F.col("list_base_2"), "ref_base_2")).withColumn("difficulty_sd", D.difficulty_minmax(F.col("list1"), "ref"))
         extra = ["ref", "position", "ref_base_2", "difficulty", "difficulty_sd"]
     else:

@@ -11,7 +11,7 @@ from tallyforge.operators import corpus as K
 from tallyforge.operators import mixture as M
 from tallyforge.plans.number_queries import sql_log_smape, texts
 from tallyforge.plans.problem_queries import _folder
-from tallyforge.plans.registry import query, table
+from tallyforge.plans.registry import query, spread, table
 from tallyforge.plans.views import view, with_views
 from tallyforge.session import shared_dir
 from tallyforge.sources import files as S
@@ -24,7 +24,7 @@ EOS = 0
 
 def words(spark, sf):
     """Documents as arrays of word lengths; a word that ends a sentence counts as end token 0."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     w = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     ids = F.transform(w, lambda x: F.when(F.endswith(x, F.lit(".")), EOS).otherwise(F.length(x)))
     return d.select("doc_id", "source", "lang", "n_chars", ids.alias("tokens")).withColumn("n_tokens", F.size("tokens"))
@@ -242,7 +242,7 @@ WITH t AS (SELECT source, CASE WHEN text = '' THEN 2 ELSE len(regexp_extract_all
 SELECT source, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, count(*) AS num_samples, round_even(sum(i) / count(*), 1) AS mean_input,
   round_even(sum(o) / count(*), 1) AS mean_output, round_even((sum(i) + sum(o)) / count(*), 1) AS mean_total FROM t GROUP BY source""")
 def token_accounting(spark, sf):
-    t = table(spark, sf, "documents").withColumn("prediction", F.when(F.col("n_chars") % 5 == 0, "").otherwise(F.col("lang")))
+    t = spread(table(spark, sf, "documents")).withColumn("prediction", F.when(F.col("n_chars") % 5 == 0, "").otherwise(F.col("lang")))
     return K.token_accounting(t, "source", "text", "prediction")
 
 
@@ -253,7 +253,7 @@ SELECT count(*) AS datasets, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o)
   round(avg(i), 6) AS input_per_dataset, round(avg(o), 6) AS output_per_dataset, round(avg(round_even(i / n, 1)), 6) AS mean_input,
   round(avg(round_even(o / n, 1)), 6) AS mean_output, round(avg(round_even((i + o) / n, 1)), 6) AS mean_total FROM d""")
 def token_accounting_summary(spark, sf):
-    g = K.accounting_summary(K.token_accounting(table(spark, sf, "documents"), "source", "text", "lang", "triple"))
+    g = K.accounting_summary(K.token_accounting(spread(table(spark, sf, "documents")), "source", "text", "lang", "triple"))
     return g.select(*[F.round(c, 6).alias(c) if "per_" in c or "mean" in c else F.col(c) for c in g.columns])
 
 

@@ -8,7 +8,7 @@ from tallyforge.functions import difficulty as D
 from tallyforge.functions import encode as E
 from tallyforge.functions import metrics as M
 from tallyforge.functions import text as T
-from tallyforge.plans.registry import query, table
+from tallyforge.plans.registry import query, spread, table
 from tallyforge.plans.views import view, with_views
 
 KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"]
@@ -87,7 +87,7 @@ _TEXTS = """texts AS (SELECT 'documents' AS source, doc_id AS id, text FROM docu
 def texts(spark, sf):
     docs = table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
     pages = table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    return docs.unionByName(pages)
+    return spread(docs).unionByName(spread(pages))
 
 
 _FOUND = f"""found AS (SELECT source, id, unnest(regexp_extract_all(text, '{NUMBER}')) AS token,
@@ -122,7 +122,7 @@ def replace_numbers_magnitude(spark, sf):
 SELECT CAST(len(list_filter(e, lambda x: x <= l_extendedprice - 20000)) AS INT) AS bin, count(*) AS n
 FROM lineitem, edges GROUP BY 1""")
 def magnitude_bins(spark, sf):
-    t = table(spark, sf, "lineitem").select(T.magnitude_bin(F.col("l_extendedprice") - 20000).alias("bin"))
+    t = spread(table(spark, sf, "lineitem").select("l_extendedprice")).select(T.magnitude_bin(F.col("l_extendedprice") - 20000).alias("bin"))
     return t.groupBy("bin").agg(F.count("*").alias("n"))
 
 
@@ -168,7 +168,7 @@ SELECT {KEY_SQL}, CAST({sql_differs('top', 'c')} + 3 * len([i FOR i IN range(1,
   IF substr(a, i, 1) <> '0' AND substr(b, i, 1) <> '0']) AS INT) AS difficulty_sd FROM s""")
 def difficulty_add(spark, sf):
     t = view(spark, sf, "v_problems")
-    return t.select(*KEY, D.difficulty_add(F.array("num1", "num2"), "total").alias("difficulty_sd"))
+    return t.select(*KEY, D.difficulty_add(["num1", "num2"], "total").alias("difficulty_sd"))
 
 
 _PARTS = """
@@ -245,7 +245,7 @@ def difficulty_add_tree(spark, sf):
     halves = F.col("b").cast("decimal(14,2)") + F.col("c").cast("decimal(14,2)")
     pair = F.regexp_replace(halves.cast("string"), "[.]?0+$", "")
     whole = F.regexp_replace((halves + F.col("a").cast("decimal(14,2)")).cast("string"), "[.]?0+$", "")
-    return t.select(*KEY, D.difficulty_add(F.array(F.col("a"), pair), whole).alias("difficulty"))
+    return t.select(*KEY, D.difficulty_add([F.col("a"), pair], whole).alias("difficulty"))
 
 
 # ---- metrics ----
@@ -329,7 +329,7 @@ def metric_scaled_ppl(spark, sf):
 SELECT {KEY_SQL}, CAST(CAST(l_extendedprice AS DOUBLE) AS BIT)::VARCHAR AS bits64, CAST(CAST(l_extendedprice AS FLOAT) AS BIT)::VARCHAR AS bits32,
   CAST(-1 / l_extendedprice AS BIT)::VARCHAR AS bits_inverse, l_extendedprice AS back FROM lineitem""")
 def number_bits(spark, sf):
-    t = table(spark, sf, "lineitem")
+    t = spread(table(spark, sf, "lineitem").select(*KEY))
     t = t.select(*KEY, E.number_bits("l_extendedprice").alias("bits64"), E.number_bits("l_extendedprice", 32).alias("bits32"),
                  F.right(E.number_bits(-F.col("l_extendedprice"), reciprocal=True), F.lit(64)).alias("bits_inverse"))
     return t.withColumn("back", E.bits_value("bits64"))
@@ -339,7 +339,7 @@ def number_bits(spark, sf):
 WITH s AS (SELECT {KEY_SQL}, l_extendedprice AS x, CAST(floor(log10(l_extendedprice)) AS INT) AS e FROM lineitem)
 SELECT {KEY_SQL}, '1' || CAST(e + 500 AS VARCHAR) || right('00' || CAST(CAST(round_even(x / pow(10.0, e) * 1e16, 0) AS BIGINT) AS VARCHAR), 17) AS digits FROM s""")
 def number_digits10(spark, sf):
-    return table(spark, sf, "lineitem").select(*KEY, E.number_digits10("l_extendedprice").alias("digits"))
+    return spread(table(spark, sf, "lineitem").select(*KEY)).select(*KEY, E.number_digits10("l_extendedprice").alias("digits"))
 
 
 @query("number_fourier", f"""
@@ -374,7 +374,7 @@ def roundtrip_report(spark, sf):
     t = table(spark, sf, "lineitem")
     # amounts spread over the exponents -14 to 13 by the part key, with both signs
     x = F.col("l_extendedprice") * F.pow(F.lit(10.0), (F.col("l_partkey") % 24 - 14).cast("int")) * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1)
-    t = t.select(x.alias("x"))
+    t = spread(t.select(x.alias("x")))
     out = None
     for name in ("bits", "digits10", "log", "linear"):
         r = E.roundtrip_report(t, "x", name, noise=0.3 if name == "bits" else 0.0).withColumn("encoding", F.lit(name))
