@@ -230,7 +230,9 @@ def is_strict_json(text: Column | str) -> Column:
     """Whether a text is one JSON object and nothing around it."""
     t = strip(_col(text))
     shaped = F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}"))
-    return F.coalesce(shaped & F.try_parse_json(F.when(shaped, t)).isNotNull(), F.lit(False))
+    # read as the only entry of a list: text after the object breaks the list or adds an entry
+    parsed = F.try_parse_json(F.when(shaped, F.concat(F.lit("["), t, F.lit("]"))))
+    return F.coalesce(shaped & parsed.isNotNull() & F.try_variant_get(parsed, "$[1]", "string").isNull(), F.lit(False))
 
 
 # ---- truth and score ----
