@@ -1,4 +1,4 @@
-"""Times the headline queries: one warm-up, then the median of three runs, written to a no-op sink.
+"""Times the headline queries: one warm-up, then the median of BENCH_RUNS runs, written to a no-op sink.
 
 Prints one JSON line. Settings: BENCH_SF_DIR, BENCH_CPUS, BENCH_RUNS, BENCH_QUERIES (comma-separated, or `all`).
 """
@@ -27,7 +27,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if wanted == "all" else wanted.split(",") if wanted else HEADLINE
     spark = get_session("bench", cpus=cpus)

@@ -202,7 +202,7 @@ def chat_requests(df: DataFrame, few_shot: int = 0, idx: str = "row_idx") -> Dat
         # a handful of rows per task
         shown = first.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("_rn", pair.alias("turns")))).alias("_shots"))
         shown = shown.filter(F.size("_shots") >= few_shot)
-        t = df.join(F.broadcast(shown), "task", "left")
+        t = df.join(shown, "task", "left")
         shots = F.coalesce(F.flatten(F.transform("_shots", lambda s: s["turns"])), shots)
     messages = F.concat(F.array(turn("system", system_message(F.col("task")))), shots, F.array(turn("user", F.col("text_prompt"))))
     return t.withColumn("messages", messages).drop("_shots")

@@ -82,17 +82,23 @@ def parse_file_name(name: Column | str, pattern: str = "_decimal_uniform_test_10
 def discover_results(spark: SparkSession, glob: str, pattern: str = "_decimal_uniform_test_10k_shuffle_") -> DataFrame:
     """All result files behind a glob, with their dimensions and a row number per file.
 
-    Files are read unsplit, so that numbers follow the order of the file; other names are skipped.
+    Files with the same header are read together, unsplit, so that numbers follow the order of the file;
+    their columns are united. Files with other names are skipped.
     """
-    files = spark.read.format("binaryFile").load(glob).select("path").distinct()
-    fitting = [r.path for r in files.withColumn("d", parse_file_name(F.element_at(F.split("path", "/"), -1), pattern)).filter("d IS NOT NULL").select("path").collect()]
-    if not fitting:
+    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    header = F.split(F.decode(F.substring("content", 1, 65_536), "UTF-8"), r"\r?\n")[0]
+    files = spark.read.format("binaryFile").load(glob).filter(parse_file_name(name, pattern).isNotNull())
+    by_header: dict[str, list[str]] = {}
+    for r in files.select("path", header.alias("header")).collect():
+        by_header.setdefault(r.header, []).append(r.path)
+    if not by_header:
         raise ValueError(f"no result files behind {glob}")
-    parts = [
-        spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(p) for p in fitting[:1]
-    ]
-    columns = parts[0].columns
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(_strings(columns)).option("enforceSchema", False).csv(fitting)
+    return union_results(*[_result_files(spark, sorted(paths), pattern) for _, paths in sorted(by_header.items())])
+
+
+def _result_files(spark: SparkSession, paths: list[str], pattern: str) -> DataFrame:
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(paths)
+    columns = raw.columns
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     out = raw.select("*", parse_file_name(name, pattern).alias("_d"), F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_path").alias("file"))
     first = out.groupBy("file").agg(F.min("_id").alias("_first"))

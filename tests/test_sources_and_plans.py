@@ -29,8 +29,11 @@ def test_problem_files(spark, tmp_path):
 def test_discover_results(spark, tmp_path):
     name = "Mean_decimal_uniform_test_10k_shuffle_openai__gpt-5_re_high.csv"
     (tmp_path / name).write_text("text_prompt,raw_response\np1,\"a\nb\"\np2,x\np3,y\n")
+    (tmp_path / name.replace("Mean", "Std")).write_text("text_prompt,raw_response,usage.cost\nq,z,0.5\n")
     (tmp_path / "notes_re_x.csv").write_text("a,b\n1,2\n")
-    got = S.discover_results(spark, str(tmp_path / "*.csv")).orderBy("row_idx").collect()
+    both = S.discover_results(spark, str(tmp_path / "*.csv"))
+    assert [(r.text_prompt, r["usage.cost"], r.row_idx) for r in both.filter("task = 'Std'").collect()] == [("q", "0.5", 0)]
+    got = both.filter("task = 'Mean'").orderBy("row_idx").collect()
     assert [(r.row_idx, r.text_prompt, r.model, r.task, r.reasoning_effort) for r in got] == [(i, f"p{i + 1}", "openai/gpt-5", "Mean", "high") for i in range(3)]
     pairs = spark.createDataFrame([("a_gemini_H1.csv",), ("a_gemini_H2.csv",), ("b_gemini_H1.csv",), ("c_H1.csv",)], "file string")
     assert [tuple(r) for r in S.run_pairs(pairs).collect()] == [("a_gemini_H1.csv", "a_gemini_H2.csv", "a_gemini_high.csv")]
