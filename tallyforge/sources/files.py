@@ -29,7 +29,7 @@ def read_problems(spark: SparkSession, paths: str | list[str], columns: list[str
     missing = [c for c in columns or [] if c not in raw.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}")
-    out = raw.select(*columns) if columns else raw
+    out = raw.select(*[F.col(f"`{c}`") for c in columns]) if columns else raw
     if any(p.endswith(".gz") for p in paths) or any(f.endswith(".gz") for f in raw.inputFiles()[:1]):
         out = out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return out
@@ -103,7 +103,7 @@ def _result_files(spark: SparkSession, paths: list[str], pattern: str) -> DataFr
     out = raw.select("*", parse_file_name(name, pattern).alias("_d"), F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_path").alias("file"))
     first = out.groupBy("file").agg(F.min("_id").alias("_first"))
     out = out.join(first, "file").withColumn("row_idx", F.col("_id") - F.col("_first"))
-    return out.select(*columns, "_d.task", "_d.model", F.col("_d.reasoning").alias("reasoning_effort"), "file", "row_idx")
+    return out.select(*[F.col(f"`{c}`") for c in columns], "_d.task", "_d.model", F.col("_d.reasoning").alias("reasoning_effort"), "file", "row_idx")
 
 
 def run_pairs(names: DataFrame, col: str = "file") -> DataFrame:
