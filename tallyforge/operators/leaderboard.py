@@ -143,7 +143,10 @@ def leaderboard_pivot(df: DataFrame, value: str = "performance", tasks: list[str
     wide = df.groupBy("model", "reasoning").pivot("task", tasks).agg(F.avg(value))
     def show(c: str) -> Column:
         v = F.col(f"`{c}`")
-        text = F.rint(v).cast("bigint").cast("string") if value == "tokens" else F.format_string("%.1f", v * 100)
+        percent = v * 100
+        # quarters are the only exact ties at one decimal; they go to the even digit
+        percent = F.when(F.rint(percent * 4) == percent * 4, F.bround(percent, 1)).otherwise(percent)
+        text = F.rint(v).cast("bigint").cast("string") if value == "tokens" else F.format_string("%.1f", percent)
         return F.when(v.isNull(), "-").otherwise(text).alias(c)
     out = wide.select(
         display_model(F.col("model")).alias("Model"), F.col("reasoning").alias("Reasoning"), *[show(t) for t in tasks],
