@@ -44,10 +44,6 @@ def fixed_point(spark, sf):
     return t.select(*KEY, T.fixed_point("l_extendedprice").alias("plain"), F.when(even, exact).otherwise(T.fixed_point(small)).alias("shifted"))
 
 
-_SIG = """
-  floor(log10(x)) AS mag"""
-
-
 @query("round_sig", with_views("v_problems") + f""",
   s AS (SELECT {KEY_SQL}, l_extendedprice AS x, 2 + l_partkey % 4 AS d, CAST(floor(log10(l_extendedprice)) AS INT) AS mag FROM v_problems),
   n AS (SELECT *, CAST(round_even(x / pow(10, mag) * pow(10, d - 1), 0) AS BIGINT) AS whole FROM s)

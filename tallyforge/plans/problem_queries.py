@@ -105,9 +105,6 @@ def allocate_samples(spark, sf):
     return reduce(DataFrame.unionByName, [G.allocate(cells(t), F.col("_n"), t).drop("_n").withColumn("task", F.lit(t)) for t in tasks])
 
 
-_PLANS = ["full", "binary_uniform", "binary_triangular", "binary_exponential", "decimal_uniform", "decimal_triangular", "decimal_exponential"]
-
-
 @query("digit_plan", """
 WITH u AS (SELECT (l_partkey * 37 % 1000) / 1000.0 AS u FROM lineitem), p AS (SELECT unnest(['full', 'uniform', 'triangular', 'exponential']) AS kind),
   d AS (SELECT kind, CAST(CASE kind WHEN 'full' THEN 53 WHEN 'uniform' THEN floor(2 + u * 52) WHEN 'triangular' THEN floor(2 + sqrt(u) * 51)
