@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import packing, simhash, token_files
+from tallyforge.llm import packing, simhash, suffix_dedup, token_files
 from tallyforge.llm.shared import scratch
 
 
@@ -18,6 +18,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder)
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=200)
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, context=1024)
 
@@ -26,5 +30,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_pack, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_suffix_array, op6_pack, op10_simhash)}
 ORACLE: dict[str, str] = {}

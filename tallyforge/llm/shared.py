@@ -41,9 +41,9 @@ def committed(uri: str, name: str):
     filesystem.move(part, f"{root}/{name}")
 
 
-def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Tells rows apart that share an id: a hash of the text (null and empty differ)."""
-    return F.xxhash64(F.col(text).isNull(), F.col(text))
+def text_key(text: str = "text") -> Column:
+    """A 32-bit hash of the text that tells apart rows with the same id (null and empty differ)."""
+    return F.hash(F.col(text).isNull(), F.col(text))
 
 
 def partitions(spark: SparkSession) -> int:
