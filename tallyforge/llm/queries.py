@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import packing, simhash, suffix_dedup, token_files
+from tallyforge.llm import decontaminate, packing, simhash, suffix_dedup, token_files
 from tallyforge.llm.shared import scratch
 
 
@@ -22,6 +22,11 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=200)
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "n_words", "n_equal")
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, context=1024)
 
@@ -30,5 +35,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_suffix_array, op6_pack, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op10_simhash)}
 ORACLE: dict[str, str] = {}
