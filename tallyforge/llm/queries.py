@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontaminate, packing, simhash, suffix_dedup, token_files
+from tallyforge.llm import decontaminate, language_id, packing, simhash, suffix_dedup, token_files
 from tallyforge.llm.shared import scratch
 
 
@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -35,5 +39,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op10_simhash)}
 ORACLE: dict[str, str] = {}

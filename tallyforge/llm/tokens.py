@@ -16,8 +16,12 @@ import numpy as np
 
 #: Beyond these characters, Python's classes and the vocabulary's may differ.
 _PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ɏ]")
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 #: A run of letters with the space before it, a mark that ends a word, or all up to the next white space.
-_PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?!')|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])[.,;:!?](?=[ \n])|\s*\S+|\s+")
+_PIECES = re.compile(rf" ?{_LETTER}++(?!')|(?<={_LETTER})[.,;:!?](?=[ \n])|\s*\S+|\s+")
+#: The same for vocabularies to which white space and capitals mean nothing.
+_LOOSE_PIECES = re.compile(rf"{_LETTER}++(?!')|(?<={_LETTER})[.,;:!?](?=\s)|\S+")
+_WORD = re.compile(rf" ?{_LETTER}+")
 _BATCH = 64
 
 _OPEN: dict[tuple[str, int], TokenCache] = {}
@@ -37,6 +41,18 @@ class TokenCache:
         self.pieces = pieces
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.loose = self._list("hello") == self._list(" Hello") and self._list("a\n b") == self._list("A b ")
+        self.cut = _LOOSE_PIECES.findall if self.loose else _PIECES.findall
+        self.joint, self.joint_id = next(((sep, own) for sep in ("\n", " | ") if (own := self._own_id(sep)) is not None), (None, None))
+
+    def _list(self, text: str) -> list[int]:
+        return self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _own_id(self, sep: str) -> int | None:
+        """The one id that `sep` gives between two words, if it changes nothing else."""
+        a, b, both = self._list(" hello"), self._list(" world"), self._list(f" hello{sep} world")
+        middle = both[len(a) : len(both) - len(b)]
+        return middle[0] if len(middle) == 1 and both == [*a, *middle, *b] else None
 
     def _learn(self, pieces: list[str]) -> None:
         """Adds pieces; once the newer half is full it becomes the older one, and the pieces in use are carried over."""
@@ -49,25 +65,35 @@ class TokenCache:
                 fresh.append(p)
             else:
                 self.known[p] = raw
+        words = [p for p in fresh if _WORD.fullmatch(p)] if self.joint else []
+        if words:
+            ids = np.array(self._list(self.joint.join(words)), self.dtype)
+            ends = [*np.flatnonzero(ids == self.joint_id).tolist(), len(ids)]
+            if len(ends) == len(words):
+                raw, width, at = ids.tobytes(), self.dtype.itemsize, 0
+                for w, end in zip(words, ends):
+                    self.known[w] = raw[at * width : end * width]
+                    at = end + 1
+                fresh = [p for p in fresh if p not in self.known]
         for p, found in zip(fresh, self.lib.encode_batch_fast(fresh, add_special_tokens=False)):
             self.known[p] = array(self.code, found.ids).tobytes()
 
     def whole(self, text: str) -> bytes:
         """The library's own answer for a text, without the memory."""
-        return array(self.code, self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        return array(self.code, self._list(text)).tobytes()
 
     def raw(self, texts: Sequence[str | None]) -> Iterator[bytes]:
         """Little-endian ids of each text, in order; null counts as empty."""
         for start in range(0, len(texts), _BATCH):
             part = [t or "" for t in texts[start : start + _BATCH]]
-            cut = [None if _PLAIN.search(t) else _PIECES.findall(t) for t in part]
+            cut = [None if _PLAIN.search(t) else self.cut(t.lower() if self.loose else t) for t in part]
             used = set().union(*(pieces for pieces in cut if pieces))
             new = used.difference(self.known)
             if new:
                 before = self.known
-                self._learn(sorted(new))
+                self._learn(list(new))
                 if self.known is not before:
-                    self._learn(sorted(used.difference(self.known)))
+                    self._learn(list(used.difference(self.known)))
             known = self.known.__getitem__
             for text, pieces in zip(part, cut):
                 yield self.whole(text) if pieces is None else b"".join(map(known, pieces))
