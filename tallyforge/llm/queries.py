@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontaminate, language_id, packing, quality_rules, simhash, suffix_dedup, token_files
+from tallyforge.llm import decontaminate, language_id, packing, quality_rules, simhash, suffix_dedup, token_files, warc
 from tallyforge.llm.shared import scratch
 
 
@@ -35,6 +35,13 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, context=1024)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), folder, least=0)
+    records = warc.read_archives(spark, folder, archives)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judged(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -44,5 +51,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op8_quality_rules, op10_simhash)}
-ORACLE: dict[str, str] = {"op8_quality_rules": quality_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op7_warc, op8_quality_rules, op10_simhash)}
+ORACLE: dict[str, str] = {"op7_warc": warc.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
