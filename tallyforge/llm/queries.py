@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontaminate, language_id, packing, quality_rules, simhash, suffix_dedup, token_files, warc
+from tallyforge.llm import decontaminate, language_id, packing, quality_rules, simhash, suffix_dedup, token_files, url_filter, warc
 from tallyforge.llm.shared import scratch
 
 
@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (verdict, rule) of the URL filter.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.rule(*r) for r in URL_RULES]
+    return url_filter.filtered(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
@@ -51,5 +60,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op7_warc, op8_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op7_warc, op8_quality_rules, op10_simhash)}
 ORACLE: dict[str, str] = {"op7_warc": warc.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
