@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, language_id, packing, quality_rules, simhash, suffix_dedup, token_files, url_filter, warc
+from tallyforge.llm import decontaminate, language_id, packing, quality_rules, simhash, suffix_dedup, token_counts, token_files, url_filter, warc
 from tallyforge.llm.shared import scratch
 
 
@@ -56,9 +57,32 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def drawn_edits(docs: DataFrame, per_document: int = 3) -> DataFrame:
+    """Edits (doc_id, seq, start, length, insert) drawn from each document by hash: an insertion, a deletion and a replacement in turn.
+
+    What is inserted is a run of the document's own text.
+    """
+    size = F.length("text")
+    draw = lambda i, what: F.pmod(F.xxhash64("doc_id", F.lit(i), F.lit(what)), size + 1).cast("int")
+    changes = [
+        F.struct(
+            F.lit(i).cast("bigint").alias("seq"), draw(i, "start").cast("bigint").alias("start"), F.lit((0, 20, 15)[i % 3]).cast("bigint").alias("length"),
+            F.when(F.lit(i % 3 == 1), "").otherwise(F.substr("text", draw(i, "from") + 1, F.lit(12))).alias("insert"))
+        for i in range(per_document)]
+    return docs.where("text is not null").select("doc_id", F.inline(F.array(*changes)))
+
+
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    trees = docs.select("doc_id", "text", token_counts.tree(vocabulary, pattern).alias("tree"))
+    after = token_counts.apply_edits(trees, drawn_edits(docs), vocabulary, pattern)
+    return after.select("doc_id", token_counts.n_tokens().alias("n_tokens"), F.length("text").cast("bigint").alias("n_chars"), "n_edits", "n_read")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op7_warc, op8_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op7_warc, op8_quality_rules, op9_edit_counts, op10_simhash)}
 ORACLE: dict[str, str] = {"op7_warc": warc.ORACLE, "op8_quality_rules": quality_rules.ORACLE}

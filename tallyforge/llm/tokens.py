@@ -78,6 +78,20 @@ class TokenCache:
         for p, found in zip(fresh, self.lib.encode_batch_fast(fresh, add_special_tokens=False)):
             self.known[p] = array(self.code, found.ids).tobytes()
 
+    def cut_plain(self, text: str) -> list[str] | None:
+        """Pieces of a text, none of which begins or ends inside a pre-token; None if its characters do not allow it."""
+        return None if _PLAIN.search(text) else _PIECES.findall(text)
+
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece."""
+        new = set(pieces).difference(self.known)
+        if new:
+            before = self.known
+            self._learn(list(new))
+            if self.known is not before:
+                self._learn(list(set(pieces).difference(self.known)))
+        return [self.known[p] for p in pieces]
+
     def whole(self, text: str) -> bytes:
         """The library's own answer for a text, without the memory."""
         return array(self.code, self._list(text)).tobytes()
