@@ -1,15 +1,17 @@
-"""Exact repeats of byte strings, by a suffix array in range-partitioned buckets.
+"""Exact repeats of byte strings, by suffix arrays in range-partitioned buckets.
 
 A byte is removed if a string of `length` bytes that covers it also starts elsewhere. Only suffixes that can repeat are
 sorted. Each window of `length` bytes belongs to its anchor, the place of the least hash among its shorter grams, so equal
 windows have equal anchors at equal distances:
 
-1. Anchors whose gram occurs once have no repeated window. Anchors whose whole stretch of windows recurs repeat whole.
-2. The stretches left over, at the borders of repeats, are cut into blocks of a few windows on a grid counted from the
-   anchor, and judged in the same way: by the bytes all windows of a block share, and by all bytes of the block.
-3. The windows of blocks still open are suffixes: sampled splitters deal them out by their leading bytes, each bucket sorts
-   by multikey quicksort and compares neighbours, and the ends of the buckets are compared with each other. The splitters may
-   fall among equal suffixes, so a very frequent one is shared by many buckets.
+1. Anchors whose gram occurs once have no repeated window. Stretches (all windows of an anchor) that recur repeat whole.
+2. What is left are stretches at the borders of repeats. Sampled splitters deal out the suffixes at their anchors by their
+   leading bytes, the gram, so that equal grams meet. Each bucket sorts them by multikey quicksort, and their left contexts,
+   read backwards, in the same way; two windows are equal if they lie in one run of both orders, by the lengths of the common
+   prefixes of neighbours.
+3. A gram in very many different stretches (a common line) would make a large bucket. Those stretches are cut into blocks of
+   windows, judged like stretches, and the windows still open are suffixes of their own: splitters may fall among equal ones,
+   each bucket compares neighbours after its sort, and the ends of buckets are compared with each other.
 
 Hashes of 64 bits stand for strings only beside the hash of a gram they contain, 128 bits together.
 """
@@ -22,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import partitions, stored, text_key
+from tallyforge.llm.shared import discard, partitions, stored, text_key
 
-#: Windows of a block in step 2.
-BLOCK = 8
+#: Windows of a block in step 3, and the number of different stretches of one gram from which on step 3 takes them.
+BLOCK, FREQUENT = 8, 1024
+#: Rows of a bucket in step 2.
+BUCKET = 20_000
 #: Bytes of text that a task hashes at once, unless one document is longer.
 AT_ONCE = 1 << 20
 _GRAM, _CHUNK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -83,7 +87,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     grams = _hashes(_prefix(data, _GRAM), _GRAM, place, place + gram)
     least = _sliding_least((grams & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64), length - gram + 1)
     first = place[: len(least)]
-    document = np.searchsorted(ends, first, side="right")
+    document = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(first)]
     inside = first + length <= ends[document]
     first, document, anchor = first[inside], document[inside], (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     if not len(first):
@@ -118,6 +122,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _stretches(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Stretches by document: first window `i`, and in `shape` the number of windows (upper half) and the anchor's distance."""
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [(t or "").encode() for t in batch["text"]]
@@ -127,22 +132,25 @@ def _stretches(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 base = np.concatenate([[0], ends[:-1]])[document]
                 row = batch.iloc[begin + document] if len(document) else batch.iloc[:0]
                 yield pd.DataFrame({
-                    "doc_id": row["doc_id"].astype("Int64").to_numpy(), "tk": row["tk"].to_numpy(), "i": (first - base).astype(np.int32), "n": n.astype(np.int32),
-                    "p": (anchor - base).astype(np.int32), "kh": kh.view(np.int64), "ch": ch.view(np.int64)})
+                    "doc_id": row["doc_id"].astype("Int64").to_numpy(), "tk": row["tk"].to_numpy(), "i": (first - base).astype(np.int32),
+                    "shape": (n << 16 | anchor - first).astype(np.int32), "kh": kh.view(np.int64), "ch": ch.view(np.int64)})
 
-    return rows.mapInPandas(find, "doc_id bigint, tk int, i int, n int, p int, kh bigint, ch bigint")
+    return rows.mapInPandas(find, "doc_id bigint, tk int, i int, shape int, kh bigint, ch bigint")
 
 
-def _judged(rows: DataFrame, part: str, whole: str) -> tuple[DataFrame, DataFrame]:
-    """Of rows with a hash of what all their windows share (`part`) and of all they cover (`whole`): those whose whole recurs,
-    and one of each different whole whose part recurs in another. All others have no repeated window or are like one of these."""
+def _judged(rows: DataFrame, part: str, whole: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of rows with a hash of what all their windows share (`part`) and of all they cover (`whole`): those whose whole recurs;
+    and one of each different whole whose part recurs in another, few of one part and many. All others have no repeated window
+    or are like one of these. Last, the table they are read from."""
     cols = [c for c in rows.columns if c not in (part, whole)]
-    distinct = stored(rows.groupBy(part, whole).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*cols)).alias("one")), "distinct")
+    one = [F.first(c).alias(c) for c in cols]  # all of the same row
+    distinct = stored(rows.groupBy(part, whole).agg(F.count(F.lit(1)).alias("times"), *one), "distinct")
     again = distinct.where("times > 1").select(F.col(part).alias("_p"), F.col(whole).alias("_w"))
     repeated = rows.join(again, (F.col(part) == F.col("_p")) & (F.col(whole) == F.col("_w")), "left_semi")
-    mixed = distinct.groupBy(part).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col(part).alias("_p"))
-    open_ = distinct.join(mixed, F.col(part) == F.col("_p"), "left_semi").select(part, whole, "one.*")
-    return repeated, open_
+    kinds = distinct.groupBy(F.col(part).alias("_p")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    open_ = distinct.join(kinds, F.col(part) == F.col("_p")).select(part, whole, *cols, "kinds")
+    few, many = (open_.where(F.col("kinds") <= FREQUENT), open_.where(F.col("kinds") > FREQUENT))
+    return repeated, few.drop("kinds"), many.drop("kinds"), distinct
 
 
 def _with_text(rows: DataFrame, keyed: DataFrame, columns: list[str]) -> DataFrame:
@@ -158,7 +166,8 @@ def _blocks(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for doc_id, tk, text, rows in zip(batch["doc_id"].astype("Int64"), batch["tk"], batch["text"], batch["rows"]):
                 data = np.frombuffer(text.encode(), np.uint8)
-                i, n, p, kh = (np.array([r[c] for r in rows], np.int64) for c in ("i", "n", "p", "kh"))
+                i, shape, kh = (np.array([r[c] for r in rows], np.int64) for c in ("i", "shape", "kh"))
+                n, p = shape >> 16, i + (shape & 0xFFFF)
                 low, high = (p - i - n + 1) // BLOCK, (p - i) // BLOCK
                 many = high - low + 1
                 row = np.repeat(np.arange(len(i)), many)
@@ -218,6 +227,85 @@ def multikey_quicksort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         segment = np.concatenate([[0], np.cumsum(full[1:] != full[:-1])]) if n else segment
 
 
+def _neighbours(words: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the order of rows, and how many leading bytes each row in it shares with the one before."""
+    order, _ = multikey_quicksort(words)
+    common = np.zeros(len(order), np.int64)
+    for a in range(1, len(order), 4096):
+        rows = order[a - 1 : a + 4096]
+        differ = data[rows[1:]] != data[rows[:-1]]
+        common[a : a + len(differ)] = np.where(differ.any(1), differ.argmax(1), data.shape[1])
+    return order, common
+
+
+def _padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes with zeros at the end, and the same as big-endian words. Zeros decide nothing: only real bytes are asked for."""
+    width = -(-width // 8) * 8
+    raw = b"".join(p.ljust(width, b"\0") for p in parts)
+    return np.frombuffer(raw, np.uint8).reshape(len(parts), width), np.frombuffer(raw, ">u8").reshape(len(parts), -1).astype(np.uint64)
+
+
+def equal_windows(stretches: list[bytes], anchor: np.ndarray, length: int) -> np.ndarray:
+    """Rows x windows: true where the window also stands in another row (`anchor`: its place in each stretch).
+
+    Windows are compared only at equal distances from the anchor.
+    """
+    n, most = len(stretches), int(anchor.max(initial=0))
+    count = np.array([len(s) - length + 1 for s in stretches], np.int64)
+    out = np.zeros((n, int(count.max(initial=0))), bool)
+    right, right_common = _neighbours(*_padded([s[a : a + length] for s, a in zip(stretches, anchor)], length)[::-1])
+    left, left_common = _neighbours(*_padded([s[:a][::-1] for s, a in zip(stretches, anchor)], max(8, most))[::-1])
+    right_run, left_run = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(most + 1):  # windows that begin d bytes before the anchor
+        live = np.flatnonzero((d <= anchor) & (anchor - d < count))
+        if len(live) > 1:
+            right_run[right] = np.cumsum(right_common < length - d)
+            left_run[left] = np.cumsum(left_common < d) if d else 0
+            key = right_run[live] * (n + 1) + left_run[live]
+            by_key = np.argsort(key, kind="stable")
+            key = key[by_key]
+            same = key[1:] == key[:-1]
+            equal = live[by_key[np.append(same, False) | np.append(False, same)]]
+            out[equal, anchor[equal] - d] = True
+    return out
+
+
+def _borders(texts: DataFrame, length: int) -> DataFrame:
+    """The bytes of the listed stretches."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, tk, text, rows in zip(batch["doc_id"].astype("Int64"), batch["tk"], batch["text"], batch["rows"]):
+                data = text.encode()
+                i, shape = (np.array([r[c] for r in rows], np.int32) for c in ("i", "shape"))
+                yield pd.DataFrame({
+                    "doc_id": pd.array([doc_id] * len(i), "Int64"), "tk": np.full(len(i), tk, np.int32), "i": i, "anchor": shape & 0xFFFF,
+                    "bytes": [data[a : a + b - 1 + length] for a, b in zip(i.tolist(), (shape >> 16).tolist())]})
+
+    return texts.mapInPandas(cut, "doc_id bigint, tk int, i int, anchor int, bytes binary")
+
+
+def _sorted_borders(borders: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc_id, tk, i, n): runs of windows that also stand in another stretch."""
+    n = max(partitions(borders.sparkSession), borders.count() // BUCKET + 1)
+    lead = F.expr(f"substring(bytes, anchor + 1, {gram})")
+    buckets = borders.select("*", lead.alias("lead")).repartitionByRange(n, "lead").drop("lead")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame(columns=["doc_id", "tk", "i", "anchor", "bytes"])], ignore_index=True)
+        if not len(rows):
+            return
+        equal = equal_windows(rows["bytes"].tolist(), rows["anchor"].to_numpy(np.int64), length)
+        edge = np.diff(np.pad(equal.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, begin = np.nonzero(edge == 1)
+        _, end = np.nonzero(edge == -1)
+        found = rows.iloc[row]
+        yield pd.DataFrame({
+            "doc_id": found["doc_id"].astype("Int64").to_numpy(), "tk": found["tk"].to_numpy(np.int32),
+            "i": found["i"].to_numpy(np.int64) + begin, "n": end - begin})
+
+    return buckets.mapInPandas(compare, "doc_id bigint, tk int, i int, n int")
+
+
 def _sorted_buckets(suffixes: DataFrame, length: int) -> DataFrame:
     """Repeated suffixes of each bucket (end false), and its first and last suffix (end true)."""
     n = partitions(suffixes.sparkSession)
@@ -248,23 +336,38 @@ def repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: st
     texts are empty; matches never cross documents, and a document may match itself.
     """
     gram = max(1, length // 4)
+    if not 2 <= length < 1 << 15:
+        raise ValueError("length must be from 2 to 32767")
     keyed = _keyed(docs, doc_id, text)
-    found = _stretches(keyed, length, gram)
+    found = stored(_stretches(keyed, length, gram), "all-stretches")
     twice = found.groupBy(F.col("kh").alias("_kh")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("_kh")
     candidates = stored(found.join(twice, F.col("kh") == F.col("_kh"), "left_semi"), "stretches")
-    whole, borders = _judged(candidates, "kh", "ch")
-    blocks = stored(_blocks(_with_text(borders, keyed.distinct(), ["i", "n", "p", "kh"]), length), "blocks")
-    block_whole, block_borders = _judged(blocks, "kh", "ch")
-    ends = stored(_sorted_buckets(_suffixes(_with_text(block_borders, keyed.distinct(), ["i", "n"]), length), length), "suffixes")
-    met = ends.where("end").groupBy("suffix").agg(F.count(F.lit(1)).alias("times"), F.collect_list(F.struct("doc_id", "tk", "i")).alias("rows"))
-    met = met.where("times > 1").select(F.inline("rows"))
-    single = F.lit(1).alias("n")
-    parts = [whole.select("doc_id", "tk", "i", "n"), block_whole.select("doc_id", "tk", "i", "n"),
-             ends.where("not end").select("doc_id", "tk", "i", single), met.select("doc_id", "tk", "i", single)]
+    discard(found)
+    whole, few, many, distinct = _judged(candidates, "kh", "ch")
+    used = [candidates, distinct]
+    windows = F.shiftright("shape", 16).alias("n")
+    columns = ["doc_id", "tk", "i", "n"]
+    borders = stored(_borders(_with_text(few, keyed.distinct(), ["i", "shape"]), length), "borders")
+    parts = [whole.select("doc_id", "tk", "i", windows), _sorted_borders(borders, length, gram)]
+    many = stored(many, "frequent")
+    used += [borders, many]
+    if not many.isEmpty():
+        blocks = stored(_blocks(_with_text(many, keyed.distinct(), ["i", "shape", "kh"]), length), "blocks")
+        block_whole, block_few, block_many, block_distinct = _judged(blocks, "kh", "ch")
+        open_ = block_few.unionByName(block_many)
+        ends = stored(_sorted_buckets(_suffixes(_with_text(open_, keyed.distinct(), ["i", "n"]), length), length), "suffixes")
+        used += [blocks, block_distinct, ends]
+        # a suffix at the end of as many buckets as it fills
+        met = ends.where("end").groupBy("suffix").agg(F.count(F.lit(1)).alias("times"), F.collect_list(F.struct("doc_id", "tk", "i")).alias("rows"))
+        met = met.where("times > 1").select(F.inline("rows"))
+        single = F.lit(1).alias("n")
+        parts += [block_whole.select(columns), ends.where("not end").select("doc_id", "tk", "i", single), met.select("doc_id", "tk", "i", single)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return stored(out, "repeats")
+    out = stored(out, "repeats")
+    discard(*used)
+    return out
 
 
 def _spans(rows, length: int) -> list[tuple[int, int]]:
@@ -284,24 +387,28 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def cleaned(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tk, kept binary, n_bytes, spans array of [start, end)) of every row: the bytes left, and what was removed."""
-    keyed = _keyed(docs, doc_id, text)
-    lists = repeats(docs, length, doc_id, text).groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("i", "n")).alias("rows"))
-    joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left").select("doc_id", "tk", "text", "rows")
-
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = [(t or "").encode() for t in batch["text"]]
-            spans = [_spans(r, length) if r is not None else [] for r in batch["rows"]]
+    """(row, kept, n_bytes, spans) of every row: the row as it was (a struct), the bytes left, their number before, and the
+    removed [start, end) runs."""
+    lists = repeats(docs, length, doc_id, text).groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("i", "n")).alias("runs"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key, content = F.col("row")[doc_id].cast("bigint"), F.col("row")[text]
+    joined = rows.select("row", key.alias("key"), content.alias("text")).withColumn("tk", text_key())
+    joined = joined.join(lists, F.col("key").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
+
+    @F.pandas_udf("struct<kept: binary, n_bytes: bigint, spans: array<struct<start: bigint, end: bigint>>>")
+    def clean(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, lists in parts:
+            data = [(t or "").encode() for t in texts]
+            spans = [_spans(r, length) if r is not None else [] for r in lists]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "tk": batch["tk"], "kept": [_kept(d, s) for d, s in zip(data, spans)],
-                "n_bytes": [len(d) for d in data], "spans": [[{"start": a, "end": b} for a, b in s] for s in spans]})
+                "kept": [_kept(d, s) for d, s in zip(data, spans)], "n_bytes": [len(d) for d in data],
+                "spans": [[{"start": a, "end": b} for a, b in s] for s in spans]})
 
-    return joined.mapInPandas(clean, "doc_id bigint, tk int, kept binary, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>")
+    return joined.select("row", clean("text", "runs").alias("_r")).select("row", "_r.*")
 
 
 def digests(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows = cleaned(docs, length)
+    rows = cleaned(docs.select("doc_id", "text"), length)
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return rows.select("doc_id", "n_bytes", removed.cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", removed.cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
