@@ -9,7 +9,7 @@ together; a bucket too large for a task is compared slice by slice.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Sequence
 from itertools import combinations, repeat
 from math import comb
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import partitions, stored
+from tallyforge.llm.shared import discard, partitions, stored, text_key
 
 #: Rows of a bucket that one task compares at once.
 SLICE = 4096
@@ -27,23 +27,31 @@ SLICE = 4096
 PROBE_COST, PAIR_COST = 200.0, 1.0
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Signed 64-bit SimHash of the shingles of `words` words; texts without a word have 0."""
-    import xxhash
-
-    found = (text or "").encode().lower().split()  # bytes split at \x20 and \x09-\x0D only, and only A-Z are lower-cased
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """Shingles of `words` words, repeats included; all words if there are fewer. Only A-Z are lower-cased."""
+    found = (text or "").encode().lower().split()  # bytes are split at \x20 and \x09-\x0D, and no other character
     if not found:
-        return 0
+        return []
     if len(found) <= words:
-        shingles = [b" ".join(found)]
-    else:
-        shingles = map(b" ".join, zip(*(found[i:] for i in range(words))))
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+        return [b" ".join(found)]
+    return list(map(b" ".join, zip(*(found[i:] for i in range(words)))))
+
+
+def simhash(parts: Collection[bytes]) -> int:
+    """Signed 64-bit SimHash: a bit is set if it is set in over half the hashes of the parts."""
+    import xxhash
+
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
     bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     votes = np.add.reduce(bits, axis=0, dtype=np.uint32)
     return int(np.packbits(2 * votes > len(hashed), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """SimHash of the shingles of a text; texts without a word have 0."""
+    return simhash(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; null texts count as empty, and rows are never merged."""
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,58 +185,81 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def bucket_links(keys: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what lies within `radius` in rows with equal key (rows sorted by key): each row to the first it reaches.
+def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links a-b between n rows to keep so that they join the same rows without a circle; earlier ones first."""
+    label, kept, left = np.arange(n), [], np.arange(len(a))
+    while len(left):
+        left = left[label[a[left]] != label[b[left]]]
+        first = np.full(n, len(a))
+        for end in (a, b):  # the last of equal places wins, so the earliest link is written last
+            first[label[end[left[::-1]]]] = np.minimum(first[label[end[left[::-1]]]], left[::-1])
+        pick = np.unique(first[first < len(a)])
+        kept.append(pick)
+        label = _forest(np.concatenate([a[pick], np.arange(n)]), np.concatenate([b[pick], label]), n)
+    return np.concatenate(kept) if kept else left
+
 
-    Two rows that only came by a probe (own false) need no comparison here.
+def bucket_links(keys: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int, check: np.ndarray | None = None, tiers: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) within `radius` among rows with equal key (sorted by key), as many as join all that any links join.
+
+    Two rows that only came by a probe (own false) need no comparison here. With `check`, a second fingerprint, a link must also
+    be within the last tier there; links within an earlier tier are preferred.
     """
     n, bits = len(keys), fp.view(np.uint64)
-    label, at, step = np.arange(n), np.arange(n), 0
-    found_a, found_b, waiting = [], [], 0
+    second = None if check is None else check.view(np.uint64)
+    label, at, step = np.arange(n), np.arange(n), 0  # label: what links of the first tier join so far
+    a, b, rank = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    found, waiting = [], 0
     while len(at):
         step += 1
         at = at[at + step < n]
         at = at[keys[at] == keys[at + step]]
-        other = at + step
-        near = (np.bitwise_count(bits[at] ^ bits[other]) <= radius) & (own[at] | own[other]) & (label[at] != label[other])
-        if near.any():
-            found_a.append(at[near])
-            found_b.append(other[near])
-            waiting += int(near.sum())
-            if waiting > 4 * n + 100_000:
-                found_a, found_b, waiting = [np.concatenate([*found_a, np.arange(n)])], [np.concatenate([*found_b, label])], 0
-                label = _forest(found_a[0], found_b[0], n)
-                found_a, found_b = [], []
-    label = _forest(np.concatenate([*found_a, np.arange(n)]), np.concatenate([*found_b, label]), n)
-    joined = label != np.arange(n)
-    return fp[joined], fp[label[joined]]
-
-
-def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): links between distinct fingerprints `fps` that join exactly what chains of pairs within `radius` join.
-
-    Every link is between fingerprints joined by such a chain; not every close pair is returned, so the number of rows stays
-    in proportion to the fingerprints even where thousands lie close together.
+        x = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= radius]
+        x = x[(own[x] | own[x + step]) & (label[x] != label[x + step])]
+        if second is not None:
+            tier = np.searchsorted(tiers, np.bitwise_count(second[x] ^ second[x + step]))
+            x, tier = x[tier < len(tiers)], tier[tier < len(tiers)]
+        else:
+            tier = np.zeros(len(x), np.int64)
+        if len(x):
+            found.append((x, x + step, tier))
+            waiting += len(x)
+        if waiting > 4 * n + 20_000 or (waiting and not len(at)):
+            a, b, rank = (np.concatenate(parts) for parts in zip((a, b, rank), *found))
+            order = np.argsort(rank, kind="stable")
+            keep = order[_spanning(a[order], b[order], n)]
+            a, b, rank = a[keep], b[keep], rank[keep]
+            label = _forest(a[rank == 0], b[rank == 0], n)
+            found, waiting = [], 0
+    return a, b
+
+
+def near_links(nodes: DataFrame, radius: int = 4, tiers: Sequence[int] = ()) -> DataFrame:
+    """(a, b): ids of rows of `nodes` (id, fp) whose fingerprints lie within `radius`, as many as join all that such pairs join.
+
+    Not every close pair is returned, so the number of links stays in proportion to the rows even where thousands lie close
+    together. With `tiers` the nodes have a second fingerprint `check`, see bucket_links.
     """
-    plan = plan_parts(fps, radius)
+    columns = ["id", "fp", *["check"] * bool(tiers)]
+    plan = plan_parts(nodes.select("fp"), radius)
     rows = None
     for i, (bits, threshold) in enumerate(plan):
         masks = [sum(1 << b for b in turned) for t in range(threshold + 1) for turned in combinations(range(len(bits)), t)]
         probe = F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])) if len(masks) > 1 else F.lit(0).cast("bigint")
-        part = fps.select("fp", _value(bits).alias("v"), probe.alias("mask"))
+        part = nodes.select(*columns, _value(bits).alias("v"), probe.alias("mask"))
         part = part.where("mask = 0 or v < v ^ mask").select(
-            F.xxhash64(F.lit(i), F.col("v").bitwiseXOR(F.col("mask"))).alias("key"), "fp", (F.col("mask") == 0).alias("own"))
+            F.xxhash64(F.lit(i), F.col("v").bitwiseXOR(F.col("mask"))).alias("key"), *columns, (F.col("mask") == 0).alias("own"))
         rows = part if rows is None else rows.unionByName(part)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE)
     large = sizes.select(F.col("key").alias("large"), F.ceil(F.col("n") / SLICE).alias("slices"))
     met = rows.join(large, F.col("key") == F.col("large"), "left")
     # a large bucket's slices meet two by two: each row goes to as many cells as there are slices
-    mine = F.pmod(F.xxhash64("fp", "key"), F.col("slices"))
+    mine = F.pmod(F.xxhash64("id", "key"), F.col("slices"))
     cells = F.when(F.col("slices").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1), lambda j: F.least(mine, j) * F.col("slices") + F.greatest(mine, j)))
-    cells = met.select("key", "fp", "own", F.explode(cells).alias("cell"))
-    dealt = cells.select(F.xxhash64("key", "cell").alias("key"), "fp", "own")
-    dealt = dealt.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key", "fp")
+    cells = met.select("key", *columns, "own", F.explode(cells).alias("cell"))
+    dealt = cells.select(F.xxhash64("key", "cell").alias("key"), *columns, "own")
+    dealt = dealt.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -242,8 +273,9 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
             yield link(rest)
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = bucket_links(rows["key"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64), rows["own"].to_numpy(bool), radius)
-        return pd.DataFrame({"a": a, "b": b})
+        key, ids, fp, own = (rows[c].to_numpy() for c in ("key", "id", "fp", "own"))
+        a, b = bucket_links(key, fp, own.astype(bool), radius, rows["check"].to_numpy() if tiers else None, tiers)
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
     return dealt.mapInPandas(compare, "a bigint, b bigint")
 
@@ -256,9 +288,72 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: st
     """
     rows = stored(fingerprints(docs, words, doc_id, text), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(near_links(stored(fps.select("fp"), "distinct"), radius))
+    roots = components(near_links(stored(fps.select(F.col("fp").alias("id"), "fp"), "distinct"), radius))
     grouped = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     labelled = grouped.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(labelled, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of the words of two texts, each once, and of their shingles of five words, differ in at most this many bits if
+#: the texts are near copies; of near copies in random prose, over 99 % do. Pairs are then compared exactly.
+WORD_RADIUS, SHINGLE_TIERS = 10, (6, 10, 14)
+
+
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(id, doc_id, tk, fp, check) of rows (id, doc_id, tk, text)."""
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fp = [simhash(set((t or "").encode().lower().split())) for t in batch["text"]]
+            check = [simhash(set(shingles(t, words))) for t in batch["text"]]
+            yield pd.DataFrame({
+                "id": batch["id"], "doc_id": batch["doc_id"].astype("Int64"), "tk": batch["tk"], "fp": np.array(fp, np.int64), "check": np.array(check, np.int64)})
+
+    return rows.mapInPandas(sketch, "id bigint, doc_id bigint, tk int, fp bigint, check bigint")
+
+
+def similar_links(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts (id, text) have shingle sets of that Jaccard similarity or more; texts without a word have none."""
+    ids = links.select(F.col("a").alias("_id")).unionByName(links.select(F.col("b").alias("_id"))).distinct()
+    held = texts.join(ids, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    held = stored(held, "texts")
+    pairs = links.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = pairs.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["text_a"], batch["text_b"]):
+                x, y = set(shingles(x, words)), set(shingles(y, words))
+                both = len(x & y)
+                keep.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
+            yield batch.loc[keep, ["a", "b"]]
+
+    out = stored(pairs.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a bigint, b bigint"), "similar")
+    discard(held)
+    return out
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, tk, component, keep): groups of equal texts and of near copies; one row of each group has keep true.
+
+    Near copies have shingle sets of the given Jaccard similarity or more; groups are what chains of them join. Pairs are found by
+    word fingerprints, checked by shingle fingerprints and compared exactly along a spanning forest of the closest of them. The row
+    kept is that of the least doc_id (null ids last). Null texts are empty and, like texts without a word, only copies of equal
+    ones. `tk` is a hash of the text; rows with equal doc_id and text are one here.
+    """
+    content = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.xxhash64(content).alias("id"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("tk", text_key())
+    sketches = stored(_sketches(rows, words), "sketches")
+    nodes = stored(sketches.select("id", "fp", "check").distinct(), "nodes")
+    links = stored(near_links(nodes, WORD_RADIUS, SHINGLE_TIERS).distinct(), "links")
+    similar = similar_links(links, rows.select("id", "text"), words, similarity)
+    roots = components(similar).select(F.col("node").alias("_node"), "root")
+    discard(nodes, links, similar)
+    distinct = sketches.groupBy("id", "doc_id", "tk").agg(F.lit(1).alias("_one"))
+    members = distinct.join(roots, F.col("id") == F.col("_node"), "left").select("doc_id", "tk", F.coalesce("root", "id").alias("component"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")
+    least = members.groupBy(F.col("component").alias("_c")).agg(F.min(rank).alias("_least"))
+    joined = members.join(least, F.col("component") == F.col("_c"))
+    return joined.select("doc_id", "tk", "component", (F.col("doc_id").eqNullSafe(F.col("_least.doc_id")) & (F.col("tk") == F.col("_least.tk"))).alias("keep"))

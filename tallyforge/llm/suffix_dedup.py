@@ -386,22 +386,23 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(places[::2], places[1::2]))
 
 
-def cleaned(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(row, kept, n_bytes, spans) of every row: the row as it was (a struct), the bytes left, their number before, and the
-    removed [start, end) runs."""
+    removed [start, end) runs. With `decoded`, kept is a string, without what is left of characters that were cut."""
     lists = repeats(docs, length, doc_id, text).groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("i", "n")).alias("runs"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     key, content = F.col("row")[doc_id].cast("bigint"), F.col("row")[text]
     joined = rows.select("row", key.alias("key"), content.alias("text")).withColumn("tk", text_key())
     joined = joined.join(lists, F.col("key").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
 
-    @F.pandas_udf("struct<kept: binary, n_bytes: bigint, spans: array<struct<start: bigint, end: bigint>>>")
+    @F.pandas_udf(f"struct<kept: {'string' if decoded else 'binary'}, n_bytes: bigint, spans: array<struct<start: bigint, end: bigint>>>")
     def clean(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lists in parts:
             data = [(t or "").encode() for t in texts]
             spans = [_spans(r, length) if r is not None else [] for r in lists]
+            kept = [_kept(d, s) for d, s in zip(data, spans)]
             yield pd.DataFrame({
-                "kept": [_kept(d, s) for d, s in zip(data, spans)], "n_bytes": [len(d) for d in data],
+                "kept": [k.decode(errors="ignore") for k in kept] if decoded else kept, "n_bytes": [len(d) for d in data],
                 "spans": [[{"start": a, "end": b} for a, b in s] for s in spans]})
 
     return joined.select("row", clean("text", "runs").alias("_r")).select("row", "_r.*")
