@@ -40,9 +40,9 @@ BASE = (
     Rule("repeated words", "100 * n_repeat_words - 20 * n_words", high=0),
 )
 RULES = (
-    Rule("word length", "word_chars / n_words", low=1.5, high=15),
-    Rule("symbols", "n_symbols / n_words", high=0.1),
-    Rule("repeated lines", "n_dup_lines / n_lines", high=0.3),
+    Rule("word length", "word_chars / nullif(n_words, 0)", low=1.5, high=15),
+    Rule("symbols", "n_symbols / nullif(n_words, 0)", high=0.1),
+    Rule("repeated lines", "n_dup_lines / nullif(n_lines, 0)", high=0.3),
     Rule("stop words", "if(n_words >= 100, n_stop_words / n_words, null)", low=0.005),
 )
 

@@ -139,7 +139,8 @@ def _pair_distances(counts: np.ndarray) -> np.ndarray:
 def plan_parts(fps: DataFrame, radius: int) -> list[tuple[list[int], int]]:
     """[(bits, threshold)] for distinct fingerprints `fps`, from statistics of all of them."""
     n, both = _bit_counts(fps)
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)  # so that probes cost something in an empty table
+    p = np.diag(both) / n
     differ = 2 * p * (1 - p)
 
     def independent(bits: list[int]) -> np.ndarray:
