@@ -249,10 +249,10 @@ def cumulative_mean(df: DataFrame, keys: list[str] = GROUP, order: str = "row_id
 
 
 def difficulty_curve(df: DataFrame, keys: list[str] = GROUP, x: str = "difficulty_sd", y: str = "performance", bins: int = 40,
-                     smooth: int = 5, keep_max: bool = False) -> DataFrame:
+                     smooth: int = 5, keep_max: bool = True) -> DataFrame:
     """Mean of y per equal bin of x, empty bins left out, smoothed over neighbours.
 
-    The largest x falls past the last bin and is lost unless `keep_max`; the smoother pads with zeros
+    The largest x belongs to the last bin; without `keep_max` it falls past it and is lost. The smoother pads with zeros
     and always divides by its width, and is skipped when there are fewer bins than that.
     """
     # sums per value first: rows of one group meet only after this

@@ -16,42 +16,53 @@ def _epochs(df: DataFrame, group: list[str], keys: list[str], seed: int) -> Data
     return ranked_by_hash(df, group, F.xxhash64(F.lit(seed), *keys), keys, "_rn")
 
 
-def interleave(df: DataFrame, group: list[str], weights: DataFrame, keys: list[str], batch: int, seed: int = 42, total: int | None = None) -> DataFrame:
+def _equal(group: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
+
+
+def interleave(df: DataFrame, group: list[str], weights: DataFrame, keys: list[str], batch: int, seed: int = 42, total: int | None = None, stop: str = "all") -> DataFrame:
     """Rows of weighted groups in one order with the groups' shares in every batch.
 
-    The i-th row of a group with share r falls due at (i - 0.5) / r; rows go by due time. Rows are drawn
-    until the first group runs out, or `total` rows with every group repeated, in a fresh hashed order, as often as needed.
+    The i-th row of a group with share r falls due at (i - 0.5) / r; rows go by due time. A group that is used up is repeated in
+    a fresh hashed order. The order ends after `total` rows; without a total when every group has been drawn whole, or with
+    `stop="first"` as soon as one has. A group without a weight is an error; one of weight 0 is left out.
     Adds `slot` (place in the order), `batch` and `epoch`.
     """
+    if stop not in ("all", "first"):
+        raise ValueError('stop is "all" or "first"')
     # one row per group, as many as there are sources and difficulty levels
     sums = Window.partitionBy(F.lit(0))
     share = weights.withColumn("_share", F.col("weight") / F.sum("weight").over(sums)).filter("_share > 0").select(*group, "_share")
     t = df
     sizes = t.groupBy(*group).agg(F.count("*").alias("_size"))
+    weighted = weights.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
+    lacking = sizes.join(weighted, _equal(group), "left_anti").select(*group).limit(5).collect()
+    if lacking:
+        raise ValueError(f"groups without a weight: {', '.join(str(tuple(r)) for r in lacking)}")
     share = share.join(sizes, group)
     if total is None:
-        # the order ends where the first group runs out
-        until = F.min(F.col("_size") / F.col("_share")).over(sums)
-        share = share.withColumn("_until", until).withColumn("_times", F.lit(1))
+        ends = F.col("_size") / F.col("_share")
+        share = share.withColumn("_until", (F.max(ends) if stop == "all" else F.min(ends)).over(sums))
     else:
-        share = share.withColumn("_until", F.lit(float(total))).withColumn("_times", F.greatest(F.ceil(F.lit(total) * F.col("_share") / F.col("_size")).cast("int"), F.lit(1)))
-    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
+        share = share.withColumn("_until", F.lit(float(total)))
+    share = share.withColumn("_times", F.greatest(F.ceil(F.col("_until") * F.col("_share") / F.col("_size")).cast("int"), F.lit(1)))
     share = share.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_share", "_size", "_until", "_times")
-    t = t.join(share, on).drop(*[f"_g{i}" for i in range(len(group))])
+    t = t.join(share, _equal(group)).drop(*[f"_g{i}" for i in range(len(group))])
     t = t.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     t = _epochs(t, [*group, "epoch"], [*keys, "epoch"], seed)
     due = (F.col("epoch") * F.col("_size") + F.col("_rn") - 0.5) / F.col("_share")
-    t = t.withColumn("_due", due).filter(F.col("_due") <= F.col("_until"))
+    # rounded, so that the last digits of the shares do not decide between equal due times
+    t = t.withColumn("_due", F.round(due, 6)).filter(F.col("_due") <= F.round("_until", 6))
     t = ranked(t, [], "_due", "slot", ties=group)
     t = t.withColumn("slot", F.col("slot") - 1).withColumn("batch", F.floor(F.col("slot") / batch))
     t = t if total is None else t.filter(F.col("slot") < total)
     return t.drop("_share", "_size", "_until", "_times", "_rn", "_due")
 
 
-def mix_sources(df: DataFrame, ratios: dict[str, float], batch: int, keys: list[str], source: str = "source", seed: int = 42, total: int | None = None) -> DataFrame:
-    """Sources interleaved at fixed ratios."""
+def mix_sources(df: DataFrame, ratios: dict[str, float], batch: int, keys: list[str], source: str = "source", seed: int = 42, total: int | None = None, stop: str = "all") -> DataFrame:
+    """Sources interleaved at fixed ratios; every source needs one."""
     weights = df.sparkSession.createDataFrame(list(ratios.items()), f"{source} string, weight double")
-    return interleave(df, [source], weights, keys, batch, seed, total)
+    return interleave(df, [source], weights, keys, batch, seed, total, stop)
 
 
 def curriculum_weights(task_weights: DataFrame, difficulty_weights: DataFrame, levels: DataFrame) -> DataFrame:
@@ -67,10 +78,10 @@ def curriculum_weights(task_weights: DataFrame, difficulty_weights: DataFrame, l
     return t.join(task_weights.select("task", F.col("weight").alias("_t")), "task").select("task", "difficulty", (F.col("_t") * F.col("_d")).alias("weight"))
 
 
-def curriculum_mix(df: DataFrame, task_weights: DataFrame, difficulty_weights: DataFrame, batch: int, keys: list[str], seed: int = 42, total: int | None = None) -> DataFrame:
+def curriculum_mix(df: DataFrame, task_weights: DataFrame, difficulty_weights: DataFrame, batch: int, keys: list[str], seed: int = 42, total: int | None = None, stop: str = "all") -> DataFrame:
     """Samples in an order that keeps task shares and, inside a task, difficulty shares."""
     levels = df.groupBy("task", "difficulty").agg(F.count("*").alias("n"))
-    return interleave(df, ["task", "difficulty"], curriculum_weights(task_weights, difficulty_weights, levels), keys, batch, seed, total)
+    return interleave(df, ["task", "difficulty"], curriculum_weights(task_weights, difficulty_weights, levels), keys, batch, seed, total, stop)
 
 
 def missing_difficulties(required: DataFrame, available: DataFrame) -> DataFrame:
@@ -115,7 +126,7 @@ def frontier_advance(
     """Next frontier per task: advances when every level of the window at the frontier is mastered.
 
     `levels` lists (task, difficulty); `frontier` has (task, frontier). A missing level of the window is
-    skipped, a level without history counts 0, and a task with fewer than k evaluations stays.
+    skipped, a level without history counts 0, and a task with fewer than k evaluations of all its levels stays.
     """
     facts = levels.groupBy("task").agg(F.min("difficulty").alias("lo"), F.max("difficulty").alias("hi"), F.count("*").alias("n_levels"))
     t = levels.join(frontier, "task").join(facts, "task").join(latest_performance(history, k, order=order), ["task", "difficulty"], "left")
@@ -123,11 +134,12 @@ def frontier_advance(
     in_window = (F.col("difficulty") <= F.col("frontier")) & (F.col("difficulty") >= F.greatest(F.col("lo"), F.col("frontier") - window + 1))
     step = F.greatest(F.lit(1), F.rint(F.col("n_levels") * step_fraction).cast("int"))
     ahead = (F.col("difficulty") > F.col("frontier")) & (F.col("difficulty") <= F.least(F.col("frontier") + step, F.col("hi")))
-    good = (F.coalesce("recent", F.lit(0.0)) >= bar) & (F.coalesce("n_evals", F.lit(0)) >= k)
+    good = F.coalesce("recent", F.lit(0.0)) >= bar
     g = t.groupBy("task").agg(
         F.first("frontier").alias("frontier"), F.first("hi").alias("hi"), F.bool_and(F.when(in_window, good)).alias("mastered"), F.max(F.when(ahead, F.col("difficulty"))).alias("_next"),
+        F.sum("n_evals").alias("evals"),
     )
-    mastered = F.coalesce("mastered", F.lit(False))
+    mastered = F.coalesce("mastered", F.lit(False)) & (F.coalesce("evals", F.lit(0)) >= k)
     return g.select(
         "task", "frontier", mastered.alias("mastered"), F.when(mastered, F.coalesce("_next", "frontier")).otherwise(F.col("frontier")).alias("new_frontier"),
         (mastered & (F.col("frontier") >= F.col("hi"))).alias("finished"),

@@ -144,11 +144,14 @@ def upsert_results(existing: DataFrame, updates: DataFrame, key: str = "text_pro
     return kept.unionByName(changed, allowMissingColumns=True).unionByName(blank, allowMissingColumns=True)
 
 
-def answer_mismatch(df: DataFrame, canonical: DataFrame, keys: list[str], n: int, idx: str = "row_idx", shown: int = 5) -> DataFrame:
-    """Per file: rows among the first n whose answer differs from the canonical one, and the first few positions."""
-    ours = df.filter(F.col(idx) < n).select(*keys, F.col(idx).alias("_i"), F.trim("answer").alias("_a"))
-    theirs = canonical.filter(F.col(idx) < n).select(F.col(idx).alias("_i"), F.trim("answer").alias("_b"))
-    wrong = ours.join(theirs, "_i").filter(F.col("_a") != F.col("_b"))
+def answer_mismatch(df: DataFrame, canonical: DataFrame, keys: list[str], n: int, idx: str = "row_idx", shown: int = 5, task: str = "task") -> DataFrame:
+    """Per file: rows among the first n whose answer differs from the canonical one of their task, and the first few positions.
+
+    Row numbers begin anew in every file, and every task has its own canonical list.
+    """
+    ours = df.filter(F.col(idx) < n).select(*keys, F.col(task).alias("_t"), F.col(idx).alias("_i"), F.trim("answer").alias("_a"))
+    theirs = canonical.filter(F.col(idx) < n).select(F.col(task).alias("_t"), F.col(idx).alias("_i"), F.trim("answer").alias("_b"))
+    wrong = ours.join(theirs, ["_t", "_i"]).filter(F.col("_a") != F.col("_b"))
     total = wrong.groupBy(*keys).agg(F.count("*").alias("n_mismatches"))
     w = Window.partitionBy(*keys).orderBy("_i")
     first = wrong.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= shown)
@@ -191,7 +194,7 @@ def response_schema(task: Column, strict: bool = True) -> Column:
 
 
 def chat_requests(df: DataFrame, few_shot: int = 0, idx: str = "row_idx") -> DataFrame:
-    """Adds the chat messages of each row: system, the first `few_shot` rows of its task as examples, user."""
+    """Adds the chat messages of each row: system, the first `few_shot` rows of its task (all, if there are fewer) as examples, user."""
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     t = df
     shots = F.array().cast("array<struct<role:string,content:string>>")
@@ -201,7 +204,6 @@ def chat_requests(df: DataFrame, few_shot: int = 0, idx: str = "row_idx") -> Dat
         pair = F.array(turn("user", F.col("text_prompt")), turn("assistant", F.concat(F.lit('{"answer": '), F.col("answer"), F.lit("}"))))
         # a handful of rows per task
         shown = first.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("_rn", pair.alias("turns")))).alias("_shots"))
-        shown = shown.filter(F.size("_shots") >= few_shot)
         t = df.join(shown, "task", "left")
         shots = F.coalesce(F.flatten(F.transform("_shots", lambda s: s["turns"])), shots)
     messages = F.concat(F.array(turn("system", system_message(F.col("task")))), shots, F.array(turn("user", F.col("text_prompt"))))

@@ -259,20 +259,21 @@ def token_accounting_summary(spark, sf):
 
 # ---- mixtures ----
 
-_SHARES = {"click": 0.5, "view": 0.25, "purchase": 0.15, "error": 0.1}
+_SHARES = {"click": 0.3, "view": 0.25, "signup": 0.2, "purchase": 0.15, "error": 0.1}
 
 
-def _mix_sql(groups: str, weights: str, batch: int) -> str:
+def _mix_sql(groups: str, weights: str, batch: int, end: str = "max") -> str:
     return f"""
   sh AS (SELECT *, w / sum(w) OVER () AS share FROM ({weights})), sized AS (SELECT {groups}, count(*) AS size FROM t GROUP BY ALL),
-  lim AS (SELECT min(size / share) AS until FROM sh JOIN sized USING ({groups}) WHERE share > 0),
-  due AS (SELECT t.*, (row_number() OVER (PARTITION BY {groups} ORDER BY event_id) - 0.5) / share AS due FROM t JOIN sh USING ({groups}) WHERE share > 0),
-  slots AS (SELECT due.*, row_number() OVER (ORDER BY due, {groups}) - 1 AS slot FROM due, lim WHERE due <= until)
+  lim AS (SELECT {end}(size / share) AS until FROM sh JOIN sized USING ({groups}) WHERE share > 0),
+  eps AS (SELECT {groups}, share, size, unnest(range(greatest(1, ceil(until * share / size))::bigint)) AS epoch FROM sh JOIN sized USING ({groups}), lim WHERE share > 0),
+  due AS (SELECT t.*, epoch, round((epoch * size + row_number() OVER (PARTITION BY {groups}, epoch ORDER BY event_id) - 0.5::double) / share, 6) AS due FROM t JOIN eps USING ({groups})),
+  slots AS (SELECT due.*, row_number() OVER (ORDER BY due, {groups}) - 1 AS slot FROM due, lim WHERE due <= round(until, 6))
 SELECT slot // {batch} AS batch, {groups}, count(*) AS n FROM slots GROUP BY ALL"""
 
 
 @query("mix_sources", "WITH t AS (SELECT event_id, event_type FROM events), " + _mix_sql(
-    "event_type", "SELECT unnest(['click', 'view', 'purchase', 'error']) AS event_type, unnest([0.5, 0.25, 0.15, 0.1]) AS w", 64))
+    "event_type", "SELECT unnest(['click', 'view', 'signup', 'purchase', 'error']) AS event_type, unnest([0.3::double, 0.25, 0.2, 0.15, 0.1]) AS w", 64))
 def mix_sources(spark, sf):
     t = M.mix_sources(table(spark, sf, "events").select("event_id", "event_type"), _SHARES, 64, ["event_id"], "event_type")
     return t.groupBy("batch", "event_type").agg(F.count("*").alias("n"))
@@ -329,8 +330,8 @@ def _frontier(spark, sf):
   f AS (SELECT task, min(difficulty) AS lo, max(difficulty) AS hi, count(*) AS levels FROM lv GROUP BY task),
   j AS (SELECT lv.task, lv.difficulty, frontier, hi, lo, levels, p.recent, p.n FROM lv JOIN fr USING (task) JOIN f USING (task) LEFT JOIN p ON p.task = lv.task AND p.difficulty = lv.difficulty),
   g AS (SELECT task, any_value(frontier) AS frontier, any_value(hi) AS hi,
-    coalesce(bool_and(recent >= 0.9 * CASE WHEN 0.6 <= difficulty / hi THEN 1.0 WHEN 0.6 <= difficulty / hi + 0.5 THEN 1 - (0.6 - difficulty / hi) / 0.5 ELSE 0 END AND n >= 3)
-      FILTER (difficulty <= frontier AND difficulty >= greatest(lo, frontier - 2)), false) AS mastered,
+    coalesce(bool_and(coalesce(recent, 0) >= 0.9 * CASE WHEN 0.6 <= difficulty / hi THEN 1.0 WHEN 0.6 <= difficulty / hi + 0.5 THEN 1 - (0.6 - difficulty / hi) / 0.5 ELSE 0 END)
+      FILTER (difficulty <= frontier AND difficulty >= greatest(lo, frontier - 2)), false) AND coalesce(sum(n), 0) >= 3 AS mastered,
     max(difficulty) FILTER (difficulty > frontier AND difficulty <= least(frontier + greatest(1, round_even(levels * 0.1, 0)), hi)) AS nxt FROM j GROUP BY task)
 SELECT task, frontier, mastered, CASE WHEN mastered THEN coalesce(nxt, frontier) ELSE frontier END AS new_frontier, mastered AND frontier >= hi AS finished FROM g""")
 def frontier_advance(spark, sf):

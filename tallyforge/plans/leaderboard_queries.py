@@ -8,6 +8,7 @@ from tallyforge.functions import answers as A
 from tallyforge.functions import metrics as M
 from tallyforge.operators import leaderboard as L
 from tallyforge.operators import results as R
+from tallyforge.operators.prefix import ranked
 from tallyforge.plans.number_queries import KEY, KEY_SQL, sql_log_smape
 from tallyforge.plans.registry import query, table
 from tallyforge.plans.views import view, with_views
@@ -281,17 +282,30 @@ def cumulative_mean(spark, sf):
     return L.cumulative_mean(view(spark, sf, "v_rows")).withColumn("mean", F.round("mean", 12))
 
 
-@query("difficulty_curve", RULED + """,
+def _curve_sql(at: str) -> str:
+    return RULED + f""",
   x AS (SELECT *, min(difficulty_sd) OVER g AS lo, max(difficulty_sd) OVER g AS hi FROM ruled WINDOW g AS (PARTITION BY model, reasoning, task)),
-  b AS (SELECT model, reasoning, task, lo, hi, CAST(floor((difficulty_sd - lo) * 40 / (hi - lo)) AS INT) AS bin, avg(performance) AS m FROM x WHERE hi > lo GROUP BY ALL),
+  b AS (SELECT model, reasoning, task, lo, hi, CAST({at} AS INT) AS bin, avg(performance) AS m FROM x WHERE hi > lo GROUP BY ALL),
   k AS (SELECT *, count(*) OVER (PARTITION BY model, reasoning, task) AS n, sum(m) OVER (PARTITION BY model, reasoning, task ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s
     FROM b WHERE bin < 40)
-SELECT model, reasoning, task, bin, round(lo + (bin + 0.5) * (hi - lo) / 40, 6) AS center, CAST(round(CASE WHEN n >= 5 THEN s / 5 ELSE m END, 6) AS DOUBLE) AS value FROM k""")
-def difficulty_curve(spark, sf):
-    t = L.difficulty_curve(ruled(spark, sf))
+SELECT model, reasoning, task, bin, round(lo + (bin + 0.5) * (hi - lo) / 40, 6) AS center, CAST(round(CASE WHEN n >= 5 THEN s / 5 ELSE m END, 6) AS DOUBLE) AS value FROM k"""
+
+
+def _curve(spark, sf, keep_max):
+    t = L.difficulty_curve(ruled(spark, sf), keep_max=keep_max)
     return t.withColumn("center", F.round("center", 6)).withColumn("value", F.round("value", 6))
 
 
+@query("difficulty_curve", _curve_sql("least(floor((difficulty_sd - lo) * 40 / (hi - lo)), 39)"))
+def difficulty_curve(spark, sf):
+    return _curve(spark, sf, True)
+
+
+@query("difficulty_curve_open", _curve_sql("floor((difficulty_sd - lo) * 40 / (hi - lo))"))
+def difficulty_curve_open(spark, sf):
+    return _curve(spark, sf, False)
+
+
 @query("head_per_group", with_views("v_rows") + """,
   r AS (SELECT *, row_number() OVER (PARTITION BY task, model, reasoning ORDER BY row_idx) AS rn FROM v_rows)
 SELECT task, model, reasoning, row_idx, answer FROM r WHERE rn <= 20""")
@@ -552,11 +566,13 @@ def upsert_results(spark, sf):
 
 
 @query("answer_mismatch", with_views("v_rows") + """,
-  w AS (SELECT task, row_idx, row_number() OVER (PARTITION BY task ORDER BY row_idx) AS rn FROM v_rows
-    WHERE row_idx < 12000 AND (CASE WHEN o_custkey % 17 = 0 THEN answer || '1' ELSE ' ' || answer END) NOT IN (answer, ' ' || answer))
-SELECT task, count(*) AS n_mismatches, string_agg(CAST(row_idx AS VARCHAR), ',' ORDER BY row_idx) FILTER (rn <= 5) AS first_positions FROM w GROUP BY task""")
+  own AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY row_idx) - 1 AS i FROM v_rows),
+  w AS (SELECT task, i, row_number() OVER (PARTITION BY task ORDER BY i) AS rn FROM own
+    WHERE i < 12000 AND (CASE WHEN o_custkey % 17 = 0 THEN answer || '1' ELSE ' ' || answer END) NOT IN (answer, ' ' || answer))
+SELECT task, count(*) AS n_mismatches, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (rn <= 5) AS first_positions FROM w GROUP BY task""")
 def answer_mismatch(spark, sf):
-    t = view(spark, sf, "v_rows")
+    # every task has a list of its own, numbered from 0
+    t = ranked(view(spark, sf, "v_rows"), ["task"], "row_idx", "_rn").withColumn("row_idx", F.col("_rn") - 1).drop("_rn")
     ours = t.withColumn("answer", F.when(F.col("o_custkey") % 17 == 0, F.concat("answer", F.lit("1"))).otherwise(F.concat(F.lit(" "), "answer")))
     return R.answer_mismatch(ours, t, ["task"], 12000)
 

@@ -91,17 +91,29 @@ def test_resume(spark):
     assert R.resume_worklist(inp, res, 2).count() == 0
 
 
+def test_answer_mismatch_by_task(spark):
+    t = spark.createDataFrame([("a", 0, "1"), ("a", 1, "2"), ("b", 0, "3"), ("b", 1, "4")], "task string, row_idx int, answer string")
+    assert R.answer_mismatch(t, t, ["task"], 10).count() == 0
+    changed = t.withColumn("answer", F.when(F.col("answer") == "4", "5").otherwise(F.col("answer")))
+    assert [tuple(r) for r in R.answer_mismatch(changed, t, ["task"], 10).collect()] == [("b", 1, "1")]
+
+
+def test_examples_of_a_small_task(spark):
+    t = spark.createDataFrame([("Addition", 0, "p", "1")], "task string, row_idx int, text_prompt string, answer string")
+    assert len(R.chat_requests(t, 2).first().messages) == 4
+
+
 # ---- curves ----
 
 def test_curve_edges(spark):
     data = [("m", "r", "t", float(x), x / 10) for x in range(11)]
     df = spark.createDataFrame(data, "model string, reasoning string, task string, difficulty_sd double, performance double")
-    got = {r.bin: r.value for r in L.difficulty_curve(df, bins=10, smooth=5).collect()}
+    got = {r.bin: r.value for r in L.difficulty_curve(df, bins=10, smooth=5, keep_max=False).collect()}
     assert len(got) == 10 and 10 not in got
     assert abs(got[0] - (0.0 + 0.1 + 0.2) / 5) < 1e-12 and abs(got[5] - 0.5) < 1e-12
-    kept = {r.bin: r.value for r in L.difficulty_curve(df, bins=10, smooth=1, keep_max=True).collect()}
+    kept = {r.bin: r.value for r in L.difficulty_curve(df, bins=10, smooth=1).collect()}
     assert abs(kept[9] - 0.95) < 1e-12
-    few = L.difficulty_curve(df.filter("difficulty_sd < 4"), bins=3, smooth=5)
+    few = L.difficulty_curve(df.filter("difficulty_sd < 4"), bins=3, smooth=5, keep_max=False)
     assert sorted(round(r.value, 6) for r in few.collect()) == [0.0, 0.1, 0.2]
 
 
@@ -177,6 +189,12 @@ def test_mix_keeps_shares_and_epochs(spark):
     assert all(abs(counts[(b, "a")] - 30) <= 1 for b in range(50))
     once = m.filter("source = 'a' AND epoch = 0")
     assert once.count() == once.select("id").distinct().count() == 600
+    # without a total every source is drawn whole, and the others are repeated
+    whole = M.mix_sources(df, {"a": 0.2, "b": 0.8}, 40, ["id"])
+    assert whole.count() == 3000 and whole.select("id").distinct().count() == 900
+    assert M.mix_sources(df, {"a": 0.2, "b": 0.8}, 40, ["id"], stop="first").count() == 375
+    with pytest.raises(ValueError, match="without a weight"):
+        M.mix_sources(df, {"a": 1.0}, 40, ["id"])
 
 
 def brute_caps(weights, caps):
@@ -207,11 +225,15 @@ def test_frontier(spark):
     good = [("t", d, s, 0.95) for d in (0, 1) for s in range(3)]
     step = lambda h: M.frontier_advance(spark.createDataFrame(h, "task string, difficulty int, step int, acc double"), levels, front, 0.9, 2, 3, 0.25).first()
     assert step(good).new_frontier == 2
-    assert step(good[:-1]).new_frontier == 1
+    assert step(good[:-1]).new_frontier == 2  # three evaluations of the task are enough
+    assert step(good[1:3]).mastered is False
     assert step([*good[:-1], ("t", 1, 2, 0.1)]).mastered is False
     top = spark.createDataFrame([("t", 4)], "task string, frontier int")
     done = M.frontier_advance(spark.createDataFrame([("t", 4, s, 1.0) for s in range(3)], "task string, difficulty int, step int, acc double"), levels, top, 0.9, 1, 3).first()
     assert done.finished and done.new_frontier == 4
+    # late in training the bar of an easy level sinks to 0, and a level without history passes it
+    late = M.frontier_advance(spark.createDataFrame([("t", 1, s, 1.0) for s in range(3)], "task string, difficulty int, step int, acc double"), levels, front, 0.9, 2, 3, 0.25, progress=1.0).first()
+    assert late.mastered and late.new_frontier == 2
 
 
 # ---- generation ----

@@ -44,6 +44,8 @@ def test_content_key(spark):
     key = lambda df: S.content_key(df).first().content_key
     assert key(a) == key(a.repartition(3)) != key(a.distinct())
     assert S.content_key(a, negative=False).first().content_key.endswith("_pos")
+    one, other = (spark.createDataFrame([r], "p string, q string") for r in (("x", None), (None, "x")))
+    assert key(one) != key(other)
 
 
 def test_append_and_snapshot(spark, tmp_path):
