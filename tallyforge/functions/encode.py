@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,20 +113,22 @@ def digits10_value(digits: Column | str) -> Column:
     return F.when(F.startswith(digits, F.lit("1")), size).otherwise(-size)
 
 
+def _largest_power(base: int, limit: int) -> int:
+    """Largest exponent whose power of the base does not exceed the limit."""
+    e = int(math.log(limit, base)) + 1
+    while base**e > limit:
+        e -= 1
+    return e
+
+
 def fourier_periods(int_digits: int = 17, frac_digits: int = 32, bases: tuple[int, ...] = (10,)) -> list[float]:
-    """Ascending periods: powers of each base from its smallest fraction to its largest whole part."""
-    low, high = 10.0**-frac_digits, 10 ** (int_digits + 1) - 1
-    periods: set[float] = set()
-    for base in bases:
-        at = 1.0
-        while at >= low:
-            periods.add(at * base)
-            at /= base
-        whole = 1
-        while whole * base <= high:
-            periods.add(float(whole * base))
-            whole *= base
-    return sorted(p for p in periods if p <= high)
+    """Ascending periods: the powers b ** e of each base b.
+
+    e runs from one above the smallest power that is at least 10 ** -frac_digits to the largest power of at most `int_digits` + 1
+    digits. Powers are exact until they become doubles, so bases that share a period give it once.
+    """
+    ranges = {b: range(1 - _largest_power(b, 10**frac_digits), _largest_power(b, 10 ** (int_digits + 1) - 1) + 1) for b in bases}
+    return sorted({float(Fraction(b) ** e) for b, exponents in ranges.items() for e in exponents})
 
 
 def number_fourier(x: Column | str, periods: list[float]) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from tallyforge import constants as C
 from tallyforge.functions.text import _col, count_at_or_below, replace_numbers
-from tallyforge.operators.prefix import quantile_slices, ranked_by_hash, running_totals
+from tallyforge.operators.prefix import quantile_slices, ranked, ranked_by_hash, running_totals
 
 MAX_VOCABULARY = 65_535
 
@@ -98,13 +98,20 @@ def tokenize_numbers(df: DataFrame, vocabulary: DataFrame, text: str = "text", n
 
 def label_mask(tokens: Column | str, bos: int, eoq: int) -> Column:
     """Labels of a token array: null for the prompt, from a bos up to and including its eoq; else the token."""
-    tokens = _col(tokens)
-    step = lambda acc, t: F.struct(
-        (acc["d"] + F.when(t == bos, 1).when(t == eoq, -1).otherwise(0)).alias("d"),
-        F.array_append(acc["out"], F.when((acc["d"] + F.when(t == bos, 1).when(t == eoq, -1).otherwise(0) > 0) | (t == eoq), None).otherwise(t)).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            out = []
+            for t in part:
+                if t is None:
+                    out.append(None)
+                    continue
+                t = np.asarray(t)
+                prompt = (np.cumsum((t == bos).astype(np.int64) - (t == eoq)) > 0) | (t == eoq)
+                out.append([None if hidden else v for v, hidden in zip(t.tolist(), prompt.tolist())])
+            yield pd.Series(out)
+
+    return mask(_col(tokens))
 
 
 def sample_tokens(prompt: Column, answer: Column, bos: int, eoq: int, eos: int) -> tuple[Column, Column]:
@@ -161,10 +168,10 @@ def pack_contexts(df: DataFrame, keys: list[str], arrays: list[str], length: int
 def position_ids(tokens: Column | str, eos: int) -> Column:
     """Position of every token inside its segment; a new segment starts after each eos."""
     tokens = _col(tokens)
-    step = lambda acc, t: F.struct(
-        F.when(t == eos, 0).otherwise(acc["next"] + 1).alias("next"), F.array_append(acc["out"], acc["next"]).alias("out"))
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    after = F.filter(F.transform(tokens, lambda t, i: F.when(t == eos, i + 1)), lambda i: i.isNotNull())
+    starts, stops = F.concat(F.array(F.lit(0)), after), F.concat(after, F.array(F.size(tokens)))
+    none = F.array().cast("array<int>")
+    return F.flatten(F.zip_with(starts, stops, lambda a, b: F.when(b > a, F.sequence(F.lit(0), b - a - 1)).otherwise(none)))
 
 
 def pack_boundaries(positions: Column | str) -> Column:
@@ -214,25 +221,28 @@ def source_offsets(df: DataFrame, source: str = "source", length: str = "n_token
     return t.select(source, (F.col("source_end") - F.col("size")).alias("source_start"), "source_end")
 
 
-MAX_RANGES = 100_000
+#: Ranges that a row's look-up halves at once.
+RANGES_PER_SLICE = 1024
 
 
 def lookup_ranges(df: DataFrame, ranges: DataFrame, position: str, value: str, name: str, lo: str = "lo", hi: str | None = "hi", default: int | None = -1) -> DataFrame:
     """As-of look-up: the range with the largest start at or below a position, if the position is not past its end.
 
-    The sorted ranges travel with every task as arrays, which is why their number is checked.
+    Sorted ranges are cut into slices of RANGES_PER_SLICE. A position finds its slice among the slices' first starts, which
+    alone travel whole, and meets the slice's ranges in a join.
     """
-    rows = ranges.select(F.struct(F.col(lo).alias("lo"), (F.col(hi) if hi else F.lit(None).cast("bigint")).alias("hi"), F.col(value).alias("v")).alias("r"))
-    top = rows.limit(MAX_RANGES + 1)
-    whole = top.agg(F.sort_array(F.collect_list("r")).alias("a")).select(
-        F.when(F.size("a") > MAX_RANGES, F.raise_error(F.lit("too many ranges"))).otherwise(F.col("a")).alias("a")
-    ).scalar()
-    t = df.withColumn("_ranges", whole)
-    t = t.withColumn("_at", count_at_or_below(F.col("_ranges.lo"), F.col(position), MAX_RANGES))
-    hit = F.when(F.col("_at") > 0, F.get("_ranges", F.col("_at") - 1))
-    t = t.withColumn("_hit", hit)
+    rows = ranges.select(F.col(lo).alias("lo"), (F.col(hi) if hi else F.lit(None).cast("bigint")).alias("hi"), F.col(value).alias("v")).filter("lo IS NOT NULL")
+    numbered = ranked(rows, [], "lo", "_rn", ties=["hi", "v"])
+    slices = numbered.groupBy(F.floor((F.col("_rn") - 1) / RANGES_PER_SLICE).cast("int").alias("_slice")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "v"))).alias("_in"))
+    slices = slices.withColumn("_lo", F.col("_in.lo"))
+    firsts = slices.select(F.struct("_slice", F.col("_lo")[0].alias("first")).alias("s")).agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["first"])).scalar()
+    t = df.withColumn("_firsts", firsts)
+    t = t.withColumn("_at", count_at_or_below(F.col("_firsts"), F.col(position), 1 << 24) - 1).drop("_firsts")
+    t = t.join(slices, F.col("_at") == F.col("_slice"), "left")
+    hit = F.get("_in", count_at_or_below(F.col("_lo"), F.col(position), RANGES_PER_SLICE) - 1)
+    t = t.withColumn("_hit", F.when(F.col("_slice").isNotNull(), hit))
     inside = F.col("_hit.hi").isNull() | (F.col(position) <= F.col("_hit.hi"))
-    return t.withColumn(name, F.when(F.col("_hit").isNotNull() & inside, F.col("_hit.v")).otherwise(F.lit(default))).drop("_ranges", "_at", "_hit")
+    return t.withColumn(name, F.when(F.col("_hit").isNotNull() & inside, F.col("_hit.v")).otherwise(F.lit(default))).select(*df.columns, name)
 
 
 # ---- batches by length ----
@@ -261,7 +271,7 @@ def length_batches(df: DataFrame, batch: int, keys: list[str], length: Column |
 def count_tokens(text: Column | str, digits: str = "single") -> Column:
     """Tokens of a text when special tokens, groups of digits (single or up to three) and every other character are one token each."""
     group = {"single": "[0-9]", "triple": "[1-9][0-9]{0,2}|0"}[digits]
-    return F.size(F.regexp_extract_all(_col(text), F.lit(rf"(?s)<\|[a-z_0-9]+\|>|{group}|."), F.lit(0)))
+    return F.length(F.regexp_replace(_col(text), rf"<\|[a-z_0-9]+\|>|{group}", "x"))
 
 
 def token_accounting(df: DataFrame, dataset: str, prompt: str, output: str, digits: str = "single") -> DataFrame:

@@ -82,25 +82,36 @@ def digit_count(text: str) -> int:
     return len(text.replace("-", "").replace(".", "").strip("0"))
 
 
-def round_text(v: float, d: int) -> str:
-    """Fixed-point text of v to d significant digits; below 1e-15 it is 0, and 1e15 is never reached."""
-    size = abs(v)
-    if d <= 0 or size == 0:
-        return "0"
-    mag = math.floor(math.log10(size))
-    scale, unit = 10.0 ** (d - 1), 10.0**mag
-    out = round(size / unit * scale) / scale * unit
-    if out >= 1e15:
-        out = math.floor(size / unit * scale) / scale * unit
-    if out < 1e-15:
+def decimal_parts(x: np.ndarray, d) -> tuple[np.ndarray, np.ndarray]:
+    """(mantissa, exponent): x as a whole mantissa of d digits, half to even, times a power of ten. 0 where d < 1 or x is 0.
+
+    What comes to less than 1e-15 is 0; what would reach 1e15 is cut instead of rounded.
+    """
+    x, d = np.broadcast_arrays(np.asarray(x, float), np.asarray(d, np.int64))
+    size, live = np.abs(x), (np.abs(x) > 0) & (d > 0)
+    lead = np.floor(np.log10(size, where=live, out=np.zeros(x.shape))).astype(np.int64)
+    exponent = np.where(live, lead - d + 1, 0)
+    scaled = np.where(live, size / 10.0**lead, 0.0) * 10.0 ** np.maximum(d - 1, 0)
+    mantissa = np.rint(scaled)
+    mantissa = np.where(mantissa * 10.0**exponent >= 1e15, np.floor(scaled), mantissa)
+    mantissa = np.where(mantissa * 10.0**exponent < 1e-15, 0, mantissa).astype(np.int64)
+    return np.where(x < 0, -mantissa, mantissa), exponent
+
+
+def decimal_text(mantissa: int, exponent: int) -> str:
+    """Fixed-point text of a whole number times a power of ten, without trailing zeros behind the point."""
+    if not mantissa:
         return "0"
-    text = f"{out:.{max(0, d - mag - 1)}f}"
-    text = text.rstrip("0").rstrip(".") if "." in text else text
-    return "-" + text if v < 0 else text
+    if exponent >= 0:
+        return str(mantissa * 10**exponent)
+    digits = str(abs(mantissa)).rjust(1 - exponent, "0")
+    return ("-" * (mantissa < 0) + digits[:exponent] + "." + digits[exponent:]).rstrip("0").rstrip(".")
 
 
 def round_texts(x: np.ndarray, d) -> list[str]:
-    return [round_text(v, k) for v, k in zip(x.tolist(), np.broadcast_to(d, x.shape).tolist())]
+    """Fixed-point texts of numbers to d significant digits each."""
+    mantissa, exponent = decimal_parts(x, d)
+    return [decimal_text(m, e) for m, e in zip(mantissa.ravel().tolist(), exponent.ravel().tolist())]
 
 
 def round_result(x: np.ndarray, digits: int) -> np.ndarray:

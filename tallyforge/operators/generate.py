@@ -420,7 +420,7 @@ def _lists_of(task: str, b: pd.DataFrame, st: Settings, k: int, tries: int = 20)
         mean = W.between(W.uniform(kk, attempt, 1), low[at], high[at])
         u = np.stack([W.uniform(kk, attempt, 2, i) for i in range(k)], axis=1)
         y, feasible = W.lists_around(mean, width[at], u, precision[at], not st.decimal)
-        t = np.array([[W.round_text(v, d) for v in row] for row, d in zip(y.tolist(), precision[at].tolist())], dtype=object) if st.decimal else None
+        t = np.array(W.round_texts(y, precision[at][:, None]), dtype=object).reshape(len(at), k) if st.decimal else None
         if st.decimal:
             y = np.array([[float(s) for s in row] for row in t]).reshape(len(at), k)
         else:

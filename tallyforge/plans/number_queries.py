@@ -343,7 +343,7 @@ WITH s AS (SELECT {KEY_SQL}, l_extendedprice AS x, unnest([0.1, 1.0, 10.0, 100.0
 SELECT CAST(period AS DOUBLE) AS period, round(avg(cos(x * (2 * pi() / period))), 6) + 0.0 AS mean_cos, round(avg(sin(x * (2 * pi() / period))), 6) + 0.0 AS mean_sin
 FROM s GROUP BY period""")
 def number_fourier(spark, sf):
-    periods = [0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]
+    periods = E.fourier_periods(int_digits=4, frac_digits=2)
     t = table(spark, sf, "lineitem").select(E.number_fourier("l_extendedprice", periods).alias("w"))
     # one pass: the mean of every feature, then one row per period
     means = t.agg(*[F.avg(F.col("w")[i]).alias(f"m{i}") for i in range(2 * len(periods))])

@@ -1,7 +1,9 @@
 """Session settings and the shared folder for cut lineage."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,26 +32,20 @@ def get_session(app: str = "tallyforge", master: str | None = None, cpus: int |
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as named in spark.checkpoint.dir.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own, which goes when the program ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     own = tempfile.mkdtemp(prefix="tallyforge-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder so that a lost executor does not replay the whole history."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def bucket_count(df: DataFrame) -> int:
     """Slices for ordered work: as many as the session has shuffle partitions."""
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

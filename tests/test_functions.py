@@ -79,7 +79,7 @@ def test_round_sig_matches_text_rounding(spark, d):
     got = column(spark, values, "string", lambda c: T.round_sig(c, d))
     for text, g in zip(values, got):
         # engines may differ on numbers whose scaled value is within one float step of a tie
-        assert g == W.round_text(float(text), d) or abs(float(g) - float(text)) <= 0.51 * 10.0 ** (math.floor(math.log10(abs(float(text)))) - d + 1)
+        assert g == W.round_texts([float(text)], d)[0] or abs(float(g) - float(text)) <= 0.51 * 10.0 ** (math.floor(math.log10(abs(float(text)))) - d + 1)
 
 
 def test_bits_and_digits_round_trip(spark):
@@ -203,6 +203,28 @@ def test_addition_difficulty(spark, parts):
     assert df.select(D.difficulty_add(["a", "b", "c"], "t").alias("d")).first().d == slow_add(ops, total)
 
 
+def test_digits_of_reciprocals(spark):
+    got = spark.range(1, 9000).select("id", D._share_digits(F.col("id"), 10).alias("ten"), D._share_digits(F.col("id"), 2).alias("two")).collect()
+    for r in got:
+        text = repr(1 / r.id).split("e")[0]
+        assert r.ten == max(1, sum(c in "123456789" for c in text)), r.id
+        assert r.two == int((1 / r.id).hex().split("p")[0].replace("0x", "").replace(".", ""), 16).bit_count()
+    long = spark.createDataFrame([([str(i) for i in range(100, 165)],)], "l array<string>")
+    assert long.select(D.difficulty_mean(F.col("l")).alias("d")).first().d > 65
+
+
+def test_periods_are_powers():
+    assert E.fourier_periods(4, 2) == [0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]
+    assert E.fourier_periods(1, 1, (2, 10)) == [0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 10.0, 16.0, 32.0, 64.0]
+
+
+def test_decimal_texts():
+    import numpy as np
+
+    x, d = np.array([0.0, 12.346, -0.00012345, 99.96, 5e14, 9.996e14, 3e-16, 2.5, 7.0]), np.array([3, 4, 2, 3, 1, 3, 3, 1, 0])
+    assert W.round_texts(x, d) == ["0", "12.35", "-0.00012", "100", "500000000000000", "999000000000000", "0", "2", "0"]
+
+
 def test_other_difficulties(spark):
     df = spark.createDataFrame([(["3.25", "3.2", "-17"],), (["5", "5"],), (["0.001", "0.0015"],)], "l array<string>")
     got = df.select(D.difficulty_sort(F.col("l")).alias("s"), D.difficulty_minmax(F.col("l"), F.col("l")[0]).alias("m"), D.difficulty_mean(F.col("l")).alias("a")).collect()

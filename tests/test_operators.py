@@ -179,6 +179,28 @@ def test_lookup(spark):
     assert got == {-1: -1, 0: 3, 10: 4, 15: 4, 16: -1, 30: 5, 31: -1}
 
 
+def test_lookup_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(K, "RANGES_PER_SLICE", 7)
+    ranges = spark.range(1000).selectExpr("id * 10 as lo", "id * 10 + 4 as hi", "int(id) as d")
+    got = K.lookup_ranges(spark.range(-3, 10_020).withColumnRenamed("id", "x"), ranges, "x", "d", "d2").collect()
+    assert all(r.d2 == (r.x // 10 if 0 <= r.x < 10_000 and r.x % 10 <= 4 else -1) for r in got) and len(got) == 10_023
+
+
+def test_positions_and_labels(spark):
+    rng = random.Random(11)
+    rows = [[rng.choice([1, 2, 3, 9, 9]) for _ in range(rng.randrange(30))] for _ in range(40)]
+    df = spark.createDataFrame([(r,) for r in rows] + [(None,)], "t array<int>")
+    for r in df.select("t", K.position_ids("t", 3).alias("p"), K.label_mask("t", 1, 2).alias("m")).collect():
+        if r.t is None:
+            assert r.p is None and r.m is None
+            continue
+        at, depth = 0, 0
+        for t, p, m in zip(r.t, r.p, r.m, strict=True):
+            depth += (t == 1) - (t == 2)
+            assert p == at and m == (None if depth > 0 or t == 2 else t)
+            at = 0 if t == 3 else at + 1
+
+
 # ---- mixtures ----
 
 def test_mix_keeps_shares_and_epochs(spark):
