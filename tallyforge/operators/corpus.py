@@ -28,8 +28,9 @@ def format_samples(df: DataFrame, prompt: str = "prompt", answer: str = "answer"
     return df.withColumn("text", format_sample(prompt, answer))
 
 
-def number_vocabulary(spark: SparkSession, kind: str, pieces: list[str] = ()) -> DataFrame:
-    """Vocabulary table (token, token_id): special tokens, the number tokens of a kind, then other pieces.
+def number_vocabulary(spark: SparkSession, kind: str, pieces: list[str] = (), byte_fallback: bool = False) -> DataFrame:
+    """Vocabulary table (token, token_id): special tokens, the number tokens of a kind, other pieces, and with `byte_fallback` one
+    token for every byte, so that any text can be tokenized whole.
 
     Kinds: `single` digits, `triple` for 0 to 999, `number` with one number token, `magnitude` with 256.
     """
@@ -37,10 +38,14 @@ def number_vocabulary(spark: SparkSession, kind: str, pieces: list[str] = ()) ->
         "single": [str(i) for i in range(10)], "triple": [str(i) for i in range(1000)], "number": [C.NUM, C.OVERFLOW],
         "magnitude": [f"<|num_{i}|>" for i in range(256)],
     }[kind]
-    tokens = list(dict.fromkeys([*C.SPECIAL_TOKENS, *numbers, *pieces]))
+    tokens = list(dict.fromkeys([*C.SPECIAL_TOKENS, *numbers, *pieces, *(BYTE_TOKENS if byte_fallback else ())]))
     return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, token_id int")
 
 
+#: Tokens of the bytes of characters that no entry covers.
+BYTE_TOKENS = [f"<0x{b:02X}>" for b in range(256)]
+
+
 def _token_schema() -> StructType:
     return StructType([StructField("tokens", ArrayType(IntegerType())), StructField("numbers", ArrayType(DoubleType()))])
 
@@ -48,7 +53,8 @@ def _token_schema() -> StructType:
 def tokenize(df: DataFrame, vocabulary: DataFrame, text: str = "text", numbers: str | None = None, unknown: int | None = None) -> DataFrame:
     """Adds `tokens` and `token_numbers`: the longest vocabulary entry at every position, left to right.
 
-    Characters no entry covers are dropped, or become `unknown`. With `numbers` (an array column) the
+    Characters no entry covers become `unknown`, if given, or the byte tokens of their UTF-8 form; a vocabulary without either is an
+    error as soon as it meets such a character. With `numbers` (an array column) the
     number tokens carry these values in order and all other tokens 0. A vocabulary has at most 65 535
     entries (token ids are 16-bit), so it is shipped to every task.
     """
@@ -60,7 +66,16 @@ def tokenize(df: DataFrame, vocabulary: DataFrame, text: str = "text", numbers:
 
     @F.pandas_udf(_token_schema())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        table = shipped.value
+        table = dict(shipped.value)
+        by_byte = [table.pop(t, None) for t in BYTE_TOKENS]  # their names are no entries of a text
+
+        def uncovered(c: str) -> list[int]:
+            if unknown is not None:
+                return [unknown]
+            if None in by_byte:
+                raise ValueError(f"the vocabulary has no entry for {c!r}, no byte tokens and no unknown token")
+            return [by_byte[b] for b in c.encode()]
+
         single = {t for t in table if len(t) == 1}
         # entries by first character, longest first: a regex tries them in that order
         longer = sorted((t for t in table if len(t) > 1), key=len, reverse=True)
@@ -75,8 +90,7 @@ def tokenize(df: DataFrame, vocabulary: DataFrame, text: str = "text", numbers:
                 if s is None:
                     out_t.append(None), out_n.append(None)
                     continue
-                ids = [table.get(m, unknown) for m in pattern.findall(s)]
-                ids = [i for i in ids if i is not None]
+                ids = [i for m in pattern.findall(s) for i in ((table[m],) if m in table else uncovered(m))]
                 nums = np.zeros(len(ids))
                 if v is not None:
                     at = [k for k, i in enumerate(ids) if i in number_ids]

@@ -70,23 +70,23 @@ def format_samples(spark, sf):
 
 _PIECES = ["tion", "the ", "the", " ", ".", ",", *"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 _ENTRIES = list(dict.fromkeys([*C.SPECIAL_TOKENS, C.NUM, C.OVERFLOW, *_PIECES]))
-_RE2 = "|".join(["<\\|[a-z]+\\|>", "tion", "the ", "the", "[ .,a-zA-Z]"])
+_RE2 = "|".join(["<\\|[a-z]+\\|>", "tion", "the ", "the", "[ .,a-zA-Z]", "(?s:.)"])
 _LISTED = "[" + ", ".join(f"'{t}'" for t in _ENTRIES) + "]"
 
 
 @query("tokenize_corpus", f"""
 WITH texts AS (SELECT 'documents' AS source, doc_id AS id, text FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages),
   r AS (SELECT source, id, regexp_replace(text, '{C.NUMBER}', '<|num|>', 'g') AS t, regexp_extract_all(text, '{C.NUMBER}') AS n FROM texts),
-  k AS (SELECT source, id, n, [CAST(list_position({_LISTED}, x) - 1 AS BIGINT) FOR x IN regexp_extract_all(t, '{_RE2}')] AS ids FROM r)
-SELECT source, id, len(ids) AS n_tokens, CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS id_sum, array_to_string(ids[1:20], ',') AS first_ids,
+  k AS (SELECT source, id, n, flatten([CASE WHEN coalesce(list_position({_LISTED}, x), 0) > 0 THEN [list_position({_LISTED}, x) - 1]
+      ELSE [{len(_ENTRIES)} + CAST('0x' || substr(hex(x), 2 * i + 1, 2) AS INT) FOR i IN range(strlen(x))] END FOR x IN regexp_extract_all(t, '{_RE2}')]) AS ids FROM r)
+SELECT source, id, len(ids) AS n_tokens, md5(array_to_string(ids, ',')) AS ids_md5,
   round(coalesce(list_sum([CAST(x AS DOUBLE) FOR x IN n]), 0), 4) AS number_sum FROM k""")
 def tokenize_corpus(spark, sf):
-    vocabulary = K.number_vocabulary(spark, "number", _PIECES)
+    vocabulary = K.number_vocabulary(spark, "number", _PIECES, byte_fallback=True)
     t = K.tokenize_numbers(texts(spark, sf), vocabulary)
     total = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
     return t.select(
-        "source", "id", F.size("tokens").cast("bigint").alias("n_tokens"), total(F.transform("tokens", lambda x: x.cast("bigint")), F.lit(0).cast("bigint")).alias("id_sum"),
-        F.array_join(F.slice("tokens", 1, 20), ",").alias("first_ids"), F.round(total(F.col("token_numbers"), F.lit(0.0)), 4).alias("number_sum"),
+        "source", "id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", ",")).alias("ids_md5"), F.round(total(F.col("token_numbers"), F.lit(0.0)), 4).alias("number_sum"),
     )
 
 

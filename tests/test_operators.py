@@ -153,6 +153,7 @@ def brute_tokens(text, vocabulary):
     while i < len(text):
         hit = next((text[i:j] for j in range(len(text), i, -1) if text[i:j] in vocabulary), None)
         if hit is None:
+            out += [vocabulary[f"<0x{b:02X}>"] for b in text[i].encode()]
             i += 1
         else:
             out.append(vocabulary[hit])
@@ -161,13 +162,17 @@ def brute_tokens(text, vocabulary):
 
 
 def test_tokenize_is_leftmost_longest(spark):
-    vocabulary = K.number_vocabulary(spark, "triple", ["a", "ab", "abc", "b", "bcd", " ", "<", "\n"])
+    vocabulary = K.number_vocabulary(spark, "triple", ["a", "ab", "abc", "b", "bcd", " ", "<", "\n"], byte_fallback=True)
     table = {r.token: r.token_id for r in vocabulary.collect()}
     rng = random.Random(4)
-    texts = ["".join(rng.choice(["a", "b", "c", "d", " ", "1", "0", "7", "<", "<|eoq|>", "\n", "z"]) for _ in range(30)) for _ in range(60)] + ["", "1007"]
+    texts = ["".join(rng.choice(["a", "b", "c", "d", " ", "1", "0", "7", "<", "<|eoq|>", "\n", "z", "é", "漢"]) for _ in range(30)) for _ in range(60)] + ["", "1007"]
     got = K.tokenize(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), vocabulary).collect()
     for r in got:
         assert list(r.tokens) == brute_tokens(r.text, table)
+    short = K.number_vocabulary(spark, "triple", ["a"])
+    assert list(K.tokenize(spark.createDataFrame([("az",)], "text string"), short, unknown=7).first().tokens)[1:] == [7]
+    with pytest.raises(Exception, match="no entry for 'z'"):
+        K.tokenize(spark.createDataFrame([("az",)], "text string"), short).collect()
     t = K.tokenize_numbers(spark.createDataFrame([("a 12.5 b -3",)], "text string"), K.number_vocabulary(spark, "number", ["a", "b", " "])).first()
     assert list(t.token_numbers) == [0, 0, 12.5, 0, 0, 0, -3.0] or list(t.token_numbers) == [0, 0, 12.5, 0, 0, 0, -3]
 
