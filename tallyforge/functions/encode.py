@@ -131,6 +131,13 @@ def fourier_periods(int_digits: int = 17, frac_digits: int = 32, bases: tuple[in
     return sorted({float(Fraction(b) ** e) for b, exponents in ranges.items() for e in exponents})
 
 
+def bit_profile(df: DataFrame, bits: str, source: list[str], width: int = 64) -> DataFrame:
+    """Share of ones at every place (from 1) of a column of bit texts, and the number of different texts, by source."""
+    ones = [F.avg((F.substring(bits, i, 1) == "1").cast("double")) for i in range(1, width + 1)]
+    g = df.groupBy(*source).agg(F.array(*ones).alias("_ones"), F.countDistinct(bits).alias("n_distinct"))
+    return g.select(*source, F.posexplode("_ones").alias("_at", "share"), "n_distinct").select(*source, (F.col("_at") + 1).alias("place"), "share", "n_distinct")
+
+
 def number_fourier(x: Column | str, periods: list[float]) -> Column:
     """Cosine and sine of the number for every period, in turn; zeros for the number 0."""
     x = _col(x).cast("double")

@@ -15,8 +15,8 @@ from tallyforge import constants as C
 from tallyforge.functions import difficulty as D
 from tallyforge.functions.text import base2_text, fixed_point, round_bits, sig_digits
 from tallyforge.operators import draw as W
-from tallyforge.operators.prefix import ranked_by_hash, running_totals
-from tallyforge.session import shared_dir
+from tallyforge.operators.prefix import hash_slice, ranked_by_hash, running_totals
+from tallyforge.session import bucket_count, shared_dir
 
 CHUNK = 10_000
 
@@ -541,9 +541,32 @@ def dedupe_problems(df: DataFrame, keys: list[str] | None = None, order: Column
 
 
 def exact_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """n rows without replacement: those of smallest hash, found by counting per hash slice."""
-    t = ranked_by_hash(df, [], F.xxhash64(F.lit(seed), *keys), keys, "_rn")
-    return t.filter(F.col("_rn") <= n).drop("_rn")
+    """n rows without replacement: those of smallest hash.
+
+    Hash slices are counted first. Slices below the cut are kept as they are, and only the slice at the cut is ranked.
+    """
+    slices = max(64, bucket_count(df))
+    t = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
+    t = t.withColumn("_slice", hash_slice(F.col("_h"), slices))
+    # one row per slice
+    before = F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    sizes = t.groupBy("_slice").agg(F.count("*").alias("_n")).select(F.col("_slice").alias("_s"), "_n", before.alias("_before"))
+    joined = t.join(F.broadcast(sizes.filter(F.col("_before") < n)), F.col("_slice") == F.col("_s"))
+    whole = joined.filter(F.col("_before") + F.col("_n") <= n)
+    cut = joined.filter(F.col("_before") + F.col("_n") > n)
+    rank = F.row_number().over(Window.partitionBy("_slice").orderBy("_h", *keys))
+    cut = cut.withColumn("_rn", rank).filter(F.col("_before") + F.col("_rn") <= n)
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+
+
+def split_leak_check(train: DataFrame, *held_out: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Training problems that no held-out split has; the keys default to what makes a problem."""
+    keys = keys or problem_keys(train)
+    for split in held_out:
+        found = split.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        train = train.join(found, same, "left_anti")
+    return train
 
 
 def generate_until(spark: SparkSession, task: str, n: int, split: str = "train", settings: Settings = Settings(), seed: int = 42,

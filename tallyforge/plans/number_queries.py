@@ -331,6 +331,17 @@ def number_bits(spark, sf):
     return t.withColumn("back", E.bits_value("bits64"))
 
 
+@query("bit_profile", """
+WITH b AS (SELECT l_returnflag, CAST(CAST(l_extendedprice AS DOUBLE) AS BIT)::VARCHAR AS bits FROM lineitem),
+  n AS (SELECT l_returnflag, count(DISTINCT bits) AS n_distinct FROM b GROUP BY ALL),
+  p AS (SELECT l_returnflag, bits, unnest(range(1, 65)) AS place FROM b)
+SELECT l_returnflag, CAST(place AS INT) AS place, round(avg(CASE WHEN substr(bits, CAST(place AS INT), 1) = '1' THEN 1.0 ELSE 0.0 END), 9) AS share, any_value(n_distinct) AS n_distinct
+FROM p JOIN n USING (l_returnflag) GROUP BY l_returnflag, place""")
+def bit_profile(spark, sf):
+    t = table(spark, sf, "lineitem").select("l_returnflag", E.number_bits("l_extendedprice").alias("bits"))
+    return E.bit_profile(t, "bits", ["l_returnflag"]).withColumn("share", F.round("share", 9))
+
+
 @query("number_digits10", f"""
 WITH s AS (SELECT {KEY_SQL}, l_extendedprice AS x, CAST(floor(log10(l_extendedprice)) AS INT) AS e FROM lineitem)
 SELECT {KEY_SQL}, '1' || CAST(e + 500 AS VARCHAR) || right('00' || CAST(CAST(round_even(x / pow(10.0, e) * 1e16, 0) AS BIGINT) AS VARCHAR), 17) AS digits FROM s""")

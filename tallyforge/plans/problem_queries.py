@@ -284,6 +284,13 @@ def publish_columns(spark, sf):
     return P.publish(P.to_prompts(t, "Addition"), "test")
 
 
+@query("split_leak_check", with_views("v_problems") + f"""
+SELECT {KEY_SQL} FROM v_problems t WHERE l_suppkey % 10 > 1 AND NOT EXISTS (SELECT 1 FROM v_problems h WHERE h.l_suppkey % 10 <= 1 AND h.num1 = t.num1 AND h.num2 = t.num2)""")
+def split_leak_check(spark, sf):
+    t, split = view(spark, sf, "v_problems"), F.col("l_suppkey") % 10
+    return G.split_leak_check(t.filter(split > 1), t.filter(split == 0), t.filter(split == 1), keys=["num1", "num2"]).select(*KEY)
+
+
 @query("bounds_filter", with_views("v_lists") + f""",
   v AS (SELECT {KEY_SQL}, [CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE)] AS l FROM v_lists)
 SELECT {KEY_SQL} FROM v WHERE len([x FOR x IN l IF x = 0 OR (abs(x) >= 1000 AND abs(x) < 90000)]) = 3 AND len(list_distinct(l)) = 3""")

@@ -45,6 +45,17 @@ def read_text_corpus(spark: SparkSession, path: str, sep: str = DOCUMENT_SEPARAT
     return spark.read.option("lineSep", sep).text(path).select(F.col("value").alias("text"))
 
 
+#: Readers by type of data set; each takes a session, a path and its own options.
+READERS = {"prompts": read_problems, "documents": read_documents, "text": read_text_corpus}
+
+
+def read_dataset(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
+    """A data set of a registered type."""
+    if kind not in READERS:
+        raise ValueError(f"unknown type of data set: {kind}; known are {', '.join(sorted(READERS))}")
+    return READERS[kind](spark, path, **options)
+
+
 def write_text_corpus(df: DataFrame, path: str, sep: str = DOCUMENT_SEPARATOR, mode: str = "errorifexists") -> None:
     df.select("text").write.mode(mode).option("lineSep", sep).text(path)
 

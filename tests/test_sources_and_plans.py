@@ -39,6 +39,13 @@ def test_discover_results(spark, tmp_path):
     assert [tuple(r) for r in S.run_pairs(pairs).collect()] == [("a_gemini_H1.csv", "a_gemini_H2.csv", "a_gemini_high.csv")]
 
 
+def test_read_dataset(spark, tmp_path):
+    spark.range(3).selectExpr("string(id) as text").write.parquet(f"{tmp_path}/docs")
+    assert sorted(r.text for r in S.read_dataset(spark, "documents", f"{tmp_path}/docs").collect()) == ["0", "1", "2"]
+    with pytest.raises(ValueError, match="unknown type"):
+        S.read_dataset(spark, "images", str(tmp_path))
+
+
 def test_content_key(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "i int, t string")
     key = lambda df: S.content_key(df).first().content_key
