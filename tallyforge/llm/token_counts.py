@@ -109,7 +109,7 @@ class Counted:
             chars.append(len(piece))
             tokens.append(piece)
             end += len(piece)
-        counts = counted(tokens, cache)
+        counts = cache.sizes(tokens)
         self.read += len(chars)
         groups = leaf - first
         if len(chars) > 4 * LEAF * max(1, groups) or groups == 0:
@@ -140,16 +140,12 @@ def scanner(text: str, begin: int, pattern: str) -> Iterator[str]:
     return (m[0] for m in regex.compile(pattern).finditer(text, begin))
 
 
-def counted(pieces: list[str], cache: TokenCache) -> np.ndarray:
-    return np.array([len(raw) // cache.dtype.itemsize for raw in cache.each(pieces)], np.int64)
-
-
 def measured(text: str, cache: TokenCache, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """(characters, tokens) of each piece of a text."""
     pieces = cache.cut_plain(text)
     if pieces is None:
         pieces = list(scanner(text, 0, pattern))
-    return np.fromiter(map(len, pieces), np.int64, len(pieces)), counted(pieces, cache)
+    return np.fromiter(map(len, pieces), np.int64, len(pieces)), cache.sizes(pieces)
 
 
 def tree(vocabulary: str, pattern: str, text: Column | str = "text") -> Column:

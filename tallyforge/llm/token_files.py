@@ -35,20 +35,20 @@ class _Sequences:
         self.writer, self.dtype = pa.ipc.new_stream(sink, self.schema), dtype
         self.waiting, self.n, self.n_sequences = [], 0, 0
 
-    def add(self, raw: bytes) -> None:
-        self.waiting.append(raw)
-        self.n += len(raw) // self.dtype.itemsize
+    def add(self, ids: np.ndarray) -> None:
+        self.waiting.append(ids)
+        self.n += len(ids)
         if self.n >= WIDTH * ROWS:
-            ids = np.frombuffer(b"".join(self.waiting), self.dtype)
+            ids = np.concatenate(self.waiting)
             whole = len(ids) // (WIDTH * ROWS) * WIDTH * ROWS
             for at in range(0, whole, WIDTH * ROWS):
                 self._batch(ids[at : at + WIDTH * ROWS], WIDTH * ROWS)
-            self.waiting, self.n = [ids[whole:].tobytes()], len(ids) - whole
+            self.waiting, self.n = [ids[whole:]], len(ids) - whole
 
     def close(self) -> None:
         if self.n:
             ids = np.zeros(-(-self.n // WIDTH) * WIDTH, self.dtype)
-            ids[: self.n] = np.frombuffer(b"".join(self.waiting), self.dtype)
+            ids[: self.n] = np.concatenate(self.waiting)
             self._batch(ids, self.n)
         self.writer.close()
 
@@ -67,15 +67,16 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int | No
     """
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, shard = token_cache(vocabulary), TaskContext.get().partitionId()
-        end = b"" if end_id is None else np.array([end_id], cache.dtype).tobytes()
+        end = np.array([] if end_id is None else [end_id], cache.dtype)
         keys, sizes = [], []
         with committed(folder, f"ids-{shard:06d}.arrow") as sink:
             out = _Sequences(sink, cache.dtype)
             for batch in batches:
                 keys += batch["id"].tolist()
-                for raw in cache.raw(batch["text"].tolist()):
-                    out.add(raw + end)
-                    sizes.append((len(raw) + len(end)) // cache.dtype.itemsize)
+                for ids in cache.ids(batch["text"].tolist()):
+                    out.add(ids)
+                    out.add(end)
+                    sizes.append(len(ids) + len(end))
             out.close()
         if not keys:
             return

@@ -2,20 +2,21 @@
 
 Both vocabularies cut a text into pre-tokens before any merge, so the ids of a text are the ids of its pre-tokens, joined.
 `TokenCache` cuts at places that are pre-token borders for certain (beside a run of plain letters, or before white space),
-asks the library for each new piece once, and keeps the answers up to a fixed number of pieces. Texts with characters
+asks the library for each new piece once (plain words go straight to its model, if that gives the same ids), and keeps the answers up to a fixed number of pieces. Texts with characters
 outside ASCII and Latin letters go to the library whole.
 """
 from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Beyond these characters, Python's classes and the vocabulary's may differ.
 _PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ɏ]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 #: A run of letters with the space before it, a mark that ends a word, or all up to the next white space.
 _PIECES = re.compile(rf" ?{_LETTER}++(?!')|(?<={_LETTER})[.,;:!?](?=[ \n])|\s*\S+|\s+")
@@ -28,96 +29,123 @@ _OPEN: dict[tuple[str, int], TokenCache] = {}
 
 
 class TokenCache:
-    """Encodes texts as unsigned ids; `pieces` bounds how many pieces are remembered."""
+    """Encodes texts as unsigned ids; `pieces` bounds how many pieces are remembered, the latest used stay."""
 
-    def __init__(self, path: str, pieces: int = 1_000_000):
+    def __init__(self, path: str, pieces: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.pieces = pieces
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.loose = self._list("hello") == self._list(" Hello") and self._list("a\n b") == self._list("A b ")
         self.cut = _LOOSE_PIECES.findall if self.loose else _PIECES.findall
-        self.joint, self.joint_id = next(((sep, own) for sep in ("\n", " | ") if (own := self._own_id(sep)) is not None), (None, None))
+        self.letters = self._letters()
+        self.index: dict[str, int] = {}
+        self.batch = self.n_ids = 0
+        self.flat = np.empty(1 << 16, self.dtype)  # ids of all pieces, and each piece's part of them
+        self.start, self.size, self.used = (np.zeros(1 << 14, np.int32) for _ in range(3))
 
     def _list(self, text: str) -> list[int]:
         return self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _own_id(self, sep: str) -> int | None:
-        """The one id that `sep` gives between two words, if it changes nothing else."""
-        a, b, both = self._list(" hello"), self._list(" world"), self._list(f" hello{sep} world")
-        middle = both[len(a) : len(both) - len(b)]
-        return middle[0] if len(middle) == 1 and both == [*a, *middle, *b] else None
+    def _letters(self) -> dict[int, str] | None:
+        """How the vocabulary's model sees a space and each plain letter, if words may go to it without the steps before it."""
+        plain = [c for c in map(chr, range(0x250)) if _WORD.fullmatch(c) and (c == c.lower() or not self.loose)]
+        seen = {ord(c): "".join(part for part, _ in self.lib.pre_tokenizer.pre_tokenize_str(c)) for c in plain}
+        if not self.loose:
+            seen[ord(" ")] = self.lib.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
+        samples = [w.lower() if self.loose else " " * (i % 2) + w for i, w in enumerate(["Hello", "world", "déjà", "Straße", "a", "É", *("x" + c for c in plain)])]
+        agree = all([t.id for t in self.lib.model.tokenize(w.translate(seen))] == self._list(w) for w in samples)
+        return seen if agree else None
+
+    def _add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, total = len(self.index), len(self.index) + len(pieces)
+        while total > len(self.start):
+            self.start, self.size, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.used))
+        while self.n_ids + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.n_ids : self.n_ids + len(ids)] = ids
+        self.start[n:total] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[n:total] = sizes
+        self.n_ids += len(ids)
+        self.index.update(zip(pieces, range(n, total)))
 
     def _learn(self, pieces: list[str]) -> None:
-        """Adds pieces; once the newer half is full it becomes the older one, and the pieces in use are carried over."""
-        if len(self.known) + len(pieces) > self.pieces // 2:
-            self.older, self.known = self.known, {}
-        fresh = []
-        for p in pieces:
-            raw = self.older.get(p)
-            if raw is None:
-                fresh.append(p)
-            else:
-                self.known[p] = raw
-        words = [p for p in fresh if _WORD.fullmatch(p)] if self.joint else []
+        words = [p for p in pieces if _WORD.fullmatch(p)] if self.letters else []
         if words:
-            ids = np.array(self._list(self.joint.join(words)), self.dtype)
-            ends = [*np.flatnonzero(ids == self.joint_id).tolist(), len(ids)]
-            if len(ends) == len(words):
-                raw, width, at = ids.tobytes(), self.dtype.itemsize, 0
-                for w, end in zip(words, ends):
-                    self.known[w] = raw[at * width : end * width]
-                    at = end + 1
-                fresh = [p for p in fresh if p not in self.known]
-        for p, found in zip(fresh, self.lib.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[p] = array(self.code, found.ids).tobytes()
+            tokenize = self.lib.model.tokenize
+            found = [[t.id for t in tokenize(w.translate(self.letters))] for w in words]
+            self._add_lists(words, found)
+            pieces = [p for p in pieces if p not in self.index]
+        if pieces:
+            self._add_lists(pieces, [x.ids for x in self.lib.encode_batch_fast(pieces, add_special_tokens=False)])
+
+    def _add_lists(self, pieces: list[str], found: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(pieces, sizes, np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())))
+
+    def _forget(self) -> None:
+        """Keeps the half of the pieces used last."""
+        n = len(self.index)
+        kept = self.used[:n] > np.median(self.used[:n])
+        pieces = [p for p, k in zip(self.index, kept.tolist()) if k]
+        sizes, used = self.size[:n][kept], self.used[:n][kept]
+        ids = self.flat[np.repeat(self.start[:n][kept] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        self.index, self.n_ids = {}, 0
+        self._add(pieces, sizes, ids)
+        self.used[: len(pieces)] = used
+
+    def _places(self, pieces: Sequence[str]) -> np.ndarray:
+        """Numbers of the pieces, all of them known afterwards."""
+        found = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int32, len(pieces))
+        new = np.flatnonzero(found < 0).tolist()
+        if new:
+            learned = list(dict.fromkeys([pieces[i] for i in new]))
+            if self.index and len(self.index) + len(learned) > self.pieces:
+                self._forget()
+                return self._places(pieces)
+            self._learn(learned)
+            found[new] = [self.index[pieces[i]] for i in new]
+        self.batch += 1
+        self.used[found] = self.batch
+        return found
 
     def cut_plain(self, text: str) -> list[str] | None:
         """Pieces of a text, none of which begins or ends inside a pre-token; None if its characters do not allow it."""
-        return None if _PLAIN.search(text) else _PIECES.findall(text)
+        strange = any(c in text for c in _SEPARATORS) if text.isascii() else _PLAIN.search(text)
+        return None if strange else self.cut(text.lower() if self.loose else text)
 
-    def each(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece."""
-        new = set(pieces).difference(self.known)
-        if new:
-            before = self.known
-            self._learn(list(new))
-            if self.known is not before:
-                self._learn(list(set(pieces).difference(self.known)))
-        return [self.known[p] for p in pieces]
+    def sizes(self, pieces: Sequence[str]) -> np.ndarray:
+        """Number of ids of each piece."""
+        places = self._places(pieces)
+        return self.size[places]
 
-    def whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> np.ndarray:
         """The library's own answer for a text, without the memory."""
-        return array(self.code, self._list(text)).tobytes()
+        return np.array(self._list(text), self.dtype)
 
-    def raw(self, texts: Sequence[str | None]) -> Iterator[bytes]:
-        """Little-endian ids of each text, in order; null counts as empty."""
+    def ids(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; null counts as empty."""
         for start in range(0, len(texts), _BATCH):
             part = [t or "" for t in texts[start : start + _BATCH]]
-            cut = [None if _PLAIN.search(t) else self.cut(t.lower() if self.loose else t) for t in part]
-            used = set().union(*(pieces for pieces in cut if pieces))
-            new = used.difference(self.known)
-            if new:
-                before = self.known
-                self._learn(list(new))
-                if self.known is not before:
-                    self._learn(list(used.difference(self.known)))
-            known = self.known.__getitem__
+            cut = [self.cut_plain(t) for t in part]
+            places = self._places(list(chain.from_iterable(c for c in cut if c)))
+            sizes = self.size[places]
+            ends = np.cumsum(sizes, dtype=np.int32)
+            flat = self.flat[np.repeat(self.start[places] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+            ends = np.append(0, ends)
+            piece = 0
             for text, pieces in zip(part, cut):
-                yield self.whole(text) if pieces is None else b"".join(map(known, pieces))
-
-    def ids(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
-        for raw in self.raw(texts):
-            yield np.frombuffer(raw, self.dtype)
+                if pieces is None:
+                    yield self.whole(text)
+                else:
+                    yield flat[ends[piece] : ends[piece + len(pieces)]]
+                    piece += len(pieces)
 
 
-def token_cache(path: str, pieces: int = 1_000_000) -> TokenCache:
+def token_cache(path: str, pieces: int = 800_000) -> TokenCache:
     """The one memory of this Python worker for a vocabulary."""
     key = (path, pieces)
     if key not in _OPEN:
