@@ -108,8 +108,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, page_id: str =
 
     rows = with_originals(pages, least, page_id, url, html).withColumns(
         {"page_id": F.col("page_id").cast("decimal(20,0)"), "refers_to": F.col("refers_to").cast("decimal(20,0)")})
-    spread = rows.repartition(partitions(pages.sparkSession), F.xxhash64("page_id", "url"))
-    return stored(spread.mapInPandas(write, "path string, n_records bigint, n_bytes bigint"), "archives")
+    # the join has dealt the pages out already
+    return stored(rows.mapInPandas(write, "path string, n_records bigint, n_bytes bigint"), "archives")
 
 
 @dataclass
