@@ -38,7 +38,7 @@ def word_hashes(found: list[str]) -> np.ndarray:
 
     known = _HASHES
     new = set(found).difference(known)
-    if len(known) + len(new) > 500_000:
+    if len(known) + len(new) > 300_000:
         known.clear()
         new = set(found)
     for w in new:
@@ -111,6 +111,7 @@ def _document_seeds(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 yield pd.DataFrame({
                     "doc_id": row["doc_id"].astype("Int64").to_numpy(), "tk": row["tk"].to_numpy(),
                     "doc_word": np.concatenate(places).astype(np.int32), "seed": np.concatenate(found).view(np.int64)})
+        _HASHES.clear()  # the worker process may go on with other work
 
     return docs.mapInPandas(cut, "doc_id bigint, tk int, doc_word int, seed bigint")
 
@@ -149,7 +150,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     pairs = stored(hits.groupBy("doc_id", "tk", "item_id").agg(F.collect_set("diagonal").alias("diagonals")), "hits")
     pairs = pairs.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("item_id").alias("_item"), "diagonals")
     with_items = pairs.join(benchmark.select("item_id", F.col("text").alias("item")).distinct(), F.col("_item").eqNullSafe(F.col("item_id")))
-    texts = keyed.distinct().join(with_items, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
+    texts = keyed.join(with_items, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,4 +165,4 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
             yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
     columns = texts.select("doc_id", "tk", "text", "item_id", "item", "diagonals")
-    return columns.mapInPandas(verify, "doc_id bigint, tk int, item_id bigint, first_word int, n_words int, n_equal int")
+    return columns.mapInPandas(verify, "doc_id bigint, tk int, item_id bigint, first_word int, n_words int, n_equal int").distinct()

@@ -72,7 +72,7 @@ def _counts(texts: list[bytes]) -> np.ndarray:
     return np.stack([np.bincount(buckets[a:b], minlength=BUCKETS + 1)[:BUCKETS] for a, b in zip(starts, stops)])
 
 
-def _groups(texts: list[bytes], most: int = 1 << 20, rows: int = 256) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[bytes], most: int = 1 << 18, rows: int = 64) -> Iterator[tuple[int, int]]:
     """Ranges of at most `rows` texts and, unless one text is longer, `most` bytes."""
     begin = size = 0
     for i, t in enumerate(texts):

@@ -31,7 +31,7 @@ BLOCK, FREQUENT = 8, 1024
 #: Rows of a bucket in step 2.
 BUCKET = 20_000
 #: Bytes of text that a task hashes at once, unless one document is longer.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 _GRAM, _CHUNK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -138,7 +138,7 @@ def _stretches(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInPandas(find, "doc_id bigint, tk int, i int, shape int, kh bigint, ch bigint")
 
 
-def _judged(rows: DataFrame, part: str, whole: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _judged(rows: DataFrame, part: str, whole: str) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """Of rows with a hash of what all their windows share (`part`) and of all they cover (`whole`): those whose whole recurs;
     and one of each different whole whose part recurs in another, few of one part and many. All others have no repeated window
     or are like one of these. Last, the table they are read from."""
@@ -147,14 +147,17 @@ def _judged(rows: DataFrame, part: str, whole: str) -> tuple[DataFrame, DataFram
     distinct = stored(rows.groupBy(part, whole).agg(F.count(F.lit(1)).alias("times"), *one), "distinct")
     again = distinct.where("times > 1").select(F.col(part).alias("_p"), F.col(whole).alias("_w"))
     repeated = rows.join(again, (F.col(part) == F.col("_p")) & (F.col(whole) == F.col("_w")), "left_semi")
-    kinds = distinct.groupBy(F.col(part).alias("_p")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    kinds = stored(distinct.groupBy(F.col(part).alias("_p")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
     open_ = distinct.join(kinds, F.col(part) == F.col("_p")).select(part, whole, *cols, "kinds")
     few, many = (open_.where(F.col("kinds") <= FREQUENT), open_.where(F.col("kinds") > FREQUENT))
-    return repeated, few.drop("kinds"), many.drop("kinds"), distinct
+    return repeated, few.drop("kinds"), many.drop("kinds"), [distinct, kinds]
 
 
 def _with_text(rows: DataFrame, keyed: DataFrame, columns: list[str]) -> DataFrame:
-    """Documents that have rows, with the list of their rows (a document has no more of them than bytes)."""
+    """Documents that have rows, with the list of their rows (a document has no more of them than bytes).
+
+    A document that is there twice comes twice. That changes nothing: all its stretches recur, so its windows are known to repeat.
+    """
     lists = rows.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
     one_each = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
     return one_each.select("doc_id", "tk", "text", "rows")
@@ -340,23 +343,24 @@ def repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: st
         raise ValueError("length must be from 2 to 32767")
     keyed = _keyed(docs, doc_id, text)
     found = stored(_stretches(keyed, length, gram), "all-stretches")
-    twice = found.groupBy(F.col("kh").alias("_kh")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("_kh")
+    # stored, so that the join reads both sides by shuffles of its own and can split a frequent gram
+    twice = stored(found.groupBy(F.col("kh").alias("_kh")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("_kh"), "grams")
     candidates = stored(found.join(twice, F.col("kh") == F.col("_kh"), "left_semi"), "stretches")
-    discard(found)
+    discard(found, twice)
     whole, few, many, distinct = _judged(candidates, "kh", "ch")
-    used = [candidates, distinct]
+    used = [candidates, *distinct]
     windows = F.shiftright("shape", 16).alias("n")
     columns = ["doc_id", "tk", "i", "n"]
-    borders = stored(_borders(_with_text(few, keyed.distinct(), ["i", "shape"]), length), "borders")
+    borders = stored(_borders(_with_text(few, keyed, ["i", "shape"]), length), "borders")
     parts = [whole.select("doc_id", "tk", "i", windows), _sorted_borders(borders, length, gram)]
     many = stored(many, "frequent")
     used += [borders, many]
     if not many.isEmpty():
-        blocks = stored(_blocks(_with_text(many, keyed.distinct(), ["i", "shape", "kh"]), length), "blocks")
+        blocks = stored(_blocks(_with_text(many, keyed, ["i", "shape", "kh"]), length), "blocks")
         block_whole, block_few, block_many, block_distinct = _judged(blocks, "kh", "ch")
         open_ = block_few.unionByName(block_many)
-        ends = stored(_sorted_buckets(_suffixes(_with_text(open_, keyed.distinct(), ["i", "n"]), length), length), "suffixes")
-        used += [blocks, block_distinct, ends]
+        ends = stored(_sorted_buckets(_suffixes(_with_text(open_, keyed, ["i", "n"]), length), length), "suffixes")
+        used += [blocks, *block_distinct, ends]
         # a suffix at the end of as many buckets as it fills
         met = ends.where("end").groupBy("suffix").agg(F.count(F.lit(1)).alias("times"), F.collect_list(F.struct("doc_id", "tk", "i")).alias("rows"))
         met = met.where("times > 1").select(F.inline("rows"))
