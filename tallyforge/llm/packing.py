@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyforge.llm.shared import partitions, stored
 from tallyforge.llm.tokens import token_cache
@@ -36,9 +35,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, context:
     def cut(batches: Iterator) -> Iterator[pd.DataFrame]:
         cache = token_cache(vocabulary)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for part in (batch.iloc[at : at + 256] for batch in batches for at in range(0, len(batch), 256)):
             out: list[tuple] = []
-            for key, ids in zip(batch["id"], cache.ids(batch["text"].tolist())):
+            for key, ids in zip(part["id"], cache.ids(part["text"].tolist())):
                 raw = ids.astype("<u4").tobytes() + end
                 out += [(key, i, at, n, raw[4 * at : 4 * (at + n)]) for i, (at, n) in enumerate(cut_points(len(raw) // 4, context))]
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"])
@@ -134,20 +133,22 @@ def pack(pieces: DataFrame, context: int = 1024) -> DataFrame:
         first_sequence += times
     table = {n: np.array(rows, np.int64) for n, rows in lengths.items()}
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            length, rank = batch["length"].to_numpy(np.int64), batch["_rank"].to_numpy(np.int64)
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for lengths, ranks in batches:
+            length, rank = lengths.to_numpy(np.int64), ranks.to_numpy(np.int64)
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for n in np.unique(length):
                 mine, plan_n = length == n, table[int(n)]
                 row = plan_n[np.searchsorted(plan_n[:, 0], rank[mine], side="right") - 1]
                 inside = rank[mine] - row[:, 0]
                 sequence[mine] = row[:, 2] + inside // row[:, 1]
                 offset[mine] = row[:, 3] + inside % row[:, 1] * n
-            yield batch.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
+            yield pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    placed = numbered(fits, "length", "_rank").mapInPandas(place, schema)
+    # only lengths and numbers go to Python; ids stay where they are
+    placed = numbered(fits, "length", "_rank").withColumn("_place", place("length", "_rank"))
+    placed = placed.select(*pieces.columns, "_place.sequence_id", "_place.offset")
     rest = pieces.where(F.coalesce(F.col("length") <= 0, F.lit(True)))
     return placed.unionByName(rest.withColumns({"sequence_id": F.lit(None).cast("bigint"), "offset": F.lit(None).cast("bigint")}))
 
