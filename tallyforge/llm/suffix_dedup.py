@@ -163,28 +163,42 @@ def _with_text(rows: DataFrame, keyed: DataFrame, columns: list[str]) -> DataFra
     return one_each.select("doc_id", "tk", "text", "rows")
 
 
-def _blocks(texts: DataFrame, length: int) -> DataFrame:
-    """Blocks of BLOCK windows of the listed stretches, on a grid from the anchor."""
+def _blocks(data: np.ndarray, rows: list, length: int) -> tuple[np.ndarray, ...]:
+    """(first window, windows, hash of what they share, hash of what they cover) of blocks of BLOCK windows, on a grid from the anchor."""
+    i, shape, kh = (np.array([r[c] for r in rows], np.int64) for c in ("i", "shape", "kh"))
+    n, p = shape >> 16, i + (shape & 0xFFFF)
+    low, high = (p - i - n + 1) // BLOCK, (p - i) // BLOCK
+    many = high - low + 1
+    row = np.repeat(np.arange(len(i)), many)
+    grid = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + low[row]
+    first = np.maximum(p[row] - grid * BLOCK - BLOCK + 1, i[row])
+    last = np.minimum(p[row] - grid * BLOCK, i[row] + n[row] - 1)
+    prefix = _prefix(data, _CHUNK)
+    core = _hashes(prefix, _CHUNK, p[row] - grid * BLOCK, p[row] - grid * BLOCK - BLOCK + 1 + length)
+    whole = _hashes(prefix, _CHUNK, first, last + length)
+    return first, last - first + 1, core.view(np.int64) ^ kh[row], whole.view(np.int64)
+
+
+def _pieces(texts: DataFrame, length: int) -> DataFrame:
+    """Of the listed stretches the bytes, or for those of a frequent gram their blocks (then bytes is null)."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, tk, text, rows in zip(batch["doc_id"].astype("Int64"), batch["tk"], batch["text"], batch["rows"]):
-                data = np.frombuffer(text.encode(), np.uint8)
-                i, shape, kh = (np.array([r[c] for r in rows], np.int64) for c in ("i", "shape", "kh"))
-                n, p = shape >> 16, i + (shape & 0xFFFF)
-                low, high = (p - i - n + 1) // BLOCK, (p - i) // BLOCK
-                many = high - low + 1
-                row = np.repeat(np.arange(len(i)), many)
-                grid = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + low[row]
-                first = np.maximum(p[row] - grid * BLOCK - BLOCK + 1, i[row])
-                last = np.minimum(p[row] - grid * BLOCK, i[row] + n[row] - 1)
-                prefix = _prefix(data, _CHUNK)
-                core = _hashes(prefix, _CHUNK, p[row] - grid * BLOCK, p[row] - grid * BLOCK - BLOCK + 1 + length)
-                whole = _hashes(prefix, _CHUNK, first, last + length)
-                yield pd.DataFrame({
-                    "doc_id": pd.array([doc_id] * len(row), "Int64"), "tk": np.full(len(row), tk, np.int32), "i": first.astype(np.int32), "n": (last - first + 1).astype(np.int32),
-                    "kh": core.view(np.int64) ^ kh[row], "ch": whole.view(np.int64)})
+                data = text.encode()
+                few, many = [r for r in rows if not r["frequent"]], [r for r in rows if r["frequent"]]
+                if few:
+                    i, shape = (np.array([r[c] for r in few], np.int32) for c in ("i", "shape"))
+                    none = np.zeros(len(i), np.int64)
+                    yield pd.DataFrame({
+                        "doc_id": pd.array([doc_id] * len(i), "Int64"), "tk": np.full(len(i), tk, np.int32), "i": i, "n": shape >> 16, "anchor": shape & 0xFFFF,
+                        "kh": none, "ch": none, "bytes": [data[a : a + b - 1 + length] for a, b in zip(i.tolist(), (shape >> 16).tolist())]})
+                if many:
+                    first, n, core, whole = _blocks(np.frombuffer(data, np.uint8), many, length)
+                    yield pd.DataFrame({
+                        "doc_id": pd.array([doc_id] * len(n), "Int64"), "tk": np.full(len(n), tk, np.int32), "i": first.astype(np.int32), "n": n.astype(np.int32),
+                        "anchor": np.zeros(len(n), np.int32), "kh": core, "ch": whole, "bytes": None})
 
-    return texts.mapInPandas(cut, "doc_id bigint, tk int, i int, n int, kh bigint, ch bigint")
+    return texts.mapInPandas(cut, "doc_id bigint, tk int, i int, n int, anchor int, kh bigint, ch bigint, bytes binary")
 
 
 def _suffixes(texts: DataFrame, length: int) -> DataFrame:
@@ -273,20 +287,6 @@ def equal_windows(stretches: list[bytes], anchor: np.ndarray, length: int) -> np
     return out
 
 
-def _borders(texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of the listed stretches."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, tk, text, rows in zip(batch["doc_id"].astype("Int64"), batch["tk"], batch["text"], batch["rows"]):
-                data = text.encode()
-                i, shape = (np.array([r[c] for r in rows], np.int32) for c in ("i", "shape"))
-                yield pd.DataFrame({
-                    "doc_id": pd.array([doc_id] * len(i), "Int64"), "tk": np.full(len(i), tk, np.int32), "i": i, "anchor": shape & 0xFFFF,
-                    "bytes": [data[a : a + b - 1 + length] for a, b in zip(i.tolist(), (shape >> 16).tolist())]})
-
-    return texts.mapInPandas(cut, "doc_id bigint, tk int, i int, anchor int, bytes binary")
-
-
 def _sorted_borders(borders: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, tk, i, n): runs of windows that also stand in another stretch."""
     n = max(partitions(borders.sparkSession), borders.count() // BUCKET + 1)
@@ -351,16 +351,17 @@ def repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: st
     used = [candidates, *distinct]
     windows = F.shiftright("shape", 16).alias("n")
     columns = ["doc_id", "tk", "i", "n"]
-    borders = stored(_borders(_with_text(few, keyed, ["i", "shape"]), length), "borders")
+    listed = few.withColumn("frequent", F.lit(False)).unionByName(many.withColumn("frequent", F.lit(True)))
+    pieces = stored(_pieces(_with_text(listed, keyed, ["i", "shape", "kh", "frequent"]), length), "borders")
+    used.append(pieces)
+    borders = pieces.where("bytes is not null").select("doc_id", "tk", "i", "anchor", "bytes")
+    blocks = pieces.where("bytes is null").select("doc_id", "tk", "i", "n", "kh", "ch")
     parts = [whole.select("doc_id", "tk", "i", windows), _sorted_borders(borders, length, gram)]
-    many = stored(many, "frequent")
-    used += [borders, many]
-    if not many.isEmpty():
-        blocks = stored(_blocks(_with_text(many, keyed, ["i", "shape", "kh"]), length), "blocks")
+    if not blocks.isEmpty():
         block_whole, block_few, block_many, block_distinct = _judged(blocks, "kh", "ch")
         open_ = block_few.unionByName(block_many)
         ends = stored(_sorted_buckets(_suffixes(_with_text(open_, keyed, ["i", "n"]), length), length), "suffixes")
-        used += [blocks, *block_distinct, ends]
+        used += [*block_distinct, ends]
         # a suffix at the end of as many buckets as it fills
         met = ends.where("end").groupBy("suffix").agg(F.count(F.lit(1)).alias("times"), F.collect_list(F.struct("doc_id", "tk", "i")).alias("rows"))
         met = met.where("times > 1").select(F.inline("rows"))
