@@ -23,6 +23,8 @@ from tallyforge.llm.shared import discard, partitions, stored, text_key
 
 #: Rows of a bucket that one task compares at once.
 SLICE = 4096
+#: Shingles of the texts of a slice, where texts are compared.
+SLICE_SHINGLES = 1_000_000
 #: Relative costs in the choice of parts: moving a probe, and comparing a pair.
 PROBE_COST, PAIR_COST = 200.0, 1.0
 
@@ -235,6 +237,13 @@ def bucket_links(keys: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int,
     return a, b
 
 
+def _cells(place: Column) -> Column:
+    """A large bucket's slices meet two by two: each row goes to as many cells as there are `slices` (null: one cell)."""
+    mine = F.pmod(place, F.col("slices"))
+    return F.when(F.col("slices").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1), lambda j: F.least(mine, j) * F.col("slices") + F.greatest(mine, j)))
+
+
 def near_links(nodes: DataFrame, radius: int = 4, tiers: Sequence[int] = ()) -> DataFrame:
     """(a, b): ids of rows of `nodes` (id, fp) whose fingerprints lie within `radius`, as many as join all that such pairs join.
 
@@ -254,11 +263,7 @@ def near_links(nodes: DataFrame, radius: int = 4, tiers: Sequence[int] = ()) ->
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE)
     large = sizes.select(F.col("key").alias("large"), F.ceil(F.col("n") / SLICE).alias("slices"))
     met = rows.join(large, F.col("key") == F.col("large"), "left")
-    # a large bucket's slices meet two by two: each row goes to as many cells as there are slices
-    mine = F.pmod(F.xxhash64("id", "key"), F.col("slices"))
-    cells = F.when(F.col("slices").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1), lambda j: F.least(mine, j) * F.col("slices") + F.greatest(mine, j)))
-    cells = met.select("key", *columns, "own", F.explode(cells).alias("cell"))
+    cells = met.select("key", *columns, "own", F.explode(_cells(F.xxhash64("id", "key"))).alias("cell"))
     dealt = cells.select(F.xxhash64("key", "cell").alias("key"), *columns, "own")
     dealt = dealt.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "id")
 
@@ -303,36 +308,104 @@ WORD_RADIUS, SHINGLE_TIERS = 10, (6, 10, 14)
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(id, doc_id, tk, fp, check) of rows (id, doc_id, tk, text)."""
+    """(id, doc_id, tk, fp, check, n) of rows (id, doc_id, tk, text); n is the number of shingles, repeats included."""
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = [simhash(set((t or "").encode().lower().split())) for t in batch["text"]]
-            check = [simhash(set(shingles(t, words))) for t in batch["text"]]
+            parts = [shingles(t, words) for t in batch["text"]]
+            check, n = [simhash(set(p)) for p in parts], [len(p) for p in parts]
             yield pd.DataFrame({
-                "id": batch["id"], "doc_id": batch["doc_id"].astype("Int64"), "tk": batch["tk"], "fp": np.array(fp, np.int64), "check": np.array(check, np.int64)})
+                "id": batch["id"], "doc_id": batch["doc_id"].astype("Int64"), "tk": batch["tk"], "fp": np.array(fp, np.int64), "check": np.array(check, np.int64), "n": n})
+
+    return rows.mapInPandas(sketch, "id bigint, doc_id bigint, tk int, fp bigint, check bigint, n bigint")
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """64-bit hashes of the different shingles of a text, sorted."""
+    import xxhash
+
+    found = set(shingles(text, words))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), np.uint64, len(found)))
 
-    return rows.mapInPandas(sketch, "id bigint, doc_id bigint, tk int, fp bigint, check bigint")
 
+def similar_rows(sets: Sequence[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between rows whose sorted sets have that Jaccard similarity or more, as many as join all that such pairs join.
 
-def similar_links(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts (id, text) have shingle sets of that Jaccard similarity or more; texts without a word have none."""
-    ids = links.select(F.col("a").alias("_id")).unionByName(links.select(F.col("b").alias("_id"))).distinct()
+    Two such sets share a member among the few rarest of each (all but `similarity` of it, and one), so only rows that do are
+    compared, each pair once and on the whole sets. Pairs that links join already are left out. Empty sets have no links.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if len(sets) < 2 or not sizes.any():
+        return []
+    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(count), np.int64)
+    rarity[np.argsort(count, kind="stable")] = np.arange(len(count))
+    row = np.repeat(np.arange(len(sets)), sizes)
+    member = rarity[value]
+    order = np.lexsort((member, row))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    read = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    chosen = order[(place < read[row]) & (count[value[order]] > 1)]
+    chosen = chosen[np.lexsort((row[chosen], sizes[row[chosen]], member[chosen]))]
+    row, member = row[chosen], member[chosen]
+    group = np.cumsum(np.diff(member, prepend=-1) != 0) - 1
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    label, links = np.arange(len(sets)), []
+    seen = np.zeros((len(sets), len(sets)), bool)
+    at, step = np.arange(len(row)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(row)]
+        # sizes grow within a group, so what is too large now stays so
+        at = at[(group[at] == group[at + step]) & (sizes[row[at]] >= similarity * sizes[row[at + step]] - 1e-9)]
+        x, y = np.minimum(row[at], row[at + step]), np.maximum(row[at], row[at + step])
+        new = (label[x] != label[y]) & ~seen[x, y]
+        x, y = x[new], y[new]
+        seen[x, y] = True
+        joined = len(links)
+        for i, j in sorted(set(zip(x.tolist(), y.tolist()))):
+            if label[i] != label[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                    links.append((i, j))
+                    label[label == label[j]] = label[i]
+        if len(links) > joined:  # groups whose rows are all joined have nothing left to find
+            mine = label[row]
+            at = at[(np.minimum.reduceat(mine, starts) != np.maximum.reduceat(mine, starts))[group[at]]]
+    return links
+
+
+def similar_links(roots: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between texts (id, text) of equal root whose shingle sets have that Jaccard similarity or more.
+
+    roots: (node, root, n), n the number of shingles of the text. Within a root all texts are compared, whatever links joined
+    them, and the links returned join all that such pairs join. Texts without a word have none.
+    """
+    sizes = roots.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / SLICE_SHINGLES, F.count(F.lit(1)) / SLICE)).alias("slices"))
+    large = sizes.where("slices > 1").select(F.col("root").alias("large"), "slices")
+    met = roots.join(large, F.col("root") == F.col("large"), "left")
+    placed = met.select(F.col("node").alias("_id"), F.explode(_cells(F.xxhash64("node", "root"))).alias("cell"), "root")
+    placed = stored(placed.select("_id", F.xxhash64("root", "cell").alias("key")), "placed")
+    ids = placed.select("_id").distinct()
     held = texts.join(ids, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    held = stored(held, "texts")
-    pairs = links.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    pairs = pairs.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    dealt = held.join(placed, F.col("id") == F.col("_id")).select("key", "id", "text")
+    dealt = dealt.repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key", "id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, ids, sets = None, [], []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["text_a"], batch["text_b"]):
-                x, y = set(shingles(x, words)), set(shingles(y, words))
-                both = len(x & y)
-                keep.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
-
-    out = stored(pairs.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a bigint, b bigint"), "similar")
-    discard(held)
+            out = []
+            for key, i, text in zip(batch["key"], batch["id"], batch["text"]):
+                if key != last:
+                    out += [(ids[a], ids[b]) for a, b in similar_rows(sets, similarity)]
+                    last, ids, sets = key, [], []
+                ids.append(i)
+                sets.append(shingle_hashes(text, words))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame([(ids[a], ids[b]) for a, b in similar_rows(sets, similarity)], columns=["a", "b"], dtype="int64")
+
+    out = stored(dealt.mapInPandas(compare, "a bigint, b bigint"), "similar")
+    discard(placed)
     return out
 
 
@@ -340,18 +413,20 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
     """(doc_id, tk, component, keep): groups of equal texts and of near copies; one row of each group has keep true.
 
     Near copies have shingle sets of the given Jaccard similarity or more; groups are what chains of them join. Pairs are found by
-    word fingerprints, checked by shingle fingerprints and compared exactly along a spanning forest of the closest of them. The row
-    kept is that of the least doc_id (null ids last). Null texts are empty and, like texts without a word, only copies of equal
+    word fingerprints and checked by shingle fingerprints; all texts that such pairs join are then compared exactly. The row kept
+    is that of the least doc_id (null ids last). Null texts are empty and, like texts without a word, only copies of equal
     ones. `tk` is a hash of the text; rows with equal doc_id and text are one here.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.xxhash64(content).alias("id"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("tk", text_key())
     sketches = stored(_sketches(rows, words), "sketches")
-    nodes = stored(sketches.select("id", "fp", "check").distinct(), "nodes")
+    nodes = stored(sketches.select("id", "fp", "check", "n").distinct(), "nodes")
     links = stored(near_links(nodes, WORD_RADIUS, SHINGLE_TIERS).distinct(), "links")
-    similar = similar_links(links, rows.select("id", "text"), words, similarity)
+    candidates = components(links).join(nodes.select("id", "n"), F.col("node") == F.col("id")).select("node", "root", "n")
+    candidates = stored(candidates, "candidates")
+    similar = similar_links(candidates, rows.select("id", "text"), words, similarity)
     roots = components(similar).select(F.col("node").alias("_node"), "root")
-    discard(nodes, links, similar)
+    discard(nodes, links, candidates, similar)
     distinct = sketches.groupBy("id", "doc_id", "tk").agg(F.lit(1).alias("_one"))
     members = distinct.join(roots, F.col("id") == F.col("_node"), "left").select("doc_id", "tk", F.coalesce("root", "id").alias("component"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")
