@@ -10,6 +10,7 @@ together; a bucket too large for a task is compared slice by slice.
 from __future__ import annotations
 
 from collections.abc import Collection, Iterator, Sequence
+from functools import lru_cache
 from itertools import combinations, repeat
 from math import comb
 
@@ -302,22 +303,64 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: st
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of the words of two texts, each once, and of their shingles of five words, differ in at most this many bits if
-#: the texts are near copies; of near copies in random prose, over 99 % do. Pairs are then compared exactly.
-WORD_RADIUS, SHINGLE_TIERS = 10, (6, 10, 14)
+#: Keys of a text; two texts are candidates if one key is equal. Of pairs at the similarity asked for, at most MISS have none.
+BANDS, MISS = 32, 1e-5
+#: Least hashes in a key, at most.
+DEPTH = 8
 
 
-def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(id, doc_id, tk, fp, check, n) of rows (id, doc_id, tk, text); n is the number of shingles, repeats included."""
+def band_depth(similarity: float) -> int:
+    """Least hashes in each key: as many as leave the pairs at that similarity without an equal key a share of MISS or less."""
+    return max(r for r in range(1, DEPTH + 1) if r == 1 or (1 - similarity**r) ** BANDS <= MISS)
+
+
+@lru_cache
+def _turns(depth: int) -> tuple[np.ndarray, np.ndarray]:
+    turn, factor = np.random.default_rng(20).integers(0, 1 << 32, (2, BANDS * depth), np.uint32)
+    return turn, factor | np.uint32(1)
+
+
+def band_keys(hashes: np.ndarray, depth: int) -> np.ndarray:
+    """BANDS keys of a set of hashes, each of `depth` least hashes of its members; none for an empty set.
+
+    Two least hashes are equal with the probability of the Jaccard similarity, wherever in the texts the sets differ.
+    """
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    turn, factor = _turns(depth)
+    members, least = hashes.astype(np.uint32)[:, None], np.full(BANDS * depth, np.iinfo(np.uint32).max, np.uint32)
+    turned = np.empty((128, BANDS * depth), np.uint32)
+    for at in range(0, len(hashes), len(turned)):
+        some = turned[: len(hashes) - at]
+        np.bitwise_xor(members[at : at + len(turned)], turn, out=some)
+        np.multiply(some, factor, out=some)
+        np.minimum(least, some.min(axis=0), out=least)
+    mixed = (least + (turn.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).reshape(BANDS, depth)
+    return mixed.sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _sketches(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(id, doc_id, tk, bands, n) of rows (id, doc_id, tk, text); n is the number of different shingles."""
+    depth = band_depth(similarity)
+
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp = [simhash(set((t or "").encode().lower().split())) for t in batch["text"]]
-            parts = [shingles(t, words) for t in batch["text"]]
-            check, n = [simhash(set(p)) for p in parts], [len(p) for p in parts]
-            yield pd.DataFrame({
-                "id": batch["id"], "doc_id": batch["doc_id"].astype("Int64"), "tk": batch["tk"], "fp": np.array(fp, np.int64), "check": np.array(check, np.int64), "n": n})
+            bands, n = [], []
+            for text in batch["text"]:
+                found = shingle_hashes(text, words)
+                bands.append(band_keys(found, depth))
+                n.append(len(found))
+            yield pd.DataFrame({"id": batch["id"], "doc_id": batch["doc_id"].astype("Int64"), "tk": batch["tk"], "bands": bands, "n": n})
+
+    return rows.mapInPandas(sketch, "id bigint, doc_id bigint, tk int, bands array<bigint>, n bigint")
+
 
-    return rows.mapInPandas(sketch, "id bigint, doc_id bigint, tk int, fp bigint, check bigint, n bigint")
+def band_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): each of `nodes` (id, bands) with the least id that has one of its keys, so rows with an equal key are joined."""
+    rows = nodes.select("id", F.explode("bands").alias("key"))
+    least = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last")
+    return rows.join(least, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -412,21 +455,20 @@ def similar_links(roots: DataFrame, texts: DataFrame, words: int, similarity: fl
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tk, component, keep): groups of equal texts and of near copies; one row of each group has keep true.
 
-    Near copies have shingle sets of the given Jaccard similarity or more; groups are what chains of them join. Pairs are found by
-    word fingerprints and checked by shingle fingerprints; all texts that such pairs join are then compared exactly. The row kept
+    Near copies have shingle sets of the given Jaccard similarity or more; groups are what chains of them join. Candidates are pairs
+    with an equal key of least hashes of the shingles; all texts that candidates join are then compared on their sets. The row kept
     is that of the least doc_id (null ids last). Null texts are empty and, like texts without a word, only copies of equal
     ones. `tk` is a hash of the text; rows with equal doc_id and text are one here.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.xxhash64(content).alias("id"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("tk", text_key())
-    sketches = stored(_sketches(rows, words), "sketches")
-    nodes = stored(sketches.select("id", "fp", "check", "n").distinct(), "nodes")
-    links = stored(near_links(nodes, WORD_RADIUS, SHINGLE_TIERS).distinct(), "links")
-    candidates = components(links).join(nodes.select("id", "n"), F.col("node") == F.col("id")).select("node", "root", "n")
+    sketches = stored(_sketches(rows, words, similarity), "sketches")
+    nodes = stored(sketches.select("id", "bands", "n").dropDuplicates(["id"]), "nodes")
+    candidates = components(band_links(nodes)).join(nodes.select("id", "n"), F.col("node") == F.col("id")).select("node", "root", "n")
     candidates = stored(candidates, "candidates")
     similar = similar_links(candidates, rows.select("id", "text"), words, similarity)
     roots = components(similar).select(F.col("node").alias("_node"), "root")
-    discard(nodes, links, candidates, similar)
+    discard(nodes, candidates, similar)
     distinct = sketches.groupBy("id", "doc_id", "tk").agg(F.lit(1).alias("_one"))
     members = distinct.join(roots, F.col("id") == F.col("_node"), "left").select("doc_id", "tk", F.coalesce("root", "id").alias("component"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")

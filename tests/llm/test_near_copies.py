@@ -60,6 +60,33 @@ def test_components_larger_than_a_slice(spark, monkeypatch, slices):
     assert pairs and lost == 0 and wrong == 0
 
 
+def test_copies_that_differ_in_one_block(spark):
+    """Pairs are found wherever the edits lie: a passage appended, a block cut out, words changed here and there."""
+    rng = random.Random(14)
+    texts = []
+    for k in range(240):
+        base = [rng.choice(VOCABULARY) for _ in range(rng.choice([50, 200, 800]))]
+        n, at = int(len(base) * rng.uniform(0.08, 0.16)), rng.randrange(len(base) * 3 // 4)
+        more = [rng.choice(VOCABULARY) for _ in range(n)]
+        copy = [base + more, base[:at] + base[at + n :], changed(rng, base, len(base) // 60)][k % 3]
+        texts += [" ".join(base), " ".join(copy)]
+    pairs, lost, wrong = missed(spark, texts)
+    assert pairs >= 200 and lost == 0 and wrong == 0
+
+
+def test_keys_of_least_hashes():
+    """At the limit nearly all pairs share a key; a set has the same keys in whatever pieces it is read."""
+    rng = np.random.default_rng(15)
+    depth = simhash.band_depth(0.8)
+    assert (1 - 0.8**depth) ** simhash.BANDS <= simhash.MISS
+    for n in (9, 90, 2700):
+        for _ in range(200):
+            x = rng.integers(0, 1 << 64, 10 * n // 9, np.uint64)
+            y = np.concatenate([x[:n], rng.integers(0, 1 << 64, len(x) - n, np.uint64)])
+            assert (simhash.band_keys(x, depth) == simhash.band_keys(y, depth)).any()
+    assert len(simhash.band_keys(np.empty(0, np.uint64), depth)) == 0
+
+
 def test_similar_rows():
     rng = random.Random(13)
     for _ in range(30):
