@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, language_id, packing, quality_rules, simhash, suffix_dedup, token_counts, token_files, url_filter, warc
+from tallyforge.llm import decontaminate, hard_negatives, language_id, packing, quality_rules, simhash, suffix_dedup, token_counts, token_files, url_filter, warc, whitening
 from tallyforge.llm.shared import scratch
 
 
@@ -84,5 +84,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op7_warc, op8_quality_rules, op9_edit_counts, op10_simhash)}
-ORACLE: dict[str, str] = {"op7_warc": warc.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding", scale=256)
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(whitening.shifted_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=64, shift=1_000_000), components=16)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op7_warc, op8_quality_rules, op9_edit_counts, op10_simhash, op11_hard_negatives, op13_whitening)}
+ORACLE: dict[str, str] = {"op7_warc": warc.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
