@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, hard_negatives, language_id, packing, quality_rules, simhash, suffix_dedup, token_counts, token_files, url_filter, warc, whitening
+from tallyforge.llm import context_mixing, decontaminate, hard_negatives, language_id, packing, quality_rules, simhash, suffix_dedup, token_counts, token_files, url_filter, warc, whitening
 from tallyforge.llm.shared import scratch
 
 
@@ -90,9 +90,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(whitening.shifted_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=64, shift=1_000_000), components=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op7_warc, op8_quality_rules, op9_edit_counts, op10_simhash, op11_hard_negatives, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_files, op4_suffix_array, op5_spaced_seeds, op6_pack, op7_warc, op8_quality_rules, op9_edit_counts, op10_simhash, op11_hard_negatives, op12_context_mixing, op13_whitening)}
 ORACLE: dict[str, str] = {"op7_warc": warc.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
