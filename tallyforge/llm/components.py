@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import stored
+from tallyforge.llm.shared import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,7 +29,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old = edges
         edges = stored(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(old)
         before, state = state, _state(edges)
         if state == before:
             break

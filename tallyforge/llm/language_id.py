@@ -148,10 +148,15 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(languages, codes, weights, np.maximum(size.mean(0), 1e-9), trust / trust.sum(1, keepdims=True))
 
 
+def losses(margins: np.ndarray, model: Model) -> np.ndarray:
+    """Rows x languages: loss-weighted distance of margins to each codeword. Margins of no size are log(2) from all."""
+    agreement = model.codes[None] * (margins / model.scale)[:, None, :]
+    return (model.trust[None] * np.logaddexp(0, -2 * agreement)).sum(2)
+
+
 def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the language, score from 0 to 1, lead in loss over the second) of each row of margins; ties go to the first language."""
-    agreement = model.codes[None] * (margins / model.scale)[:, None, :]
-    loss = (model.trust[None] * np.logaddexp(0, -2 * agreement)).sum(2)
+    loss = losses(margins, model)
     best = loss.argmin(1)
     rows = np.arange(len(loss))
     chance = np.exp(-(loss - loss.min(1, keepdims=True)) * max(1, model.codes.shape[1]))
@@ -161,18 +166,19 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, n
 
 
 def predicted(model: Model, text: Column | str = "text", lead: float = LEAD) -> Column:
-    """struct(lang_pred, score, ambiguous) of a text. Texts that are null or have no letter are `und`, as is all if nothing was learned."""
+    """struct(lang_pred, score, ambiguous, loss) of a text; loss is that of the nearest codeword (null for `und`). Texts that are null or have no letter are `und`, as is all if nothing was learned."""
     text = F.col(text) if isinstance(text, str) else text
-    nothing = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+    nothing = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"), F.lit(None).cast("double").alias("loss"))
     if not model.languages:
         return nothing
     names = np.array(model.languages, object)
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean, loss double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
-            best, score, apart = decode(_margins(_encoded(part), model.weights), model)
-            yield pd.DataFrame({"lang_pred": names[best], "score": np.clip(score, 0, 1), "ambiguous": apart < lead})
+            margins = _margins(_encoded(part), model.weights)
+            best, score, apart = decode(margins, model)
+            yield pd.DataFrame({"lang_pred": names[best], "score": np.clip(score, 0, 1), "ambiguous": apart < lead, "loss": losses(margins, model).min(1)})
 
     return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), predict(text)).otherwise(nothing)
 

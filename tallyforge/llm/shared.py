@@ -3,8 +3,11 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +62,44 @@ def committed(uri: str, name: str):
     filesystem.move(part, f"{root}/{name}")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session hands Python at most so many rows at once, so that workers hold few texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_key(text: str = "text") -> Column:
     """A 32-bit hash of the text that tells apart rows with the same id (null and empty differ)."""
     return F.hash(F.col(text).isNull(), F.col(text))
 
 
+def bit_map(rows: DataFrame, hashed: str, bits: int) -> np.ndarray:
+    """2 ** bits bits, packed: set at the upper bits of each 64-bit hash in a column. The map's size is all that reaches the driver."""
+    slot = F.shiftrightunsigned(hashed, 64 - bits)
+    packed = rows.select(F.shiftright(slot, 3).cast("int").alias("byte"), F.shiftleft(F.lit(1), (slot % 8).cast("int")).alias("bit"))
+    by_page = packed.groupBy("byte").agg(F.bit_or("bit").alias("bits")).groupBy(F.shiftright("byte", 12).alias("page")).agg(F.collect_list(F.struct("byte", "bits")).alias("rows"))
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for page, found in zip(batch["page"], batch["rows"]):
+                out = np.zeros(4096, np.uint8)
+                for r in found:
+                    out[r["byte"] & 4095] = r["bits"]
+                yield pd.DataFrame({"page": [page], "bits": [out.tobytes()]})
+
+    out = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
+    for page, raw in by_page.mapInPandas(fill, "page int, bits binary").collect():
+        out[page * 4096 : (page + 1) * 4096] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def in_map(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which of the hashes (unsigned) may be in the map; those that are always are."""
+    slot = (hashed >> np.uint64(64 - (len(bits).bit_length() + 2))).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -4,7 +4,8 @@ A byte is removed if a string of `length` bytes that covers it also starts elsew
 sorted. Each window of `length` bytes belongs to its anchor, the place of the least hash among its shorter grams, so equal
 windows have equal anchors at equal distances:
 
-1. Anchors whose gram occurs once have no repeated window. Stretches (all windows of an anchor) that recur repeat whole.
+1. Anchors whose gram occurs once have no repeated window. Grams are counted alone, and a bit map of those that recur (its size
+   is bounded) keeps most other stretches out of all that follows. Stretches (all windows of an anchor) that recur repeat whole.
 2. What is left are stretches at the borders of repeats. Sampled splitters deal out the suffixes at their anchors by their
    leading bytes, the gram, so that equal grams meet. Each bucket sorts them by multikey quicksort, and their left contexts,
    read backwards, in the same way; two windows are equal if they lie in one run of both orders, by the lengths of the common
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import discard, partitions, stored, text_key
+from tallyforge.llm.shared import bit_map, discard, in_map, partitions, stored, text_key
 
 #: Windows of a block in step 3, and the number of different stretches of one gram from which on step 3 takes them.
 BLOCK, FREQUENT = 8, 1024
@@ -32,6 +33,10 @@ BLOCK, FREQUENT = 8, 1024
 BUCKET = 20_000
 #: Bytes of text that a task hashes at once, unless one document is longer.
 AT_ONCE = 1 << 18
+#: The map of recurring grams has 16 bits for each, and so many at most: beyond that it lets more pass, and results stay the same.
+MAP_BITS = 27
+#: A pair of hashes with more than this share of all rows is met by a broadcast; there are fewer than this many.
+HOT = 4096
 _GRAM, _CHUNK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -121,14 +126,33 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.withColumn("tk", text_key())
 
 
-def _stretches(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Stretches by document: first window `i`, and in `shape` the number of windows (upper half) and the anchor's distance."""
+def _gram_counts(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """(kh, n): anchors' grams and how many stretches have them, counted within a task's batches."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch["text"]]
+            for begin, end in _batches(texts):
+                kh, n = np.unique(anchors(*_joined(texts[begin:end]), length, gram)[4], return_counts=True)
+                yield pd.DataFrame({"kh": kh.view(np.int64), "n": n})
+
+    return rows.mapInPandas(count, "kh bigint, n bigint").groupBy("kh").agg(F.sum("n").alias("n"))
+
+
+def _stretches(rows: DataFrame, length: int, gram: int, again: np.ndarray) -> DataFrame:
+    """Stretches by document: first window `i`, and in `shape` the number of windows (upper half) and the anchor's distance.
+
+    Only those whose gram may be in the map `again`.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(again)
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [(t or "").encode() for t in batch["text"]]
             for begin, end in _batches(texts):
                 data, ends = _joined(texts[begin:end])
-                document, first, n, anchor, kh, ch = anchors(data, ends, length, gram)
+                found = anchors(data, ends, length, gram)
+                keep = in_map(sent.value, found[4])
+                document, first, n, anchor, kh, ch = (f[keep] for f in found)
                 base = np.concatenate([[0], ends[:-1]])[document]
                 row = batch.iloc[begin + document] if len(document) else batch.iloc[:0]
                 yield pd.DataFrame({
@@ -145,8 +169,11 @@ def _judged(rows: DataFrame, part: str, whole: str) -> tuple[DataFrame, DataFram
     cols = [c for c in rows.columns if c not in (part, whole)]
     one = [F.first(c).alias(c) for c in cols]  # all of the same row
     distinct = stored(rows.groupBy(part, whole).agg(F.count(F.lit(1)).alias("times"), *one), "distinct")
-    again = distinct.where("times > 1").select(F.col(part).alias("_p"), F.col(whole).alias("_w"))
-    repeated = rows.join(again, (F.col(part) == F.col("_p")) & (F.col(whole) == F.col("_w")), "left_semi")
+    total = distinct.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    again = distinct.where("times > 1").select(F.col(part).alias("_p"), F.col(whole).alias("_w"), (F.col("times") * HOT > total).alias("_hot"))
+    same = (F.col(part) == F.col("_p")) & (F.col(whole) == F.col("_w"))
+    hot = F.broadcast(again.where("_hot"))
+    repeated = rows.join(hot, same, "left_semi").unionByName(rows.join(hot, same, "left_anti").join(again.where("not _hot"), same, "left_semi"))
     kinds = stored(distinct.groupBy(F.col(part).alias("_p")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
     open_ = distinct.join(kinds, F.col(part) == F.col("_p")).select(part, whole, *cols, "kinds")
     few, many = (open_.where(F.col("kinds") <= FREQUENT), open_.where(F.col("kinds") > FREQUENT))
@@ -342,11 +369,10 @@ def repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: st
     if not 2 <= length < 1 << 15:
         raise ValueError("length must be from 2 to 32767")
     keyed = _keyed(docs, doc_id, text)
-    found = stored(_stretches(keyed, length, gram), "all-stretches")
-    # stored, so that the join reads both sides by shuffles of its own and can split a frequent gram
-    twice = stored(found.groupBy(F.col("kh").alias("_kh")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("_kh"), "grams")
-    candidates = stored(found.join(twice, F.col("kh") == F.col("_kh"), "left_semi"), "stretches")
-    discard(found, twice)
+    grams = stored(_gram_counts(keyed, length, gram).where("n > 1").select("kh"), "grams")
+    bits = min(max((16 * grams.count()).bit_length(), 15), MAP_BITS)
+    candidates = stored(_stretches(keyed, length, gram, bit_map(grams, "kh", bits)), "stretches")
+    discard(grams)
     whole, few, many, distinct = _judged(candidates, "kh", "ch")
     used = [candidates, *distinct]
     windows = F.shiftright("shape", 16).alias("n")

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyforge.llm import components, decontaminate, simhash, suffix_dedup
+from tallyforge.llm import components, decontaminate, near_copies, simhash, suffix_dedup
 from tallyforge.llm.shared import stored
 
 
@@ -116,7 +116,7 @@ def test_near_copies(spark):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             rows.append((1000 - 7 * k - j, " ".join(words)))
     rows += [(5, ""), (6, None), (6, ""), (None, rows[0][1]), (7, "  ")]
-    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     sets = [set(simhash.shingles(t, 5)) for _, t in rows]
 
     def alike(i, j):

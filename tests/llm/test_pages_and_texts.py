@@ -187,6 +187,20 @@ def test_quality_runs_no_python(odd):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_language_stage_rejects_what_is_no_language(spark, docs):
+    """The decoder rejects, not only the look for letters: noise with letters goes, every text of the corpus with a letter stays."""
+    import re
+
+    noise = ["0x3f a9 b2 c4 d5", "0x91 f7 b3 5d 0xa2 4c 8f 62 0x7b d8"]
+    more = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(noise)], "doc_id bigint, text string")
+    out = corpus_pipeline.identify_language(spark, docs.unionByName(more, allowMissingColumns=True), SF)
+    kept = {r.doc_id for r in out.select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect() if r.text and re.search(r"[^\W\d_]", r.text)}
+    model = language_id.train(docs)
+    nothing = language_id.losses(np.zeros((1, model.codes.shape[1])), model)
+    assert np.allclose(nothing, np.log(2)) and corpus_pipeline.FURTHEST < np.log(2)
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_stages_take_odd_and_empty_tables(spark, odd, empty, stage):
     name, function = stage
