@@ -78,7 +78,7 @@ def text_key(text: str = "text") -> Column:
 def bit_map(rows: DataFrame, hashed: str, bits: int) -> np.ndarray:
     """2 ** bits bits, packed: set at the upper bits of each 64-bit hash in a column. The map's size is all that reaches the driver."""
     slot = F.shiftrightunsigned(hashed, 64 - bits)
-    packed = rows.select(F.shiftright(slot, 3).cast("int").alias("byte"), F.shiftleft(F.lit(1), (slot % 8).cast("int")).alias("bit"))
+    packed = rows.select(F.shiftright(slot, 3).cast("int").alias("byte"), F.pow(F.lit(2), slot % 8).cast("int").alias("bit"))
     by_page = packed.groupBy("byte").agg(F.bit_or("bit").alias("bits")).groupBy(F.shiftright("byte", 12).alias("page")).agg(F.collect_list(F.struct("byte", "bits")).alias("rows"))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
