@@ -329,7 +329,7 @@ def task_weights(df: DataFrame, p: float = 1.0, eps: float = 0.01, acc: str = "a
 METRIC_FAMILIES = ["val_gen_perplexity", "val_gen_loss", "val_gen_acc", "additional_metrics", "train_loss"]
 
 
-def metrics_log(df: DataFrame, interval: int, max_step: int | None = None) -> DataFrame:
+def metrics_log(df: DataFrame, interval: int, max_step: int | Column | None = None) -> DataFrame:
     """Long log (step, name, value) as interval means by family, dataset and metric.
 
     Steps after `max_step` are left out. A training loss with no value in an interval counts 0.

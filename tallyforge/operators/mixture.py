@@ -84,6 +84,29 @@ def curriculum_mix(df: DataFrame, task_weights: DataFrame, difficulty_weights: D
     return interleave(df, ["task", "difficulty"], curriculum_weights(task_weights, difficulty_weights, levels), keys, batch, seed, total, stop)
 
 
+def level_contexts(ranges: DataFrame, length: int, keys: list[str] = ("task",)) -> DataFrame:
+    """(keys, difficulty, first, last): the contexts of `length` tokens that a level is drawn from, first to last without the last.
+
+    `ranges` has the token range (lo, hi) of each level; contexts are cut from the start of each key's stream. A level's contexts
+    begin inside it and end a whole context before its end. A level too short for that borrows one from its neighbour: the
+    next context, or for the highest level of a key the one before.
+    """
+    first = F.ceil(F.col("lo") / length)
+    last = F.greatest(first, F.floor(F.col("hi") / length) - 1)
+    top = F.max("difficulty").over(Window.partitionBy(*keys))
+    t = ranges.select(*keys, "difficulty", first.alias("first"), last.alias("last"), (F.col("difficulty") < top).alias("_below"))
+    short = F.col("first") == F.col("last")
+    return t.select(
+        *keys, "difficulty", F.when(short & ~F.col("_below"), F.greatest(F.col("first") - 1, F.lit(0))).otherwise(F.col("first")).alias("first"),
+        (F.col("last") + F.when(short & F.col("_below"), 1).otherwise(0)).alias("last"), short.alias("borrowed"))
+
+
+def contexts_of_levels(levels: DataFrame, keys: list[str] = ("task",)) -> DataFrame:
+    """(keys, difficulty, context_idx): every context a level may be drawn from; a context may stand in two levels."""
+    some = levels.where("first < last")
+    return some.select(*keys, "difficulty", F.explode(F.sequence("first", F.col("last") - 1)).alias("context_idx"))
+
+
 def missing_difficulties(required: DataFrame, available: DataFrame) -> DataFrame:
     """Wanted (task, difficulty) pairs that the data does not have."""
     return required.select("task", "difficulty").distinct().join(available.select("task", "difficulty").distinct(), ["task", "difficulty"], "left_anti")

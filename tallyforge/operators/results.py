@@ -144,13 +144,14 @@ def upsert_results(existing: DataFrame, updates: DataFrame, key: str = "text_pro
     return kept.unionByName(changed, allowMissingColumns=True).unionByName(blank, allowMissingColumns=True)
 
 
-def answer_mismatch(df: DataFrame, canonical: DataFrame, keys: list[str], n: int, idx: str = "row_idx", shown: int = 5, task: str = "task") -> DataFrame:
-    """Per file: rows among the first n whose answer differs from the canonical one of their task, and the first few positions.
+def answer_mismatch(df: DataFrame, canonical: DataFrame, keys: list[str], n: int | None = None, idx: str = "row_idx", shown: int = 5, task: str = "task") -> DataFrame:
+    """Per file: rows (with `n`, among the first n) whose answer differs from the canonical one of their task, and the first few positions.
 
     Row numbers begin anew in every file, and every task has its own canonical list.
     """
-    ours = df.filter(F.col(idx) < n).select(*keys, F.col(task).alias("_t"), F.col(idx).alias("_i"), F.trim("answer").alias("_a"))
-    theirs = canonical.filter(F.col(idx) < n).select(F.col(task).alias("_t"), F.col(idx).alias("_i"), F.trim("answer").alias("_b"))
+    asked = F.lit(True) if n is None else F.col(idx) < n
+    ours = df.filter(asked).select(*keys, F.col(task).alias("_t"), F.col(idx).alias("_i"), F.trim("answer").alias("_a"))
+    theirs = canonical.filter(asked).select(F.col(task).alias("_t"), F.col(idx).alias("_i"), F.trim("answer").alias("_b"))
     wrong = ours.join(theirs, ["_t", "_i"]).filter(F.col("_a") != F.col("_b"))
     total = wrong.groupBy(*keys).agg(F.count("*").alias("n_mismatches"))
     w = Window.partitionBy(*keys).orderBy("_i")

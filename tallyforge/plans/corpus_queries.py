@@ -124,6 +124,23 @@ def pack_contexts(spark, sf):
     return packed(spark, sf).select("source", "context_idx", total.alias("token_sum"), F.array_join("tokens", ",").alias("tokens"))
 
 
+@query("appended_tokens", f"""WITH {_STREAM}
+SELECT source, CAST(context_idx AS BIGINT) AS context_idx, CAST(list_sum(tokens) AS BIGINT) AS token_sum, array_to_string(tokens, ',') AS tokens FROM packed""")
+def appended_tokens(spark, sf):
+    """Contexts appended in three chunks, the second of them twice; what is read back is what one write would give."""
+    path = f"{_folder(spark, 'appended_tokens')}-{uuid.uuid4().hex}"
+    packed(spark, sf).select("source", "context_idx", "tokens").write.parquet(f"{path}/packed")
+    t = spark.read.parquet(f"{path}/packed")
+    t = t.join(t.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_n")), F.col("source") == F.col("_s"))
+    t = t.withColumn("chunk", F.floor(F.col("context_idx") * 3 / F.col("_n"))).withColumn("first", F.ceil(F.col("chunk") * F.col("_n") / 3))
+    t = t.select("source", (F.col("context_idx") - F.col("first")).alias("context_idx"), "tokens", "chunk")
+    for chunk, broken in ((0, False), (1, True), (2, False), (1, False)):
+        part = t.filter(F.col("chunk") == chunk).drop("chunk")
+        S.append_tokens(part.filter("context_idx % 2 = 0") if broken else part, f"{path}/tokens", chunk)
+    total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return S.read_tokens(spark, f"{path}/tokens").select("source", "context_idx", total.alias("token_sum"), F.array_join("tokens", ",").alias("tokens"))
+
+
 @query("token_table", f"WITH {_STREAM} SELECT source, count(*) AS n_contexts, CAST(sum(list_sum(tokens)) AS BIGINT) AS token_sum FROM packed GROUP BY source")
 def token_table(spark, sf):
     path = _folder(spark, "token_table")
@@ -296,15 +313,48 @@ def curriculum_mix(spark, sf):
     return t.groupBy("batch", "task", "difficulty").agg(F.count("*").alias("n"))
 
 
+_CONTEXT = 256
+_LEVELS = f"""
+  tok AS (SELECT event_id, task, difficulty, CASE WHEN difficulty % 5 = 0 THEN 1 ELSE 3 + event_id % 11 END AS n FROM v_history),
+  per AS (SELECT task, difficulty, CAST(sum(n) AS BIGINT) AS n FROM tok GROUP BY ALL),
+  rng AS (SELECT task, difficulty, sum(n) OVER w - n AS lo, sum(n) OVER w AS hi FROM per WINDOW w AS (PARTITION BY task ORDER BY difficulty)),
+  cut AS (SELECT *, ceil(lo / {_CONTEXT}) AS f, greatest(ceil(lo / {_CONTEXT}), hi // {_CONTEXT} - 1) AS l, difficulty < max(difficulty) OVER (PARTITION BY task) AS below FROM rng),
+  ctx AS (SELECT task, difficulty, CAST(CASE WHEN f = l AND NOT below THEN greatest(f - 1, 0) ELSE f END AS BIGINT) AS first,
+    CAST(l + CASE WHEN f = l AND below THEN 1 ELSE 0 END AS BIGINT) AS last, f = l AS borrowed FROM cut)"""
+
+
+def _level_contexts(spark, sf):
+    """Events as samples of a few tokens, every fifth level with one token each, sorted by level and cut into contexts."""
+    n = F.when(F.col("difficulty") % 5 == 0, 1).otherwise(F.col("event_id") % 11 + 3)
+    t = view(spark, sf, "v_history").select("task", "difficulty", n.alias("n_tokens"))
+    return M.level_contexts(K.difficulty_ranges(t, ["task"]), _CONTEXT)
+
+
+@query("level_contexts", with_views("v_history") + f",{_LEVELS} SELECT * FROM ctx")
+def level_contexts(spark, sf):
+    return _level_contexts(spark, sf)
+
+
+@query("context_curriculum", with_views("v_history") + f""",{_LEVELS},
+  t AS (SELECT task, difficulty, unnest(range(first, last)) AS event_id FROM ctx), lv AS (SELECT task, difficulty, count(*) AS n FROM t GROUP BY ALL),
+  wt AS (SELECT task, difficulty, length(task) * (1.0 / (1 + difficulty)) / sum(1.0 / (1 + difficulty)) OVER (PARTITION BY task) AS w FROM lv),""" + _mix_sql("task, difficulty", "SELECT * FROM wt", 64))
+def context_curriculum(spark, sf):
+    """A curriculum over contexts; levels too short for one of their own draw from a neighbour's."""
+    t = M.contexts_of_levels(_level_contexts(spark, sf))
+    levels = t.select("task", "difficulty").distinct()
+    tw = levels.groupBy("task").agg(F.length(F.first("task")).cast("double").alias("weight"))
+    mixed = M.curriculum_mix(t, tw, levels.withColumn("weight", F.lit(1.0) / (F.col("difficulty") + 1)), 64, ["context_idx"])
+    return mixed.groupBy("batch", "task", "difficulty").agg(F.count("*").alias("n"))
+
+
 @query("missing_difficulties", with_views("v_history") + """,
-  need AS (SELECT t.task, d.difficulty FROM (SELECT DISTINCT task FROM v_history) t CROSS JOIN (SELECT DISTINCT difficulty FROM v_history) d),
-  have AS (SELECT DISTINCT task, difficulty FROM v_history WHERE value > 115)
-SELECT task, difficulty FROM need EXCEPT SELECT task, difficulty FROM have""")
+  need AS (SELECT u.task, d.difficulty FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS task FROM v_history) u CROSS JOIN (SELECT unnest(range(20)) AS difficulty) d)
+SELECT task, CAST(difficulty AS INT) AS difficulty FROM need EXCEPT SELECT CAST(user_id AS VARCHAR), difficulty FROM v_history""")
 def missing_difficulties(spark, sf):
-    h = view(spark, sf, "v_history")
-    # every task should have every level; only strong events count as data here
-    need = h.groupBy("task").agg(F.first("task").alias("_t")).select("task", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("difficulty"))
-    return M.missing_difficulties(need, h.filter("value > 115"))
+    # every user should have every level
+    h = view(spark, sf, "v_history").select(F.col("user_id").cast("string").alias("task"), "difficulty")
+    need = h.select("task").distinct().select("task", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("difficulty"))
+    return M.missing_difficulties(need, h)
 
 
 @query("recent_performance", with_views("v_history") + """
@@ -364,15 +414,28 @@ def _capped_sql() -> str:
     return ", ".join(rounds)
 
 
-@query("capped_weights", f"""WITH wt AS (SELECT user_id, event_type, CAST(sum(CAST(value AS DECIMAL(10,2))) AS DOUBLE) AS w FROM events GROUP BY ALL),
-  ok AS (SELECT user_id FROM wt GROUP BY user_id HAVING count(*) >= 4), {_capped_sql()}
-SELECT user_id, event_type, round(CASE WHEN full_ THEN 0.3 ELSE w * (1 - 0.3 * sum(CASE WHEN full_ THEN 1 ELSE 0 END) OVER u) / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER u END, 6) AS capped
-FROM c5 WHERE user_id IN (SELECT user_id FROM ok) WINDOW u AS (PARTITION BY user_id)""")
-def capped_weights(spark, sf):
+_CAPPED = f"""WITH wt AS (SELECT user_id, event_type, CAST(sum(CAST(value AS DECIMAL(10,2))) AS DOUBLE) AS w FROM events GROUP BY ALL), {_capped_sql()},
+  capped AS (SELECT user_id, event_type, CASE WHEN full_ THEN 0.3 ELSE w * (1 - 0.3 * sum(CASE WHEN full_ THEN 1 ELSE 0 END) OVER u) / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER u END AS capped FROM c5 WINDOW u AS (PARTITION BY user_id))"""
+
+
+def _capped(spark, sf):
+    """Users whose caps cannot sum to 1 keep every weight at its cap."""
     t = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.sum(F.col("value").cast("decimal(10,2)")).cast("double").alias("weight"))
-    enough = t.groupBy("user_id").agg(F.count("*").alias("n")).filter("n >= 4")
-    t = t.join(enough, "user_id", "left_semi").withColumn("cap", F.lit(0.3))
-    return M.capped_weights(t, keys=["user_id"]).select("user_id", "event_type", F.round("capped", 6).alias("capped"))
+    return M.capped_weights(t.withColumn("cap", F.lit(0.3)), keys=["user_id"])
+
+
+@query("capped_weights", f"""{_CAPPED}
+SELECT user_id, event_type, round(capped, 6) AS capped FROM capped""")
+def capped_weights(spark, sf):
+    return _capped(spark, sf).select("user_id", "event_type", F.round("capped", 6).alias("capped"))
+
+
+@query("blended_ratios", f"""{_CAPPED}
+SELECT user_id, event_type, round(0.9 / count(*) OVER (PARTITION BY user_id) + 0.1 * capped, 6) AS ratio FROM capped""")
+def blended_ratios(spark, sf):
+    """Equal ratios of a user's kinds of event, moved a tenth of the way to the capped ones."""
+    t = _capped(spark, sf).withColumn("old", F.lit(1.0) / F.count("*").over(Window.partitionBy("user_id")))
+    return M.blend(t, "old", "capped", 0.9).select("user_id", "event_type", F.round("ratio", 6).alias("ratio"))
 
 
 _LOSS = """
@@ -458,10 +521,15 @@ def answers_of_events(events):
 @query("score_stream", f"""
 WITH t AS (SELECT event_type AS model, CASE WHEN user_id % 2 = 0 THEN 'low' ELSE 'none' END AS reasoning, CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE) AS a,
   CAST(CAST(value AS DECIMAL(10,2)) + CASE WHEN user_id % 3 = 0 THEN 0.01 ELSE 0 END AS DOUBLE) AS p FROM events)
-SELECT model, reasoning, 'Addition' AS task, round(avg({sql_log_smape('p', 'a')}), 6) AS mean_performance FROM t GROUP BY model, reasoning""")
+SELECT model, reasoning, 'Addition' AS task, round(avg({sql_log_smape('p', 'a')}), 6) AS mean_performance, count(*) AS n_samples FROM t GROUP BY model, reasoning""")
 def score_stream_query(spark, sf):
-    schema = table(spark, sf, "events").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """Events arrive in files, some of them twice, and in two runs; the sums kept beside the scored rows give the leaderboard."""
     out = f"{shared_dir(spark)}/score-stream-{uuid.uuid4().hex}"
-    score_stream(answers_of_events(arriving), out, ["event_id"]).awaitTermination()
-    return leaderboard(spark, out, ["event_id"]).withColumn("mean_performance", F.round("mean_performance", 6))
+    events = table(spark, sf, "events")
+    for run in range(2):
+        # the second run brings its own half, and a third of the first half again
+        part = events.filter((F.col("event_id") % 2 == run) | (F.lit(run == 1) & (F.col("event_id") % 6 == 0)))
+        part.repartition(3, "event_id").write.mode("append").parquet(f"{out}/arriving")
+        arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/arriving")
+        score_stream(answers_of_events(arriving), out, ["event_id"]).awaitTermination()
+    return leaderboard(spark, out).select("model", "reasoning", "task", F.round("mean_performance", 6).alias("mean_performance"), "n_samples")

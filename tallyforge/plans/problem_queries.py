@@ -1,6 +1,8 @@
 """Queries on problem tables: sources, grids, generators, prompts, list statistics, subsets."""
 from __future__ import annotations
 
+import uuid
+
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -33,6 +35,34 @@ def scan_prune(spark, sf):
     return S.read_problems(spark, path, ["num1", "answer"]).groupBy("num1", "answer").agg(F.count("*").alias("n"))
 
 
+_LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity"
+
+
+@query("problem_lines", with_views("v_problems") + f"SELECT row_number() OVER (ORDER BY {_LINE}) - 1 AS row_idx, num1, operator, num2, total FROM v_problems")
+def problem_lines(spark, sf):
+    """Problems written in order to several files; a row's index is its line in all of them."""
+    path = _folder(spark, "problem_lines")
+    order = _LINE.split(", ")
+    t = view(spark, sf, "v_problems").repartitionByRange(4, *order).sortWithinPartitions(*order)
+    S.write_problems(t.select("num1", "operator", "num2", "total"), path, "test", "overwrite")
+    return S.read_problems(spark, path, row_idx=True, across=True).drop("file")
+
+
+@query("discovered_results", with_views("v_results") + f""",
+  t AS (SELECT *, row_number() OVER (PARTITION BY task, model, reasoning ORDER BY {_LINE}) - 1 AS row_idx FROM v_results)
+SELECT task, replace(model, '__', '/') AS model, reasoning AS reasoning_effort, row_idx, answer, nullif(raw_response, '') AS raw_response,
+  CASE WHEN reasoning <> 'high' THEN CAST(tokens AS VARCHAR) END AS tokens, CASE WHEN reasoning = 'high' THEN CAST(difficulty_sd AS VARCHAR) END AS "usage.cost" FROM t""")
+def discovered_results(spark, sf):
+    """Result files under two headers and some of another name, found and read back with their dimensions and row numbers."""
+    path = f"{_folder(spark, 'discovered_results')}-{uuid.uuid4().hex}"
+    t = view(spark, sf, "v_results").withColumn("usage.cost", F.col("difficulty_sd").cast("string"))
+    order = _LINE.split(", ")
+    S.write_result_files(t.filter("reasoning <> 'high'"), path, order, ["answer", "raw_response", "tokens"])
+    S.write_result_files(t.filter("reasoning = 'high'"), path, order, ["`usage.cost`", "raw_response", "answer"])
+    S.write_result_files(t.filter("l_linenumber = 7"), path, order, ["answer"], "_some_other_set_")
+    return S.discover_results(spark, path).drop("file")
+
+
 @query("scan_documents", "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY ALL")
 def scan_documents(spark, sf):
     return S.read_documents(spark, f"{sf}/documents.parquet").groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))

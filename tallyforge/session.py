@@ -18,6 +18,7 @@ def get_session(app: str = "tallyforge", master: str | None = None, cpus: int |
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master or cpus:
         cpus = cpus or os.cpu_count() or 4

@@ -1,25 +1,53 @@
 """Reading and writing problem tables, text corpora, result files, token tables and logs."""
 from __future__ import annotations
 
+import csv
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.constants import DOCUMENT_SEPARATOR
 from tallyforge.functions.text import _col
 
 PROBLEM_SUFFIXES = (".csv", ".csv.gz")
+#: What stands between task and model in the names of result files.
+RESULT_PATTERN = "_decimal_uniform_test_10k_shuffle_"
 
 
 def _strings(columns: list[str]) -> str:
     return ", ".join(f"`{c}` STRING" for c in columns)
 
 
-def read_problems(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None) -> DataFrame:
+#: Offsets of at most so many file blocks are sent to all tasks; beyond that they are joined like any table.
+BLOCKS = 200_000
+
+
+def with_row_index(raw: DataFrame, name: str = "row_idx", across: bool = False) -> DataFrame:
+    """Rows of a file scan with `file` and their number in it, from 0; with `across`, files are counted on in the order of their paths.
+
+    Files stay splittable: the rows of each block are counted, the counts of earlier blocks added up, and a row has the number
+    inside its block on top. `raw` is what `spark.read` returned.
+    """
+    rows = raw.select(
+        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = rows.groupBy(F.col("file").alias("_file"), F.col("_block").alias("_at")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*([F.lit(0)] if across else ["_file"])).orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    shift = blocks.select("_file", "_at", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    if raw.rdd.getNumPartitions() + len(raw.inputFiles()) <= BLOCKS:
+        shift = F.broadcast(shift)
+    met = rows.join(shift, (F.col("file") == F.col("_file")) & (F.col("_block") == F.col("_at")))
+    return met.withColumn(name, F.col("_id") + F.col("_shift")).drop("_file", "_block", "_at", "_id", "_shift")
+
+
+def read_problems(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, row_idx: bool = False, across: bool = False) -> DataFrame:
     """Problem files (.csv or .csv.gz with header) as text columns; only the wanted columns are parsed.
 
-    A gzip file is one split, so its rows are spread over the cluster right after reading.
+    With `row_idx`, also `file` and the row's number, see `with_row_index`. A gzip file is one split, so the rows of such files
+    are spread over the cluster right after reading; others are read in splits.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     for p in paths:
@@ -29,8 +57,9 @@ def read_problems(spark: SparkSession, paths: str | list[str], columns: list[str
     missing = [c for c in columns or [] if c not in raw.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}")
-    out = raw.select(*[F.col(f"`{c}`") for c in columns]) if columns else raw
-    if any(p.endswith(".gz") for p in paths) or any(f.endswith(".gz") for f in raw.inputFiles()[:1]):
+    wanted = [F.col(f"`{c}`") for c in columns or raw.columns]
+    out = with_row_index(raw, "row_idx", across).select(*wanted, "file", "row_idx") if row_idx else raw.select(*wanted)
+    if any(f.endswith(".gz") for f in raw.inputFiles()):
         out = out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return out
 
@@ -78,7 +107,7 @@ def write_problems(df: DataFrame, path: str, split: str, mode: str = "errorifexi
     df.write.mode(mode).option("header", True).option("escape", '"').option("compression", "none" if split == "test" else "gzip").csv(path)
 
 
-def parse_file_name(name: Column | str, pattern: str = "_decimal_uniform_test_10k_shuffle_") -> Column:
+def parse_file_name(name: Column | str, pattern: str = RESULT_PATTERN) -> Column:
     """Task, model and reasoning of a result file name; null when the name does not fit.
 
     Reasoning is what follows the last `_re_`; a double underscore in the model stands for a slash.
@@ -90,31 +119,78 @@ def parse_file_name(name: Column | str, pattern: str = "_decimal_uniform_test_10
     return F.when(name.rlike(full), dims)
 
 
-def discover_results(spark: SparkSession, glob: str, pattern: str = "_decimal_uniform_test_10k_shuffle_") -> DataFrame:
-    """All result files behind a glob, with their dimensions and a row number per file.
+def _headers(spark: SparkSession, glob: str, fits: Column) -> DataFrame:
+    """(file, header): the first line of every result file."""
+    lines = spark.read.text(glob).where(fits)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    return lines.where("at = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
 
-    Files with the same header are read together, unsplit, so that numbers follow the order of the file;
-    their columns are united. Files with other names are skipped.
-    """
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    header = F.split(F.decode(F.substring("content", 1, 65_536), "UTF-8"), r"\r?\n")[0]
-    files = spark.read.format("binaryFile").load(glob).filter(parse_file_name(name, pattern).isNotNull())
-    by_header: dict[str, list[str]] = {}
-    for r in files.select("path", header.alias("header")).collect():
-        by_header.setdefault(r.header, []).append(r.path)
-    if not by_header:
-        raise ValueError(f"no result files behind {glob}")
-    return union_results(*[_result_files(spark, sorted(paths), pattern) for _, paths in sorted(by_header.items())])
 
+def discover_results(spark: SparkSession, glob: str, pattern: str = RESULT_PATTERN) -> DataFrame:
+    """All result files in a folder or behind a glob, with their dimensions and a row number per file.
 
-def _result_files(spark: SparkSession, paths: list[str], pattern: str) -> DataFrame:
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(paths)
-    columns = raw.columns
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    out = raw.select("*", parse_file_name(name, pattern).alias("_d"), F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_path").alias("file"))
-    first = out.groupBy("file").agg(F.min("_id").alias("_first"))
-    out = out.join(first, "file").withColumn("row_idx", F.col("_id") - F.col("_first"))
-    return out.select(*[F.col(f"`{c}`") for c in columns], "_d.task", "_d.model", F.col("_d.reasoning").alias("reasoning_effort"), "file", "row_idx")
+    Every file is read by one task, as its answers may hold line breaks, and all of them in one scan by place; each column is
+    then named by the file's own header, and the columns of all headers are united. Only the different headers reach the
+    driver, never paths or rows. Files with other names are skipped, as are a file's own columns with the names of dimensions.
+    """
+    fits = parse_file_name(F.col("_metadata.file_name"), pattern).isNotNull()
+    headers = _headers(spark, glob, fits)
+    kinds = sorted(r["header"] for r in headers.select("header").distinct().collect())
+    if not kinds:
+        raise ValueError(f"no result files behind {glob}")
+    names = [next(csv.reader([k])) for k in kinds]
+    places = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))])
+    kind_of = headers.select(F.col("file").alias("_f"), places[F.col("header")].alias("_kind"))
+    schema = ", ".join(f"_c{i} STRING" for i in range(max(map(len, names))))
+    raw = spark.read.schema(schema).option("escape", '"').option("multiLine", True).csv(glob)
+    rows = with_row_index(raw.where(fits), "_line")
+    if len(raw.inputFiles()) <= BLOCKS:
+        kind_of = F.broadcast(kind_of)
+    rows = rows.where("_line > 0").join(kind_of, F.col("file") == F.col("_f"))
+    own = ("task", "model", "reasoning_effort", "file", "row_idx")
+    united = [c for c in dict.fromkeys(c for n in names for c in n) if c not in own]
+    value = lambda c: F.coalesce(*[F.when(F.col("_kind") == i, F.col(f"_c{n.index(c)}")) for i, n in enumerate(names) if c in n])
+    dims = parse_file_name(F.element_at(F.split(F.col("file"), "/"), -1), pattern)
+    out = rows.select(*[value(c).alias(c) for c in united], dims.alias("_d"), "file", (F.col("_line") - 1).alias("row_idx"))
+    return out.select(*[F.col(f"`{c}`") for c in united], "_d.task", "_d.model", F.col("_d.reasoning").alias("reasoning_effort"), "file", "row_idx")
+
+
+def write_result_files(df: DataFrame, folder: str, order: list[str], columns: list[str], pattern: str = RESULT_PATTERN) -> int:
+    """Result files, one for each task, model and reasoning of df, named by them, rows in the given order; returns their number.
+
+    A task streams its files one after another into the folder; a file gets its name when it is complete.
+    """
+    name = F.concat("task", F.lit(pattern), "model", F.lit("_re_"), "reasoning", F.lit(".csv"))
+    heads = [c.strip("`") for c in columns]
+    rows = df.select(name.alias("_name"), *[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(columns)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    keys = [f"_o{i}" for i in range(len(order))]
+    sorted_rows = rows.repartition("_name").sortWithinPartitions("_name", *keys).drop(*keys)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        filesystem, root = fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+        filesystem.create_dir(root, recursive=True)
+        open_name, out, part, n = None, None, "", 0
+
+        def close() -> None:
+            out.close()
+            filesystem.move(part, f"{root}/{open_name}")
+
+        for batch in batches:
+            for file, own in batch.groupby("_name", sort=False):
+                if file != open_name:
+                    if out is not None:
+                        close()
+                    open_name, part = file, f"{root}/.{file}.{uuid.uuid4().hex}"
+                    out, n = filesystem.open_output_stream(part), n + 1
+                    out.write((",".join(heads) + "\n").encode())
+                out.write(own.drop(columns="_name").to_csv(index=False, header=False).encode())
+        if out is not None:
+            close()
+        yield pd.DataFrame({"n": [n]})
+
+    return sorted_rows.mapInPandas(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def run_pairs(names: DataFrame, col: str = "file") -> DataFrame:
@@ -148,6 +224,42 @@ def write_tokens(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.repartition("source", F.floor(F.col("context_idx") / 4096)).sortWithinPartitions("source", "context_idx").write.mode(mode).partitionBy("source").parquet(path)
 
 
+def append_tokens(df: DataFrame, path: str, chunk: int, source: str = "source", index: str = "context_idx") -> None:
+    """Adds a chunk of packed contexts, numbered from 0 in each source, to a token table; a chunk written again replaces itself.
+
+    The rows go to a folder of their own version. Only then does a line of the commit manifest name that version with its
+    contexts and tokens per source, so readers see a chunk whole or not at all, and what a lost writer left is never read.
+    One writer at a time; chunks are read in the order of their numbers, whenever they came.
+    """
+    spark = df.sparkSession
+    version = uuid.uuid4().hex
+    data = f"{path}/data/chunk={chunk}/version={version}"
+    df.repartition(source, F.floor(F.col(index) / 4096)).sortWithinPartitions(source, index).write.parquet(data)
+    turn = spark.read.parquet(f"{path}/manifest").agg(F.max("turn")).first()[0] + 1 if _exists(spark, f"{path}/manifest") else 0
+    written = spark.read.parquet(data).groupBy(F.col(source).alias("source")).agg(F.count("*").alias("contexts"), F.sum(F.size("tokens")).cast("bigint").alias("tokens"))
+    line = written.agg(F.collect_list(F.struct("source", "contexts", "tokens")).alias("sizes"))
+    line = line.select(F.lit(chunk).alias("chunk"), F.lit(version).alias("version"), F.lit(turn).alias("turn"), "sizes")
+    line.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def token_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk, version, source, contexts, tokens, first_context, first_token) of the chunks as they stand."""
+    lines = spark.read.parquet(f"{path}/manifest")
+    now = lines.groupBy("chunk").agg(F.max_by(F.struct("version", "sizes"), "turn").alias("v"))
+    sizes = now.select("chunk", "v.version", F.inline("v.sizes"))
+    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    first = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    return sizes.select("*", first("contexts").alias("first_context"), first("tokens").alias("first_token"))
+
+
+def read_tokens(spark: SparkSession, path: str, source: str = "source", index: str = "context_idx") -> DataFrame:
+    """The contexts of all chunks, numbered on from chunk to chunk in each source."""
+    at = token_manifest(spark, path).select(F.col("chunk").alias("_c"), F.col("version").alias("_v"), F.col("source").alias("_s"), "first_context")
+    rows = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
+    met = rows.join(at, (F.col("chunk") == F.col("_c")) & (F.col("version") == F.col("_v")) & F.col(source).eqNullSafe(F.col("_s")))
+    return met.withColumn(index, F.col(index) + F.col("first_context")).drop("chunk", "version", "_c", "_v", "_s", "first_context")
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     """Appends long metric rows to a log."""
     df.write.mode("append").parquet(path)

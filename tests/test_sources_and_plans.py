@@ -39,6 +39,45 @@ def test_discover_results(spark, tmp_path):
     assert [tuple(r) for r in S.run_pairs(pairs).collect()] == [("a_gemini_H1.csv", "a_gemini_H2.csv", "a_gemini_high.csv")]
 
 
+def test_row_index_in_split_files(spark, tmp_path):
+    """Lines are numbered through all splits of a file, and on from file to file."""
+    texts = [[f"{k}-{i}" + "x" * (i % 50) for i in range(n)] for k, n in enumerate((3000, 1, 700))]
+    (tmp_path / "p").mkdir()
+    for k, lines in enumerate(texts):
+        (tmp_path / "p" / f"part-{k}.csv").write_text("prompt,answer\n" + "".join(f"{t},{k}\n" for t in lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        one = S.read_problems(spark, str(tmp_path / "p"), ["prompt"], row_idx=True)
+        assert one.rdd.getNumPartitions() >= 4
+        got = {(r.file.rsplit("/", 1)[1], r.row_idx): r.prompt for r in one.collect()}
+        assert got == {(f"part-{k}.csv", i): t for k, lines in enumerate(texts) for i, t in enumerate(lines)}
+        across = S.read_problems(spark, str(tmp_path / "p"), ["prompt"], row_idx=True, across=True)
+        assert [r.prompt for r in across.orderBy("row_idx").collect()] == sum(texts, [])
+        assert sorted(r.row_idx for r in across.filter("prompt like '2-%'").collect()) == list(range(3001, 3701))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    S.write_problems(spark.createDataFrame([(t, "1") for t in texts[2]], "prompt string, answer string").coalesce(1), str(tmp_path / "z"), "train")
+    zipped = S.read_problems(spark, [str(tmp_path / "z"), str(tmp_path / "p")], ["prompt"], row_idx=True)
+    assert [r.prompt for r in zipped.filter("file like '%.gz'").orderBy("row_idx").collect()] == texts[2]
+
+
+def test_chunks_of_tokens(spark, tmp_path):
+    """Chunks may come in any order and again; what a writer left without a line in the manifest is not read."""
+    path = str(tmp_path / "tokens")
+    chunk = lambda n, k: spark.createDataFrame([(s, i, [k, i]) for s in ("a", "b") for i in range(n if s == "a" else 1)], "source string, context_idx bigint, tokens array<int>")
+    for number, df in ((0, chunk(3, 0)), (2, chunk(2, 2)), (1, chunk(9, 9)), (1, chunk(4, 1))):
+        S.append_tokens(df, path, number)
+    chunk(5, 7).write.parquet(f"{path}/data/chunk=3/version=lost")
+    rows = S.read_tokens(spark, path).orderBy("source", "context_idx").collect()
+    assert [(r.context_idx, r.tokens) for r in rows if r.source == "a"] == list(enumerate([[k, i] for k, n in ((0, 3), (1, 4), (2, 2)) for i in range(n)]))
+    assert [(r.context_idx, r.tokens[0]) for r in rows if r.source == "b"] == [(0, 0), (1, 1), (2, 2)]
+    at = {(r.chunk, r.source): (r.first_context, r.first_token, r.tokens) for r in S.token_manifest(spark, path).collect()}
+    assert at[2, "a"] == (7, 14, 4) and at[1, "b"] == (1, 2, 2)
+
+
 def test_read_dataset(spark, tmp_path):
     spark.range(3).selectExpr("string(id) as text").write.parquet(f"{tmp_path}/docs")
     assert sorted(r.text for r in S.read_dataset(spark, "documents", f"{tmp_path}/docs").collect()) == ["0", "1", "2"]
@@ -66,22 +105,25 @@ def test_append_and_snapshot(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Three runs over several files, with keys that repeat in one run and in later ones; a batch that runs again adds nothing."""
     from tallyforge.functions.answers import parse_answer, score_answers
     from tallyforge.operators.leaderboard import perf_by
     from tallyforge.plans.corpus_queries import answers_of_events
-    from tallyforge.streaming.score_stream import leaderboard, score_stream
+    from tallyforge.streaming import score_stream as stream
 
     events = table(spark, SF, "events")
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    half = events.count() // 2
-    (tmp_path / "in").mkdir()
-    arriving = spark.readStream.schema(events.schema).parquet(src)
-    for part in (events.filter(F.col("event_id") < half), events.filter(F.col("event_id") >= half).unionAll(events.filter(F.col("event_id") == half))):
-        part.coalesce(1).write.mode("append").parquet(src)
-        score_stream(answers_of_events(arriving), out, ["event_id"], watermark="30 days").awaitTermination()
+    for run in range(3):
+        part = events.filter((F.col("event_id") % 3 == run) | (F.col("event_id") % 15 < 3 * run))
+        part.repartition(3).write.mode("append").parquet(src)
+        arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(src)
+        stream.score_stream(answers_of_events(arriving), out, ["event_id"]).awaitTermination()
     batch = {tuple(r)[:3]: round(r.mean_performance, 9) for r in perf_by(score_answers(parse_answer(answers_of_events(events)))).collect()}
-    stream = {(r.model, r.reasoning, r.task): round(r.mean_performance, 9) for r in leaderboard(spark, out, ["event_id"]).collect()}
-    assert stream == batch
+    table_ = stream.leaderboard(spark, out)
+    assert {(r.model, r.reasoning, r.task): round(r.mean_performance, 9) for r in table_.collect()} == batch
+    assert stream.scored_rows(spark, out).count() == events.count() == table_.agg(F.sum("n_samples")).first()[0]
+    last = stream._batches(spark, out)
+    assert len(last) == 2 and spark.read.parquet(f"{out}/sums/batch={last[-1]}").count() == len(batch)
 
 
 def plan(df):
