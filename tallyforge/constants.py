@@ -73,25 +73,32 @@ TOKEN_RATES = {
     "gemini-2.5-pro": (0.625 / 1_000_000, 5.0 / 1_000_000),
 }
 
-# System messages by kind of answer.
-_HEAD_ONE = (
-    "You are an expert in numeracy. Return exactly one valid JSON object in this format: \n"
-    '{"answer": <numeric_answer>}\n'
-)
-_HEAD_EACH = "You are an expert in numeracy. For each problem, output only valid JSON in this format: \n"
-_RULES = (
-    "Do not explain, show steps, or add any extra text. Do not use code blocks to output the answer.\n"
-    "DO NOT CALL ANY external APIs or use ANY external tool to solve the problem. "
-    "DO NOT USE a calculator tool. DO NOT USE python. DO NOT USE Wolfram Alpha.\n"
-)
+# System messages by kind of answer, whole and as sent.
 SYSTEM_MESSAGES = {
-    "Interval": _HEAD_EACH + '{"answer": <interval_multiple_choice_answer>}\n' + _RULES
-    + "The answer must be one of the following: A, B, C, D, E, F.",
-    "Sorting": _HEAD_EACH + '{"answer": <sorted_list>}\n' + _RULES + "The answer must be a list of numbers.",
-    "MinMax": _HEAD_EACH + '{"answer": <numeric_answer>}\n' + _RULES
-    + "The answer must be a single number, exactly as it appears in the list.",
-    "": _HEAD_ONE + _RULES
-    + "If the answer is not an integer, give it as a decimal (not a fraction), rounded to at most 15 significant digits.",
+    "Interval": """\
+You are an expert in numeracy. For each problem, output only valid JSON in this format: 
+{"answer": <interval_multiple_choice_answer>}
+Do not explain, show steps, or add any extra text. Do not use code blocks to output the answer.
+DO NOT CALL ANY external APIs or use ANY external tool to solve the problem. DO NOT USE a calculator tool. DO NOT USE python. DO NOT USE Wolfram Alpha.
+The answer must be one of the following: A, B, C, D, E, F.""",
+    "Sorting": """\
+You are an expert in numeracy. For each problem, output only valid JSON in this format: 
+{"answer": <sorted_list>}
+Do not explain, show steps, or add any extra text. Do not use code blocks to output the answer.
+DO NOT CALL ANY external APIs or use ANY external tool to solve the problem. DO NOT USE a calculator tool. DO NOT USE python. DO NOT USE Wolfram Alpha.
+The answer must be a list of numbers.""",
+    "MinMax": """\
+You are an expert in numeracy. For each problem, output only valid JSON in this format: 
+{"answer": <numeric_answer>}
+Do not explain, show steps, or add any extra text. Do not use code blocks to output the answer.
+DO NOT CALL ANY external APIs or use ANY external tool to solve the problem. DO NOT USE a calculator tool. DO NOT USE python. DO NOT USE Wolfram Alpha.
+The answer must be a single number, exactly as it appears in the list.""",
+    "": """\
+You are an expert in numeracy. Return exactly one valid JSON object in this format: 
+{"answer": <numeric_answer>}
+Do not explain, show steps, or add any extra text. Do not use code blocks to output the answer.
+DO NOT CALL ANY external APIs or use ANY external tool to solve the problem. DO NOT USE a calculator tool. DO NOT USE python. DO NOT USE Wolfram Alpha.
+If the answer is not an integer, give it as a decimal (not a fraction), rounded to at most 15 significant digits.""",
 }
 
 # JSON schema of the answer field by task.

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -145,17 +146,27 @@ def _field(text: str, raw: bool) -> str | None:
     return str(found["answer"]) if isinstance(found, dict) and "answer" in found else None
 
 
-def _balanced(text: str) -> str | None:
-    """First balanced {...} that mentions the answer key."""
-    for start in (m.start() for m in re.finditer(r"\{", text)):
-        depth = 0
-        for m in re.finditer(r"[{}]", text[start:]):
-            depth += 1 if m.group() == "{" else -1
-            if depth == 0:
-                found = text[start : start + m.end()]
-                if '"answer"' in found or "'answer'" in found:
-                    return found
-                break
+_BRACE, _ANSWER_KEY = re.compile(r"[{}]"), re.compile(r"""["']answer["']""")
+
+
+def balanced_spans(text: str) -> list[tuple[int, int]]:
+    """Where each pair of braces that belong together begins and ends, in the order of the beginnings; one scan."""
+    waiting, spans = [], []
+    for m in _BRACE.finditer(text):
+        if m.group() == "{":
+            waiting.append(m.start())
+        elif waiting:
+            spans.append((waiting.pop(), m.end()))
+    return sorted(spans)
+
+
+def answer_span(text: str) -> str | None:
+    """The first balanced {...} that holds the answer key in quotes."""
+    keys = [m.start() for m in _ANSWER_KEY.finditer(text) if text[m.start()] == text[m.end() - 1]]
+    for start, end in balanced_spans(text) if keys else ():
+        at = bisect_left(keys, start)
+        if at < len(keys) and keys[at] + len('"answer"') <= end:
+            return text[start:end]
     return None
 
 
@@ -167,7 +178,7 @@ def _json_answers(text: pd.Series, cleaned: pd.Series, raw: pd.Series) -> pd.Dat
         if t is None:
             rows.append((None, None, None))
             continue
-        inner = _balanced(c)
+        inner = answer_span(c)
         rows.append((_field(t, r), _field(c, r), None if inner is None else _field(inner, r)))
     return pd.DataFrame(rows, columns=["whole", "clean", "inner"])
 
@@ -335,3 +346,38 @@ def tool_mentions(df: DataFrame, reasoning: str = "reasoning", task: str = "task
         .withColumn("logSMAPE", F.when(numeric, F.col("performance")))
         .withColumn("correct", F.when(~numeric, F.col("performance") >= 0.999999))
     )
+
+
+# ---- schema ----
+
+def _number_kind(kind: Column) -> Column:
+    return kind.rlike(r"^(?:BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))$")
+
+
+def schema_violation(text: Column | str, schema: dict) -> Column:
+    """How a text breaks a JSON schema of an object, or null: not_json, not_object, missing_field, extra_field, wrong_type, wrong_item
+    or not_in_enum, in this order. Fields may be numbers, strings (of an enum, too) or arrays of numbers.
+    """
+    def broken(parts: Column) -> Column:
+        out = F.when(parts["json"].isNull(), "not_json").when(~F.startswith(parts["kind"], F.lit("OBJECT<")), "not_object")
+        for name in schema.get("required", ()):
+            out = out.when(~F.array_contains(parts["fields"], name), "missing_field")
+        if schema.get("additionalProperties") is False:
+            allowed = F.array(*[F.lit(n) for n in schema["properties"]])
+            out = out.when(F.size(F.array_except(parts["fields"], allowed)) > 0, "extra_field")
+        for name, wanted in schema["properties"].items():
+            value = F.try_variant_get(parts["json"], f"$.{name}", "variant")
+            kind, present = F.schema_of_variant(value), F.array_contains(parts["fields"], name)
+            if wanted["type"] == "array":
+                odd = F.exists(F.try_variant_get(value, "$", "array<variant>"), lambda v: ~_number_kind(F.schema_of_variant(v)))
+                out = out.when(present & ~F.startswith(kind, F.lit("ARRAY<")), "wrong_type").when(present & odd, "wrong_item")
+            elif wanted["type"] == "number":
+                out = out.when(present & ~_number_kind(kind), "wrong_type")
+            else:
+                out = out.when(present & (kind != "STRING"), "wrong_type")
+            if "enum" in wanted:
+                out = out.when(present & ~F.try_variant_get(value, "$", "string").isin(wanted["enum"]), "not_in_enum")
+        return out
+
+    json_ = F.try_parse_json(_col(text))
+    return let(F.struct(json_.alias("json"), F.schema_of_variant(json_).alias("kind"), F.coalesce(F.json_object_keys(_col(text)), F.array().cast("array<string>")).alias("fields")), broken)

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.metrics import log_smape
 from tallyforge.functions.text import _col, binary_exponent, let, round_bits
 
-# Exponent bits, mantissa bits and bias by width.
-IEEE = {64: (11, 52, 1023), 32: (8, 23, 127), 16: (5, 10, 15)}
+# Decimal digits of the exponent and the mantissa, and the bias of the exponent.
 EXPONENT_DIGITS, MANTISSA_DIGITS, EXPONENT_BIAS = 3, 17, 500
 INF = float("inf")
 
@@ -31,64 +30,60 @@ def to_width(x: Column, width: int) -> Column:
     return F.when(F.abs(x) < 2.0**-14, small).when(F.abs(normal) > 65504, F.signum(x) * F.lit(INF)).otherwise(normal)
 
 
+def _java(kind: str, method: str, x: Column, empty) -> Column:
+    """What a static method of java.lang returns for a number; null for null."""
+    return F.when(x.isNotNull(), F.reflect(F.lit(f"java.lang.{kind}"), F.lit(method), F.coalesce(x, F.lit(empty))))
+
+
+def raw_bits(x: Column | str) -> Column:
+    """The 64 bits of a double as a long: subnormal numbers, both zeros and infinities as they are, one kind of NaN."""
+    return _java("Double", "doubleToLongBits", _col(x).cast("double"), 0.0).cast("bigint")
+
+
+def _bit_text(whole: Column, width: int) -> Column:
+    return F.right(F.lpad(F.bin(whole), 64, "0"), F.lit(width))
+
+
 def number_bits(x: Column | str, width: int = 64, reciprocal: bool = False) -> Column:
     """IEEE bits of a number as text, sign first; with `reciprocal` followed by those of 1/x."""
     x = _col(x).cast("double")
     if reciprocal:
-        inverse = F.when(x == 0, F.when(F.startswith(x.cast("string"), F.lit("-")), F.lit(-INF)).otherwise(F.lit(INF))).otherwise(F.lit(1.0) / F.when(x != 0, x))
+        inverse = F.when(x == 0, F.when(raw_bits(x) < 0, F.lit(-INF)).otherwise(F.lit(INF))).otherwise(F.lit(1.0) / F.when(x != 0, x))
         return F.concat(number_bits(x, width), number_bits(inverse, width))
-    e_bits, m_bits, bias = IEEE[width]
+    if width == 64:
+        return _bit_text(raw_bits(x), 64)
+    if width == 32:
+        single = F.reflect(F.lit("java.lang.Float"), F.lit("floatToIntBits"), F.coalesce(x, F.lit(0.0)).cast("float"))
+        return _bit_text(F.when(x.isNotNull(), single).cast("int").cast("bigint"), 32)
 
     def write(v: Column) -> Column:
-        size = F.abs(v)
-        sign = F.when(F.startswith(v.cast("string"), F.lit("-")), "1").otherwise("0")
-
-        def finite(e: Column) -> Column:
-            low = e < 1 - bias
-            # scaled in two steps so that neither power of two overflows
-            shift = F.when(low, F.lit(bias - 1 + m_bits)).otherwise(F.lit(m_bits) - e)
-            half = F.floor(shift / 2).cast("int")
-            whole = (size * _pow2(half) * _pow2(shift - half)).cast("bigint")
-            fraction = F.when(low, whole).otherwise(whole - (1 << m_bits))
-            power = F.when(low, F.lit(0)).otherwise(e + bias)
-            return F.concat(F.lpad(F.bin(power), e_bits, "0"), F.lpad(F.bin(fraction), m_bits, "0"))
-
-        body = (
-            F.when(F.isnan(v), F.lit("1" * e_bits + "1" + "0" * (m_bits - 1)))
-            .when(size == INF, F.lit("1" * e_bits + "0" * m_bits))
-            .when(size == 0, F.lit("0" * (e_bits + m_bits)))
-            .otherwise(let(_safe_exponent(size), finite))
-        )
-        return F.concat(sign, body)
+        b = raw_bits(v)
+        e, m = F.shiftrightunsigned(b, 52).bitwiseAND(F.lit(2047)), b.bitwiseAND(F.lit((1 << 52) - 1))
+        normal = (e - 1008) * 1024 + F.shiftright(m, 42)
+        # the smallest numbers are multiples of 2 ** -24
+        small = F.when(e < 1009, F.abs(v) * 2.0**24).otherwise(0.0).cast("bigint")
+        size = F.when(e == 2047, F.lit(31 << 10) + F.when(m != 0, 512).otherwise(0)).when(e < 1009, small).otherwise(normal)
+        return _bit_text(F.shiftrightunsigned(b, 63) * 32768 + size, 16)
 
     return let(to_width(x, width), write)
 
 
-def _safe_exponent(size: Column) -> Column:
-    """Binary exponent, also for numbers below the normal range."""
-    tiny = size < 2.0**-1000
-    return F.when(tiny, binary_exponent(F.when(tiny, size * 2.0**200).otherwise(1.0)) - 200).otherwise(
-        binary_exponent(F.when(tiny, F.lit(1.0)).otherwise(size))
-    )
-
-
 def bits_value(bits: Column | str, width: int = 64) -> Column:
     """The number behind a bit text."""
     bits = _col(bits)
-    e_bits, m_bits, bias = IEEE[width]
-    part = lambda start, n: F.conv(F.substr(bits, F.lit(start), F.lit(n)), 2, 10).cast("bigint")
-    sign = F.when(F.startswith(bits, F.lit("1")), -1.0).otherwise(1.0)
+    whole = F.conv(bits, 2, -10 if width == 64 else 10).cast("bigint")
+    if width == 64:
+        return _java("Double", "longBitsToDouble", whole, 0).cast("double")
+    if width == 32:
+        signed = F.when(whole >= 1 << 31, whole - (1 << 32)).otherwise(whole).cast("int")
+        return _java("Float", "intBitsToFloat", signed, 0).cast("float").cast("double")
 
-    def read(p: Column) -> Column:
-        e, m = p["e"], p["m"].cast("double")
-        shift = F.when(e == 0, F.lit(1 - bias - m_bits)).otherwise(e - (bias + m_bits)).cast("int")
-        whole = F.when(e == 0, m).otherwise(m + float(1 << m_bits))
-        half = F.floor(shift / 2).cast("int")
-        value = whole * _pow2(half) * _pow2(shift - half)
-        top = F.when(m == 0, F.lit(INF)).otherwise(F.lit(float("nan")))
-        return sign * F.when(e == (1 << e_bits) - 1, top).otherwise(value)
+    def read(b: Column) -> Column:
+        e, m = F.shiftright(b, 10).bitwiseAND(F.lit(31)), b.bitwiseAND(F.lit(1023)).cast("double")
+        size = F.when(e == 31, F.when(m == 0, INF).otherwise(float("nan"))).when(e == 0, m * 2.0**-24).otherwise((m + 1024) * _pow2(e - 25))
+        return F.when(b >= 1 << 15, -size).otherwise(size)
 
-    return let(F.struct(part(2, e_bits).alias("e"), part(2 + e_bits, m_bits).alias("m")), read)
+    return let(whole, read)
 
 
 def number_digits10(x: Column | str) -> Column:
@@ -164,48 +159,73 @@ def logscale_value(enc: Column | str, scaling: str = "log", max_num: float = 1e1
     return F.when(F.abs(enc) >= floor, F.signum(enc) * (F.pow(F.lit(10.0), (F.abs(enc) - 2.5) / F.lit(factor)) - min_num)).otherwise(0.0)
 
 
-def _noisy_bits(bits: Column, noise: float, seed: int, key: Column, width: int) -> Column:
-    """Bit text after each bit (as -1 or 1) gets uniform noise, then a cut at 0."""
-    def flip(i: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.lit(seed), key, i), F.lit(1 << 30)).cast("double") / float(1 << 30)
-        level = F.when(F.substr(bits, i, F.lit(1)) == "1", 1.0).otherwise(-1.0) + (u * 2 - 1) * F.lit(noise)
-        return F.when(level > 0, "1").otherwise("0")
+def _digest(key: Column, seed: int, parts: int, what: str = "") -> Column:
+    """32 hexadecimal digits for each of `parts` keyed draws."""
+    return F.concat(*[F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(f":{what}{i}"))) for i in range(parts)])
+
+
+def flip_mask(key: Column | str, share: float, seed: int = 42) -> Column:
+    """64 keyed draws as bit text: place j is 1 where the j-th four digits of eight md5 sums lie below the share of 65536."""
+    limit = f"{min(int(round(share * 65536)), 65535):04x}"
+    drawn = lambda h: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.when(F.substr(h, j * 4 + 1, F.lit(4)) < limit, "1").otherwise("0"))
+    return let(_digest(_col(key), seed, 8), lambda h: F.array_join(drawn(h), ""))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(width)), flip), "")
 
+def _uniform(key: Column, seed: int, what: str) -> Column:
+    """Keyed draw from -1 to 1."""
+    return F.conv(F.substr(_digest(key, seed, 1, what), F.lit(1), F.lit(13)), 16, 10).cast("double") / float(1 << 51) - 1
 
-def roundtrip(x: Column | str, encoding: str, noise: float = 0.0, seed: int = 42, key: Column | None = None,
-              bottleneck_bits: int = 8) -> Column:
-    """decode(encode(x)), with hashed uniform noise on the encoding.
 
-    `bits` and `digits10` pass the encoding as symbols; `log` and `linear` pass it as a float of
-    `bottleneck_bits` significant bits, as a model's narrow layer would.
+def flip_share(noise: float, bernoulli: float) -> float:
+    """How often a symbol of size 1 changes its sign: by white noise above 1, or by being replaced with a draw from -1 to 1."""
+    white = (noise - 1) / (2 * noise) if noise > 1 else 0.0
+    return bernoulli / 2 + (1 - bernoulli) * white
+
+
+def roundtrip(x: Column | str, encoding: str, noise: float = 0.0, seed: int = 42, key: Column | None = None, bottleneck_bits: int = 8,
+              bernoulli: float = 0.0, clamp: float | None = None) -> Column:
+    """decode(encode(x)) with keyed noise on the encoding: white noise of that size, then a `bernoulli` share of values redrawn.
+
+    `bits` passes 64 symbols of -1 or 1 that are read by their sign, so noise is a mask of flipped bits; `digits10` passes digits,
+    which noise does not reach. `log` and `linear` pass a float of `bottleneck_bits` significant bits, as a model's narrow
+    layer would, held within `clamp` after the white noise.
     """
     x = _col(x).cast("double")
-    key = F.xxhash64(x) if key is None else key
+    key = raw_bits(x).cast("string") if key is None else key
     if encoding == "bits":
-        # a bit stands for -1 or 1 and is read by its sign, so noise below 1 changes nothing
-        noisy = lambda b: b if noise < 1 else _noisy_bits(b, noise, seed, key, 64)
-        return let(let(number_bits(x), noisy), lambda b: bits_value(b))
+        share = flip_share(noise, bernoulli)
+        if share <= 0:
+            return bits_value(number_bits(x))
+        flipped = F.conv(flip_mask(key, share, seed), 2, -10).cast("bigint")
+        return _java("Double", "longBitsToDouble", raw_bits(x).bitwiseXOR(flipped), 0).cast("double")
     if encoding == "digits10":
         return let(number_digits10(x), digits10_value)
     if encoding not in ("log", "linear"):
         raise ValueError(f"unknown encoding: {encoding}")
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    enc = round_bits(number_logscale(x, encoding).cast("float").cast("double"), bottleneck_bits) + (u * 2 - 1) * F.lit(noise)
+    enc = round_bits(number_logscale(x, encoding).cast("float").cast("double"), bottleneck_bits)
+    if noise > 0:
+        enc = enc + _uniform(key, seed, "white") * noise
+    if clamp is not None:
+        enc = F.least(F.greatest(enc, F.lit(-float(clamp))), F.lit(float(clamp)))
+    if bernoulli > 0:
+        enc = F.when((_uniform(key, seed, "which") + 1) / 2 < bernoulli, _uniform(key, seed, "drawn")).otherwise(enc)
     return logscale_value(round_bits(enc, bottleneck_bits), encoding)
 
 
-def roundtrip_report(df: DataFrame, col: str, encoding: str, noise: float = 0.0, seed: int = 42, rel_tol: float = 1e-14,
-                     abs_tol: float = 1e-14) -> DataFrame:
-    """Per decimal exponent of the number: rows, share read back within tolerance, mean matching digits."""
-    t = df.select(F.col(col).cast("double").alias("x")).withColumn("back", roundtrip("x", encoding, noise, seed))
+def roundtrip_report(df: DataFrame, col: str, encoding: str, noise: float = 0.0, seed: int = 42, rel_tol: float = 1e-14, abs_tol: float = 1e-14,
+                     bernoulli: float = 0.0, grace: float = 1, clamp: float | None = None, key: str | None = None) -> DataFrame:
+    """Per decimal exponent of the number: rows, share read back within tolerance (times `grace`), mean matching digits.
+
+    Noise is keyed by the column `key`, or by the number itself.
+    """
+    t = df.select(F.col(col).cast("double").alias("x"), (F.col(key) if key else raw_bits(F.col(col))).cast("string").alias("key"))
+    t = t.withColumn("back", roundtrip("x", encoding, noise, seed, F.col("key"), bernoulli=bernoulli, clamp=clamp))
     gap = F.abs(F.col("x") - F.col("back"))
-    near = gap <= F.greatest(F.lit(rel_tol) * F.greatest(F.abs(F.col("x")), F.abs(F.col("back"))), F.lit(abs_tol))
+    near = gap <= F.greatest(F.lit(rel_tol * grace) * F.greatest(F.abs(F.col("x")), F.abs(F.col("back"))), F.lit(abs_tol * grace))
     exponent = F.when(F.col("x") != 0, F.floor(F.log10(F.abs("x"))).cast("int"))
     return t.groupBy(exponent.alias("exponent")).agg(
-        F.count("*").alias("n"), F.avg(F.coalesce(near, F.lit(False)).cast("double")).alias("accuracy"),
-        F.avg(log_smape(F.col("back"), F.col("x"))).alias("mean_log_smape"),
+        F.count("*").alias("n"), F.avg(F.coalesce(near & ~F.isnan("back"), F.lit(False)).cast("double")).alias("accuracy"),
+        F.avg(F.when(~F.isnan("back"), log_smape(F.col("back"), F.col("x")))).alias("mean_log_smape"),
     )
 
 

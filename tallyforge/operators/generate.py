@@ -540,13 +540,13 @@ def dedupe_problems(df: DataFrame, keys: list[str] | None = None, order: Column
     return kept.select("_row.*")
 
 
-def exact_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """n rows without replacement: those of smallest hash.
+def exact_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42, hashed: Column | None = None) -> DataFrame:
+    """n rows without replacement: those of smallest hash (by default a seeded one of the keys; ties go by the keys).
 
     Hash slices are counted first. Slices below the cut are kept as they are, and only the slice at the cut is ranked.
     """
     slices = max(64, bucket_count(df))
-    t = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
+    t = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys) if hashed is None else hashed)
     t = t.withColumn("_slice", hash_slice(F.col("_h"), slices))
     # one row per slice
     before = F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")

@@ -1,10 +1,13 @@
 """Keeping result sets: merge of two runs, canonical order, resume, upsert, cost."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge import constants as C
+from tallyforge.functions import answers as A
 from tallyforge.operators.prefix import quantile_slices, running_totals
 
 RESPONSE = "raw_response"
@@ -194,6 +197,18 @@ def response_schema(task: Column, strict: bool = True) -> Column:
     return F.concat(F.lit(head), body, F.lit(', "additionalProperties": false}}}'))
 
 
+def schema_violation(response: Column | str, task: Column | str) -> Column:
+    """How a response breaks the strict schema of its task (see `answers.schema_violation`); null for a response that keeps to it."""
+    kinds = {name: {"type": "object", "properties": {"answer": json.loads(a)}, "required": ["answer"], "additionalProperties": False} for name, a in C.ANSWER_SCHEMAS.items()}
+    task = F.col(task) if isinstance(task, str) else task
+    out = None
+    for name, schema in kinds.items():
+        if name:
+            found = A.schema_violation(response, schema)
+            out = F.when(task == name, found) if out is None else out.when(task == name, found)
+    return out.otherwise(A.schema_violation(response, kinds[""]))
+
+
 def chat_requests(df: DataFrame, few_shot: int = 0, idx: str = "row_idx") -> DataFrame:
     """Adds the chat messages of each row: system, the first `few_shot` rows of its task (all, if there are fewer) as examples, user."""
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))

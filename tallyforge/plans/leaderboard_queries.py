@@ -616,6 +616,33 @@ def chat_requests(spark, sf):
     )
 
 
+def _schema_sql(name: str) -> str:
+    return _sql_text('{"type": "json_schema", "json_schema": {"name": "answer_schema", "strict": true, "schema": {"type": "object", "properties": {"answer": '
+                     + C.ANSWER_SCHEMAS[name] + '}, "required": ["answer"], "additionalProperties": false}}}')
+
+
+_SHOWN = """CASE l_suppkey % 6 WHEN 1 THEN replace(raw_response, '}', ', "note": 1}') WHEN 2 THEN replace(raw_response, '"answer"', '"result"')
+    WHEN 3 THEN replace(raw_response, ']', ', null]') WHEN 4 THEN replace(replace(raw_response, '{"answer": ', ''), '}', '') ELSE raw_response END"""
+_ASKED_TASK = "CASE l_suppkey % 10 WHEN 7 THEN 'Interval' WHEN 8 THEN 'Sorting' ELSE task END"
+
+
+@query("schema_violations", with_views("v_results") + f""",
+  s AS (SELECT {_ASKED_TASK} AS task, TRY_CAST({_SHOWN} AS JSON) AS j FROM v_results),
+  a AS (SELECT *, json_type(j) AS kind, CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) END AS fields, json_type(j, '$.answer') AS value,
+    CASE WHEN json_type(j, '$.answer') = 'ARRAY' THEN json_extract(j, '$.answer[*]') END AS items FROM s)
+SELECT task, CASE WHEN j IS NULL THEN 'not_json' WHEN kind <> 'OBJECT' THEN 'not_object' WHEN NOT list_contains(fields, 'answer') THEN 'missing_field' WHEN len(fields) > 1 THEN 'extra_field'
+    WHEN task = 'Interval' THEN CASE WHEN value <> 'VARCHAR' THEN 'wrong_type' WHEN json_extract_string(j, '$.answer') NOT IN ('A', 'B', 'C', 'D', 'E', 'F') THEN 'not_in_enum' END
+    WHEN task = 'Sorting' THEN CASE WHEN value <> 'ARRAY' THEN 'wrong_type' WHEN len([x FOR x IN items IF json_type(x) NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE')]) > 0 THEN 'wrong_item' END
+    WHEN value NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'wrong_type' END AS violation,
+  count(*) AS n, any_value(md5(CASE task WHEN 'Interval' THEN {_schema_sql('Interval')} WHEN 'Sorting' THEN {_schema_sql('Sorting')} ELSE {_schema_sql('')} END)) AS schema_md5
+FROM a GROUP BY 1, 2""")
+def schema_violations(spark, sf):
+    """Responses held against their task's schema; some get a field too many, another field, a null item, no object or another task."""
+    t = view(spark, sf, "v_results").select(F.expr(_ASKED_TASK).alias("task"), F.expr(_SHOWN).alias("shown"))
+    found = t.select("task", R.schema_violation(F.col("shown"), F.col("task")).alias("violation"), F.md5(R.response_schema(F.col("task"))).alias("schema_md5"))
+    return found.groupBy("task", "violation").agg(F.count("*").alias("n"), F.first("schema_md5").alias("schema_md5"))
+
+
 @query("union_by_name", with_views("v_rows") + """
 SELECT model, CAST(NULL AS DOUBLE) AS cost, TRY_CAST(answer AS DOUBLE) AS number, prompt_tokens FROM v_rows
 UNION ALL SELECT model, CAST(cost AS DOUBLE), TRY_CAST(response AS DOUBLE), NULL FROM v_rows""")

@@ -29,19 +29,16 @@ def sig_digits(spark, sf):
 
 
 @query("fixed_point", with_views("v_problems") + f"""
-SELECT {KEY_SQL}, num1 AS plain,
-  CASE WHEN l_linenumber % 2 = 0 THEN num1 || '0000000' ELSE regexp_replace('0.00000' || lpad(replace(num1, '.', ''), 10, '0'), '0+$', '') END AS shifted
-FROM v_problems""")
+SELECT {KEY_SQL}, num1 AS plain, CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(p * 100 AS BIGINT) AS VARCHAR) || '000000000000'
+  ELSE regexp_replace('0.00000' || lpad(replace(num1, '.', ''), 10, '0'), '0+$', '') END AS shifted
+FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(12,2)) AS p FROM v_problems)""")
 def fixed_point(spark, sf):
     t = view(spark, sf, "v_problems")
-    digits = F.lpad(F.translate("num1", ".", ""), 10, "0")
-    even = F.col("l_linenumber") % 2 == 0
-    big = F.concat(F.regexp_replace("num1", "[.]", ""), F.lit("0000000"))
-    # the large value is only fixed text when the amount is whole; build it from the text itself
-    small = F.concat(F.lit("0.00000"), digits).cast("double")
-    whole = F.concat(F.col("num1"), F.lit("0000000"))
-    exact = F.when(F.contains("num1", F.lit(".")), whole).otherwise(T.fixed_point(big.cast("double")))
-    return t.select(*KEY, T.fixed_point("l_extendedprice").alias("plain"), F.when(even, exact).otherwise(T.fixed_point(small)).alias("shifted"))
+    # cents times 10 ** 12 and very small amounts, both beyond what a double prints without an exponent
+    big = (F.col("l_extendedprice").cast("decimal(12,2)") * 100).cast("bigint").cast("double") * 1e12
+    small = F.concat(F.lit("0.00000"), F.lpad(F.translate("num1", ".", ""), 10, "0")).cast("double")
+    shifted = F.when(F.col("l_linenumber") % 2 == 0, big).otherwise(small)
+    return t.select(*KEY, T.fixed_point("l_extendedprice").alias("plain"), T.fixed_point(shifted).alias("shifted"))
 
 
 @query("round_sig", with_views("v_problems") + f""",
@@ -122,10 +119,17 @@ def magnitude_bins(spark, sf):
     return t.groupBy("bin").agg(F.count("*").alias("n"))
 
 
-@query("split_large_numbers")
+@query("split_large_numbers", f"""WITH {_TEXTS}, {_FOUND},
+  d0 AS (SELECT source, id, pos AS k, token, CASE WHEN starts_with(token, '-') THEN '-' ELSE '' END AS sign, rtrim(split_part(ltrim(token, '+-') || '.', '.', 2), '0') AS f,
+    ltrim(split_part(ltrim(token, '+-') || '.', '.', 1) || rtrim(split_part(ltrim(token, '+-') || '.', '.', 2), '0'), '0') AS d FROM found),
+  d01 AS (SELECT *, f = '' AND coalesce(TRY_CAST(token AS HUGEINT) = TRY_CAST(CAST(token AS DOUBLE) AS HUGEINT), false) AS whole FROM d0),
+  d1 AS (SELECT *, CASE WHEN whole THEN '' ELSE ltrim(substr(d, 16), '0') END AS d2 FROM d01), d3 AS (SELECT *, ltrim(substr(d2, 16), '0') AS d3 FROM d1),
+  parts AS (SELECT source, id, k, 1 AS i, CASE WHEN whole THEN CAST(token AS DOUBLE) WHEN d = '' THEN 0.0 ELSE CAST(sign || substr(d, 1, 15) || 'e' || CAST(greatest(length(d) - 15, 0) - length(f) AS VARCHAR) AS DOUBLE) END AS number FROM d3
+    UNION ALL SELECT source, id, k, 2, CAST(sign || substr(d2, 1, 15) || 'e' || CAST(greatest(length(d2) - 15, 0) - length(f) AS VARCHAR) AS DOUBLE) FROM d3 WHERE d2 <> ''
+    UNION ALL SELECT source, id, k, 3, CAST(sign || substr(d3, 1, 15) || 'e' || CAST(greatest(length(d3) - 15, 0) - length(f) AS VARCHAR) AS DOUBLE) FROM d3 WHERE d3 <> '')
+SELECT source, id, CAST(row_number() OVER (PARTITION BY source, id ORDER BY k, i) - 1 AS INT) AS pos, number FROM parts""")
 def split_large_numbers(spark, sf):
-    t = texts(spark, sf).select("source", "id", F.posexplode(T.split_large_numbers("text")).alias("pos", "number"))
-    return t
+    return texts(spark, sf).select("source", "id", F.posexplode(T.split_large_numbers("text")).alias("pos", "number"))
 
 
 # ---- difficulty ----
@@ -228,20 +232,23 @@ def difficulty_mean(spark, sf):
     return view(spark, sf, "v_lists").select(*KEY, D.difficulty_mean(F.array("a", "b", "c")).alias("difficulty_sd"))
 
 
-@query("difficulty_add_tree", with_views("v_lists") + f""",
-  t AS (SELECT {KEY_SQL}, a, regexp_replace(CAST(CAST(b AS DECIMAL(14,2)) + CAST(c AS DECIMAL(14,2)) AS VARCHAR), '[.]?0+$', '') AS bc,
-    regexp_replace(CAST(CAST(a AS DECIMAL(14,2)) + CAST(b AS DECIMAL(14,2)) + CAST(c AS DECIMAL(14,2)) AS VARCHAR), '[.]?0+$', '') AS s FROM v_lists),
-  u AS (SELECT {KEY_SQL}, replace(a, '.', '') AS x, replace(bc, '.', '') AS y, replace(s, '.', '') AS z,
-    CASE WHEN abs(CAST(a AS DOUBLE)) >= abs(CAST(bc AS DOUBLE)) THEN replace(a, '.', '') ELSE replace(bc, '.', '') END AS top FROM t)
-SELECT {KEY_SQL}, CAST({sql_differs('top', 'z')} + 3 * len([i FOR i IN range(1, least(length(x), length(y)) + 1)
-  IF substr(x, i, 1) <> '0' AND substr(y, i, 1) <> '0']) AS INT) AS difficulty FROM u""")
+_HALVES = """
+  ls AS (SELECT *, 2 + l_partkey % 8 AS n, [CAST(l_extendedprice AS DECIMAL(14,2)) + CAST(i * l_quantity AS DECIMAL(14,2)) FOR i IN range(1, 3 + l_partkey % 8)] AS v FROM v_lists),
+  hs AS (SELECT *, list_sum(v[:n // 2]) AS l, list_sum(v[n // 2 + 1:]) AS r FROM ls),
+  ts AS (SELECT *, regexp_replace(CAST(l AS VARCHAR), '[.]?0+$', '') AS x, regexp_replace(CAST(r AS VARCHAR), '[.]?0+$', '') AS y, regexp_replace(CAST(l + r AS VARCHAR), '[.]?0+$', '') AS z FROM hs)"""
+
+
+@query("difficulty_add_tree", with_views("v_lists") + f""",{_HALVES},
+  u AS (SELECT *, replace(x, '.', '') AS a1, replace(y, '.', '') AS a2, replace(z, '.', '') AS a3,
+    CASE WHEN abs(CAST(x AS DOUBLE)) >= abs(CAST(y AS DOUBLE)) THEN replace(x, '.', '') ELSE replace(y, '.', '') END AS top FROM ts)
+SELECT {KEY_SQL}, CAST(n AS INT) AS n, CAST({sql_differs('top', 'a3')} + 3 * len([i FOR i IN range(1, least(length(a1), length(a2)) + 1)
+  IF substr(a1, i, 1) <> '0' AND substr(a2, i, 1) <> '0']) AS INT) AS difficulty FROM u""")
 def difficulty_add_tree(spark, sf):
-    t = view(spark, sf, "v_lists")
-    # amounts have two decimals, so their double sums are rounded to the cent before the next step
-    halves = F.col("b").cast("decimal(14,2)") + F.col("c").cast("decimal(14,2)")
-    pair = F.regexp_replace(halves.cast("string"), "[.]?0+$", "")
-    whole = F.regexp_replace((halves + F.col("a").cast("decimal(14,2)")).cast("string"), "[.]?0+$", "")
-    return t.select(*KEY, D.difficulty_add([F.col("a"), pair], whole).alias("difficulty"))
+    # lists of 2 to 9 amounts, one quantity further each
+    n = F.col("l_partkey") % 8 + 2
+    amount = lambda i: F.col("l_extendedprice").cast("decimal(14,2)") + (i * F.col("l_quantity")).cast("decimal(14,2)")
+    texts_ = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: amount(i).cast("string"))
+    return view(spark, sf, "v_lists").select(*KEY, n.cast("int").alias("n"), D.difficulty_add_tree(texts_).alias("difficulty"))
 
 
 # ---- metrics ----
@@ -376,12 +383,48 @@ def number_logscale(spark, sf):
     return t.select(*KEY, F.round(E.number_logscale(x), 9).alias("log_scaled"), F.round(E.number_logscale(x, "linear") * 1e10, 9).alias("linear_scaled"))
 
 
-@query("roundtrip_report")
+_NOISE_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey)"
+
+
+def _mask_sql(share: float) -> str:
+    """Lines with their keyed mask of flipped bits `mask`, drawn anew from the md5 sums."""
+    digest = " || ".join(f"md5('42:' || {_NOISE_KEY} || ':{i}')" for i in range(8))
+    limit = f"{round(share * 65536):04x}"
+    return f"""drawn AS (SELECT *, {digest} AS h FROM lineitem),
+  masked AS (SELECT *, array_to_string([CASE WHEN substr(h, 4 * j + 1, 4) < '{limit}' THEN '1' ELSE '0' END FOR j IN range(64)], '') AS mask FROM drawn)"""
+
+
+@query("noise_flips", f"""WITH {_mask_sql(0.15)}, p AS (SELECT l_returnflag, mask, unnest(range(1, 65)) AS place FROM masked)
+SELECT l_returnflag, CAST(place AS INT) AS place, count(*) AS n, count(*) FILTER (substr(mask, CAST(place AS INT), 1) = '1') AS n_flipped FROM p GROUP BY l_returnflag, place""")
+def noise_flips(spark, sf):
+    """How often each bit is flipped when three tenths of the symbols are redrawn."""
+    t = table(spark, sf, "lineitem").select("l_returnflag", E.flip_mask(F.expr(_NOISE_KEY), E.flip_share(0.3, 0.3)).alias("mask"))
+    counts = t.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.count_if(F.substr("mask", F.lit(j), F.lit(1)) == "1").alias(f"f{j}") for j in range(1, 65)])
+    places = F.array(*[F.struct(F.lit(j).alias("place"), F.col(f"f{j}").alias("n_flipped")) for j in range(1, 65)])
+    return counts.select("l_returnflag", "n", F.inline(places))
+
+
+_BACK = f"""x AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE -l_extendedprice END AS x FROM masked),
+  y AS (SELECT x, CAST(xor(CAST(x AS BIT), CAST(mask AS BIT)) AS DOUBLE) AS back FROM x)"""
+
+
+@query("roundtrip_report", f"""WITH {_mask_sql(0.01)}, {_BACK}
+SELECT CAST(floor(log10(abs(x))) AS INT) AS exponent, count(*) AS n,
+  round(avg(CASE WHEN NOT isnan(back) AND abs(x - back) <= greatest(1e-6 * greatest(abs(x), abs(back)), 1e-6) THEN 1.0 ELSE 0.0 END), 9) AS accuracy,
+  round(avg(CASE WHEN NOT isnan(back) THEN {sql_log_smape('back', 'x')} END), 6) AS mean_log_smape FROM y GROUP BY exponent""")
 def roundtrip_report(spark, sf):
-    t = table(spark, sf, "lineitem")
+    """Amounts of both signs through the bit encoding, two in a hundred symbols redrawn, within a hundred million times the usual tolerance."""
+    x = F.col("l_extendedprice") * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1)
+    t = spread(table(spark, sf, "lineitem").select(x.alias("x"), F.expr(_NOISE_KEY).alias("key")))
+    r = E.roundtrip_report(t, "x", "bits", noise=0.3, bernoulli=0.02, grace=1e8, key="key")
+    return r.withColumn("accuracy", F.round("accuracy", 9)).withColumn("mean_log_smape", F.round("mean_log_smape", 6))
+
+
+@query("roundtrip_encodings")
+def roundtrip_encodings(spark, sf):
     # amounts spread over the exponents -14 to 13 by the part key, with both signs
     x = F.col("l_extendedprice") * F.pow(F.lit(10.0), (F.col("l_partkey") % 24 - 14).cast("int")) * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1)
-    t = spread(t.select(x.alias("x")))
+    t = spread(table(spark, sf, "lineitem").select(x.alias("x")))
     out = None
     for name in ("bits", "digits10", "log", "linear"):
         r = E.roundtrip_report(t, "x", name, noise=0.3 if name == "bits" else 0.0).withColumn("encoding", F.lit(name))

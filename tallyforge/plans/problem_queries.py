@@ -83,11 +83,23 @@ def count_label(spark, sf):
     return t.withColumn("label", S.count_label(F.col("n")))
 
 
-@query("content_fingerprint")
+def _md5_long(text):
+    """The first 15 hexadecimal digits of the md5 sum as a long."""
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(15)), 16, 10).cast("bigint")
+
+
+def _fingerprint_sql(table_: str, id_: str, text: str, suffix: str) -> str:
+    return f"""SELECT sha256(concat_ws('|', CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR), CAST(bit_xor(h) AS VARCHAR), CAST(count(*) AS VARCHAR), 'single')) || '{suffix}' AS content_key,
+  count(*) AS n, '{table_}' AS source FROM (SELECT CAST('0x' || substr(md5(concat(coalesce(CAST({id_} AS VARCHAR), '~'), '|', coalesce({text}, '~'))), 1, 15) AS BIGINT) AS h FROM {table_})"""
+
+
+@query("content_fingerprint", _fingerprint_sql("documents", "doc_id", "text", "") + " UNION ALL " + _fingerprint_sql("pages", "page_id", "html", "_pos"))
 def content_fingerprint(spark, sf):
-    docs = S.content_key(table(spark, sf, "documents"), ["doc_id", "text"], "single").withColumn("source", F.lit("documents"))
-    pages = S.content_key(table(spark, sf, "pages"), ["page_id", "html"], "single", negative=False).withColumn("source", F.lit("pages"))
-    return docs.unionByName(pages)
+    def key(name, id_, text, **more):
+        row = F.concat(F.coalesce(F.col(id_).cast("string"), F.lit("~")), F.lit("|"), F.coalesce(text, F.lit("~")))
+        return S.content_key(table(spark, sf, name), [id_, text], "single", hashed=_md5_long(row), **more).withColumn("source", F.lit(name))
+
+    return key("documents", "doc_id", "text").unionByName(key("pages", "page_id", "html", negative=False))
 
 
 @query("snapshot_long", with_views("v_rows") + " SELECT task, model, reasoning, count(*) AS n, round(sum(performance), 6) AS total FROM v_rows GROUP BY ALL")
@@ -200,10 +212,13 @@ def dedupe_problems(spark, sf):
     return G.dedupe_problems(t, order=F.col("kept")).select("num1", "num2", "kept")
 
 
-@query("exact_sample")
+@query("exact_sample", f"""
+WITH t AS (SELECT {KEY_SQL}, CAST(CAST('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey)), 1, 16) AS UBIGINT) AS HUGEINT) AS u FROM lineitem),
+  h AS (SELECT *, CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS h FROM t)
+SELECT {KEY_SQL} FROM h ORDER BY h, {KEY_SQL} LIMIT 5000""")
 def exact_sample(spark, sf):
-    t = table(spark, sf, "lineitem").select(*KEY)
-    return G.exact_sample(t, 5000, KEY)
+    hashed = F.conv(F.substr(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), F.lit(1), F.lit(16)), 16, -10).cast("bigint")
+    return G.exact_sample(table(spark, sf, "lineitem").select(*KEY), 5000, KEY, hashed=hashed)
 
 
 @query("stratified_subset", """

@@ -209,11 +209,11 @@ def union_results(*dfs: DataFrame, numeric: list[str] = ()) -> DataFrame:
     return out
 
 
-def content_key(df: DataFrame, columns: list[str] | None = None, vocabulary: str = "", negative: bool = True) -> DataFrame:
-    """One row with a key of the whole content, whatever its order; equal rows count every time."""
+def content_key(df: DataFrame, columns: list[str] | None = None, vocabulary: str = "", negative: bool = True, hashed: Column | None = None) -> DataFrame:
+    """One row with a key of the whole content, whatever its order; equal rows count every time. `hashed` replaces the hash of a row."""
     columns = columns or df.columns
     # the hash skips nulls, so each column also says whether it is one
-    h = F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+    h = F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))]) if hashed is None else hashed
     g = df.agg(F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"), F.count("*").alias("n"))
     text = F.concat_ws("|", F.col("s").cast("string"), F.col("x").cast("string"), F.col("n").cast("string"), F.lit(vocabulary))
     return g.select(F.concat(F.sha2(text, 256), F.lit("" if negative else "_pos")).alias("content_key"), "n")

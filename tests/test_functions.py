@@ -102,6 +102,78 @@ def test_roundtrip_report(spark):
     assert all(r.accuracy == 1.0 for r in report.values()) and len(report) >= 28
 
 
+def test_bits_of_every_kind_of_number(spark):
+    """Subnormal numbers, zeros of both signs, infinities: the same bits as the machine's, at three widths, and back."""
+    import struct
+
+    values = [5e-324, -5e-324, 2.2e-308, 1.0, -0.0, 0.0, math.inf, -math.inf, 1.7976931348623157e308, 1e-45, 3.4e38, 65504.0, 6e-8, -2.5e-7, 6.1e-5, 0.1]
+    for width, code in ((64, ">d"), (32, ">f"), (16, ">e")):
+        fits = [v for v in values if width == 64 or abs(v) < (1e38 if width == 32 else 65000) or math.isinf(v)]
+        want = ["".join(f"{b:08b}" for b in struct.pack(code, v)) for v in fits]
+        assert column(spark, fits, "double", lambda c: E.number_bits(c, width)) == want
+        back = column(spark, want, "string", lambda c: E.bits_value(c, width))
+        assert [struct.pack(">d", v) for v in back] == [struct.pack(">d", struct.unpack(code, struct.pack(code, v))[0]) for v in fits]
+    assert column(spark, [math.nan], "double", E.number_bits) == ["0" + "1" * 12 + "0" * 51]
+    assert column(spark, [None], "double", E.number_bits) == [None]
+
+
+def test_noise_on_every_encoding(spark):
+    assert E.flip_share(0.3, 0.0) == 0 and E.flip_share(2.0, 0.0) == 0.25 and E.flip_share(0.0, 0.5) == 0.25
+    masks = column(spark, [str(i) for i in range(400)], "string", lambda c: E.flip_mask(c, 0.25))
+    assert 0.24 < sum(m.count("1") for m in masks) / 25600 < 0.26 and len(set(masks)) == 400 and {len(m) for m in masks} == {64}
+    df = E.roundtrip_values(spark, per_exponent=30)
+    of = lambda **more: {r.exponent: r for r in E.roundtrip_report(df, "x", **more).collect()}[3]
+    assert of(encoding="bits", noise=0.9).accuracy == 1 and of(encoding="bits", noise=1.5).accuracy < 0.2 > of(encoding="bits", bernoulli=0.3).accuracy
+    loose = dict(encoding="log", rel_tol=0.05)
+    assert of(**loose).accuracy > of(**loose, noise=0.2).accuracy and of(**loose).accuracy > of(**loose, bernoulli=0.6).accuracy
+    assert of(**loose, grace=10).accuracy == 1 and of(**loose, noise=0.05, grace=30).accuracy > of(**loose, noise=0.05).accuracy
+    assert of(**loose, clamp=1.0).accuracy == 0  # nearly all values lie beyond the clamp
+
+
+def test_schema_violation(spark):
+    number = {"type": "object", "properties": {"answer": {"type": "number"}}, "required": ["answer"], "additionalProperties": False}
+    list_ = {**number, "properties": {"answer": {"type": "array", "items": {"type": "number"}}}}
+    letter = {**number, "properties": {"answer": {"type": "string", "enum": ["A", "B"]}}}
+    texts = [None, "", "x", "[1]", "{}", '{"answer": 1, "b": 2}', '{"answer": "1"}', '{"answer": 1e400}', '{"answer": -2.5}', '{"answer": null}']
+    want = ["not_json", "not_json", "not_json", "not_object", "missing_field", "extra_field", "wrong_type"]
+    got = column(spark, texts, "string", lambda c: A.schema_violation(c, number))
+    assert got[:7] == want and got[8:] == [None, "wrong_type"]
+    assert column(spark, ['{"answer": []}', '{"answer": [1, 2.5, 1e3]}', '{"answer": [1, "2"]}', '{"answer": [null]}', '{"answer": {"a": 1}}'], "string", lambda c: A.schema_violation(c, list_)) == [None, None, "wrong_item", "wrong_item", "wrong_type"]
+    assert column(spark, ['{"answer": "A"}', '{"answer": "a"}', '{"answer": 1}'], "string", lambda c: A.schema_violation(c, letter)) == [None, "not_in_enum", "wrong_type"]
+
+
+def test_answer_span():
+    import time
+
+    def plain(text):
+        for start in (i for i, c in enumerate(text) if c == "{"):
+            depth = 0
+            for i in range(start, len(text)):
+                depth += {"{": 1, "}": -1}.get(text[i], 0)
+                if depth == 0:
+                    if '"answer"' in text[start : i + 1] or "'answer'" in text[start : i + 1]:
+                        return text[start : i + 1]
+                    break
+        return None
+
+    import random
+    rng = random.Random(1)
+    for _ in range(500):
+        text = "".join(rng.choice(["{", "}", '"answer"', "'answer'", "\"answer'", " x", "1"]) for _ in range(rng.randrange(14)))
+        assert A.answer_span(text) == plain(text), text
+    begun = time.perf_counter()
+    assert A.answer_span("{" * 200_000 + ' "answer" ') is None and A.answer_span("{" * 100_000 + '{"answer": 1}' + "}" * 50_000).startswith("{{{")
+    assert time.perf_counter() - begun < 3
+
+
+def test_difficulty_add_tree_of_any_length(spark):
+    add = lambda values: column(spark, [values], "array<string>", D.difficulty_add_tree)[0]
+    assert add(["5"]) == 0 and add([]) is None and add(["1", "x"]) is None
+    assert add(["1", "2", "3", "4"]) == column(spark, [("3", "7", "10")], "struct<a:string,b:string,c:string>", lambda c: D.difficulty_add([c["a"], c["b"]], c["c"]))[0]
+    assert add(["0.1", "0.2", "-0.3"]) == column(spark, [("0.1", "-0.1", "0")], "struct<a:string,b:string,c:string>", lambda c: D.difficulty_add([c["a"], c["b"]], c["c"]))[0]
+    assert add([str(i) for i in range(1, 41)]) is not None
+
+
 def test_base_texts(spark):
     assert column(spark, [0.15625, -5.0, 8.0, 0.0], "double", T.base2_text) == ["0.00101", "-101", "1000", "0.0"]
     assert column(spark, ["101.101", "-11", "0"], "string", lambda c: T.base_value(c, 2)) == [5.625, -3.0, 0.0]
