@@ -2,8 +2,9 @@
 
 Hosts run words together. Each run of letters of a host is split by a unigram Viterbi pass: the split of greatest probability
 under word counts of all page texts. The words a run could be made of are found by a join of its parts with the counts, so no
-dictionary is sent anywhere. A multinomial naive Bayes model then scores host and path words; it learns from all pages, those
-with a seed word as examples of what to block, over a fixed number of hashed features.
+dictionary is sent anywhere. A multinomial naive Bayes model then scores host and path words; it learns from all pages with a
+word, those with a seed word or blocked by a rule as examples of what to block, over a fixed number of hashed features.
+Smoothing is over the features seen, by kind of page, so a few pages are enough to tell.
 """
 from __future__ import annotations
 
@@ -20,6 +21,10 @@ from tallyforge.llm.shared import stored
 
 #: Longest word a run of letters may be split into.
 LONGEST = 24
+#: Letters of a run whose words are looked up together.
+PIECE = 1024
+#: Added to the count of every feature that was seen in either kind of page.
+SMOOTHING = 0.1
 #: Features of the model; words share them by hash.
 FEATURES = 1 << 16
 #: Parts a host with very many pages, or a word of very many hosts, is dealt out to in joins.
@@ -81,37 +86,74 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+class Splitter:
+    """Viterbi pass over one run of letters, which may come piece by piece: the most probable words under counts of words.
+
+    A word without a count gets 10 / (total * 10 ** length). Of equally probable splits, the last word is the shortest.
+    """
+
+    def __init__(self, run: str, total: int):
+        self.run, self.unknown = run, log(10 / max(total, 1))
+        self.best, self.back = np.full(len(run) + 1, -np.inf), np.zeros(len(run) + 1, np.int64)
+        self.best[0] = 0.0
+        self.total = total
+
+    def read(self, begin: int, end: int, known: dict[tuple[int, int], int]) -> None:
+        """Goes on from the places begin to end; known: count by (start, length) of words that start there."""
+        for start in range(begin, end):
+            for size in range(1, min(LONGEST, len(self.run) - start) + 1):
+                n = known.get((start, size))
+                p = self.best[start] + (log(n / self.total) if n else self.unknown - size * log(10))
+                if p >= self.best[start + size]:
+                    self.best[start + size], self.back[start + size] = p, start
+
+    def words(self) -> list[str]:
+        out, end = [], len(self.run)
+        while end:
+            out.append(self.run[self.back[end] : end])
+            end = int(self.back[end])
+        return out[::-1]
+
+
 def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[str]:
-    """Most probable words of a run of letters. known: count by (start, length); other words get 10 / (total * 10 ** length)."""
-    best, back = [0.0] + [-np.inf] * len(run), [0] * (len(run) + 1)
-    for end in range(1, len(run) + 1):
-        for size in range(1, min(LONGEST, end) + 1):
-            n = known.get((end - size, size))
-            p = best[end - size] + (log(n / total) if n else log(10 / max(total, 1)) - size * log(10))
-            if p > best[end]:
-                best[end], back[end] = p, end - size
-    out, end = [], len(run)
-    while end:
-        out.append(run[back[end] : end])
-        end = back[end]
-    return out[::-1]
+    """Most probable words of a run of letters."""
+    whole = Splitter(run, total)
+    whole.read(0, len(run), known)
+    return whole.words()
 
 
 def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(run, words) of distinct runs of letters."""
+    """(run, words) of distinct runs of letters. The words that start in PIECE letters of a run travel together, however long it is."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sizes = F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - F.col("start")))
-    parts = runs.select("run", F.explode(F.sequence(F.lit(0), F.length("run") - 1)).alias("start"))
-    parts = parts.select("run", "start", F.explode(sizes).alias("size"))
-    parts = parts.select("run", "start", "size", F.expr("substring(run, start + 1, size)").alias("word"))
-    met = parts.join(counts, "word", "left").groupBy("run").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("start", "size", "n"))).alias("known"))
+    keyed = runs.withColumn("key", F.xxhash64("run"))
+    # the run itself goes with its first piece only
+    pieces = keyed.select("run", "key", F.explode(F.sequence(F.lit(0), F.floor((F.length("run") - 1) / PIECE))).alias("piece"))
+    pieces = pieces.select("key", "piece", F.when(F.col("piece") == 0, F.col("run")).alias("whole"), F.substr("run", F.col("piece") * PIECE + 1, F.lit(PIECE + LONGEST)).alias("run"))
+    parts = pieces.select("key", "piece", "run", F.explode(F.sequence(F.lit(0), F.least(F.lit(PIECE), F.length("run")) - 1)).alias("start"))
+    parts = parts.select("key", "piece", "run", "start", F.explode(sizes).alias("size"))
+    parts = parts.select("key", "piece", "start", "size", F.expr("substring(run, start + 1, size)").alias("word"))
+    met = parts.join(counts, "word").groupBy("key", "piece").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))
+    rows = pieces.select("key", "piece", "whole").join(met, ["key", "piece"], "left")
+    rows = rows.repartition("key").sortWithinPartitions("key", "piece")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: Splitter | None = None
         for batch in batches:
-            words = [best_split(run, {(k["start"], k["size"]): k["n"] for k in known}, total) for run, known in zip(batch["run"], batch["known"])]
-            yield pd.DataFrame({"run": batch["run"], "words": words})
-
-    return met.mapInPandas(split, "run string, words array<string>")
+            out = []
+            for piece, whole, known in zip(batch["piece"], batch["whole"], batch["known"]):
+                if piece == 0:
+                    if now is not None:
+                        out.append((now.run, now.words()))
+                    now = Splitter(whole, total)
+                begin = piece * PIECE
+                found = {} if known is None else {(begin + k["start"], k["size"]): k["n"] for k in known}
+                now.read(begin, min(begin + PIECE, len(now.run)), found)
+            yield pd.DataFrame(out, columns=["run", "words"])
+        if now is not None:
+            yield pd.DataFrame([(now.run, now.words())], columns=["run", "words"])
+
+    return rows.mapInPandas(split, "run string, words array<string>")
 
 
 def _salted(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
@@ -141,8 +183,9 @@ def train(rows: DataFrame, words: str = "words", blocked: str = "blocked") -> tu
     seen = rows.select(F.col(blocked).alias("b"), F.explode(features(F.col(words))).alias("f")).groupBy("b", "f").count().toPandas()
     counts = np.zeros((2, FEATURES))
     counts[seen["b"].to_numpy(int), seen["f"].to_numpy(int)] = seen["count"].to_numpy()
-    share = (counts + 1) / (counts.sum(1, keepdims=True) + FEATURES)
-    return log(kinds[True] / kinds[False]), np.log(share[1]) - np.log(share[0])
+    known = counts.sum(0) > 0
+    share = (counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * known.sum())
+    return log(kinds[True] / kinds[False]), np.where(known, np.log(share[1]) - np.log(share[0]), 0.0)
 
 
 def score(model: tuple[float, np.ndarray], words: Column) -> Column:
@@ -160,7 +203,7 @@ def score(model: tuple[float, np.ndarray], words: Column) -> Column:
 def filtered(pages: DataFrame, rules: Sequence[Rule], seeds: Sequence[str] = tuple(BLOCK_SEEDS), page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block: the rule's, else the model's), words and score of every page.
 
-    Null urls and those without `://` have empty host and path, no words, and the prior's verdict. Rows that repeat stay; ids are
+    Null urls and those without `://` have empty host and path and no words; pages without words are allowed. Rows that repeat stay; ids are
     only carried along.
     """
     host, path = host_and_path(url)
@@ -169,9 +212,9 @@ def filtered(pages: DataFrame, rules: Sequence[Rule], seeds: Sequence[str] = tup
     joined = _salted(rows, hosts, "host", F.struct("page_id", "path"), "left")
     words = F.concat(F.coalesce("host_words", F.array().cast("array<string>")), _words(F.col("path")))
     joined = stored(joined.select("page_id", "host", "path", words.alias("words")), "url-words")
-    blocked = F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds])) if seeds else F.lit(False)
-    model = train(joined.select("words", blocked.alias("blocked")))
     found, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    seeded = F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds])) if seeds else F.lit(False)
+    model = train(joined.where(F.size("words") > 0).select("words", (F.coalesce(verdict == "block", F.lit(False)) | seeded).alias("blocked")))
     scored = joined.select("page_id", "host", "path", found.alias("rule"), verdict.alias("_verdict"), "words", score(model, F.col("words")).alias("score"))
-    verdict = F.coalesce("_verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    verdict = F.coalesce("_verdict", F.when((F.col("score") > 0) & (F.size("words") > 0), "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "words", "score")

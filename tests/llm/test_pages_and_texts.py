@@ -35,7 +35,7 @@ def test_url_rules(spark):
     for i, u in enumerate(urls):
         host, path, text, verdict = plain_rule(u)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, text), u
-        assert got[i].verdict == (verdict or "allow")
+        assert got[i].verdict == verdict or verdict is None and (got[i].verdict == "allow" or got[i].score > 0 < len(got[i].words))
 
 
 def test_best_split_is_the_most_probable():
@@ -71,6 +71,45 @@ def test_url_model(spark):
     assert url_filter.filtered(pages.where("false"), RULES).count() == 0
 
 
+def plain_log_odds(rows, seeds):
+    """Score of each page by naive Bayes over hashed words, counted and smoothed plainly; rows: (words, rule's verdict)."""
+    import xxhash
+    from collections import Counter
+    from math import log
+
+    feature = lambda w: xxhash.xxh64(w.encode(), seed=42).intdigest() % url_filter.FEATURES
+    kinds = [verdict == "block" or bool(set(seeds) & set(words)) for words, verdict in rows]
+    counts = {k: Counter(feature(w) for (words, _), kind in zip(rows, kinds) if kind == k for w in words) for k in (True, False)}
+    known = set(counts[True]) | set(counts[False])
+    n = Counter(kind for (words, _), kind in zip(rows, kinds) if words)
+    share = lambda k, f: (counts[k][f] + url_filter.SMOOTHING) / (sum(counts[k].values()) + url_filter.SMOOTHING * len(known))
+    return [log(n[True] / n[False]) + sum(log(share(True, f)) - log(share(False, f)) for f in map(feature, words)) for words, _ in rows]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_url_model_decides_on_the_given_pages(spark, sf):
+    """Log-odds equal a plain recount; where no rule fits, pages with a seed word are blocked and others are not."""
+    rows = url_filter.filtered(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet"), RULES).collect()
+    want = plain_log_odds([(r.words, r.verdict if r.rule else None) for r in rows], url_filter.BLOCK_SEEDS)
+    assert [r.score for r in rows] == pytest.approx(want, abs=1e-6)
+    free = [(bool(set(url_filter.BLOCK_SEEDS) & set(r.words)), r.verdict == "block") for r in rows if r.rule is None]
+    seeded, clean = [b for s, b in free if s], [b for s, b in free if not s]
+    assert len(seeded) >= 9 and sum(seeded) >= 0.9 * len(seeded) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_hosts_of_any_length(spark):
+    """A host of very many letters is split piece by piece, to the split that one pass over it gives."""
+    text = "the casino in the town and a rein or two there" * 3
+    long = "thecasinointhetownxqandthereinortwothere" * 2500
+    pages = spark.createDataFrame([(1, f"http://{long}.org/a", text), (2, f"http://{long[:1030]}.net/", text), (3, "http://" + "q" * 3000, text)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.words for r in url_filter.filtered(pages, RULES).collect()}
+    counts = {r.word: r.n for r in url_filter.word_counts(pages).collect()}
+    for i, run in ((1, long), (2, long[:1030]), (3, "q" * 3000)):
+        known = {(a, n): counts[run[a : a + n]] for a in range(len(run)) for n in range(1, url_filter.LONGEST + 1) if run[a : a + n] in counts and a + n <= len(run)}
+        want = url_filter.best_split(run, known, sum(counts.values()))
+        assert got[i][: len(want)] == want and "".join(want) == run
+
+
 def test_codewords_are_far_apart():
     for n in (2, 3, 4, 7, 12):
         code = language_id.codewords(n)
