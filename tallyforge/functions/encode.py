@@ -40,6 +40,11 @@ def raw_bits(x: Column | str) -> Column:
     return _java("Double", "doubleToLongBits", _col(x).cast("double"), 0.0).cast("bigint")
 
 
+def bits_double(bits: Column) -> Column:
+    """The double behind 64 bits."""
+    return _java("Double", "longBitsToDouble", bits, 0).cast("double")
+
+
 def _bit_text(whole: Column, width: int) -> Column:
     return F.right(F.lpad(F.bin(whole), 64, "0"), F.lit(width))
 
@@ -73,7 +78,7 @@ def bits_value(bits: Column | str, width: int = 64) -> Column:
     bits = _col(bits)
     whole = F.conv(bits, 2, -10 if width == 64 else 10).cast("bigint")
     if width == 64:
-        return _java("Double", "longBitsToDouble", whole, 0).cast("double")
+        return bits_double(whole)
     if width == 32:
         signed = F.when(whole >= 1 << 31, whole - (1 << 32)).otherwise(whole).cast("int")
         return _java("Float", "intBitsToFloat", signed, 0).cast("float").cast("double")
@@ -197,7 +202,7 @@ def roundtrip(x: Column | str, encoding: str, noise: float = 0.0, seed: int = 42
         if share <= 0:
             return bits_value(number_bits(x))
         flipped = F.conv(flip_mask(key, share, seed), 2, -10).cast("bigint")
-        return _java("Double", "longBitsToDouble", raw_bits(x).bitwiseXOR(flipped), 0).cast("double")
+        return bits_double(raw_bits(x).bitwiseXOR(flipped))
     if encoding == "digits10":
         return let(number_digits10(x), digits10_value)
     if encoding not in ("log", "linear"):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge import constants as C
 from tallyforge.functions import metrics as M
 from tallyforge.functions.answers import is_strict_json
-from tallyforge.operators.prefix import quantile_slices, running_totals
+from tallyforge.operators.prefix import quantile_slices, quantiles, running_totals
 
 GROUP = ["model", "reasoning", "task"]
 
@@ -187,15 +187,16 @@ def value_counts(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 
 
 def describe(df: DataFrame, col: str, keys: list[str] = ()) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles, from the counts per value."""
-    c, n = F.col(col).cast("double"), F.col("n")
-    q = lambda p: F.expr(f"percentile({col}, {p}, n)")
-    g = value_counts(df.filter(F.col(col).isNotNull()), list(keys), col).groupBy(*keys).agg(
-        F.sum(n).alias("count"), F.sum(c * n).alias("_s"), F.sum(c * c * n).alias("_q"), F.min(c).alias("min"), q(0.25).alias("q25"),
-        q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(c).alias("max"),
-    )
-    spread = F.when(F.col("count") > 1, F.sqrt((F.col("_q") - F.col("_s") * F.col("_s") / F.col("count")) / (F.col("count") - 1)))
-    return g.withColumn("mean", F.col("_s") / F.col("count")).withColumn("std", spread).drop("_s", "_q")
+    """Count, mean, sample deviation, extremes and quartiles. The deviation comes from central moments, which add up without loss;
+    the quartiles are exact (see `prefix.quantiles`), and no task ever holds a group."""
+    keys = list(keys)
+    c, t = F.col(col).cast("double"), df.filter(F.col(col).isNotNull())
+    g = t.groupBy(*keys).agg(
+        F.count("*").alias("count"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"))
+    q = quantiles(value_counts(t, keys, col), col, keys, [0.25, 0.5, 0.75]).toDF(*[f"_{k}" for k in keys], "q25", "q50", "q75")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.lit(True))
+    met = g.join(q, same) if keys else g.withColumn("_q", q.select(F.struct("q25", "q50", "q75")).scalar()).select("*", "_q.*")
+    return met.select(*keys, "count", "min", "q25", "q50", "q75", "max", "mean", "std")
 
 
 def difficulty_histogram(df: DataFrame, first: int = 500, col: str = "difficulty_sd", order: str = "row_idx") -> DataFrame:
@@ -204,13 +205,11 @@ def difficulty_histogram(df: DataFrame, first: int = 500, col: str = "difficulty
     all_counts = value_counts(t, ["task"], col).withColumn("subset", F.lit("all"))
     head = head_per_group(t, ["task"], order, first)
     counts = all_counts.unionByName(value_counts(head, ["task"], col).withColumn("subset", F.lit("first")))
-    stats = value_counts(t, [], col).agg(
-        F.struct(
-            F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"), F.sum("n").cast("double").alias("n"),
-            (F.expr(f"percentile({col}, 0.75, n)") - F.expr(f"percentile({col}, 0.25, n)")).alias("iqr"),
-        )
-    ).scalar()
-    b = counts.withColumn("_st", stats)
+    per_value = value_counts(t, [], col)
+    quartiles = quantiles(per_value, col, [], [0.25, 0.75]).select(F.col("q1") - F.col("q0")).scalar()
+    stats = per_value.agg(
+        F.struct(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"), F.sum("n").cast("double").alias("n"))).scalar()
+    b = counts.withColumn("_st", stats).withColumn("_st", F.col("_st").withField("iqr", quartiles))
     width = F.greatest(F.lit(2.0) * F.col("_st.iqr") / F.pow(F.col("_st.n"), F.lit(1.0 / 3.0)), F.lit(1.0))
     b = b.withColumn("n_bins", F.greatest(F.ceil((F.col("_st.hi") - F.col("_st.lo")) / width), F.lit(1)).cast("int"))
     span = F.when(F.col("_st.hi") > F.col("_st.lo"), F.col("_st.hi") - F.col("_st.lo")).otherwise(1.0)

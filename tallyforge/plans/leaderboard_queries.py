@@ -358,6 +358,16 @@ def difficulty_describe(spark, sf):
     return g.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
+@query("ratio_describe", """WITH r AS (SELECT l_returnflag, l_extendedprice / (l_quantity + 0.37) AS ratio FROM lineitem)
+SELECT l_returnflag, count(*) AS count, round(avg(ratio), 6) AS mean, round(stddev_samp(ratio), 6) AS std, min(ratio) AS min, round(quantile_cont(ratio, 0.25), 6) AS q25,
+  round(quantile_cont(ratio, 0.5), 6) AS q50, round(quantile_cont(ratio, 0.75), 6) AS q75, max(ratio) AS max FROM r GROUP BY l_returnflag""")
+def ratio_describe(spark, sf):
+    """Nearly every value is there once, and a few groups hold all rows."""
+    t = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / (F.col("l_quantity") + F.lit(0.37))).alias("ratio"))
+    g = L.describe(t, "ratio", ["l_returnflag"])
+    return g.select(*[F.round(c, 6).alias(c) if c in ("mean", "std", "q25", "q50", "q75") else F.col(c) for c in g.columns])
+
+
 # ---- evaluation of a run ----
 
 @query("acc_by_difficulty", with_views("v_history") + """,

@@ -5,6 +5,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back, for plans that go over them several times."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_count(df: DataFrame) -> int:
     """Slices for ordered work: as many as the session has shuffle partitions."""
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

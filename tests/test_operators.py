@@ -329,3 +329,34 @@ def test_prompts(spark):
     assert r.text_prompt == "What interval does x=4 belong to? A: x < 1.5, B: 1.5 <= x < 3, C: 3 <= x < 9, D: 9 <= x"
     with pytest.raises(ValueError):
         P.to_prompts(df, "Unknown")
+
+
+def test_exact_quantiles_and_moments(spark):
+    """Continuous values of both signs, ties, infinities, one value, null keys; and a small deviation of large values."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(0, 1e-3, 4000), "b": np.repeat([1.0, 2.0, 5e-324, -0.0], [5, 1, 2, 4]), "c": [7.5], None: np.append(rng.normal(0, 1e200, 301), [np.inf, -np.inf]), "d": 1e9 + rng.normal(0, 1e-3, 5000)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("e", None)], "g string, v double").repartition(7)
+    got = {r.g: r for r in L.describe(df, "v", ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        want = np.percentile(vs, [25, 50, 75])
+        assert [got[g].q25, got[g].q50, got[g].q75] == pytest.approx(list(want), rel=1e-12)
+        assert (got[g].count_ if hasattr(got[g], "count_") else got[g]["count"]) == len(vs) and (got[g].min, got[g].max) == (min(vs), max(vs))
+    assert got["d"].std == pytest.approx(np.std(groups["d"], ddof=1), rel=1e-4) and got["a"].std == pytest.approx(np.std(groups["a"], ddof=1), rel=1e-9) and got["c"].std is None
+    whole = L.describe(df.filter("g = 'a'"), "v").first()
+    assert [whole.q25, whole.q75] == pytest.approx(list(np.percentile(groups["a"], [25, 75])), rel=1e-12)
+    plan = L.describe(df, "v", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect_" not in plan
+
+
+def test_level_contexts(spark):
+    from tallyforge.operators import mixture as X
+
+    rows = [("t", 0, 0, 1000), ("t", 1, 1000, 1010), ("t", 2, 1010, 1500), ("t", 3, 1500, 1530), ("u", 5, 0, 30), ("v", 1, 0, 40), ("v", 2, 40, 900)]
+    got = {(r.task, r.difficulty): (r.first, r.last, r.borrowed) for r in X.level_contexts(spark.createDataFrame(rows, "task string, difficulty int, lo bigint, hi bigint"), 100).collect()}
+    assert got == {
+        ("t", 0): (0, 9, False), ("t", 1): (10, 11, True), ("t", 2): (11, 14, False), ("t", 3): (14, 15, True), ("u", 5): (0, 0, True), ("v", 1): (0, 1, True), ("v", 2): (1, 8, False)}
+    contexts = X.contexts_of_levels(X.level_contexts(spark.createDataFrame(rows, "task string, difficulty int, lo bigint, hi bigint"), 100)).collect()
+    assert sum(r.difficulty == 1 and r.task == "t" for r in contexts) == 1 and not [r for r in contexts if r.task == "u"]
