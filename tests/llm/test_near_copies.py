@@ -130,11 +130,32 @@ def test_a_template_costs_few_comparisons(spark):
     assert {(r.a, r.b) for r in links} == {(0, 1200), (1, 1201)}
 
 
-def test_a_failing_link_hides_no_other(spark, monkeypatch):
+@pytest.mark.parametrize("slices", [3000, 10**6])
+def test_a_failing_link_hides_no_other(spark, monkeypatch, slices):
     """Pairs that only look alike are checked first and fail; the pairs behind them are found all the same."""
     rng = random.Random(17)
     monkeypatch.setattr(near_copies, "most_unlike", lambda *_: 160)
+    monkeypatch.setattr(near_copies, "SLICE_SHINGLES", slices)
     base = [rng.choice(VOCABULARY) for _ in range(200)]
     texts = [" ".join(changed(rng, base, rng.choice([1, 4, 9, 14]))) for _ in range(60)]
     pairs, lost, wrong = missed(spark, texts)
     assert pairs and lost == 0 and wrong == 0
+
+
+def test_similar_rows():
+    rng = random.Random(13)
+    for _ in range(30):
+        base = rng.sample(range(10_000), 40)
+        sets = [set()] * 2
+        for _ in range(25):
+            mine = set(rng.sample(base, rng.randrange(25, 41)))
+            sets.append(mine | set(rng.sample(range(10_000), rng.randrange(0, 6))))
+        label = np.array([rng.randrange(8) for _ in sets]) if rng.random() < 0.5 else np.arange(len(sets)) + 5
+        links = near_copies.similar_rows([np.array(sorted(s), np.uint64) for s in sets], label, 0.8)
+        want = {(i, j) for i, j in linked(sets) if label[i] != label[j]}
+        assert {(max(a, b), min(a, b)) for a, b in links} <= want
+        root = label.tolist()
+        for i, j in links:
+            root = [root[j] if r == root[i] else r for r in root]
+        assert all(root[i] == root[j] for i, j in want) and len(links) == len(set(label.tolist())) - len(set(root))
+    assert near_copies.similar_rows([], np.array([]), 0.8) == [] == near_copies.similar_rows([np.empty(0, np.uint64)] * 3, np.arange(3), 0.8)
