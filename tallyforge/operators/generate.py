@@ -16,7 +16,7 @@ from tallyforge.functions import difficulty as D
 from tallyforge.functions.text import base2_text, fixed_point, round_bits, sig_digits
 from tallyforge.operators import draw as W
 from tallyforge.operators.prefix import hash_slice, ranked_by_hash, running_totals
-from tallyforge.session import bucket_count, shared_dir
+from tallyforge.session import bucket_count, materialized, shared_dir
 
 CHUNK = 10_000
 
@@ -598,7 +598,7 @@ def stratified_subset(df: DataFrame, n: int, strata: list[str], seed: int = 42)
 
     With p = n / rows in larger strata, single rows contribute min(their number, int(n(1-p))).
     """
-    counts = df.groupBy(*strata).agg(F.count("*").alias("_n"))
+    counts = materialized(df.groupBy(*strata).agg(F.count("*").alias("_n")), "strata")
     valid = F.col("_n") >= 2
     totals = counts.agg(F.struct(
         F.sum(F.when(valid, F.col("_n")).otherwise(0)).alias("valid"), F.sum(F.when(valid, 0).otherwise(F.col("_n"))).alias("single")
@@ -614,12 +614,12 @@ def stratified_subset(df: DataFrame, n: int, strata: list[str], seed: int = 42)
     q = running_totals(q, [], ["_down", *strata], {"_rank": F.lit(1).cast("bigint")}).withColumn("_short", short)
     q = q.withColumn("_quota", F.when(valid, F.col("_floor") + (F.col("_rank") <= F.col("_short")).cast("bigint")))
     match = [F.col(f"_k{i}").eqNullSafe(F.col(s)) for i, s in enumerate(strata)]
-    quota = q.select(*[F.col(s).alias(f"_k{i}") for i, s in enumerate(strata)], "_quota", "_singles")
+    quota = materialized(q.select(*[F.col(s).alias(f"_k{i}") for i, s in enumerate(strata)], "_quota", "_singles"), "quotas")
     joined = df.join(quota, match).drop(*[f"_k{i}" for i in range(len(strata))])
     hashed = F.xxhash64(F.lit(seed), *df.columns)
-    picked = ranked_by_hash(joined.filter("_quota IS NOT NULL"), strata, hashed, df.columns, "_rn").filter("_rn <= _quota")
-    single = ranked_by_hash(joined.filter("_quota IS NULL"), [], hashed, df.columns, "_rn").filter("_rn <= _singles")
-    return picked.select(*df.columns).unionByName(single.select(*df.columns))
+    # strata of one row are one group, so that all rows are ranked in one go
+    grouped = joined.withColumn("_group", F.when(F.col("_quota").isNotNull(), F.struct(*strata))).withColumn("_most", F.coalesce("_quota", "_singles"))
+    return ranked_by_hash(grouped, ["_group"], hashed, df.columns, "_rn").filter("_rn <= _most").select(*df.columns)
 
 
 # ---- statistics on array columns ----

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge import constants as C
 from tallyforge.functions import answers as A
 from tallyforge.operators.prefix import quantile_slices, running_totals
+from tallyforge.session import materialized
 
 RESPONSE = "raw_response"
 
@@ -98,21 +99,23 @@ def canonical_prefix(
     return rows, report
 
 
-def resume_worklist(inputs: DataFrame, results: DataFrame, limit: int | None = None, prompt: str = "text_prompt", idx: str = "row_idx") -> DataFrame:
+def resume_worklist(inputs: DataFrame, results: DataFrame, limit: int | Column | None = None, prompt: str = "text_prompt", idx: str = "row_idx") -> DataFrame:
     """Inputs still to be asked: those answered with nothing first, then those never asked.
 
-    With a limit, as many as are missing to it after the prompts already answered.
+    With a limit, as many as are missing to it after the prompts already answered. The results are read once: what is known of a
+    prompt meets the inputs in one join, and the work found is written before it is ranked.
     """
-    answered = results.filter(~is_empty(F.col(RESPONSE))).select(prompt).distinct()
-    retry = results.filter(is_empty(F.col(RESPONSE))).select(prompt).distinct()
-    again = inputs.join(retry, prompt, "left_semi").withColumn("kind", F.lit(0))
-    new = inputs.join(answered, prompt, "left_anti").join(retry, prompt, "left_anti").withColumn("kind", F.lit(1))
-    work = again.unionByName(new)
+    empty = is_empty(F.col(RESPONSE))
+    known = results.groupBy(F.col(prompt).alias("_p")).agg(F.max(empty).alias("_again"), F.max(~empty).alias("_answered"))
+    if limit is not None:
+        known = materialized(known, "prompts-known")  # read for the join and for the number of answers
+    kind = F.when(F.col("_again"), 0).when(F.col("_again").isNull(), 1)
+    work = inputs.join(known, F.col(prompt) == F.col("_p"), "left").withColumn("kind", kind).where("kind is not null").drop("_p", "_again", "_answered")
     if limit is not None:
-        sliced = quantile_slices(work, idx).withColumn("_slice", F.struct("kind", "_slice"))
+        sliced = quantile_slices(materialized(work, "worklist"), idx).withColumn("_slice", F.struct("kind", "_slice"))
         ranked = running_totals(sliced, [], ["kind", idx], {"_rn": F.lit(1).cast("bigint")})
-        room = answered.agg(F.lit(limit) - F.count("*")).scalar()
-        work = ranked.withColumn("_room", room).filter(F.col("_rn") <= F.col("_room")).drop("_rn", "_room")
+        room = known.agg(F.count_if(F.col("_answered"))).scalar()
+        work = ranked.withColumn("_room", (F.lit(limit) if isinstance(limit, int) else limit) - room).filter(F.col("_rn") <= F.col("_room")).drop("_rn", "_room")
     return work.withColumn("kind", F.when(F.col("kind") == 0, "retry").otherwise("new"))
 
 

@@ -148,3 +148,9 @@ def test_scan_reads_only_what_is_needed(spark):
     text = t._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_extendedprice), GreaterThan(l_extendedprice,50000.0)]" in text
     assert re.search(r"ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_extendedprice:double>", text)
+
+
+@pytest.mark.parametrize("name", ["stratified_subset", "resume_worklist"])
+def test_few_scans_and_exchanges(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert text.count("FileScan") <= 6 and len(re.findall(r"(?<!Broadcast)Exchange ", text)) <= 12
