@@ -327,8 +327,17 @@ def _with_digits(t: DataFrame, columns: list[str], base: int) -> DataFrame:
     return t.select("*", *[sig_digits(f"{c}{suffix}").alias(f"{c}_significant_digits_base_{base}") for c in columns])
 
 
-def _pair_problems(spark: SparkSession, task: str, n: int, split: str, st: Settings, seed: int, round_no: int) -> DataFrame:
-    rows = expand(allocate(exponent_grid(spark, task, st), n, task), seed, task, split, round_no)
+def _rows_like(like: DataFrame, columns: list[str], grid: DataFrame, cell: list[str], seed: int, task: str, split: str, round_no: int) -> DataFrame:
+    """Rows to draw a problem for: one for each row of `like` whose cell the task allows, keyed by all its columns."""
+    key = F.xxhash64(F.lit(seed), F.lit(task), F.lit(split), F.lit(round_no), *like.columns)
+    rows = like.select(*[F.col(c).cast("int").alias(c) for c in columns], key.alias("row_key"))
+    return rows.join(F.broadcast(grid.select(*cell)), cell, "left_semi")  # a few thousand cells at most
+
+
+def _pair_problems(spark: SparkSession, task: str, n: int, split: str, st: Settings, seed: int, round_no: int, like: DataFrame | None = None) -> DataFrame:
+    grid = exponent_grid(spark, task, st)
+    cell = ["exp1"] if task == "Exponentiation" else ["exp1", "exp2"]
+    rows = expand(allocate(grid, n, task), seed, task, split, round_no) if like is None else _rows_like(like, cell, grid, cell, seed, task, split, round_no)
     bits, double = st.significant_bits, st.significant_bits == 53
     result = {"Addition": "sum", "Multiplication": "prod", "DivM": "quot", "Division": "quot", "Exponentiation": "exp"}[task]
     if task == "Exponentiation":
@@ -481,14 +490,18 @@ def _references(keys, values, step, precision, st: Settings, tries: int = 20):
     return ref, text, place, found
 
 
-def _list_problems(spark: SparkSession, task: str, n: int, split: str, st: Settings, seed: int, round_no: int) -> DataFrame:
+def _list_problems(spark: SparkSession, task: str, n: int, split: str, st: Settings, seed: int, round_no: int, like: DataFrame | None = None) -> DataFrame:
     low, high = st.exponents
-    rows = expand(allocate(exponent_grid(spark, task, st), n, task), seed, task, split, round_no)
-    digits = st.significant_digits
+    grid, digits = exponent_grid(spark, task, st), st.significant_digits
     top = F.col("exp1") + (digits + 2 if task in ("Mean", "Std") else 2)
     spreads = F.sequence(F.greatest(F.lit(low + 2), F.col("exp1") - digits), F.least(top, F.lit(high - 2)) - 1)
-    rows = rows.withColumn("list_len", F.explode(F.array(*[F.lit(k) for k in (2, 3, 4, 5)]))).withColumn("spread", F.explode(spreads))
-    rows = rows.withColumn("row_key", F.xxhash64("row_key", "list_len", "spread"))
+    if like is None:
+        rows = expand(allocate(grid, n, task), seed, task, split, round_no)
+        rows = rows.withColumn("list_len", F.explode(F.array(*[F.lit(k) for k in (2, 3, 4, 5)]))).withColumn("spread", F.explode(spreads))
+        rows = rows.withColumn("row_key", F.xxhash64("row_key", "list_len", "spread"))
+    else:
+        rows = _rows_like(like, ["exp1", "list_len", "spread"], grid, ["exp1"], seed, task, split, round_no)
+        rows = rows.filter(F.col("list_len").between(2, 5) & F.array_contains(spreads, F.col("spread")))
     t = rows.mapInPandas(_batched(_list_batch(task), st), _LIST_SCHEMA)
     bits = st.significant_bits
     t = t.withColumn("list_base_2", F.transform("list1_value", lambda v: base2_text(_kept_bits(v, bits))))
@@ -518,12 +531,17 @@ def _list_problems(spark: SparkSession, task: str, n: int, split: str, st: Setti
     return t.select("list1", *extra, "list_len", "exp", "spread", "max_num_significant_bits", "max_num_significant_digits")
 
 
-def generate(spark: SparkSession, task: str, n: int, split: str = "train", settings: Settings = Settings(), seed: int = 42, round_no: int = 0) -> DataFrame:
-    """About n problems of a task (list tasks: n per list length and spread), the same for any partitioning."""
+def generate(spark: SparkSession, task: str, n: int = 0, split: str = "train", settings: Settings = Settings(), seed: int = 42, round_no: int = 0,
+             like: DataFrame | None = None) -> DataFrame:
+    """About n problems of a task (list tasks: n per list length and spread), the same for any partitioning.
+
+    With `like`, instead a fresh problem for each of its rows, in the row's cell: exponents exp1 and exp2 of the operands, or exp1,
+    list_len and spread of a list. Rows whose cell the task does not allow, and draws that stay out of bounds, are left out.
+    """
     if task not in C.GENERATED_TASKS:
         raise ValueError(f"unknown task: {task}")
     build = _list_problems if task in C.LIST_TASKS else _pair_problems
-    return build(spark, task, n, split, settings, seed, round_no)
+    return build(spark, task, n, split, settings, seed, round_no, like)
 
 
 # ---- whole tables ----

@@ -159,16 +159,24 @@ def digit_plan(spark, sf):
     return t.select(F.inline(plans)).groupBy("kind", "digits").agg(F.count("*").alias("n"))
 
 
-# ---- generators: as many problems as there are orders ----
+# ---- generators: a fresh problem for each order, in its cell ----
 
 def _size(spark, sf) -> int:
     return table(spark, sf, "orders").count()
 
 
-def _generator(name: str, task: str, share: int = 1):
+def _cells(spark, sf):
+    """The orders of magnitude of each order's price and customer number, and a list of their size."""
+    exp1 = F.floor(F.log10("o_totalprice")).cast("int")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", exp1.alias("exp1"), F.floor(F.log10(F.col("o_custkey") + 1)).cast("int").alias("exp2"),
+        (F.col("o_custkey") % 4 + 2).alias("list_len"), (exp1 - F.col("o_orderkey") % 3).alias("spread"))
+
+
+def _generator(name: str, task: str):
     @query(name)
     def run(spark, sf):
-        return P.publish(P.to_prompts(G.generate(spark, task, max(1, _size(spark, sf) // share), "test"), task), "train", verbose=True)
+        return P.publish(P.to_prompts(G.generate(spark, task, split="test", like=_cells(spark, sf)), task), "train", verbose=True)
     return run
 
 
@@ -176,12 +184,12 @@ gen_addition = _generator("gen_addition", "Addition")
 gen_multiplication = _generator("gen_multiplication", "Multiplication")
 gen_divm = _generator("gen_divm", "DivM")
 gen_division = _generator("gen_division", "Division")
-gen_exponentiation = _generator("gen_exponentiation", "Exponentiation", 8)
-gen_mean = _generator("gen_mean", "Mean", 100)
-gen_std = _generator("gen_std", "Std", 100)
-gen_minmax = _generator("gen_minmax", "MinMax", 60)
-gen_sorting = _generator("gen_sorting", "Sorting", 60)
-gen_interval = _generator("gen_interval", "Interval", 60)
+gen_exponentiation = _generator("gen_exponentiation", "Exponentiation")
+gen_mean = _generator("gen_mean", "Mean")
+gen_std = _generator("gen_std", "Std")
+gen_minmax = _generator("gen_minmax", "MinMax")
+gen_sorting = _generator("gen_sorting", "Sorting")
+gen_interval = _generator("gen_interval", "Interval")
 
 
 @query("generate_until")

@@ -360,3 +360,18 @@ def test_level_contexts(spark):
         ("t", 0): (0, 9, False), ("t", 1): (10, 11, True), ("t", 2): (11, 14, False), ("t", 3): (14, 15, True), ("u", 5): (0, 0, True), ("v", 1): (0, 1, True), ("v", 2): (1, 8, False)}
     contexts = X.contexts_of_levels(X.level_contexts(spark.createDataFrame(rows, "task string, difficulty int, lo bigint, hi bigint"), 100)).collect()
     assert sum(r.difficulty == 1 and r.task == "t" for r in contexts) == 1 and not [r for r in contexts if r.task == "u"]
+
+
+@pytest.mark.parametrize("task", ["Addition", "Division", "Mean", "Interval"])
+def test_problems_like_given_rows(spark, task):
+    """One problem for each row, in the row's cell; the same whatever the partitions, and none outside the task's cells."""
+    rows = [(i, i % 4, i % 3 - 1, 2 + i % 4, i % 4 - i % 2) for i in range(60)] + [(99, 400, 0, 3, 400), (100, 2, 1, 9, 2)]
+    like = spark.createDataFrame(rows, "k int, exp1 int, exp2 int, list_len int, spread int")
+    if task in C.LIST_TASKS:
+        got = G.generate(spark, task, split="test", like=like.repartition(5)).collect()
+        assert sorted((r.exp, r.list_len) for r in got) == sorted((r[1], r[3]) for r in rows[:60])
+        assert all(len(r.list1) == r.list_len for r in got)
+    else:
+        made = [G.generate(spark, task, split="test", like=like.repartition(n)).select("num1", "num2").collect() for n in (1, 7)]
+        assert sorted(map(tuple, made[0])) == sorted(map(tuple, made[1]))
+        assert len(made[0]) == 61 and len({r.num1 for r in made[0]}) > 30
