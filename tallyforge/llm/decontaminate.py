@@ -8,7 +8,7 @@ tasks, keeps the documents' other seeds out of it. Around every hit the texts ar
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,8 +19,8 @@ from tallyforge.llm.shared import stored, text_key
 
 #: Places of the words that a seed reads.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-#: An overlap has this many words in a row, of which so many may differ. Shorter items must stand there whole and unchanged, and
-#: those shorter than all masks are not looked for.
+#: An overlap has this many words in a row, of which so many may differ. Shorter items must stand there whole and unchanged: their
+#: seed reads all their words. Items without a word are not looked for.
 WINDOW, SUBSTITUTIONS = 13, 2
 #: The map has 2 ** MAP_BITS bits whatever the size of the benchmark.
 MAP_BITS = 24
@@ -46,12 +46,12 @@ def word_hashes(found: list[str]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 
-def seeds(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(mask number, hash of the seed at each place)."""
-    for number, mask in enumerate(MASKS):
+def seeds(hashes: np.ndarray, whole: Sequence[int] = ()) -> Iterator[tuple[int, np.ndarray]]:
+    """(mask number, hash of the seed at each place) for all masks and for runs of as many words as `whole` says (numbers below 0)."""
+    for number, mask in [*enumerate(MASKS), *((-k, range(k)) for k in whole)]:
         n = len(hashes) - mask[-1]
         if n > 0:
-            total = np.full(n, number + 1, np.uint64)
+            total = np.full(n, np.array(number + 1).astype(np.uint64), np.uint64)
             for place in mask:
                 total = (total ^ hashes[place : place + n]) * np.uint64(0x9E3779B97F4A7C15)
                 total ^= total >> np.uint64(29)
@@ -59,14 +59,17 @@ def seeds(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _seed_rows(items: DataFrame) -> DataFrame:
-    """Seeds of the items."""
+    """Seeds of the items by the masks, or of short ones the one of the whole item (mask: 0, or their number of words)."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for item, text in zip(batch["item_id"], batch["text"]):
-                for _, seed in seeds(word_hashes(words(text))):
-                    yield pd.DataFrame({"item_id": item, "item_word": np.arange(len(seed), dtype=np.int32), "seed": seed.view(np.int64)})
+                hashes = word_hashes(words(text))
+                short = len(hashes) if len(hashes) < WINDOW else 0
+                for number, seed in seeds(hashes, [short] if short else ()):
+                    if (number < 0) == (short > 0):
+                        yield pd.DataFrame({"item_id": item, "item_word": np.arange(len(seed), dtype=np.int32), "seed": seed.view(np.int64), "short": short})
 
-    return items.mapInPandas(cut, "item_id bigint, item_word int, seed bigint")
+    return items.mapInPandas(cut, "item_id bigint, item_word int, seed bigint, short int")
 
 
 def _bit_map(rows: DataFrame) -> np.ndarray:
@@ -90,8 +93,8 @@ def _bit_map(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _document_seeds(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Seeds of the documents that the map lets pass."""
+def _document_seeds(docs: DataFrame, bits: np.ndarray, short: Sequence[int]) -> DataFrame:
+    """Seeds of the documents that the map lets pass; `short` are the lengths of the short items."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,7 +102,7 @@ def _document_seeds(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             ids, places, found = [], [], []
             for row, text in enumerate(batch["text"]):
-                for _, seed in seeds(word_hashes(words(text))):
+                for _, seed in seeds(word_hashes(words(text)), short):
                     slot = (seed >> np.uint64(64 - MAP_BITS)).astype(np.int64)
                     hit = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                     if len(hit):
@@ -138,14 +141,16 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, tk, item_id, first_word, n_words, n_equal) for every document that holds a passage of an item, best passage each.
 
-    Words are runs of letters, digits and underscores, lower-cased. Null texts have none; null ids are matched and returned like
+    Words are runs of letters, digits and underscores, lower-cased. An item of fewer than WINDOW words must stand in a document whole
+    and unchanged. Null texts have no words, and items without a word are in no document; null ids are matched and returned like
     others; rows that repeat are reported once. `tk` is a hash of the text, for rows that share an id.
     """
     keyed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("tk", text_key())
     benchmark = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text"))
     test = stored(_seed_rows(benchmark), "item-seeds")
-    train = _document_seeds(keyed, _bit_map(test))
-    hits = train.join(test, "seed").select("doc_id", "tk", "item_id", (F.col("doc_word") - F.col("item_word")).alias("diagonal"))
+    short = sorted(r["short"] for r in test.where("short > 0").select("short").distinct().collect())
+    train = _document_seeds(keyed, _bit_map(test), short)
+    hits = train.join(test.drop("short"), "seed").select("doc_id", "tk", "item_id", (F.col("doc_word") - F.col("item_word")).alias("diagonal"))
     # as many diagonals at most as the document and the item have words
     pairs = stored(hits.groupBy("doc_id", "tk", "item_id").agg(F.collect_set("diagonal").alias("diagonals")), "hits")
     pairs = pairs.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("item_id").alias("_item"), "diagonals")

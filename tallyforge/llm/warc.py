@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -196,7 +197,8 @@ def salvaged(source) -> Iterator[tuple[str, int, dict | int, str]]:
     """("record", place, record, "") and ("gap", place, bytes, reason) of an open archive, in order.
 
     Compressed archives go on at the next member that inflates whole to a sound record, plain ones at the next version line with a
-    sound record. Bytes are read forward once; what is kept is one record, or the bytes from the next possible start.
+    sound record. A whole member that holds more, or whose first record fails, is read like a plain archive; its records and gaps
+    have the member's place, and such a gap counts inflated bytes. Bytes are read forward once; what is kept is one record, or the bytes from the next possible start.
     """
     file = _File(source)
     gap, reason = 0, ""
@@ -208,10 +210,17 @@ def salvaged(source) -> Iterator[tuple[str, int, dict | int, str]]:
             member, why = _inflated(file), "gzip member is damaged or cut off"
             if member:
                 got, why = parse(member[0]), "record in a whole gzip member fails its checks"
-                if got and got["n"] != len(member[0]):
-                    got, why = None, "gzip member holds more than one record"
-                if got:
+                if got and got["n"] == len(member[0]):
                     got["n"] = member[1]
+                else:
+                    got, inside = None, list(salvaged(io.BytesIO(member[0])))
+                    if any(kind == "record" for kind, *_ in inside):
+                        if gap:
+                            yield "gap", file.at - gap, gap, reason
+                            gap = 0
+                        yield from ((kind, file.at, found, note and f"inside a gzip member: {note}") for kind, _, found, note in inside)
+                        file.drop(member[1])
+                        continue
         elif _LINE.match(file.window):
             why = "record fails its checks or is cut off"
             while len(file.window) < _needed(file.window) and file.more():

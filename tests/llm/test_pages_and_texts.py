@@ -188,6 +188,25 @@ def test_salvage(monkeypatch, compressed):
             assert ids == list(range(12)) and gaps == [(at, 500)]
 
 
+def test_members_of_several_records():
+    """An archive in one gzip stream, and a member whose first record is damaged, give all their sound records and the gap between."""
+    import gzip
+
+    raw, places = archive(random.Random(3), False)
+    whole = list(warc.salvaged(io.BytesIO(gzip.compress(bytes(raw)))))
+    assert [k for k, *_ in whole] == ["record"] * 12 and {at for _, at, *_ in whole} == {0}
+    data = bytearray(raw)
+    data[places[0][0] + 3] ^= 1
+    good = gzip.compress(bytes(raw[places[5][0] :]))
+    found = list(warc.salvaged(io.BytesIO(gzip.compress(bytes(data)) + good)))
+    kinds = [k for k, *_ in found]
+    assert kinds.count("record") == 11 + 7 and kinds.count("gap") == 1
+    gap = next(f for f in found if f[0] == "gap")
+    assert gap[1] == 0 and gap[2] == places[1][0] - places[0][0] and gap[3].startswith("inside a gzip member")
+    broken = gzip.compress(b"no record at all") + good
+    assert [k for k, *_ in warc.salvaged(io.BytesIO(broken))] == ["gap"] + ["record"] * 7
+
+
 def test_archives_of_odd_pages(spark):
     rows = [(1, "http://a/", "same"), (2, "u\r\nX: y", "same"), (2, "v", "other"), (3, None, None), (4, "x", ""), (None, "n", "same"), (None, "m", "alone"), (7, "z", "é" * 50_000), (7, "z", "é" * 50_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("refers_to", F.lit("a")).withColumn("path", F.lit(1))
