@@ -12,6 +12,7 @@ from tallyforge.operators.prefix import ranked
 from tallyforge.plans.number_queries import KEY, KEY_SQL, sql_log_smape
 from tallyforge.plans.registry import query, table
 from tallyforge.plans.views import view, with_views
+from tallyforge.session import materialized
 
 REG = "(" + ", ".join(f"'{t}'" for t in C.REGRESSION_TASKS) + ")"
 NUM = C.ANSWER_NUMBER
@@ -259,13 +260,15 @@ SELECT "Task", "Metric", "Model", CASE WHEN "Metric" = 'Accuracy' THEN 'multi' E
   CAST(round(CASE WHEN "Metric" = 'Accuracy' THEN CAST(printf('%.6f', s) AS DOUBLE) * 100 ELSE CAST(printf('%.6f', s) AS DOUBLE) END, 4) AS DOUBLE) AS value
 FROM m WHERE s IS NOT NULL""")
 def melt_scores(spark, sf):
-    t = ruled(spark, sf)
+    # every answer is parsed and scored once; two wide tables are laid out from the means
+    means = ruled(spark, sf).groupBy(F.col("task").alias("Task"), "model").agg(F.avg("performance").alias("performance"), F.avg("tokens").alias("tokens"))
+    means = materialized(means, "means")
     models = [m for m in ("deepseek__deepseek-chat-v3.1", "google__gemini-2.5-flash", "google__gemini-2.5-pro", "meta-llama__llama-4-maverick",
                           "moonshotai__kimi-k2-0905", "openai__gpt-5", "openai__gpt-oss-120b", "qwen__qwen3-235b-a22b-2507",
                           "qwen__qwen3-235b-a22b-thinking-2507")]
 
     def wide(metric, value):
-        g = t.groupBy(F.col("task").alias("Task")).pivot("model", models).agg(F.avg(value)).withColumn("Metric", F.lit(metric))
+        g = means.groupBy("Task").pivot("model", models).agg(F.first(value)).withColumn("Metric", F.lit(metric))
         return g.select("Task", "Metric", *[F.format_string("%.6f", F.col(f"`{m}`")).alias(m) for m in models])
 
     multi, solo = L.melt_scores(wide("Accuracy", "performance"), "multi"), L.melt_scores(wide("Perplexity", "tokens"), "solo")

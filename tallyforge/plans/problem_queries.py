@@ -75,6 +75,19 @@ def text_corpus_roundtrip(spark, sf):
     return S.read_text_corpus(spark, path).groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
 
 
+@query("read_datasets", with_views("v_problems") + """
+SELECT 'prompts' AS kind, count(*) AS n, CAST(sum(length(num1)) AS BIGINT) AS n_chars FROM v_problems
+UNION ALL SELECT unnest(['documents', 'text']), count(*), CAST(sum(length(text)) AS BIGINT) FROM documents""")
+def read_datasets(spark, sf):
+    """Every registered type of data set, each read through the registry."""
+    prompts, corpus = _folder(spark, "read_prompts"), _folder(spark, "read_text")
+    S.write_problems(view(spark, sf, "v_problems").select("num1", "num2"), prompts, "test", "overwrite")
+    S.write_text_corpus(S.read_documents(spark, f"{sf}/documents.parquet"), corpus, mode="overwrite")
+    paths = {"prompts": (prompts, "num1"), "documents": (f"{sf}/documents.parquet", "text"), "text": (corpus, "text")}
+    parts = [S.read_dataset(spark, kind, path).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(F.length(c)).alias("n_chars")) for kind, (path, c) in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("count_label", """
 WITH c AS (SELECT l_suppkey, count(*) * l_suppkey AS n FROM lineitem GROUP BY l_suppkey)
 SELECT l_suppkey, n, CASE WHEN n >= 1000000 THEN CAST(n // 1000000 AS VARCHAR) || 'M' WHEN n >= 1000 THEN CAST(n // 1000 AS VARCHAR) || 'k' ELSE CAST(n AS VARCHAR) END AS label FROM c""")
