@@ -133,8 +133,11 @@ def fourier_periods(int_digits: int = 17, frac_digits: int = 32, bases: tuple[in
 
 def bit_profile(df: DataFrame, bits: str, source: list[str], width: int = 64) -> DataFrame:
     """Share of ones at every place (from 1) of a column of bit texts, and the number of different texts, by source."""
-    ones = [F.avg((F.substring(bits, i, 1) == "1").cast("double")) for i in range(1, width + 1)]
-    g = df.groupBy(*source).agg(F.array(*ones).alias("_ones"), F.countDistinct(bits).alias("n_distinct"))
+    # different texts first, so that a group of the wide sums is a source and not a text
+    texts = df.groupBy(*source, F.col(bits).alias("_bits")).agg(F.count("*").alias("_n"))
+    rows = F.sum(F.when(F.col("_bits").isNotNull(), F.col("_n")))
+    ones = [F.sum(F.when(F.substring("_bits", i, 1) == "1", F.col("_n")).when(F.col("_bits").isNotNull(), 0)) for i in range(1, width + 1)]
+    g = texts.groupBy(*source).agg(F.array(*[n.cast("double") / rows for n in ones]).alias("_ones"), F.count("_bits").alias("n_distinct"))
     return g.select(*source, F.posexplode("_ones").alias("_at", "share"), "n_distinct").select(*source, (F.col("_at") + 1).alias("place"), "share", "n_distinct")
 
 
