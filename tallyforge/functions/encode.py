@@ -175,8 +175,16 @@ def _digest(key: Column, seed: int, parts: int, what: str = "") -> Column:
 def flip_mask(key: Column | str, share: float, seed: int = 42) -> Column:
     """64 keyed draws as bit text: place j is 1 where the j-th four digits of eight md5 sums lie below the share of 65536."""
     limit = f"{min(int(round(share * 65536)), 65535):04x}"
-    drawn = lambda h: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.when(F.substr(h, j * 4 + 1, F.lit(4)) < limit, "1").otherwise("0"))
-    return let(_digest(_col(key), seed, 8), lambda h: F.array_join(drawn(h), ""))
+    # three passes over the digits, whatever the number of places: a blank after every four, then 1 for those below, 0 for the rest
+    spaced = F.regexp_replace(_digest(_col(key), seed, 8), "(....)", "$1 ")
+    marked = F.regexp_replace(spaced, f"(?:{_below(limit)}) ", "1") if int(limit, 16) else spaced
+    return F.coalesce(F.regexp_replace(marked, "[0-9a-f]{4} ", "0"), F.lit("0" * 64))
+
+
+def _below(limit: str) -> str:
+    """Pattern of the lower-case hexadecimal texts of the limit's length that stand before it."""
+    digits = "0123456789abcdef"
+    return "|".join(f"{limit[:i]}[{digits[:digits.index(c)]}][0-9a-f]{{{len(limit) - i - 1}}}" for i, c in enumerate(limit) if c != "0")
 
 
 def _uniform(key: Column, seed: int, what: str) -> Column:
@@ -205,7 +213,9 @@ def roundtrip(x: Column | str, encoding: str, noise: float = 0.0, seed: int = 42
         if share <= 0:
             return bits_value(number_bits(x))
         flipped = F.conv(flip_mask(key, share, seed), 2, -10).cast("bigint")
-        return bits_double(raw_bits(x).bitwiseXOR(flipped))
+        # null only where x is, so the mask is not drawn again to find out
+        whole = F.coalesce(raw_bits(x), F.lit(0).cast("bigint")).bitwiseXOR(flipped)
+        return F.when(x.isNotNull(), F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), whole).cast("double"))
     if encoding == "digits10":
         return let(number_digits10(x), digits10_value)
     if encoding not in ("log", "linear"):
