@@ -15,6 +15,8 @@ from tallyforge.functions.metrics import log_smape
 from tallyforge.functions.text import _col, let, place_point, shortest_digits
 
 JSON_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?"
+#: What a JSON text may begin with, leniently.
+JSON_START = "^[ \\t\\r\\n\ufeff]*[{\\[\"'+.0-9tfnNI/#-]"
 RAW_TASKS = ["MinMax", "Sorting"]
 
 
@@ -379,5 +381,11 @@ def schema_violation(text: Column | str, schema: dict) -> Column:
                 out = out.when(present & ~F.try_variant_get(value, "$", "string").isin(wanted["enum"]), "not_in_enum")
         return out
 
-    json_ = F.try_parse_json(_col(text))
-    return let(F.struct(json_.alias("json"), F.schema_of_variant(json_).alias("kind"), F.coalesce(F.json_object_keys(_col(text)), F.array().cast("array<string>")).alias("fields")), broken)
+    def parts(read: Column) -> Column:
+        fields = F.when(F.startswith(read["kind"], F.lit("OBJECT<")), F.json_object_keys(_col(text)))
+        return F.struct(read["json"].alias("json"), read["kind"].alias("kind"), F.coalesce(fields, F.array().cast("array<string>")).alias("fields"))
+
+    # a text is parsed once; one that no JSON begins like is not parsed, as a failure costs more than all else
+    parsed = F.try_parse_json(F.when(_col(text).rlike(JSON_START), _col(text)))
+    read = let(parsed, lambda v: F.struct(v.alias("json"), F.schema_of_variant(v).alias("kind")))
+    return let(let(read, parts), broken)
