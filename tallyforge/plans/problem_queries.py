@@ -35,6 +35,8 @@ def scan_prune(spark, sf):
     return S.read_problems(spark, path, ["num1", "answer"]).groupBy("num1", "answer").agg(F.count("*").alias("n"))
 
 
+#: Problems in a file, as a task sorts one.
+LINES = 1 << 18
 _LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity"
 
 
@@ -43,7 +45,8 @@ def problem_lines(spark, sf):
     """Problems written in order to several files; a row's index is its line in all of them."""
     path = _folder(spark, "problem_lines")
     order = _LINE.split(", ")
-    t = view(spark, sf, "v_problems").repartitionByRange(4, *order).sortWithinPartitions(*order)
+    files = max(4, -(-table(spark, sf, "lineitem").count() // LINES))
+    t = view(spark, sf, "v_problems").repartitionByRange(files, *order).sortWithinPartitions(*order)
     S.write_problems(t.select("num1", "operator", "num2", "total"), path, "test", "overwrite")
     return S.read_problems(spark, path, row_idx=True, across=True).drop("file")
 
