@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ def _strings(columns: list[str]) -> str:
     return ", ".join(f"`{c}` STRING" for c in columns)
 
 
+#: Rows of result files that one task sorts.
+SLICE = 1 << 18
+
 #: Offsets of at most so many file blocks are sent to all tasks; beyond that they are joined like any table.
 BLOCKS = 200_000
 
@@ -158,39 +162,68 @@ def discover_results(spark: SparkSession, glob: str, pattern: str = RESULT_PATTE
 def write_result_files(df: DataFrame, folder: str, order: list[str], columns: list[str], pattern: str = RESULT_PATTERN) -> int:
     """Result files, one for each task, model and reasoning of df, named by them, rows in the given order; returns their number.
 
-    A task streams its files one after another into the folder; a file gets its name when it is complete.
+    Tasks sort and write slices of at most about SLICE rows each, whatever the size of a file; then the slices of a file are
+    copied one after another, and the file gets its name when it is complete.
     """
+    spark = df.sparkSession
     name = F.concat("task", F.lit(pattern), "model", F.lit("_re_"), "reasoning", F.lit(".csv"))
     heads = [c.strip("`") for c in columns]
     rows = df.select(name.alias("_name"), *[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(columns)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     keys = [f"_o{i}" for i in range(len(order))]
-    sorted_rows = rows.repartition("_name").sortWithinPartitions("_name", *keys).drop(*keys)
+    slices = max(1, -(-df.count() // SLICE))
+    sorted_rows = rows.repartitionByRange(slices, "_name", *keys).sortWithinPartitions("_name", *keys).drop(*keys)
+    parts = f".slices-{uuid.uuid4().hex}"
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def opened():
         from pyarrow import fs
 
         filesystem, root = fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
-        filesystem.create_dir(root, recursive=True)
-        open_name, out, part, n = None, None, "", 0
+        filesystem.create_dir(f"{root}/{parts}", recursive=True)
+        return filesystem, root
 
-        def close() -> None:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, root = opened()
+        open_name, out, part = None, None, ""
+        nth = TaskContext.get().partitionId()
+        for batch in batches:
+            for file, own in batch.groupby("_name", sort=False):
+                if file != open_name:
+                    if out is not None:
+                        out.close()
+                        yield pd.DataFrame({"_name": [open_name], "nth": [nth], "part": [part]})
+                    open_name, part = file, f"{root}/{parts}/{uuid.uuid4().hex}"
+                    out = filesystem.open_output_stream(part)
+                out.write(own.drop(columns="_name").to_csv(index=False, header=False).encode())
+        if out is not None:
             out.close()
-            filesystem.move(part, f"{root}/{open_name}")
+            yield pd.DataFrame({"_name": [open_name], "nth": [nth], "part": [part]})
 
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, root = opened()
+        open_name, out, whole, n = None, None, "", 0
         for batch in batches:
-            for file, own in batch.groupby("_name", sort=False):
+            for file, part in zip(batch["_name"], batch["part"]):
                 if file != open_name:
                     if out is not None:
-                        close()
-                    open_name, part = file, f"{root}/.{file}.{uuid.uuid4().hex}"
-                    out, n = filesystem.open_output_stream(part), n + 1
+                        out.close()
+                        filesystem.move(whole, f"{root}/{open_name}")
+                    open_name, whole = file, f"{root}/{parts}/{uuid.uuid4().hex}"
+                    out, n = filesystem.open_output_stream(whole), n + 1
                     out.write((",".join(heads) + "\n").encode())
-                out.write(own.drop(columns="_name").to_csv(index=False, header=False).encode())
+                with filesystem.open_input_stream(part) as source:
+                    while piece := source.read(1 << 20):
+                        out.write(piece)
         if out is not None:
-            close()
+            out.close()
+            filesystem.move(whole, f"{root}/{open_name}")
         yield pd.DataFrame({"n": [n]})
 
-    return sorted_rows.mapInPandas(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    written = sorted_rows.mapInPandas(write, "_name string, nth int, part string")
+    joined = written.repartition("_name").sortWithinPartitions("_name", "nth").mapInPandas(join, "n bigint")
+    n = joined.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{parts}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def run_pairs(names: DataFrame, col: str = "file") -> DataFrame:
