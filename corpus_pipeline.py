@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, language_id, near_copies, packing, suffix_dedup
+from tallyforge.llm import decontaminate, language_id, packing, simhash, suffix_dedup
 from tallyforge.llm.shared import small_batches, stored, text_key
 
 ORACLE_SQL = None
@@ -41,9 +41,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near copies; of rows with equal id and text, one."""
+    """Keeps the document of least id of each SimHash component; of rows with equal id and text, one."""
     small_batches(spark)
-    kept = near_copies.near_copies(docs).where("keep").select("doc_id", "tk")
+    kept = simhash.least_of_components(docs, words=4, radius=4)
     rows = _keyed(docs).join(kept, _same(kept), "left_semi")
     first = F.row_number().over(Window.partitionBy("key", "hash").orderBy(F.xxhash64("row")))
     return rows.withColumn("nth", first).where("nth = 1").select("row.*")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.session import shared_dir
+from tallyforge.session import shared_dir, small_batches  # noqa: F401
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -62,14 +62,6 @@ def committed(uri: str, name: str):
     filesystem.move(part, f"{root}/{name}")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on the session hands Python at most so many rows at once, so that workers hold few texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
-
-
 def text_key(text: str = "text") -> Column:
     """A 32-bit hash of the text that tells apart rows with the same id (null and empty differ)."""
     return F.hash(F.col(text).isNull(), F.col(text))

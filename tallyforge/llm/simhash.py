@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import partitions, stored
+from tallyforge.llm.shared import discard, partitions, stored, text_key
 
 #: Rows of a bucket that one task compares at once.
 SLICE = 4096
@@ -52,15 +52,18 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return simhash(shingles(text, words))
 
 
-def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; null texts count as empty, and rows are never merged."""
+def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, with `keyed` also `tk`, a hash of its text; null texts count as empty, and rows are never merged."""
+    key = ["tk"] * keyed
+
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = [fingerprint(t, words) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64), **{c: batch[c] for c in key}})
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(hashed, "doc_id bigint, fp bigint")
+    rows = rows.withColumn("tk", text_key()) if keyed else rows
+    return rows.mapInPandas(hashed, "doc_id bigint, fp bigint" + ", tk int" * keyed)
 
 
 def _bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -298,3 +301,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: st
     labelled = grouped.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(labelled, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def least_of_components(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, tk): of each component of `near_duplicates` the row of least id (null ids last); `tk` is a hash of its text."""
+    rows = stored(fingerprints(docs, words, doc_id, text, keyed=True), "fingerprints")
+    distinct = stored(rows.select(F.col("fp").alias("id"), "fp").distinct(), "distinct")
+    roots = stored(components(near_links(distinct, radius)), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")
+    least = rows.groupBy("fp").agg(F.min(rank).alias("least")).join(roots, F.col("fp") == F.col("node"), "left")
+    kept = least.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")).select("least.doc_id", "least.tk")
+    out = stored(kept, "least-of-components")
+    discard(rows, distinct, roots)
+    return out
