@@ -42,6 +42,9 @@ def number_vocabulary(spark: SparkSession, kind: str, pieces: list[str] = (), by
     return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, token_id int")
 
 
+#: Characters of texts whose tokens go back from Python at once.
+TOKENIZED = 1 << 20
+
 #: Tokens of the bytes of characters that no entry covers.
 BYTE_TOKENS = [f"<0x{b:02X}>" for b in range(256)]
 
@@ -62,7 +65,7 @@ def tokenize(df: DataFrame, vocabulary: DataFrame, text: str = "text", numbers:
     if len(entries) > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary has at most {MAX_VOCABULARY} entries")
     shipped = df.sparkSession.sparkContext.broadcast(entries)
-    number_ids = frozenset(i for t, i in entries.items() if t == C.NUM or re.fullmatch(r"<\|num_\d+\|>", t))
+    numbered = np.array([i for t, i in entries.items() if t == C.NUM or re.fullmatch(r"<\|num_\d+\|>", t)], np.int32)
 
     @F.pandas_udf(_token_schema())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -85,17 +88,21 @@ def tokenize(df: DataFrame, vocabulary: DataFrame, text: str = "text", numbers:
         arms = [re.escape(c) + "(?:" + "|".join(rest) + ("|)" if c in single else ")") for c, rest in by_first.items()]
         pattern = re.compile("|".join([*arms, "."]), re.DOTALL)
         for texts, values in batches:
-            out_t, out_n = [], []
+            out_t, out_n, size = [], [], 0
             for s, v in zip(texts, values):
+                if size > TOKENIZED:  # a few texts at a time, or all tokens of a batch stand in memory several times
+                    yield pd.DataFrame({"tokens": out_t, "numbers": out_n})
+                    out_t, out_n, size = [], [], 0
                 if s is None:
                     out_t.append(None), out_n.append(None)
                     continue
-                ids = [i for m in pattern.findall(s) for i in ((table[m],) if m in table else uncovered(m))]
+                ids = np.fromiter((i for m in pattern.finditer(s) for i in ((table[m[0]],) if m[0] in table else uncovered(m[0]))), np.int32)
                 nums = np.zeros(len(ids))
                 if v is not None:
-                    at = [k for k, i in enumerate(ids) if i in number_ids]
+                    at = np.flatnonzero(np.isin(ids, numbered))
                     nums[at[: len(v)]] = v[: len(at)]
                 out_t.append(ids), out_n.append(nums)
+                size += len(s)
             yield pd.DataFrame({"tokens": out_t, "numbers": out_n})
 
     values = F.col(numbers) if numbers else F.lit(None).cast("array<double>")

@@ -13,7 +13,7 @@ from tallyforge.plans.number_queries import sql_log_smape, texts
 from tallyforge.plans.problem_queries import _folder
 from tallyforge.plans.registry import query, spread, table
 from tallyforge.plans.views import view, with_views
-from tallyforge.session import shared_dir
+from tallyforge.session import shared_dir, small_batches
 from tallyforge.sources import files as S
 from tallyforge.streaming.score_stream import leaderboard, score_stream
 
@@ -82,6 +82,7 @@ WITH texts AS (SELECT 'documents' AS source, doc_id AS id, text FROM documents U
 SELECT source, id, len(ids) AS n_tokens, md5(array_to_string(ids, ',')) AS ids_md5,
   round(coalesce(list_sum([CAST(x AS DOUBLE) FOR x IN n]), 0), 4) AS number_sum FROM k""")
 def tokenize_corpus(spark, sf):
+    small_batches(spark)
     vocabulary = K.number_vocabulary(spark, "number", _PIECES, byte_fallback=True)
     t = K.tokenize_numbers(texts(spark, sf), vocabulary)
     total = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
