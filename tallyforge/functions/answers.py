@@ -82,7 +82,7 @@ def float_text(x: Column) -> Column:
 def token_float_text(token: Column) -> Column:
     """Text a double made from a number token would have; short plain decimals need no arithmetic."""
     t = F.ltrim(token, F.lit("+"))
-    short = (F.length(t) <= 16) & ~F.contains(F.lower(t), F.lit("e")) & ~t.rlike("^-?0?[.]0000")
+    short = (F.length(t) <= 16) & ~F.contains(t, F.lit("e")) & ~F.contains(t, F.lit("E")) & ~t.rlike("^-?0?[.]0000")
     cut = F.rtrim(t, F.lit("0"))
     cut = F.when(F.endswith(cut, F.lit(".")), F.concat(cut, F.lit("0"))).otherwise(cut)
     cut = F.when(F.startswith(cut, F.lit(".")), F.concat(F.lit("0"), cut)).when(
