@@ -10,8 +10,9 @@ depend on no order and no partitioning.
 
 Byte counts, word counts and slots are added up over all training documents, in tasks. The number of slots grows with the training
 bytes up to 2**MOST_BITS per predictor, which bounds what is broadcast; word counts grow without a bound and meet the texts in a
-join. The starting weights are a classifier fitted on a bounded sample: the FIT training documents of least hash among those
-of at most FIT_BYTES characters, each scored with its own counts taken off the slots.
+join. The starting weights are a classifier fitted on all training documents, each scored with its own counts taken off the
+slots: the mixer sees only a few bytes at each choice, so tasks count how often each such evidence comes, and Newton's method goes
+over these counts.
 
 Words are runs of characters other than blank, tab, line feed, vertical tab, form feed and return; each document's words are followed by one
 end, a token like them. A null text is an empty one. Rows without an id are neither held out nor learned from; rows that repeat
@@ -20,8 +21,9 @@ are scored (and learned from) each. Nothing to learn from: every word is unknown
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import partitions, stored
+from tallyforge.llm.shared import discard, partitions, stored
 
 #: Bytes before the current one in each predictor's context; the last predictor has the current word so far instead.
 ORDERS = (3, 4)
@@ -38,8 +40,6 @@ PREDICTORS = len(ORDERS) + 1
 LEAST_BITS, MOST_BITS = 16, 21
 #: A word with more than this share of all training tokens travels with the tasks (there can be only so many); others are joined.
 COMMON = 1 << 18
-#: Documents, and characters each, in the sample that the starting weights are fitted on.
-FIT, FIT_BYTES = 150, 8192
 #: Log-odds are kept in eighteenths, from -7 to 7.
 STEP = 18.0
 GATES = 4
@@ -293,47 +293,123 @@ def _gate(odds: np.ndarray) -> np.ndarray:
     return ((odds[-1] != 0).view(np.int8) + (odds[-2] != 0).view(np.int8) + (odds[-3] != 0).view(np.int8)).astype(np.int64)
 
 
+def own_evidence(code: Code, bits: int, counts: np.ndarray, spare: np.ndarray, data: bytes) -> np.ndarray:
+    """What the mixer sees at each choice of a counted text, its own counts taken off the slots: the choice and the predictors'
+    log-odds, a byte each. `spare` is 2 * slots zeros, and so again afterwards."""
+    parts = []
+    for a, b in segments(len(data)):
+        laid, begin = laid_out([(data, a, b)])
+        at = np.arange(begin[0], begin[0] + b - a)
+        parts.append((*choices(code, laid[at]), contexts(laid, bits)[:, at]))
+    bit = np.concatenate([p[2] for p in parts])
+    key = bit.astype(np.int64)
+    for k in range(PREDICTORS):
+        zero = 2 * np.concatenate([np.repeat(first[k], times) + node for times, node, _, first in parts])
+        np.add.at(spare, zero + bit, 1)
+        left = [np.maximum(counts[k][at] - spare[at], 0).astype(np.float32) for at in (zero, zero + 1)]
+        spare[zero + bit] = 0
+        key = key << 8 | log_odds(*left).astype(np.int64) + 128
+    return key
+
+
+def evidence(rows: DataFrame, code: Code, bits: int, counts: np.ndarray) -> DataFrame:
+    """(key, n): how often each evidence (see `own_evidence`) comes with the choices of all texts of rows. That is all a fit needs."""
+    sent = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spare, waiting, size = np.zeros(2 * slots(bits), np.int32), [], 0
+        for batch in batches:
+            for t in batch["text"]:
+                waiting.append(own_evidence(code, bits, sent.value, spare, as_bytes(t)))
+                size += len(waiting[-1])
+                if size > PAIRS:
+                    yield pd.DataFrame(dict(zip(("key", "n"), np.unique(np.concatenate(waiting), return_counts=True))))
+                    waiting, size = [], 0
+        if waiting:
+            yield pd.DataFrame(dict(zip(("key", "n"), np.unique(np.concatenate(waiting), return_counts=True))))
+
+    out = stored(rows.mapInPandas(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "evidence")
+    sent.unpersist()
+    return out
+
+
+def _read(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-odds with a last row of ones, choices, gates) of evidence."""
+    own = np.stack([(key >> 8 * (PREDICTORS - 1 - k) & 255) - 128 for k in range(PREDICTORS)]).astype(np.int8)
+    return np.vstack([own.astype(np.float64), np.ones(len(key))]), (key >> 8 * PREDICTORS).astype(np.float64), _gate(own)
+
+
+def _chance(weights: np.ndarray, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mix = (weights[:, gate] * x).sum(0)
+    return mix, 1 / (1 + np.exp(-np.clip(mix, -30, 30)))
+
+
+def newton_sums(weights: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each gate the gradient and the curvature of the log-likelihood, one after the other."""
+    x, y, gate = _read(key)
+    _, p = _chance(weights, x, gate)
+    out = []
+    for g in range(GATES):
+        own = gate == g
+        a, times = x[:, own], n[own]
+        out += [a @ (times * (y[own] - p[own])), ((a * (times * p[own] * (1 - p[own]))) @ a.T).ravel()]
+    return np.concatenate(out)
+
+
+def outcome_sums(weights: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Number of choices, curvature of each weight, and the choices 1 and all choices at each log-odds."""
+    x, y, gate = _read(key)
+    mix, p = _chance(weights, x, gate)
+    spot = _spot(mix)
+    tables = [np.bincount(spot, weights=w, minlength=ODDS) for w in (y * n, n)]
+    return np.concatenate([[n.sum()], (x * x * (n * p * (1 - p))).sum(1), *tables])
+
+
+def sums_over(found: DataFrame, sums: Callable[..., np.ndarray], weights: np.ndarray) -> np.ndarray | None:
+    """sums(weights, key, n) over all evidence, added up; tasks return one array each."""
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
+        for batch in batches:
+            if len(batch):
+                total = total + sums(weights, batch["key"].to_numpy(), batch["n"].to_numpy(np.float64))
+        if not np.isscalar(total):
+            yield pd.DataFrame({"sums": [total]})
+
+    parts = found.mapInPandas(add, "sums array<double>").collect()
+    return np.array([math.fsum(column) for column in zip(*(r["sums"] for r in parts))]) if parts else None
+
+
 def fitted(code: Code, bits: int, counts: np.ndarray, texts: list[bytes]) -> Model:
     """Model of the slots' counts (predictors x 2 * slots), its mixer fitted on the texts, which are among those counted."""
+    spare = np.zeros(2 * slots(bits), np.int32)
+    keys = [own_evidence(code, bits, counts, spare, t) for t in texts]
+    key, n = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+    return fit(code, bits, counts, lambda sums, weights: sums(weights, key, n.astype(np.float64)) if len(key) else None)
+
+
+def fit(code: Code, bits: int, counts: np.ndarray, total: Callable[[Callable[..., np.ndarray], np.ndarray], np.ndarray | None]) -> Model:
+    """Model of the slots' counts, its mixer fitted by Newton's method; total(sums, weights) adds up over the evidence."""
     odds = np.stack([log_odds(c[::2], c[1::2]) for c in counts])
-    rows, bits_, gates = [], [], []
-    for data in texts:
-        laid, begin = laid_out([(data, 0, len(data) + 1)])
-        times, node, bit = choices(code, laid[REACH:])
-        first = contexts(laid, bits)[:, REACH:]
-        own = np.empty((PREDICTORS, len(bit)), np.int8)
-        for k in range(PREDICTORS):
-            slot = np.repeat(first[k], times) + node
-            _, group = np.unique(slot, return_inverse=True)
-            ones = counts[k][2 * slot + 1] - np.bincount(group, weights=bit)[group]
-            zeros = counts[k][2 * slot] - np.bincount(group, weights=1 - bit)[group]
-            own[k] = log_odds(np.maximum(zeros, 0), np.maximum(ones, 0))
-        rows.append(own)
-        bits_.append(bit)
-        gates.append(_gate(own))
+    size = PREDICTORS + 1
     start = np.concatenate([np.full(PREDICTORS, 0.3 / STEP), [0.0]])
     weights, curve = np.tile(start[:, None], GATES), np.append(np.full(PREDICTORS, 0.1 * STEP**2), 0.1)
     table = np.stack([1 / (1 + np.exp(-_centres())), np.ones(ODDS)]) * 20.0
-    if rows:
-        x, y, gate = np.concatenate(rows, axis=1).astype(np.float64), np.concatenate(bits_), np.concatenate(gates)
-        x = np.vstack([x, np.ones(len(y))])
-        out = np.zeros(len(y))
-        ridge = np.diag(np.append(np.full(PREDICTORS, STEP**2), 1.0))
-        for g in range(GATES):
-            own = gate == g
-            if not own.any():
-                continue
-            a, b, w = x[:, own], y[own], weights[:, g].copy()
-            reach = 0.5 / np.append(np.full(PREDICTORS, STEP), 1.0)
-            for _ in range(15):
-                p = 1 / (1 + np.exp(-np.clip(w @ a, -30, 30)))
-                w += np.clip(np.linalg.solve((a * (p * (1 - p))) @ a.T + ridge, a @ (b - p) - ridge @ (w - start)), -reach, reach)
-            weights[:, g], out[own] = w, w @ a
-        p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-        curve = np.maximum((x * x * (p * (1 - p))).mean(1), curve / 100)
-        spot = _spot(out)
-        table = table + np.stack([np.bincount(spot, weights=y, minlength=ODDS), np.bincount(spot, minlength=ODDS)])
-    return Model(code, bits, odds, weights.astype(np.float32), curve, table)
+    ridge = np.diag(np.append(np.full(PREDICTORS, STEP**2), 1.0))
+    reach = 0.5 / np.append(np.full(PREDICTORS, STEP), 1.0)
+    for _ in range(15):
+        found = total(newton_sums, weights)
+        if found is None:  # nothing to learn from
+            return Model(code, bits, odds, weights.astype(np.float32), curve, table)
+        steps = np.zeros_like(weights)
+        for g, own in enumerate(found.reshape(GATES, -1)):
+            pull, bend = own[:size], own[size:].reshape(size, size)
+            steps[:, g] = np.clip(np.linalg.solve(bend + ridge, pull - ridge @ (weights[:, g] - start)), -reach, reach)
+        weights = weights + steps
+        if (np.abs(steps) < 1e-9).all():
+            break
+    found = total(outcome_sums, weights)
+    curve = np.maximum(found[1 : size + 1] / found[0], curve / 100)
+    return Model(code, bits, odds, weights.astype(np.float32), curve, table + found[size + 1 :].reshape(2, ODDS))
 
 
 def _centres() -> np.ndarray:
@@ -452,8 +528,9 @@ def trained(rows: DataFrame) -> tuple[Model, DataFrame, int, int, int]:
     for r in slot_counts(rows, code, bits).repartition(16).toLocalIterator():  # a sixteenth at a time
         flat[r["chunk"] * CHUNK + np.frombuffer(r["at"], np.uint16).astype(np.int64)] = np.frombuffer(r["n"], np.uint64)
     counts = flat[: PREDICTORS * size].reshape(PREDICTORS, size)
-    sample = rows.where((F.length("text") <= FIT_BYTES) & (F.length("text") > 0)).orderBy(F.xxhash64("doc_id"), "text").limit(FIT)
-    model = fitted(code, bits, counts, [as_bytes(r["text"]) for r in sample.select("text").collect()])
+    found = evidence(rows, code, bits, counts)
+    model = fit(code, bits, counts, lambda sums, weights: sums_over(found, sums, weights))
+    discard(found)
     return model, counted, ends, n_words + ends, distinct + (ends > 0)
 
 

@@ -160,3 +160,19 @@ def test_nothing_to_learn_from(spark, odd, empty):
     got = cm.scored(rows.where(rows.doc_id.isin(alone))).toPandas()
     assert len(got) == len(alone) and set(got["n_known"]) == {0} and set(got["train_tokens"]) == {0} and got["base_score"].abs().max() < 1e-12
     assert got["score"].nunique() == 1
+
+
+def test_weights_are_fitted_on_all_training_documents(spark, monkeypatch):
+    """More and longer documents than any sample: a fit over tasks is that of one process over all of them."""
+    monkeypatch.setattr(cm, "PAIRS", 5000)
+    rows = [t + " x" * (5000 if i == 7 else 0) for i, t in enumerate(texts(200, seed=12))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(5)
+    model = cm.trained(df)[0]
+    size = 2 * cm.slots(model.bits)
+    flat = np.zeros(-(-cm.PREDICTORS * size // cm.CHUNK) * cm.CHUNK, np.float32)
+    for r in cm.slot_counts(df, model.code, model.bits).collect():
+        flat[r["chunk"] * cm.CHUNK + np.frombuffer(r["at"], np.uint16).astype(int)] = np.frombuffer(r["n"], np.uint64)
+    counts = flat[: cm.PREDICTORS * size].reshape(cm.PREDICTORS, size)
+    want = cm.fitted(model.code, model.bits, counts, [cm.as_bytes(t) for t in rows])
+    assert np.allclose(model.weights, want.weights, atol=1e-5) and np.allclose(model.table, want.table, rtol=1e-6)
+    assert model.table[1].sum() - 20 * cm.ODDS == sum(int(model.code.length[c]) for t in rows for c in [*cm.as_bytes(t), cm.END])
