@@ -96,7 +96,7 @@ def tokenize(df: DataFrame, vocabulary: DataFrame, text: str = "text", numbers:
                 if s is None:
                     out_t.append(None), out_n.append(None)
                     continue
-                ids = np.fromiter((i for m in pattern.finditer(s) for i in ((table[m[0]],) if m[0] in table else uncovered(m[0]))), np.int32)
+                ids = np.array([i for m in pattern.findall(s) for i in ((table[m],) if m in table else uncovered(m))], np.int32)
                 nums = np.zeros(len(ids))
                 if v is not None:
                     at = np.flatnonzero(np.isin(ids, numbered))
