@@ -47,8 +47,10 @@ GATES = 4
 KEEP = 8000.0
 ODDS = 33
 #: Bytes of history that contexts reach back, of a text taken at once, and of texts taken side by side.
-REACH, SEGMENT, GROUP = 32, 1 << 16, 1 << 18
+REACH, SEGMENT, GROUP = 32, 1 << 16, 1 << 17
 END = 255
+#: Bytes of texts whose choices are looked up at once when the fit's evidence is counted.
+SIDE = 1 << 16
 CHUNK = 1 << 16
 #: Bytes in contexts that are sorted at once.
 PAIRS = 1 << 21
@@ -173,8 +175,14 @@ def slots(bits: int) -> int:
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Rounded log-odds of counts; what was seen is never 0, what was not always is."""
-    steps = np.clip(np.rint(np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))) * np.float32(STEP)), -127, 127)
-    return np.where(zeros + ones > 0, np.where(steps == 0, 1, steps), 0).astype(np.int8)
+    share = ones + np.float32(0.4)
+    share /= zeros + np.float32(0.4)
+    steps = np.log(share, out=share)
+    steps *= np.float32(STEP)
+    steps = np.clip(np.rint(steps, out=steps), -127, 127, out=steps).astype(np.int8)
+    steps += steps == 0
+    steps *= (zeros > 0) | (ones > 0)
+    return steps
 
 
 def learns(doc_id: str) -> Column:
@@ -293,23 +301,52 @@ def _gate(odds: np.ndarray) -> np.ndarray:
     return ((odds[-1] != 0).view(np.int8) + (odds[-2] != 0).view(np.int8) + (odds[-3] != 0).view(np.int8)).astype(np.int64)
 
 
-def own_evidence(code: Code, bits: int, counts: np.ndarray, spare: np.ndarray, data: bytes) -> np.ndarray:
-    """What the mixer sees at each choice of a counted text, its own counts taken off the slots: the choice and the predictors'
-    log-odds, a byte each. `spare` is 2 * slots zeros, and so again afterwards."""
+def own_evidence(code: Code, bits: int, counts: np.ndarray, spare: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """What the mixer sees at each choice of counted texts, each text's own counts taken off the slots: the choice and the
+    predictors' log-odds, a byte each. `spare` is zeros for all slots, and so again afterwards; it holds what a text counts of
+    choice 0 in the lower half of a number and of choice 1 in the upper."""
     parts = []
-    for a, b in segments(len(data)):
-        laid, begin = laid_out([(data, a, b)])
-        at = np.arange(begin[0], begin[0] + b - a)
+    for laid, begin, ends in _groups_laid_out(texts):
+        at = np.flatnonzero(_inside(len(laid), begin, ends))
         parts.append((*choices(code, laid[at]), contexts(laid, bits)[:, at]))
-    bit = np.concatenate([p[2] for p in parts])
-    key = bit.astype(np.int64)
+    times, node, bit = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    ends = np.cumsum(times)[np.cumsum([len(t) + 1 for t in texts]) - 1].tolist()
+    key = np.empty((len(bit), 4), np.uint8)  # a little-endian number
+    key[:, PREDICTORS] = bit
+    one = np.int64(1) << (bit << 5)
     for k in range(PREDICTORS):
-        zero = 2 * np.concatenate([np.repeat(first[k], times) + node for times, node, _, first in parts])
-        np.add.at(spare, zero + bit, 1)
-        left = [np.maximum(counts[k][at] - spare[at], 0).astype(np.float32) for at in (zero, zero + 1)]
-        spare[zero + bit] = 0
-        key = key << 8 | log_odds(*left).astype(np.int64) + 128
-    return key
+        slot = np.repeat(np.concatenate([p[3][k] for p in parts]), times)
+        slot += node
+        own = np.empty(len(slot), np.int64)
+        for a, b in zip([0, *ends], ends):
+            np.add.at(spare, slot[a:b], one[a:b])
+            spare.take(slot[a:b], out=own[a:b], mode="clip")
+            spare[slot[a:b]] = 0
+        left = counts[k].view(np.int64).take(slot).view(np.float32)
+        left -= own.view(np.int32).astype(np.float32)
+        np.maximum(left, 0, out=left)
+        np.add(log_odds(left[::2], left[1::2]).view(np.uint8), 128, out=key[:, PREDICTORS - 1 - k])
+    return key.view("<u4").ravel()
+
+
+def _tally(keys: list[np.ndarray]) -> pd.DataFrame:
+    """Each different key and how often it comes."""
+    key = np.sort(np.concatenate(keys))
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return pd.DataFrame({"key": key[new].astype(np.int64), "n": np.diff(np.append(new, len(key)))})
+
+
+def _runs(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Texts in their order, about `most` bytes at once."""
+    now, size = [], 0
+    for t in texts:
+        now.append(t)
+        size += len(t) + 1
+        if size > most:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
 
 
 def evidence(rows: DataFrame, code: Code, bits: int, counts: np.ndarray) -> DataFrame:
@@ -317,16 +354,16 @@ def evidence(rows: DataFrame, code: Code, bits: int, counts: np.ndarray) -> Data
     sent = rows.sparkSession.sparkContext.broadcast(counts)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spare, waiting, size = np.zeros(2 * slots(bits), np.int32), [], 0
+        spare, waiting, size = np.zeros(slots(bits), np.int64), [], 0
         for batch in batches:
-            for t in batch["text"]:
-                waiting.append(own_evidence(code, bits, sent.value, spare, as_bytes(t)))
+            for texts in _runs([as_bytes(t) for t in batch["text"]], SIDE):
+                waiting.append(own_evidence(code, bits, sent.value, spare, texts))
                 size += len(waiting[-1])
-                if size > PAIRS:
-                    yield pd.DataFrame(dict(zip(("key", "n"), np.unique(np.concatenate(waiting), return_counts=True))))
+                if size > 4 * PAIRS:
+                    yield _tally(waiting)
                     waiting, size = [], 0
         if waiting:
-            yield pd.DataFrame(dict(zip(("key", "n"), np.unique(np.concatenate(waiting), return_counts=True))))
+            yield _tally(waiting)
 
     out = stored(rows.mapInPandas(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "evidence")
     sent.unpersist()
@@ -381,10 +418,9 @@ def sums_over(found: DataFrame, sums: Callable[..., np.ndarray], weights: np.nda
 
 def fitted(code: Code, bits: int, counts: np.ndarray, texts: list[bytes]) -> Model:
     """Model of the slots' counts (predictors x 2 * slots), its mixer fitted on the texts, which are among those counted."""
-    spare = np.zeros(2 * slots(bits), np.int32)
-    keys = [own_evidence(code, bits, counts, spare, t) for t in texts]
-    key, n = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
-    return fit(code, bits, counts, lambda sums, weights: sums(weights, key, n.astype(np.float64)) if len(key) else None)
+    counts, spare = np.ascontiguousarray(counts, np.float32), np.zeros(slots(bits), np.int64)
+    found = _tally([own_evidence(code, bits, counts, spare, run) for run in _runs(texts, SIDE)]) if texts else None
+    return fit(code, bits, counts, lambda sums, weights: None if found is None else sums(weights, found["key"].to_numpy(), found["n"].to_numpy(np.float64)))
 
 
 def fit(code: Code, bits: int, counts: np.ndarray, total: Callable[[Callable[..., np.ndarray], np.ndarray], np.ndarray | None]) -> Model:

@@ -162,6 +162,36 @@ def test_nothing_to_learn_from(spark, odd, empty):
     assert got["score"].nunique() == 1
 
 
+def test_evidence_of_several_texts_leaves_out_each_ones_own_counts(model, monkeypatch):
+    """Texts are looked up side by side, also those of several segments; each loses only its own counts."""
+    monkeypatch.setattr(cm, "SEGMENT", 700)
+    rows = [cm.as_bytes(t) for t in [*texts(8, seed=21), "", "the theory of sums " * 90, "the theory of sums"]]
+    counts = np.zeros((cm.PREDICTORS, 2 * cm.slots(BITS)), np.float32)
+    seen = []
+    for data in rows:
+        whole = data + bytes([cm.END])
+        own = [[(k, 2 * (f + node) + bit) for k, f in enumerate(plain_contexts(whole, i, BITS))] for i, c in enumerate(whole) for node, bit in path(model.code, c)]
+        seen.append(own)
+        for choice in own:
+            for k, at in choice:
+                counts[k][at] += 1
+    want = []
+    for own in seen:
+        mine = Counter(x for choice in own for x in choice)
+        for choice in own:
+            key = choice[0][1] & 1
+            for k, at in choice:
+                left = [counts[k][a] - mine[k, a] for a in (at & ~1, at | 1)]
+                key = key << 8 | int(cm.log_odds(np.float32([left[0]]), np.float32([left[1]]))[0]) + 128
+            want.append(key)
+    spare = np.zeros(cm.slots(BITS), np.int64)
+    assert cm.own_evidence(model.code, BITS, counts, spare, rows).tolist() == want and not spare.any()
+    parts = [cm.own_evidence(model.code, BITS, counts, spare, run) for run in cm._runs(rows, 500)]
+    assert np.concatenate(parts).tolist() == want and len(parts) > 2
+    tally = cm._tally(parts)
+    assert dict(zip(tally["key"], tally["n"])) == Counter(want)
+
+
 def test_weights_are_fitted_on_all_training_documents(spark, monkeypatch):
     """More and longer documents than any sample: a fit over tasks is that of one process over all of them."""
     monkeypatch.setattr(cm, "PAIRS", 5000)
