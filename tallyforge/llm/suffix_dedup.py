@@ -14,15 +14,17 @@ windows have equal anchors at equal distances:
    windows, judged like stretches, and the windows still open are suffixes of their own: splitters may fall among equal ones,
    each bucket compares neighbours after its sort, and the ends of buckets are compared with each other.
 
+Texts are joined with what was found in them three times. Bit maps of the documents concerned keep the others out of these joins.
+
 Hashes of 64 bits stand for strings only beside the hash of a gram they contain, 128 bits together.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import bit_map, discard, in_map, partitions, stored, text_key
@@ -180,14 +182,32 @@ def _judged(rows: DataFrame, part: str, whole: str) -> tuple[DataFrame, DataFram
     return repeated, few.drop("kinds"), many.drop("kinds"), [distinct, kinds]
 
 
-def _with_text(rows: DataFrame, keyed: DataFrame, columns: list[str]) -> DataFrame:
-    """Documents that have rows, with the list of their rows (a document has no more of them than bytes).
+def _map_bits(n: int) -> int:
+    return min(max((16 * n).bit_length(), 15), MAP_BITS)
+
+
+def _may_be_in(keys: DataFrame) -> Callable[..., Column]:
+    """Of id and text key: true for those among the rows of `keys` (`doc_id`, `tk`) and for few others, by a bit map."""
+    sent = keys.sparkSession.sparkContext.broadcast(bit_map(keys.select(F.xxhash64("doc_id", "tk").alias("h")), "h", _map_bits(keys.count())))
+
+    @F.pandas_udf("boolean")
+    def found(h: pd.Series) -> pd.Series:
+        return pd.Series(in_map(sent.value, h.to_numpy(np.int64).view(np.uint64)))
+
+    return lambda doc_id, tk: found(F.xxhash64(doc_id, tk))
+
+
+def _with_text(rows: DataFrame, keyed: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Documents that have rows, with the list of their rows (a document has no more of them than bytes); and the stored lists.
 
-    A document that is there twice comes twice. That changes nothing: all its stretches recur, so its windows are known to repeat.
+    Hardly any other text is shuffled. A document that is there twice comes twice. That changes nothing: all its stretches recur,
+    so its windows are known to repeat.
     """
-    lists = rows.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    one_each = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
-    return one_each.select("doc_id", "tk", "text", "rows")
+    lists = stored(rows.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*columns)).alias("rows")), "lists")
+    texts = keyed.where(_may_be_in(lists.select("doc_id", "tk"))("doc_id", "tk"))
+    own = lists.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "rows")
+    one_each = texts.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
+    return one_each.select("doc_id", "tk", "text", "rows"), lists
 
 
 def _blocks(data: np.ndarray, rows: list, length: int) -> tuple[np.ndarray, ...]:
@@ -370,15 +390,16 @@ def repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: st
         raise ValueError("length must be from 2 to 32767")
     keyed = _keyed(docs, doc_id, text)
     grams = stored(_gram_counts(keyed, length, gram).where("n > 1").select("kh"), "grams")
-    bits = min(max((16 * grams.count()).bit_length(), 15), MAP_BITS)
-    candidates = stored(_stretches(keyed, length, gram, bit_map(grams, "kh", bits)), "stretches")
+    candidates = stored(_stretches(keyed, length, gram, bit_map(grams, "kh", _map_bits(grams.count()))), "stretches")
     discard(grams)
     whole, few, many, distinct = _judged(candidates, "kh", "ch")
     used = [candidates, *distinct]
     windows = F.shiftright("shape", 16).alias("n")
     columns = ["doc_id", "tk", "i", "n"]
     listed = few.withColumn("frequent", F.lit(False)).unionByName(many.withColumn("frequent", F.lit(True)))
-    pieces = stored(_pieces(_with_text(listed, keyed, ["i", "shape", "kh", "frequent"]), length), "borders")
+    texts, lists = _with_text(listed, keyed, ["i", "shape", "kh", "frequent"])
+    pieces = stored(_pieces(texts, length), "borders")
+    discard(lists)
     used.append(pieces)
     borders = pieces.where("bytes is not null").select("doc_id", "tk", "i", "anchor", "bytes")
     blocks = pieces.where("bytes is null").select("doc_id", "tk", "i", "n", "kh", "ch")
@@ -386,8 +407,9 @@ def repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: st
     if not blocks.isEmpty():
         block_whole, block_few, block_many, block_distinct = _judged(blocks, "kh", "ch")
         open_ = block_few.unionByName(block_many)
-        ends = stored(_sorted_buckets(_suffixes(_with_text(open_, keyed, ["i", "n"]), length), length), "suffixes")
-        used += [*block_distinct, ends]
+        texts, lists = _with_text(open_, keyed, ["i", "n"])
+        ends = stored(_sorted_buckets(_suffixes(texts, length), length), "suffixes")
+        used += [*block_distinct, lists, ends]
         # a suffix at the end of as many buckets as it fills
         met = ends.where("end").groupBy("suffix").agg(F.count(F.lit(1)).alias("times"), F.collect_list(F.struct("doc_id", "tk", "i")).alias("rows"))
         met = met.where("times > 1").select(F.inline("rows"))
@@ -420,11 +442,16 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def cleaned(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(row, kept, n_bytes, spans) of every row: the row as it was (a struct), the bytes left, their number before, and the
     removed [start, end) runs. With `decoded`, kept is a string, without what is left of characters that were cut."""
-    lists = repeats(docs, length, doc_id, text).groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("i", "n")).alias("runs"))
+    found = repeats(docs, length, doc_id, text)
+    lists = found.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("i", "n")).alias("runs"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     key, content = F.col("row")[doc_id].cast("bigint"), F.col("row")[text]
     joined = rows.select("row", key.alias("key"), content.alias("text")).withColumn("tk", text_key())
-    joined = joined.join(lists, F.col("key").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
+    joined = joined.withColumn("may", _may_be_in(found.select("doc_id", "tk").distinct())("key", "tk"))
+    # texts without a repeat stay where they are
+    alone = joined.where("not may").withColumn("runs", F.lit(None).cast(lists.schema["runs"].dataType))
+    joined = joined.where("may").join(lists, F.col("key").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
+    joined = joined.select("row", "text", "runs").unionByName(alone.select("row", "text", "runs"))
 
     @F.pandas_udf(f"struct<kept: {'string' if decoded else 'binary'}, n_bytes: bigint, spans: array<struct<start: bigint, end: bigint>>>")
     def clean(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

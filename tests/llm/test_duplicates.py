@@ -185,6 +185,23 @@ def test_repeats_of_odd_rows(odd, empty):
     assert suffix_dedup.cleaned(odd, decoded=True).select("row.*").columns == odd.columns
 
 
+def test_texts_without_repeats_are_not_shuffled(spark):
+    rng = random.Random(3)
+    fresh = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(600)]
+    rows = [(None if k == 7 else k, t + fresh[0][:250] * (k % 100 == 7)) for k, t in enumerate(fresh)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    keyed = suffix_dedup._keyed(df, "doc_id", "text")
+    some = keyed.where("doc_id is null or doc_id % 100 = 7")
+    may = keyed.where(suffix_dedup._may_be_in(some.select("doc_id", "tk"))("doc_id", "tk"))
+    assert some.exceptAll(may).count() == 0 and may.count() < 30
+    texts, lists = suffix_dedup._with_text(some.withColumn("i", F.lit(4)), keyed, ["i"])
+    assert sorted((str(r.doc_id), [x.i for x in r.rows]) for r in texts.collect()) == sorted((str(i), [4]) for i in [None, 107, 207, 307, 407, 507])
+    suffix_dedup.discard(lists)
+    got = suffix_dedup.digests(df).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(rows, 200)
+    assert "Union" in suffix_dedup.cleaned(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, (400, 4)).astype(np.uint64)
