@@ -72,7 +72,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 token ids with their sequence and their place in it."""
     small_batches(spark)
-    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, context=1024)
+    # workers that earlier stages left hold memory of their own, so each remembers fewer words than it would alone
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, context=1024, remembered=200_000)
     return packing.pack(stored(pieces, "packed-pieces"), 1024)
 
 

@@ -27,13 +27,14 @@ def cut_points(n: int, context: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, context) for at in range(first, n, context)] if n else []
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, context: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, context: int = 1024, doc_id: str = "doc_id", text: str = "text", remembered: int = 800_000) -> DataFrame:
     """Pieces of at most `context` ids (little-endian unsigned 32-bit) of every text, each document closed by `end_id`.
 
-    Null texts count as empty; a text without any id has no piece. Other columns are left out; ids may repeat or be null.
+    Null texts count as empty; a text without any id has no piece. Other columns are left out; ids may repeat or be null. A worker
+    remembers the ids of at most `remembered` words; the result does not depend on it.
     """
     def cut(batches: Iterator) -> Iterator[pd.DataFrame]:
-        cache = token_cache(vocabulary)
+        cache = token_cache(vocabulary, remembered)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for part in (batch.iloc[at : at + 256] for batch in batches for at in range(0, len(batch), 256)):
             out: list[tuple] = []

@@ -123,6 +123,13 @@ def test_pack_all_pieces(spark, odd):
     assert all(np.frombuffer(r.ids, "<u4").tolist() == ids[r.sequence_id][r.offset : r.offset + r.length].tolist() for r in again)
 
 
+def test_pieces_do_not_depend_on_how_many_words_are_remembered(spark):
+    df = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 997}" for j in range(300))) for k in range(300)], "doc_id bigint, text string")
+    few, many = (packing.token_pieces(df, BYTES, 2, remembered=n) for n in (50, 800_000))
+    key = lambda rows: sorted((r["doc_id"], r["piece"], r["start"], bytes(r["ids"])) for r in rows.collect())
+    assert key(few) == key(many)
+
+
 def test_pack_nothing_and_odd_lengths(spark, empty):
     pieces = stored(packing.token_pieces(empty, BYTES, 2), "test-none")
     assert packing.pack(pieces).count() == 0
