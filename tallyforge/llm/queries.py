@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import context_mixing, decontaminate, hard_negatives, language_id, packing, quality_rules, simhash, suffix_dedup, token_counts, token_files, url_filter, warc, whitening
-from tallyforge.llm.shared import scratch
+from tallyforge.llm.shared import scratch, small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=200)
 
 

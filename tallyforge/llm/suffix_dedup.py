@@ -33,8 +33,8 @@ from tallyforge.llm.shared import bit_map, discard, in_map, partitions, stored,
 BLOCK, FREQUENT = 8, 1024
 #: Rows of a bucket in step 2.
 BUCKET = 20_000
-#: Bytes of text that a task hashes at once, unless one document is longer.
-AT_ONCE = 1 << 18
+#: Bytes of text that a task hashes at once, unless one document is longer, and stretches that it hands back at once.
+AT_ONCE, HANDED = 1 << 16, 1 << 14
 #: The map of recurring grams has 16 bits for each, and so many at most: beyond that it lets more pass, and results stay the same.
 MAP_BITS = 27
 #: A pair of hashes with more than this share of all rows is met by a broadcast; there are fewer than this many.
@@ -130,12 +130,20 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _gram_counts(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(kh, n): anchors' grams and how many stretches have them, counted within a task's batches."""
+    def counted(found: list[np.ndarray]) -> pd.DataFrame:
+        kh, n = np.unique(np.concatenate(found), return_counts=True)
+        return pd.DataFrame({"kh": kh.view(np.int64), "n": n})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch["text"]]
+            texts, found = [(t or "").encode() for t in batch["text"]], []
             for begin, end in _batches(texts):
-                kh, n = np.unique(anchors(*_joined(texts[begin:end]), length, gram)[4], return_counts=True)
-                yield pd.DataFrame({"kh": kh.view(np.int64), "n": n})
+                found.append(anchors(*_joined(texts[begin:end]), length, gram)[4])
+                if sum(map(len, found)) > HANDED:
+                    yield counted(found)
+                    found = []
+            if found:
+                yield counted(found)
 
     return rows.mapInPandas(count, "kh bigint, n bigint").groupBy("kh").agg(F.sum("n").alias("n"))
 
@@ -147,19 +155,29 @@ def _stretches(rows: DataFrame, length: int, gram: int, again: np.ndarray) -> Da
     """
     sent = rows.sparkSession.sparkContext.broadcast(again)
 
+    def listed(keys: pd.DataFrame, found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        row, i, shape, kh, ch = (np.concatenate(parts) for parts in zip(*found))
+        own = keys.iloc[row]
+        return pd.DataFrame({
+            "doc_id": own["doc_id"].astype("Int64").to_numpy(), "tk": own["tk"].to_numpy(), "i": i.astype(np.int32),
+            "shape": shape.astype(np.int32), "kh": kh.view(np.int64), "ch": ch.view(np.int64)})
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch["text"]]
+            texts, keys, kept = [(t or "").encode() for t in batch["text"]], batch[["doc_id", "tk"]], []
             for begin, end in _batches(texts):
                 data, ends = _joined(texts[begin:end])
                 found = anchors(data, ends, length, gram)
                 keep = in_map(sent.value, found[4])
                 document, first, n, anchor, kh, ch = (f[keep] for f in found)
+                document = document.astype(np.int64)
                 base = np.concatenate([[0], ends[:-1]])[document]
-                row = batch.iloc[begin + document] if len(document) else batch.iloc[:0]
-                yield pd.DataFrame({
-                    "doc_id": row["doc_id"].astype("Int64").to_numpy(), "tk": row["tk"].to_numpy(), "i": (first - base).astype(np.int32),
-                    "shape": (n << 16 | anchor - first).astype(np.int32), "kh": kh.view(np.int64), "ch": ch.view(np.int64)})
+                kept.append((begin + document, first - base, n << 16 | anchor - first, kh, ch))
+                if sum(len(k[0]) for k in kept) > HANDED:
+                    yield listed(keys, kept)
+                    kept = []
+            if kept:
+                yield listed(keys, kept)
 
     return rows.mapInPandas(find, "doc_id bigint, tk int, i int, shape int, kh bigint, ch bigint")
 
@@ -206,7 +224,8 @@ def _with_text(rows: DataFrame, keyed: DataFrame, columns: list[str]) -> tuple[D
     lists = stored(rows.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*columns)).alias("rows")), "lists")
     texts = keyed.where(_may_be_in(lists.select("doc_id", "tk"))("doc_id", "tk"))
     own = lists.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "rows")
-    one_each = texts.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
+    # a merge join, also of small tables: else what follows would need a second Python worker in each task beside that of the map
+    one_each = texts.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
     return one_each.select("doc_id", "tk", "text", "rows"), lists
 
 
@@ -448,12 +467,13 @@ def cleaned(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: st
     key, content = F.col("row")[doc_id].cast("bigint"), F.col("row")[text]
     joined = rows.select("row", key.alias("key"), content.alias("text")).withColumn("tk", text_key())
     joined = joined.withColumn("may", _may_be_in(found.select("doc_id", "tk").distinct())("key", "tk"))
-    # texts without a repeat stay where they are
-    alone = joined.where("not may").withColumn("runs", F.lit(None).cast(lists.schema["runs"].dataType))
-    joined = joined.where("may").join(lists, F.col("key").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
-    joined = joined.select("row", "text", "runs").unionByName(alone.select("row", "text", "runs"))
+    kind, span_list = "string" if decoded else "binary", "array<struct<start: bigint, end: bigint>>"
+    # texts without a repeat stay where they are, and stay whole: they need no second Python worker beside that of the map
+    whole = F.coalesce("text", F.lit(""))
+    alone = joined.where("not may").select("row", whole.cast(kind).alias("kept"), F.octet_length(whole).cast("bigint").alias("n_bytes"), F.array().cast(span_list).alias("spans"))
+    joined = joined.where("may").join(lists.hint("merge"), F.col("key").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
 
-    @F.pandas_udf(f"struct<kept: {'string' if decoded else 'binary'}, n_bytes: bigint, spans: array<struct<start: bigint, end: bigint>>>")
+    @F.pandas_udf(f"struct<kept: {kind}, n_bytes: bigint, spans: {span_list}>")
     def clean(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lists in parts:
             data = [(t or "").encode() for t in texts]
@@ -463,7 +483,7 @@ def cleaned(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: st
                 "kept": [k.decode(errors="ignore") for k in kept] if decoded else kept, "n_bytes": [len(d) for d in data],
                 "spans": [[{"start": a, "end": b} for a, b in s] for s in spans]})
 
-    return joined.select("row", clean("text", "runs").alias("_r")).select("row", "_r.*")
+    return joined.select("row", clean("text", "runs").alias("_r")).select("row", "_r.*").unionByName(alone)
 
 
 def digests(docs: DataFrame, length: int = 200) -> DataFrame:

@@ -174,6 +174,19 @@ def test_repeats(spark, monkeypatch, frequent, bucket, length):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(rows, length)
 
 
+@pytest.mark.parametrize("decoded", [False, True])
+def test_texts_without_repeats_stay_out_of_python(spark, decoded):
+    """They are joined to the cleaned ones after the cleaning, as they were; before, each task needed a second worker for them."""
+    rows = [(0, "é" * 150 + "a"), (1, "b" + "é" * 150), (2, "short"), (3, ""), (4, None)]
+    got = suffix_dedup.cleaned(spark.createDataFrame(rows, "doc_id bigint, text string"), 200, decoded=decoded)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("clean(")
+    ran = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in ran and "BroadcastHashJoin" not in ran
+    found = {r["row"]["doc_id"]: (r["kept"] if decoded else bytes(r["kept"]).decode(), r["n_bytes"], [tuple(s) for s in r["spans"]]) for r in got.collect()}
+    assert found == {0: ("a", 301, [(0, 300)]), 1: ("b", 301, [(1, 301)]), 2: ("short", 5, []), 3: ("", 0, []), 4: ("", 0, [])}
+
+
 def test_repeats_of_odd_rows(odd, empty):
     rows = [(r.doc_id, r.text if r.doc_id not in (6, 7) else None) for r in odd.select("doc_id", "text").collect()]
     small = odd.withColumn("text", F.expr("if(doc_id in (6, 7), null, text)"))
