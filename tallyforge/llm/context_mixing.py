@@ -52,8 +52,8 @@ END = 255
 #: Bytes of texts whose choices are looked up at once when the fit's evidence is counted.
 SIDE = 1 << 16
 CHUNK = 1 << 16
-#: Bytes in contexts that are sorted at once.
-PAIRS = 1 << 21
+#: Bytes in contexts that are sorted at once, and how many of their paths are followed at once.
+PAIRS, PATHS = 1 << 21, 1 << 15
 #: Tasks whose slots one task adds up, where there are more.
 FAN_IN = 64
 
@@ -255,11 +255,15 @@ def slot_counts(rows: DataFrame, code: Code, bits: int) -> DataFrame:
         def add() -> None:
             """Equal bytes in equal contexts are counted by sorting, then each is one path."""
             for k in range(PREDICTORS):
-                pairs = np.sort(np.concatenate([w[k] for w in waiting]))
+                pairs = np.concatenate([w[k] for w in waiting])
+                pairs.sort()
                 new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
                 n = np.diff(np.append(new, len(pairs))).astype(np.uint32)
-                times, node, bit = choices(code, (pairs[new] & 255).astype(np.int64))
-                np.add.at(found[k], np.repeat(2 * (pairs[new] >> 8).astype(np.int64), times) + 2 * node + bit, np.repeat(n, times))
+                pairs = pairs[new]
+                for a in range(0, len(pairs), PATHS):
+                    some = pairs[a : a + PATHS]
+                    times, node, bit = choices(code, (some & 255).astype(np.int64))
+                    np.add.at(found[k], np.repeat(2 * (some >> 8).astype(np.int64), times) + 2 * node + bit, np.repeat(n[a : a + PATHS], times))
             waiting.clear()
 
         for batch in batches:
@@ -330,8 +334,10 @@ def own_evidence(code: Code, bits: int, counts: np.ndarray, spare: np.ndarray, t
 
 
 def _tally(keys: list[np.ndarray]) -> pd.DataFrame:
-    """Each different key and how often it comes."""
-    key = np.sort(np.concatenate(keys))
+    """Each different key and how often it comes. The list is empty afterwards, so that its arrays do not stay beside the sorted one."""
+    key = np.concatenate(keys)
+    keys.clear()
+    key.sort()
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return pd.DataFrame({"key": key[new].astype(np.int64), "n": np.diff(np.append(new, len(key)))})
 
@@ -361,7 +367,7 @@ def evidence(rows: DataFrame, code: Code, bits: int, counts: np.ndarray) -> Data
                 size += len(waiting[-1])
                 if size > 4 * PAIRS:
                     yield _tally(waiting)
-                    waiting, size = [], 0
+                    size = 0
         if waiting:
             yield _tally(waiting)
 

@@ -192,6 +192,36 @@ def test_evidence_of_several_texts_leaves_out_each_ones_own_counts(model, monkey
     assert dict(zip(tally["key"], tally["n"])) == Counter(want)
 
 
+def test_a_tally_holds_its_keys_once_beside_the_sorted_ones():
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        parts = [np.arange(200_000, dtype=np.uint32) // 5000 for _ in range(10)]
+        size = sum(p.nbytes for p in parts)
+        tally = cm._tally(parts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert parts == [] and peak < 2.6 * size
+    assert tally["key"].tolist() == list(range(40)) and set(tally["n"]) == {50_000}
+
+
+@pytest.mark.parametrize("query", ["op4_suffix_array", "op12_context_mixing"])
+def test_queries_hand_python_few_texts_at_once(spark, tmp_path, query):
+    from tallyforge.llm import queries
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.createDataFrame(list(enumerate(texts(20))), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        spark.conf.set(name, "10000")
+        assert queries.QUERIES[query](spark, str(tmp_path)).count() == 20
+        assert int(spark.conf.get(name)) <= 1000
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_weights_are_fitted_on_all_training_documents(spark, monkeypatch):
     """More and longer documents than any sample: a fit over tasks is that of one process over all of them."""
     monkeypatch.setattr(cm, "PAIRS", 5000)
