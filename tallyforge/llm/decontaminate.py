@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import stored, text_key
+from tallyforge.llm.shared import lean, stored, text_key
 
 #: Places of the words that a seed reads.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
@@ -68,8 +68,9 @@ def _seed_rows(items: DataFrame) -> DataFrame:
                 for number, seed in seeds(hashes, [short] if short else ()):
                     if (number < 0) == (short > 0):
                         yield pd.DataFrame({"item_id": item, "item_word": np.arange(len(seed), dtype=np.int32), "seed": seed.view(np.int64), "short": short})
+        _HASHES.clear()
 
-    return items.mapInPandas(cut, "item_id bigint, item_word int, seed bigint, short int")
+    return items.mapInPandas(lean(cut), "item_id bigint, item_word int, seed bigint, short int")
 
 
 def _bit_map(rows: DataFrame) -> np.ndarray:
@@ -88,7 +89,7 @@ def _bit_map(rows: DataFrame) -> np.ndarray:
                 yield pd.DataFrame({"page": [page], "bits": [out.tobytes()]})
 
     out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for page, raw in by_page.mapInPandas(fill, "page int, bits binary").collect():
+    for page, raw in by_page.mapInPandas(lean(fill), "page int, bits binary").collect():
         out[page * 4096 : (page + 1) * 4096] = np.frombuffer(raw, np.uint8)
     return out
 
@@ -116,7 +117,7 @@ def _document_seeds(docs: DataFrame, bits: np.ndarray, short: Sequence[int]) ->
                     "doc_word": np.concatenate(places).astype(np.int32), "seed": np.concatenate(found).view(np.int64)})
         _HASHES.clear()  # the worker process may go on with other work
 
-    return docs.mapInPandas(cut, "doc_id bigint, tk int, doc_word int, seed bigint")
+    return docs.mapInPandas(lean(cut), "doc_id bigint, tk int, doc_word int, seed bigint")
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -168,6 +169,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
                     out.append((doc, tk, item_key, *best))
             frame = pd.DataFrame(out, columns=["doc_id", "tk", "item_id", "first_word", "n_words", "n_equal"])
             yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+        _HASHES.clear()
 
     columns = texts.select("doc_id", "tk", "text", "item_id", "item", "diagonals")
-    return columns.mapInPandas(verify, "doc_id bigint, tk int, item_id bigint, first_word int, n_words int, n_equal int").distinct()
+    return columns.mapInPandas(lean(verify), "doc_id bigint, tk int, item_id bigint, first_word int, n_words int, n_equal int").distinct()

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.shared import lean
+
 #: N-grams are counted in this many buckets.
 BUCKETS = 1 << 14
 #: A lead over the second language below this, in weighted loss, is ambiguous.
@@ -113,7 +115,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": n[at]})
 
-    counted = known.mapInPandas(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = known.mapInPandas(lean(count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
     codes = codewords(len(languages))
     share = np.zeros((len(languages), BUCKETS))
@@ -139,7 +141,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         cells = [(i, j, n[i], right[i, j], size[i, j]) for i in range(len(languages)) for j in range(places) if n[i]]
         yield pd.DataFrame(cells, columns=["language", "place", "n", "correct", "size"])
 
-    judged = known.mapInPandas(judge, "language int, place int, n double, correct double, size double")
+    judged = known.mapInPandas(lean(judge), "language int, place int, n double, correct double, size double")
     cells = judged.groupBy("language", "place").agg(F.sum("n").alias("n"), F.sum("correct").alias("correct"), F.sum("size").alias("size")).toPandas()
     at = cells["language"].to_numpy(int), cells["place"].to_numpy(int)
     trust, size = np.zeros(codes.shape), np.zeros(codes.shape)
@@ -174,6 +176,7 @@ def predicted(model: Model, text: Column | str = "text", lead: float = LEAD) ->
     names = np.array(model.languages, object)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean, loss double")
+    @lean
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             margins = _margins(_encoded(part), model.weights)

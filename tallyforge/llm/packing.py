@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import partitions, stored
+from tallyforge.llm.shared import lean, partitions, stored
 from tallyforge.llm.tokens import token_cache
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, context:
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(lean(cut, keeps=True), PIECES)
 
 
 def slack_plan(counts: dict[int, int], context: int) -> list[tuple[int, list[tuple[int, int]]]]:

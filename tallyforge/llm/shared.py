@@ -1,13 +1,17 @@
 """Tables and plain files in the folder that driver and executors share (spark.checkpoint.dir)."""
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +48,39 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system; Arrow's pool and the C library would keep it for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim:
+        trim(0)
+
+
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What this Python worker remembers from task to task, until one that does not use it begins."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def lean(task: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """A task's function over batches that gives back, at the end, what its Python worker has freed: workers wait for later tasks.
+
+    It also forgets what other tasks remember (see `kept`), unless it uses that itself (`keeps`).
+    """
+    @wraps(task)
+    def run(batches):
+        if not keeps:
+            _KEPT.clear()
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def open_folder(uri: str):
     """File system and path of a shared folder, for tasks that write or read plain files."""
     from pyarrow import fs
@@ -82,7 +119,7 @@ def bit_map(rows: DataFrame, hashed: str, bits: int) -> np.ndarray:
                 yield pd.DataFrame({"page": [page], "bits": [out.tobytes()]})
 
     out = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
-    for page, raw in by_page.mapInPandas(fill, "page int, bits binary").collect():
+    for page, raw in by_page.mapInPandas(lean(fill), "page int, bits binary").collect():
         out[page * 4096 : (page + 1) * 4096] = np.frombuffer(raw, np.uint8)
     return out
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import discard, partitions, stored, text_key
+from tallyforge.llm.shared import discard, lean, partitions, stored, text_key
 
 #: Rows of a bucket that one task compares at once.
 SLICE = 4096
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text:
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("tk", text_key()) if keyed else rows
-    return rows.mapInPandas(hashed, "doc_id bigint, fp bigint" + ", tk int" * keyed)
+    return rows.mapInPandas(lean(hashed), "doc_id bigint, fp bigint" + ", tk int" * keyed)
 
 
 def _bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -284,7 +284,7 @@ def near_links(nodes: DataFrame, radius: int = 4, tiers: Sequence[int] = ()) ->
         a, b = bucket_links(key, fp, own.astype(bool), radius, rows["check"].to_numpy() if tiers else None, tiers)
         return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
-    return dealt.mapInPandas(compare, "a bigint, b bigint")
+    return dealt.mapInPandas(lean(compare), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import bit_map, discard, in_map, partitions, stored, text_key
+from tallyforge.llm.shared import bit_map, discard, in_map, lean, partitions, stored, text_key
 
 #: Windows of a block in step 3, and the number of different stretches of one gram from which on step 3 takes them.
 BLOCK, FREQUENT = 8, 1024
@@ -145,7 +145,7 @@ def _gram_counts(rows: DataFrame, length: int, gram: int) -> DataFrame:
             if found:
                 yield counted(found)
 
-    return rows.mapInPandas(count, "kh bigint, n bigint").groupBy("kh").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(lean(count), "kh bigint, n bigint").groupBy("kh").agg(F.sum("n").alias("n"))
 
 
 def _stretches(rows: DataFrame, length: int, gram: int, again: np.ndarray) -> DataFrame:
@@ -179,7 +179,7 @@ def _stretches(rows: DataFrame, length: int, gram: int, again: np.ndarray) -> Da
             if kept:
                 yield listed(keys, kept)
 
-    return rows.mapInPandas(find, "doc_id bigint, tk int, i int, shape int, kh bigint, ch bigint")
+    return rows.mapInPandas(lean(find), "doc_id bigint, tk int, i int, shape int, kh bigint, ch bigint")
 
 
 def _judged(rows: DataFrame, part: str, whole: str) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
@@ -264,7 +264,7 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
                         "doc_id": pd.array([doc_id] * len(n), "Int64"), "tk": np.full(len(n), tk, np.int32), "i": first.astype(np.int32), "n": n.astype(np.int32),
                         "anchor": np.zeros(len(n), np.int32), "kh": core, "ch": whole, "bytes": None})
 
-    return texts.mapInPandas(cut, "doc_id bigint, tk int, i int, n int, anchor int, kh bigint, ch bigint, bytes binary")
+    return texts.mapInPandas(lean(cut), "doc_id bigint, tk int, i int, n int, anchor int, kh bigint, ch bigint, bytes binary")
 
 
 def _suffixes(texts: DataFrame, length: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
                         "doc_id": pd.array([doc_id] * len(part), "Int64"), "tk": np.full(len(part), tk, np.int32), "i": np.array(part, np.int32),
                         "suffix": [data[i : i + length] for i in part]})
 
-    return texts.mapInPandas(cut, "doc_id bigint, tk int, i int, suffix binary")
+    return texts.mapInPandas(lean(cut), "doc_id bigint, tk int, i int, suffix binary")
 
 
 def multikey_quicksort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,7 +372,7 @@ def _sorted_borders(borders: DataFrame, length: int, gram: int) -> DataFrame:
             "doc_id": found["doc_id"].astype("Int64").to_numpy(), "tk": found["tk"].to_numpy(np.int32),
             "i": found["i"].to_numpy(np.int64) + begin, "n": end - begin})
 
-    return buckets.mapInPandas(compare, "doc_id bigint, tk int, i int, n int")
+    return buckets.mapInPandas(lean(compare), "doc_id bigint, tk int, i int, n int")
 
 
 def _sorted_buckets(suffixes: DataFrame, length: int) -> DataFrame:
@@ -395,7 +395,7 @@ def _sorted_buckets(suffixes: DataFrame, length: int) -> DataFrame:
         out = pd.concat([out, ends], ignore_index=True)
         yield out.astype({"doc_id": "Int64", "tk": "int32", "i": "int32"})
 
-    return buckets.mapInPandas(sort, "doc_id bigint, tk int, i int, suffix binary, end boolean")
+    return buckets.mapInPandas(lean(sort), "doc_id bigint, tk int, i int, suffix binary, end boolean")
 
 
 def repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -474,6 +474,7 @@ def cleaned(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: st
     joined = joined.where("may").join(lists.hint("merge"), F.col("key").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
 
     @F.pandas_udf(f"struct<kept: {kind}, n_bytes: bigint, spans: {span_list}>")
+    @lean
     def clean(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lists in parts:
             data = [(t or "").encode() for t in texts]

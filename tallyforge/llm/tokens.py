@@ -14,6 +14,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from tallyforge.llm.shared import kept
+
 #: Beyond these characters, Python's classes and the vocabulary's may differ.
 _PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ɏ]")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -25,8 +27,6 @@ _LOOSE_PIECES = re.compile(rf"{_LETTER}++(?!')|(?<={_LETTER})[.,;:!?](?=\s)|\S+"
 _WORD = re.compile(rf" ?{_LETTER}+")
 _BATCH = 64
 
-_OPEN: dict[tuple[str, int], TokenCache] = {}
-
 
 class TokenCache:
     """Encodes texts as unsigned ids; `pieces` bounds how many pieces are remembered, the latest used stay."""
@@ -147,7 +147,4 @@ class TokenCache:
 
 def token_cache(path: str, pieces: int = 800_000) -> TokenCache:
     """The one memory of this Python worker for a vocabulary."""
-    key = (path, pieces)
-    if key not in _OPEN:
-        _OPEN[key] = TokenCache(path, pieces)
-    return _OPEN[key]
+    return kept(("tokens", path, pieces), lambda: TokenCache(path, pieces))
