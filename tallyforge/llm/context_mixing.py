@@ -25,13 +25,14 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import discard, partitions, stored
+from tallyforge.llm.shared import discard, lean, partitions, stored
 
 #: Bytes before the current one in each predictor's context; the last predictor has the current word so far instead.
 ORDERS = (3, 4)
@@ -53,7 +54,9 @@ END = 255
 SIDE = 1 << 16
 CHUNK = 1 << 16
 #: Bytes in contexts that are sorted at once, and how many of their paths are followed at once.
-PAIRS, PATHS = 1 << 21, 1 << 15
+PAIRS, PATHS = 1 << 20, 1 << 15
+#: Rows that a task hands back at once, and the different evidence that a row of the stored table holds.
+HANDED, PACKED = 1 << 15, 1 << 15
 #: Tasks whose slots one task adds up, where there are more.
 FAN_IN = 64
 
@@ -196,6 +199,11 @@ def held_out(doc_id: str) -> Column:
 
 def token_counts(rows: DataFrame) -> DataFrame:
     """(kind, key, n) over the texts of rows: words ("w"), ends ("e") and bytes ("b", end symbols included)."""
+    def listed(words: Counter) -> Iterator[pd.DataFrame]:
+        pairs = iter(words.items())
+        while part := list(islice(pairs, HANDED)):
+            yield pd.DataFrame({"kind": "w", "key": [w for w, _ in part], "n": [times for _, times in part]})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, chars, n = Counter(), np.zeros(256, np.int64), 0
         for batch in batches:
@@ -205,15 +213,15 @@ def token_counts(rows: DataFrame) -> DataFrame:
                 chars += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
             n += len(texts)
             if len(words) > 400_000:
-                yield pd.DataFrame({"kind": "w", "key": list(words), "n": list(words.values())})
+                yield from listed(words)
                 words.clear()
         chars[END] += n
         used = np.flatnonzero(chars)
-        yield pd.DataFrame({"kind": "w", "key": list(words), "n": list(words.values())})
+        yield from listed(words)
         yield pd.DataFrame({"kind": "b", "key": [bytes([c]) for c in used], "n": chars[used]})
         yield pd.DataFrame({"kind": ["e"], "key": [b""], "n": [n]})
 
-    return rows.mapInPandas(count, "kind string, key binary, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(lean(count), "kind string, key binary, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _inside(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -292,12 +300,12 @@ def slot_counts(rows: DataFrame, code: Code, bits: int) -> DataFrame:
             yield pd.DataFrame({"chunk": [c], "at": [at.astype(np.uint16).tobytes()], "n": [n[at].tobytes()]})
 
     chunks, schema = -(-PREDICTORS * size // CHUNK), "chunk int, at binary, n binary"
-    partial = rows.mapInPandas(count, schema)
+    partial = rows.mapInPandas(lean(count), schema)
     groups_ = rows.rdd.getNumPartitions() // FAN_IN
     if groups_ > 1:  # very many tasks: a task adds up the counts of FAN_IN of them first
         by_task = partial.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(groups_)))
-        partial = by_task.repartition(partitions(rows.sparkSession), "chunk", "part").drop("part").mapInPandas(add_up, schema)
-    return partial.repartition(chunks, "chunk").mapInPandas(add_up, schema)
+        partial = by_task.repartition(partitions(rows.sparkSession), "chunk", "part").drop("part").mapInPandas(lean(add_up), schema)
+    return partial.repartition(chunks, "chunk").mapInPandas(lean(add_up), schema)
 
 
 def _gate(odds: np.ndarray) -> np.ndarray:
@@ -355,27 +363,59 @@ def _runs(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
         yield now
 
 
+def _together(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """The tally of two tallies."""
+    key, n = (np.concatenate([a[c].to_numpy(), b[c].to_numpy()]) for c in ("key", "n"))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return pd.DataFrame({"key": key[new], "n": np.add.reduceat(n[order], new) if len(key) else n})
+
+
 def evidence(rows: DataFrame, code: Code, bits: int, counts: np.ndarray) -> DataFrame:
-    """(key, n): how often each evidence (see `own_evidence`) comes with the choices of all texts of rows. That is all a fit needs."""
+    """(key, n): how often each evidence (see `own_evidence`) comes with the choices of all texts of rows, PACKED at most to a row as
+    arrays of 8-byte integers. That is all a fit needs."""
     sent = rows.sparkSession.sparkContext.broadcast(counts)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spare, waiting, size = np.zeros(slots(bits), np.int64), [], 0
+        spare, waiting, size, total = np.zeros(slots(bits), np.int64), [], 0, pd.DataFrame({"key": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
         for batch in batches:
             for texts in _runs([as_bytes(t) for t in batch["text"]], SIDE):
                 waiting.append(own_evidence(code, bits, sent.value, spare, texts))
                 size += len(waiting[-1])
-                if size > 4 * PAIRS:
-                    yield _tally(waiting)
-                    size = 0
+                if size > PAIRS:
+                    total, size = _together(total, _tally(waiting)), 0
+                    if len(total) > PAIRS // 2:
+                        yield from _cut(total, HANDED)
+                        total = total.iloc[:0]
         if waiting:
-            yield _tally(waiting)
+            total = _together(total, _tally(waiting))
+        yield from _cut(total, HANDED)
 
-    out = stored(rows.mapInPandas(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "evidence")
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= PACKED:
+                yield _packed(waiting)
+                waiting = []
+        if sum(map(len, waiting)):
+            yield _packed(waiting)
+
+    found = rows.mapInPandas(lean(count), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    out = stored(found.mapInPandas(pack, "key binary, n binary"), "evidence")
     sent.unpersist()
     return out
 
 
+def _cut(rows: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    return (rows.iloc[a : a + most] for a in range(0, len(rows), most))
+
+
+def _packed(rows: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.DataFrame({c: [np.concatenate([r[c].to_numpy(np.int64) for r in rows]).tobytes()] for c in ("key", "n")})
+
+
 def _read(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log-odds with a last row of ones, choices, gates) of evidence."""
     own = np.stack([(key >> 8 * (PREDICTORS - 1 - k) & 255) - 128 for k in range(PREDICTORS)]).astype(np.int8)
@@ -409,12 +449,12 @@ def outcome_sums(weights: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndar
 
 
 def sums_over(found: DataFrame, sums: Callable[..., np.ndarray], weights: np.ndarray) -> np.ndarray | None:
-    """sums(weights, key, n) over all evidence, added up; tasks return one array each."""
+    """sums(weights, key, n) over all evidence (rows of arrays), added up; tasks return one array each."""
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = 0
         for batch in batches:
-            if len(batch):
-                total = total + sums(weights, batch["key"].to_numpy(), batch["n"].to_numpy(np.float64))
+            for key, n in zip(batch["key"], batch["n"]):
+                total = total + sums(weights, np.frombuffer(key, np.int64), np.frombuffer(n, np.int64).astype(np.float64))
         if not np.isscalar(total):
             yield pd.DataFrame({"sums": [total]})
 
@@ -612,7 +652,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     kind = docs.schema[doc_id].dataType.simpleString()
     fields = f"doc_id {kind}, held_out boolean, score double, bits_per_byte double, n_tokens bigint, found bigint, base double, rare array<binary>, times array<int>"
-    texts = rows.select("doc_id", "text", "held_out").mapInPandas(score, fields).withColumn("uid", F.monotonically_increasing_id())
+    texts = rows.select("doc_id", "text", "held_out").mapInPandas(lean(score), fields).withColumn("uid", F.monotonically_increasing_id())
     texts = stored(texts, "text-scores")
     rare = texts.select("uid", F.inline(F.arrays_zip(F.col("rare").alias("key"), F.col("times").alias("times"))))
     met = rare.join(words.where(F.col("n") * COMMON <= tokens), "key", "left")
